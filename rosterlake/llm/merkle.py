@@ -1,10 +1,10 @@
-"""Document fingerprints: Merkle trees over sections, paragraphs and sentences.
+"""Document fingerprints: Merkle trees over sections, paragraphs and clauses.
 
 Paragraphs are lines. Consecutive paragraphs make a section, which a blank line or a paragraph whose
-digest is divisible by ``section`` ends, so an edit moves no border elsewhere. Long paragraphs are cut
-behind sentence ends. Leaves are digests of sentences; a paragraph's digest covers its sentences', a
+digest is divisible by ``section`` ends, so an edit moves no border elsewhere. Paragraphs are cut
+into clauses. Leaves are digests of clauses; a paragraph's digest covers its clauses', a
 section's its paragraphs', the root the sections'. A fingerprint is text: the root, ``:`` and the
-leaves (7 hexadecimal digits and one for the order of magnitude of its size), with ``.`` between sentences, ``,`` between paragraphs and ``;``
+leaves (7 hexadecimal digits and one for the order of magnitude of its size), with ``.`` between clauses, ``,`` between paragraphs and ``;``
 between sections. Equal roots mean equal texts; otherwise the branches that differ locate the edits.
 
 Defined results: a null text is empty; empty texts have one fingerprint, and their likeness is 1;
@@ -26,7 +26,8 @@ from pyspark.sql import types as T
 
 from .common import keep, text_rows
 
-SENTENCE = re.compile(r"[^.!?]*[.!?]*\s*")
+#: Clauses end behind sentence marks, and between words behind some letters, so that no leaf is long.
+CLAUSE = re.compile(r".+?(?:[.!?|]+\s*|[dgkxyDGKXY]\s+|$)")
 SECTION = 8
 
 
@@ -43,7 +44,7 @@ def fingerprint(text: str, section: int = SECTION) -> str:
             digests.clear()
 
     for line in text.split("\n") if text else []:
-        parts = [x.encode("utf-8", "surrogatepass") for x in SENTENCE.findall(line)[:-1] or [""]]
+        parts = [x.encode("utf-8", "surrogatepass") for x in CLAUSE.findall(line) or [""]]
         leaves = [sha(x).digest() for x in parts]
         top = sha(b"p" + b"".join(leaves)).digest()
         paragraphs.append(".".join(f"{x[:4].hex()[:7]}{min(15, len(part).bit_length()):x}" for x, part in zip(leaves, parts, strict=True)))

@@ -44,7 +44,7 @@ def simhash(text: str, width: int) -> int:
         hashes = np.array([digest(joined[s:e], SEED) for s, e in zip(starts, ends, strict=True)], np.uint64)
     ones, n = np.zeros(64, np.int64), len(hashes)
     for at in range(0, n, 8192):
-        ones += np.unpackbits(hashes[at : at + 8192].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0)
+        ones += np.unpackbits(hashes[at : at + 8192].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int(np.packbits(ones * 2 > n, bitorder="little").view(np.int64)[0])
 
 
