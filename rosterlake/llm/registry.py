@@ -43,6 +43,16 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model")).withColumnRenamed("id", "doc_id")
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import THRESHOLD, scores, train
+
+    docs = table(spark, sf_dir, "documents")
+    fold = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4))
+    model = train(docs, table(spark, sf_dir, "labels").where(fold != 2))
+    scored = scores(docs, model).withColumnRenamed("id", "doc_id")
+    return scored.select("doc_id", (fold == 2).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+
+
 def op6_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .simhash import near_duplicates
 
@@ -50,6 +60,28 @@ def op6_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op7_itq_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .itq import near_duplicates
+
+    found = near_duplicates(table(spark, sf_dir, "embeddings"))
+    return found.select(F.col("id").alias("vec_id"), "n_links", "component_id", (F.col("id") == F.col("component_id")).alias("kept"))
+
+
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .warc import archive_folder, read_records, write_pages
+
+    folder = archive_folder(spark)
+    found = read_records(write_pages(table(spark, sf_dir, "pages"), folder), folder, with_payload=False)
+    page = lambda c: F.regexp_extract(c, r"<urn:page:(-?\d+)>", 1)
+    return found.select(page("record_id").cast("long").alias("page_id"), "payload_bytes", F.col("digest").alias("payload_digest"), "record_type", F.when(F.col("record_type") == "revisit", page("refers_to").cast("long")).alias("refers_to"))
+
+
+def op9_kneser_ney_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .kneser_ney import classify
+
+    return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).withColumnRenamed("id", "doc_id")
+
+
 def op10_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .suffix_dedup import repeated_passages
 
@@ -58,7 +90,7 @@ def op10_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_best_fit_packing, op2_merkle_fingerprints, op3_source_mixing, op4_token_counts, op6_simhash_groups, op10_repeated_passages]
+    found = [op1_best_fit_packing, op2_merkle_fingerprints, op3_source_mixing, op4_token_counts, op5_toxicity, op6_simhash_groups, op7_itq_links, op8_warc, op9_kneser_ney_quality, op10_repeated_passages]
     return {f.__name__: f for f in found}
 
 

@@ -59,7 +59,7 @@ def _close(fp: np.ndarray, table: np.ndarray, radius: int) -> list[tuple[int, in
     own = np.flatnonzero(table)
     label, links = np.arange(len(fp)), []
     for i in own.tolist():
-        near = np.flatnonzero(np.bitwise_count(fp ^ fp[i]) <= radius)
+        near = np.flatnonzero(np.bitwise_count((fp ^ fp[i]).view(np.uint64)) <= radius)
         roots, first = np.unique(label[near], return_index=True)
         new = roots != label[i]
         if new.any():
@@ -82,7 +82,7 @@ def _verify(key: np.ndarray, fp: np.ndarray, radius: int) -> tuple[np.ndarray, n
         at = starts[few & (sizes == size)][:, None] + np.arange(size)
         f, t = fp[at], (key[at] & 1).astype(bool)
         for i in range(size):
-            near = t[:, i : i + 1] & (np.bitwise_count(f ^ f[:, i : i + 1]) <= radius) & (f != f[:, i : i + 1])
+            near = t[:, i : i + 1] & (np.bitwise_count((f ^ f[:, i : i + 1]).view(np.uint64)) <= radius) & (f != f[:, i : i + 1])
             rows, cols = np.nonzero(near)
             a.append(f[rows, i])
             b.append(f[rows, cols])
