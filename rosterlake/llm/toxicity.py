@@ -4,12 +4,13 @@ A word is the bag of its character n-grams (3 to 5, with borders), hashed into a
 a window of words is the average of its words' vectors, and a linear softmax over it gives two classes.
 Unseen spellings share n-gram vectors with known ones. A text is as toxic as its most toxic window, so
 length does not dilute a remark; in training, the windows of a toxic text that count as toxic are
-chosen by the model of the round before. A last one-dimensional logistic fit maps a text's best window
-to a probability. The fit uses a sample of labelled texts of at most ``sample`` rows of either class,
+chosen by the model of the round before. The first round takes whole texts. A last logistic fit, on
+texts kept apart from training, maps the word scores of a text (best windows, best words, mean) to a
+probability. The fit uses a sample of labelled texts of at most ``sample`` rows of either class,
 drawn by a hash of the id; scoring covers every whole text. The model, ``rows * dim`` floats, is a few
 MB whatever the data.
 
-Defined results: null and empty texts have no window and get the score of the model's bias; repeated
+Defined results: null and empty texts get the score of a text whose words all score 0; repeated
 labels of one id count as toxic if any is; without labels of both classes every score is 0; repeated
 rows are scored each; an empty table gives an empty result.
 """
@@ -102,26 +103,28 @@ class Trainer:
                 params[n] = params[n] - rate * (m / (1 - 0.9**step)) / (v / (1 - 0.9**step) + 1e-12)
         self.emb[seen], self.out, self.bias = params
 
-    def train(self, steps: int, rounds: int, per_text: int) -> tuple[np.ndarray, float, float, float]:
-        """n-gram log-odds, bias, and slope and intercept of the last fit."""
-        full = [k for k, t in enumerate(self.texts) if len(t)]
-        for n in range(rounds):
-            windows, labels = [], []
-            tops = self.best_windows()[1] if n else []
+    def train(self, steps: int, rounds: int, per_text: int, weights: tuple[float, float] = (1.0, 1.0)) -> tuple[np.ndarray, np.ndarray, float]:
+        """n-gram log-odds, and slopes and intercept of the last fit, which uses every fourth text and only those.
+
+        weights: how many labelled texts stand behind one clean and one toxic text of the sample.
+        """
+        apart = np.arange(len(self.texts)) % 4 == 3
+        full = [k for k, t in enumerate(self.texts) if len(t) and not apart[k]]
+        self.fit([np.unique(self.texts[k]) for k in full], self.toxic[full], steps)  # whole texts, each word once
+        for _ in range(rounds):
+            tops, windows, labels = self.best_windows()[1], [], []
             for k in full:
-                t = self.texts[k]
-                if n and self.toxic[k]:
-                    at = [tops[k]]
-                else:
+                t, at = self.texts[k], [tops[k]]
+                if not self.toxic[k]:
                     count = -(-len(t) // self.window)
-                    at = (self.rng.choice(count, min(count, per_text), replace=False) * self.window).tolist()
-                    at += [tops[k]] if n else []
-                windows += [t[s : s + self.window] for s in at]
+                    at += (self.rng.choice(count, min(count, per_text), replace=False) * self.window).tolist()
+                windows += [np.unique(t[s : s + self.window]) for s in at]
                 labels += [self.toxic[k]] * len(at)
             self.fit(windows, np.array(labels, bool), steps)
-        best, _ = self.best_windows()
-        slope, shift = logistic(best, self.toxic)
-        return self.emb @ (self.out[:, 1] - self.out[:, 0]), float(self.bias[1] - self.bias[0]), slope, shift
+        score = self.word_scores()
+        seen = np.array([features(score[t]) for t, a in zip(self.texts, apart, strict=True) if a]).reshape(-1, len(SPANS) + 3)
+        slopes, shift = logistic(seen, self.toxic[apart], np.where(self.toxic[apart], weights[1], weights[0]))
+        return self.emb @ (self.out[:, 1] - self.out[:, 0]), slopes, shift
 
 
 def best_window(scores: np.ndarray, window: int) -> tuple[float, int]:
@@ -135,45 +138,59 @@ def best_window(scores: np.ndarray, window: int) -> tuple[float, int]:
     return float(means[at]), at
 
 
-def logistic(x: np.ndarray, y: np.ndarray, steps: int = 60) -> tuple[float, float]:
-    """Slope and intercept by regularised Newton steps."""
-    scale = max(1e-9, float(np.std(x)))
-    z, w = np.stack([x / scale, np.ones(len(x))], axis=1), np.zeros(2)
+#: A text is described by its best windows of these lengths, the mean of its best words and the mean of all words.
+SPANS, BEST_WORDS = (3, 12, 48), 6
+
+
+def features(scores: np.ndarray) -> list[float]:
+    if not len(scores):
+        return [0.0] * (len(SPANS) + 3)
+    top = np.partition(scores, max(0, len(scores) - BEST_WORDS))[-BEST_WORDS:]
+    return [*(best_window(scores, n)[0] for n in SPANS), float(top.sum()) / BEST_WORDS, float(scores.mean()), float(np.log1p(len(scores)))]
+
+
+def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, steps: int = 60) -> tuple[np.ndarray, float]:
+    """Slopes and intercept by weighted, regularised Newton steps."""
+    scale = np.maximum(1e-9, x.std(axis=0))
+    z, w = np.c_[x / scale, np.ones(len(x))], np.zeros(x.shape[1] + 1)
+    ridge = np.diag([1.0] * x.shape[1] + [1e-3])
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(z @ w, -50, 50)))
-        step = np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + 1e-2 * np.eye(2), z.T @ (p - y) + 1e-2 * w)
+        step = np.linalg.solve((z * (weight * p * (1 - p))[:, None]).T @ z + ridge, z.T @ (weight * (p - y)) + ridge @ w)
         w -= step
         if np.abs(step).max() < 1e-6:
             break
-    return float(w[0] / scale), float(w[1])
+    return w[:-1] / scale, float(w[-1])
 
 
-MODEL = T.StructType([T.StructField("grams", T.BinaryType()), T.StructField("bias", T.DoubleType()), T.StructField("slope", T.DoubleType()), T.StructField("shift", T.DoubleType())])
+MODEL = T.StructType([T.StructField("grams", T.BinaryType()), T.StructField("slopes", T.ArrayType(T.DoubleType())), T.StructField("shift", T.DoubleType())])
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", rows: int = ROWS, dim: int = DIM, window: int = WINDOW):
     """The model as a row of ``MODEL``, or None without labels of both classes. The fit runs in one task on the bounded sample."""
     marked = labels.where(F.col(f"`{label_col}`").isNotNull() & F.col(f"`{id_col}`").isNotNull()).groupBy(F.col(f"`{id_col}`").alias("id")).agg((F.max(F.col(f"`{label_col}`").cast("int")) > 0).alias("toxic"))
+    counts = {r["toxic"]: r["count"] for r in marked.groupBy("toxic").count().collect()}  # two numbers
+    clean, bad = counts.get(False, 0), counts.get(True, 0)
     order = F.xxhash64("id")
-    chosen = [marked.where(F.col("toxic") == c).orderBy(order, "id").limit(sample) for c in (True, False)]
+    chosen = [marked.where(F.col("toxic") == c).withColumn("drawn", order).orderBy("drawn", "id").limit(sample) for c in (True, False)]
     picked = keep(chosen[0].unionByName(chosen[1]))  # at most 2 * sample ids
     texts = text_rows(docs, id_col, text_col).join(F.broadcast(picked), "id").dropDuplicates(["id"])
 
     def fit(_, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("id")
+        pdf = pdf.sort_values("drawn")
         toxic = pdf["toxic"].to_numpy(bool)
         if not toxic.any() or toxic.all():
-            return pd.DataFrame({"grams": [], "bias": [], "slope": [], "shift": []})
-        gram, bias, slope, shift = Trainer(pdf["text"].tolist(), toxic, rows, dim, window).train(STEPS, ROUNDS, WINDOWS)
-        return pd.DataFrame({"grams": [gram.astype("<f4").tobytes()], "bias": [bias], "slope": [slope], "shift": [shift]})
+            return pd.DataFrame({"grams": [], "slopes": [], "shift": []})
+        gram, slopes, shift = Trainer(pdf["text"].tolist(), toxic, rows, dim, window).train(STEPS, ROUNDS, WINDOWS, (clean / (~toxic).sum(), bad / toxic.sum()))
+        return pd.DataFrame({"grams": [gram.astype("<f4").tobytes()], "slopes": [slopes.tolist()], "shift": [shift]})
 
     return texts.groupBy(F.lit(0).alias("_all")).applyInPandas(fit, MODEL).first()
 
 
 class Scorer:
-    def __init__(self, model, window: int, limit: int = 400_000):
+    def __init__(self, model, limit: int = 400_000):
         self.gram = np.frombuffer(model["grams"], "<f4")
-        self.bias, self.slope, self.shift, self.window, self.limit = model["bias"], model["slope"], model["shift"], window, limit
+        self.slopes, self.shift, self.limit = np.array(model["slopes"]), model["shift"], limit
         self.words: dict[str, float] = {}
 
     def learn(self, words: set[str]) -> None:
@@ -195,11 +212,11 @@ class Scorer:
             if not self.words.keys() >= words:
                 self.learn(words)
         find = self.words.__getitem__
-        best = np.array([best_window(np.fromiter(map(find, t), float, len(t)), self.window)[0] for t in split])
-        return 1 / (1 + np.exp(-np.clip(self.slope * (best + self.bias) + self.shift, -50, 50)))
+        seen = np.array([features(np.fromiter(map(find, t), float, len(t))) for t in split])
+        return 1 / (1 + np.exp(-np.clip(seen @ self.slopes + self.shift, -50, 50)))
 
 
-def scores(docs: DataFrame, model, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
+def scores(docs: DataFrame, model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(id, score)`` of every whole text."""
     schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), T.StructField("score", T.DoubleType())])
     texts = text_rows(docs, id_col, text_col)
@@ -208,7 +225,7 @@ def scores(docs: DataFrame, model, id_col: str = "doc_id", text_col: str = "text
     shared = docs.sparkSession.sparkContext.broadcast({k: bytes(v) if k == "grams" else v for k, v in model.asDict().items()})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Scorer(shared.value, window)
+        own = Scorer(shared.value)
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
                 part = whole.slice(at, 512)

@@ -78,7 +78,7 @@ def write_pages(pages: DataFrame, folder: str, least_bytes: int = LEAST_BYTES, i
             for page, url, payload, digest, refers_to in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if out is None:
                     system.create_dir(place, recursive=True)
-                    out = system.open_output_stream(path)
+                    out = system.open_output_stream(path, compression=None)
                 raw = record(page, url, payload, refers_to, digest, len(payload))
                 out.write(raw)
                 size, records = size + len(raw), records + 1
@@ -111,19 +111,22 @@ def starts(data: bytes, first: int, last: int) -> Iterator[int]:
 def scan(handle, size: int, begin: int, end: int, chunk: int = 1 << 16) -> Iterator[tuple[int, bytes]]:
     """Records that start in [begin, end) of an open file: (offset, uncompressed bytes)."""
     handle.seek(begin)
-    own = handle.read(min(size, end + len(MAGIC) - 1) - begin)
+    own = handle.read(min(size, end + chunk) - begin)  # enough behind the range to see a header that starts in it
     done = 0
     for at in starts(own, 0, end - begin):
         if at < done:
             continue
         inflate = zlib.decompressobj(31)
         try:
-            parts = [inflate.decompress(own[at:], 1 << 12)]
+            parts = [inflate.decompress(own[at : at + chunk], 1 << 10)]
             if not parts[0].startswith(b"WARC/"):
                 continue
-            fed = own[at:]
+            fed = at + chunk  # what lies behind it has not been given to the decoder
             parts.append(inflate.decompress(inflate.unconsumed_tail))
-            place = begin + len(own)
+            while not inflate.eof and fed < len(own):
+                parts.append(inflate.decompress(own[fed : fed + chunk]))
+                fed += chunk
+            fed, place = min(fed, len(own)), begin + len(own)
             while not inflate.eof and place < size:
                 handle.seek(place)
                 more = handle.read(chunk)
@@ -133,8 +136,7 @@ def scan(handle, size: int, begin: int, end: int, chunk: int = 1 << 16) -> Itera
                 continue
         except zlib.error:
             continue
-        done = max(at + 1, len(own) - len(inflate.unused_data)) if place == begin + len(own) else len(own)
-        del fed
+        done = max(at + 1, fed - len(inflate.unused_data)) if place == begin + len(own) else len(own)
         yield begin + at, b"".join(parts)
 
 
