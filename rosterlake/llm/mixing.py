@@ -85,11 +85,19 @@ def draw(id_: Column) -> Column:
     return F.conv(F.substring(F.md5(id_.cast("string")), 1, 12), 16, 10).cast("double") / float(1 << 48)
 
 
-def mix(docs: DataFrame, targets: dict[str, DataFrame] | None = None, budget: float = BUDGET, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang") -> DataFrame:
-    """``(id, source, lang, topic, tokens, probability)`` of the documents drawn."""
+def chosen(docs: DataFrame, targets: dict[str, DataFrame] | None = None, budget: float = BUDGET, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang") -> DataFrame:
+    """The rows of ``docs`` that are drawn, all columns as they are, with ``_topic, _tokens, _probability`` added."""
     rows = weighted(docs, id_col, text_col, source_col, lang_col)
     cells = keep(rows.groupBy(*DIMENSIONS).agg(F.sum("tokens").alias("tokens")))
-    fitted = keep(rake(cells, targets, budget=budget).select(*DIMENSIONS, "probability"))
+    fitted = keep(rake(cells, targets, budget=budget)).select(F.col("source").alias("_source"), F.col("lang").alias("_lang"), F.col("topic").alias("_topic"), F.col("probability").alias("_probability"))
     small = fitted.count() <= ONE_TASK  # rows of a few short strings: a few MB at most
-    drawn = rows.join(F.broadcast(fitted) if small else fitted.hint("merge"), list(DIMENSIONS))
-    return drawn.where((draw(F.col("id")) < F.col("probability")) & F.col("id").isNotNull()).select("id", *DIMENSIONS, "tokens", "probability")
+    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
+    marked = docs.select("*", F.coalesce(F.col(f"`{source_col}`"), F.lit("")).alias("_source"), F.coalesce(F.col(f"`{lang_col}`"), F.lit("")).alias("_lang"), topic_of(text).alias("_topic"), tokens_of(text).alias("_tokens"))
+    drawn = marked.join(F.broadcast(fitted) if small else fitted.hint("merge"), ["_source", "_lang", "_topic"])
+    return drawn.where((draw(F.col(f"`{id_col}`")) < F.col("_probability")) & F.col(f"`{id_col}`").isNotNull()).select(*[F.col(f"`{c}`") for c in docs.columns], "_topic", "_tokens", "_probability")
+
+
+def mix(docs: DataFrame, targets: dict[str, DataFrame] | None = None, budget: float = BUDGET, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang") -> DataFrame:
+    """``(id, source, lang, topic, tokens, probability)`` of the documents drawn."""
+    drawn = chosen(docs, targets, budget, id_col, text_col, source_col, lang_col)
+    return drawn.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{source_col}`"), F.lit("")).alias("source"), F.coalesce(F.col(f"`{lang_col}`"), F.lit("")).alias("lang"), F.col("_topic").alias("topic"), F.col("_tokens").alias("tokens"), F.col("_probability").alias("probability"))

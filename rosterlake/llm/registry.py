@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -89,8 +88,14 @@ def op10_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "start_word", "end_word", F.col("firsts").alias("first_doc_ids"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_best_fit_packing, op2_merkle_fingerprints, op3_source_mixing, op4_token_counts, op5_toxicity, op6_simhash_groups, op7_itq_links, op8_warc, op9_kneser_ney_quality, op10_repeated_passages]
+    found = [op1_best_fit_packing, op2_merkle_fingerprints, op3_source_mixing, op4_token_counts, op5_toxicity, op6_simhash_groups, op7_itq_links, op8_warc, op9_kneser_ney_quality, op10_repeated_passages, pipeline]
     return {f.__name__: f for f in found}
 
 

@@ -28,9 +28,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import keep, map_batches, text_rows
+from .common import keep, text_rows
 
-ROWS, DIM, WINDOW, SAMPLE, STEPS, ROUNDS, WINDOWS = 1 << 16, 6, 12, 3000, 40, 3, 12
+ROWS, DIM, WINDOW, SAMPLE, STEPS, ROUNDS, WINDOWS = 1 << 16, 4, 12, 3000, 60, 3, 8
 THRESHOLD = 0.3
 WORD = re.compile(r"\S+")
 
@@ -153,7 +153,7 @@ def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, steps: int = 60)
     """Slopes and intercept by weighted, regularised Newton steps."""
     scale = np.maximum(1e-9, x.std(axis=0))
     z, w = np.c_[x / scale, np.ones(len(x))], np.zeros(x.shape[1] + 1)
-    ridge = np.diag([1.0] * x.shape[1] + [1e-3])
+    ridge = np.diag([0.1] * x.shape[1] + [1e-3])
     for _ in range(steps):
         p = 1 / (1 + np.exp(-np.clip(z @ w, -50, 50)))
         step = np.linalg.solve((z * (weight * p * (1 - p))[:, None]).T @ z + ridge, z.T @ (weight * (p - y)) + ridge @ w)
@@ -234,4 +234,18 @@ def scores(docs: DataFrame, model, id_col: str = "doc_id", text_col: str = "text
     return texts.mapInArrow(run, schema)
 
 
-__all__ = ["THRESHOLD", "map_batches", "scores", "train"]
+def without_toxic(docs: DataFrame, model, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose whole text scores below the threshold, all columns as they are; one pass, no shuffle."""
+    if model is None:
+        return docs
+    shared = docs.sparkSession.sparkContext.broadcast({k: bytes(v) if k == "grams" else v for k, v in model.asDict().items()})
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = Scorer(shared.value)
+        for whole in batches:
+            for begin in range(0, whole.num_rows, 512):
+                part = whole.slice(begin, 512)
+                yield part.filter(pa.array(own.batch([t or "" for t in part.column(at).to_pylist()]) < threshold))
+
+    return docs.mapInArrow(run, docs.schema)
