@@ -9,12 +9,14 @@ agree there are extended word by word to the left and right. Each run of ``lengt
 earlier place (by id, then position) holds too is repeated, and repeated runs that touch are joined,
 which gives the same words as comparing all runs of ``length`` words in the corpus.
 
-Work is linear in the suffixes, whatever the size of a group of copies: no pairs are formed. Prefixes
-shared by very many suffixes are not gathered in one task: their runs are found by partial aggregation.
+Work is linear in the suffixes, whatever the size of a group of copies: no pairs are formed. A prefix
+that very many suffixes share (as a sample of texts shows, which decides on the dealing only) is dealt
+over several tasks by text; each finds what repeats in its part, and the first places of the runs, one
+for each run and part, are compared in a second, small aggregation.
 
 Words are split at white space and compared by hashes (prefixes by 64 bits, the words around a prefix
 by 15 bits each). Defined results: null and empty texts, and texts shorter than ``length`` words,
-repeat nothing; of copies the one with the smallest id counts as first; rows with the same id and text
+repeat nothing; of copies the one with the smallest id counts as first; ``firsts`` lists texts that hold a run at an earlier place; rows with the same id and text
 are one text; a null id repeats nothing; an empty table gives an empty result.
 """
 
@@ -32,7 +34,7 @@ from pyspark.sql import types as T
 
 from .common import keep, text_rows
 
-LENGTH, WINDOW, GRAM, HOT = 50, 20, 8, 50_000
+LENGTH, WINDOW, GRAM, HOT, PARTS, SAMPLE = 50, 20, 8, 50_000, 64, 32
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -73,53 +75,68 @@ def runs(h: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def anchors(h: np.ndarray, length: int, window: int, gram: int) -> np.ndarray:
-    """Minimiser positions of a text of at least ``length`` words, from which length - window + 1 words are left."""
+def sliding(op, x: np.ndarray, n: int) -> np.ndarray:
+    """np.minimum or np.maximum over every n values in a row, by doubling."""
+    size = 1
+    while 2 * size <= n:
+        x = op(x[:-size], x[size:])
+        size *= 2
+    return op(x[: len(x) - (n - size)], x[n - size :]) if n > size else x
+
+
+def anchors(h: np.ndarray, lengths: np.ndarray, length: int, window: int, gram: int) -> np.ndarray:
+    """Minimiser positions in texts that stand one behind the other, from which length - window + 1 words are left in the text."""
     g = runs(h, gram)
-    least = np.lib.stride_tricks.sliding_window_view(g, window).argmin(axis=1)
-    at = np.unique(least + np.arange(len(least)))
-    return at[at + (length - window + 1) <= len(h)]
+    least = sliding(np.minimum, g, window)
+    ends = np.cumsum(lengths)
+    left = np.repeat(ends, lengths) - np.arange(len(h))  # words from here to the end of the text
+    whole = np.where(left[: len(least)] >= window + gram - 1, least, np.uint64(0))  # windows within one text
+    padded = np.concatenate([np.zeros(window - 1, np.uint64), whole, np.zeros(window - 1, np.uint64)])
+    most = sliding(np.maximum, padded, window)  # of the windows that hold a position
+    return np.flatnonzero((most[: len(g)] == g) & (left[: len(g)] >= length - window + 1) & (g != 0))
 
 
-def suffixes(texts: DataFrame, length: int, window: int, gram: int, keys_only: bool = False) -> DataFrame:
-    """The retained suffixes of ``(id, text)``: prefix hash, id, position, and the words around as short hashes."""
+def suffixes(texts: DataFrame, length: int, window: int, gram: int, keys_only: bool = False, hot: list[int] | None = None) -> DataFrame:
+    """The retained suffixes of ``(id, text)``: prefix hash, part of a hot prefix, id, position, and the words around as short hashes."""
     prefix, side = length - window + 1, window - 1
-    schema = T.StructType([T.StructField("key", T.LongType())]) if keys_only else T.StructType([T.StructField("key", T.LongType()), T.StructField("id", T.LongType()), T.StructField("pos", T.IntegerType()), T.StructField("around", T.BinaryType())])
+    schema = "key long" if keys_only else "key long, part int, id long, pos int, around binary"
+    busy = np.sort(np.array(hot or [], np.int64))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for whole in batches:
-            for start in range(0, whole.num_rows, 512):
-                batch = whole.slice(start, 512)
-                keys, ids, places, around = [], [], [], []
-                for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                    words = text.split()
-                    if len(words) < length or doc is None:
-                        continue
-                    h = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
-                    at = anchors(h, length, window, gram)
-                    keys.append(runs(h, prefix)[at].view(np.int64))
-                    if keys_only:
-                        continue
-                    ids.append(np.full(len(at), doc, np.int64))
-                    places.append(at.astype(np.int32))
-                    # 0 stands for no word
-                    short = np.zeros(len(h) + 2 * side, np.uint16)
-                    short[side : side + len(h)] = (h >> np.uint64(48)).astype(np.uint16) | np.uint16(1)
-                    left = short[at[:, None] + np.arange(side - 1, -1, -1)]
-                    right = short[at[:, None] + side + prefix + np.arange(side)]
-                    around += map(np.ndarray.tobytes, np.ascontiguousarray(np.hstack([left, right])))
-                if keys and keys_only:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys))], names=["key"])
-                elif keys:
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(ids)), pa.array(np.concatenate(places)), pa.array(around, pa.binary())], names=schema.names)
+            for start in range(0, whole.num_rows, 256):
+                batch = whole.slice(start, 256)
+                split = [(doc, words) for doc, words in zip(batch.column(0).to_pylist(), map(str.split, batch.column(1).to_pylist()), strict=True) if doc is not None and len(words) >= length]
+                if not split:
+                    continue
+                lengths = np.array([len(w) for _, w in split])
+                h = np.fromiter((hashes[w] for _, words in split for w in words), np.uint64, int(lengths.sum()))
+                at = anchors(h, lengths, length, window, gram)
+                key = runs(h, prefix)[at].view(np.int64)
+                if keys_only:
+                    yield pa.RecordBatch.from_arrays([pa.array(key)], names=["key"])
+                    continue
+                begins = np.cumsum(lengths) - lengths
+                own = np.searchsorted(begins, at, side="right") - 1
+                ids = np.array([d for d, _ in split], np.int64)[own]
+                part = np.where(np.isin(key, busy), mix(ids.view(np.uint64)) % np.uint64(PARTS) + np.uint64(1), np.uint64(0)).astype(np.int32) if len(busy) else np.zeros(len(at), np.int32)
+                # 0 stands for no word: texts lie apart by as many zeros as words are looked at
+                short = np.zeros(len(h) + (len(split) + 1) * side, np.uint16)
+                gap = (np.repeat(np.arange(len(split)), lengths) + 1) * side
+                short[np.arange(len(h)) + gap] = (h >> np.uint64(48)).astype(np.uint16) | np.uint16(1)
+                place = (at + (own + 1) * side)[:, None]
+                around = np.hstack([short[place - np.arange(1, side + 1)], short[place + prefix + np.arange(side)]])
+                offsets = np.arange(len(at) + 1, dtype=np.int32) * 4 * side
+                binary = pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(around).tobytes())])
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(part), pa.array(ids), pa.array((at - begins[own]).astype(np.int32)), binary], names=["key", "part", "id", "pos", "around"])
 
     return texts.mapInArrow(run, schema)
 
 
-def windows(around: list[bytes], side: int) -> tuple[np.ndarray, np.ndarray]:
+def windows(around: pa.Array, side: int) -> tuple[np.ndarray, np.ndarray]:
     """For each suffix the hashes of its side + 1 runs, by words to the left (0 to side), and which exist."""
-    words = np.frombuffer(b"".join(around), np.uint16).reshape(-1, 2 * side)
+    words = np.frombuffer(around.buffers()[2], np.uint16, len(around) * 2 * side).reshape(-1, 2 * side)
     left, right = words[:, :side].astype(np.uint64), words[:, side:].astype(np.uint64)
     n = len(words)
 
@@ -135,8 +152,9 @@ def windows(around: list[bytes], side: int) -> tuple[np.ndarray, np.ndarray]:
     return mix(a[:, k] * _MIX + b[:, side - k] + k.astype(np.uint64)), a_ok[:, k] & b_ok[:, side - k]
 
 
-#: Runs of a text that start at words low to high (both included) are repeated; first: a text that holds one of them first.
-RUN = "id long, low int, high int, first long"
+#: Runs of a text that start at words low to high (both included) and are repeated; first: a text that holds one of
+#: them earlier. With a run: the first place of that run in one part of a hot prefix, to be compared with other parts.
+RUN = "id long, low int, high int, first long, run long"
 
 
 def _stretches(ids: np.ndarray, pos: np.ndarray, firsts: np.ndarray) -> pa.RecordBatch:
@@ -150,39 +168,43 @@ def _stretches(ids: np.ndarray, pos: np.ndarray, firsts: np.ndarray) -> pa.Recor
     row, low_k, high_k = begin // (width + 1), begin % (width + 1), end % (width + 1) - 1
     first = firsts[row, low_k] if len(row) else np.empty(0, np.int64)
     at = pos[row].astype(np.int64)
-    return pa.RecordBatch.from_arrays([pa.array(ids[row], pa.int64()), pa.array((at - high_k).astype(np.int32)), pa.array((at - low_k).astype(np.int32)), pa.array(first, pa.int64())], names=["id", "low", "high", "first"])
+    return pa.RecordBatch.from_arrays([pa.array(ids[row], pa.int64()), pa.array((at - high_k).astype(np.int32)), pa.array((at - low_k).astype(np.int32)), pa.array(first, pa.int64()), pa.nulls(len(row), pa.int64())], names=["id", "low", "high", "first", "run"])
 
 
-def _cold(grouped: DataFrame, side: int) -> DataFrame:
+def _compare(grouped: DataFrame, side: int) -> DataFrame:
     """Repeated runs of suffixes that lie sorted by key, id and position: neighbours that share the prefix are extended."""
 
-    def find(key: np.ndarray, ids: np.ndarray, pos: np.ndarray, around: pa.Array) -> pa.RecordBatch:
+    def find(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        key, part = t.column("key").to_numpy(), t.column("part").to_numpy()
         same = key[1:] == key[:-1]
-        at = np.flatnonzero(np.r_[False, same] | np.r_[same, False])
-        key, ids, pos = key[at], ids[at], pos[at]
-        firsts = np.full((len(at), side + 1), -1, np.int64)
-        if len(at):
-            hashes, ok = windows(around.take(pa.array(at)).to_pylist(), side)
-            for k in range(side + 1):
-                rows = np.flatnonzero(ok[:, k])
-                if not len(rows):
-                    continue
-                run = mix(key[rows].view(np.uint64) * _MIX + hashes[rows, k])
-                order = np.argsort(run, kind="stable")  # earlier places stay first
-                new = np.r_[True, run[order][1:] != run[order][:-1]]
-                head = order[np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))]
-                a, b = rows[order], rows[head]
-                again = ~new & ((ids[a] != ids[b]) | (pos[a] != pos[b]))
-                firsts[a[again], k] = ids[b[again]]
-        return _stretches(ids, pos, firsts)
+        at = np.flatnonzero(np.r_[False, same] | np.r_[same, False] | (part > 0))
+        if not len(at):
+            return
+        key, part, ids, pos = key[at], part[at], t.column("id").to_numpy()[at], t.column("pos").to_numpy()[at]
+        hashes, ok = windows(t.column("around").combine_chunks().take(pa.array(at)), side)
+        firsts, heads = np.full((len(at), side + 1), -1, np.int64), []
+        for k in range(side + 1):
+            rows = np.flatnonzero(ok[:, k])
+            if not len(rows):
+                continue
+            run = mix(key[rows].view(np.uint64) * _MIX + hashes[rows, k])
+            order = np.argsort(run, kind="stable")  # earlier places stay first
+            new = np.r_[True, run[order][1:] != run[order][:-1]]
+            head = order[np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))]
+            a, b = rows[order], rows[head]
+            again = ~new & ((ids[a] != ids[b]) | (pos[a] != pos[b]))
+            firsts[a[again], k] = ids[b[again]]
+            lead = new & (part[a] > 0)
+            heads.append((ids[a[lead]], pos[a[lead]] - k, run[order[lead]].view(np.int64)))
+        yield _stretches(ids, pos, firsts)
+        if (part > 0).any():
+            i, start, run = (np.concatenate(x) for x in zip(*heads, strict=True))
+            start = pa.array(start.astype(np.int32))
+            yield pa.RecordBatch.from_arrays([pa.array(i, pa.int64()), start, start, pa.array(i, pa.int64()), pa.array(run, pa.int64())], names=["id", "low", "high", "first", "run"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         rows = 0
-
-        def columns(t: pa.Table):
-            return t.column("key").to_numpy(), t.column("id").to_numpy(), t.column("pos").to_numpy(), t.column("around").combine_chunks()
-
         for batch in batches:
             held.append(batch)
             rows += batch.num_rows
@@ -191,27 +213,12 @@ def _cold(grouped: DataFrame, side: int) -> DataFrame:
                 key = t.column("key").to_numpy()
                 cut = int(np.searchsorted(key, key[-1]))
                 if cut:
-                    yield find(*columns(t.slice(0, cut)))
+                    yield from find(t.slice(0, cut))
                 held, rows = t.slice(cut).to_batches(), t.num_rows - cut
         if rows:
-            yield find(*columns(pa.Table.from_batches(held)))
-
-    return grouped.select("key", "id", "pos", "around").mapInArrow(run, RUN)
-
-
-def _hot(rows: DataFrame, side: int) -> DataFrame:
-    """The same for suffixes whose prefix very many share: every run meets its first place in a partial aggregate."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            hashes, ok = windows(batch.column("around").to_pylist(), side)
-            at, k = np.nonzero(ok)
-            key = batch.column("key").to_numpy()
-            yield pa.RecordBatch.from_arrays([pa.array(mix(key[at].view(np.uint64) * _MIX + hashes[at, k]).view(np.int64)), pa.array(batch.column("id").to_numpy()[at]), pa.array((batch.column("pos").to_numpy()[at] - k).astype(np.int32))], names=["run", "id", "start"])
+            yield from find(pa.Table.from_batches(held))
 
-    spread = rows.select("key", "id", "pos", "around").mapInArrow(run, "run long, id long, start int")
-    firsts = spread.groupBy("run").agg(F.min(F.struct("id", "start")).alias("f"), F.count("*").alias("n")).where("n > 1")
-    return spread.join(firsts.hint("merge"), "run").where("struct(id, start) > f").select("id", F.col("start").alias("low"), F.col("start").alias("high"), F.col("f.id").alias("first"))
+    return grouped.select("key", "part", "id", "pos", "around").mapInArrow(run, RUN)
 
 
 def repeated_passages(docs: DataFrame, length: int = LENGTH, window: int = WINDOW, gram: int = GRAM, hot: int = HOT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -223,18 +230,16 @@ def repeated_passages(docs: DataFrame, length: int = LENGTH, window: int = WINDO
         raise ValueError("gram + window - 1 words must fit into length, and the prefix must hold a gram")
     texts = text_rows(docs, id_col, text_col).withColumn("id", F.col("id").cast("long"))
     side = window - 1
-    counts = suffixes(texts, length, window, gram, keys_only=True).groupBy("key").agg(F.count("*").alias("n"))
-    heavy = keep(counts.where(F.col("n") > hot))
-    while heavy.count() > 100_000:  # what is broadcast stays small
-        hot *= 10
-        heavy = keep(heavy.where(F.col("n") > hot))
-    heavy = heavy.select("key")
-    found = suffixes(texts, length, window, gram)
-    if heavy.isEmpty():
-        hits = _cold(found.repartition("key").sortWithinPartitions("key", "id", "pos"), side)
-    else:
-        cold = found.join(F.broadcast(heavy), "key", "left_anti")
-        hits = _cold(cold.repartition("key").sortWithinPartitions("key", "id", "pos"), side).unionByName(_hot(found.join(F.broadcast(heavy), "key", "left_semi"), side))
+    sampled = texts.where(F.pmod(F.xxhash64("id"), F.lit(SAMPLE)) == 0)
+    counts = keep(suffixes(sampled, length, window, gram, keys_only=True).groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > max(1, hot // SAMPLE)))
+    busy = [r["key"] for r in counts.orderBy(F.desc("n"), "key").limit(10_000).collect()]  # at most 10,000 numbers
+    found = suffixes(texts, length, window, gram, hot=busy)
+    compared = keep(_compare(found.repartition("key", "part").sortWithinPartitions("key", "id", "pos"), side))
+    hits = compared.where("run is null").drop("run")
+    if busy:
+        leads = compared.where("run is not null")
+        earliest = leads.groupBy("run").agg(F.min(F.struct("id", "low")).alias("f"), F.count("*").alias("n")).where("n > 1").select("run", "f")
+        hits = hits.unionByName(leads.join(earliest.hint("merge"), "run").where("struct(id, low) > f").select("id", "low", "high", F.col("f.id").alias("first")))
     order = Window.partitionBy("id").orderBy("low", "high")
     reach = F.max("high").over(order.rowsBetween(Window.unboundedPreceding, -1))
     groups = hits.withColumn("new", F.when(F.col("low") <= reach + length, 0).otherwise(1)).withColumn("g", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
