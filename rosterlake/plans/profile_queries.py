@@ -148,10 +148,11 @@ def contact_clean(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", text.first_email("text").alias("contact"))
 
 
-@query("""WITH q AS (SELECT n_nationkey, r_name || '领域下的' || n_name || '方向顶级专家信息' AS q, r_name, n_name FROM nation JOIN region ON n_regionkey = r_regionkey) SELECT n_nationkey, r_name AS domain, n_name AS subdomain FROM q""")
+@query("""SELECT c_custkey, CASE WHEN c_custkey % 10 = 0 THEN c_name ELSE c_mktsegment END AS domain, CASE WHEN c_custkey % 10 = 0 THEN '暂无公开信息' ELSE c_name END AS subdomain FROM customer""")
 def query_parts(t: Tables) -> DataFrame:
-    asked = t.nation.join(F.broadcast(t.region), F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", F.concat("r_name", F.lit("领域下的"), "n_name", F.lit("方向顶级专家信息")).alias("q"))
-    return asked.select("n_nationkey", text.query_parts("q").alias("p")).select("n_nationkey", "p.domain", "p.subdomain")
+    said = F.concat("c_mktsegment", F.lit("领域下的"), "c_name", F.lit("方向顶级专家信息"))
+    asked = t.customer.select("c_custkey", F.when(F.col("c_custkey") % 10 == 0, F.col("c_name")).otherwise(said).alias("q"))
+    return asked.select("c_custkey", text.query_parts("q").alias("p")).select("c_custkey", "p.domain", "p.subdomain")
 
 
 @query("""WITH w AS (SELECT p_partkey, list_filter(string_split(trim(regexp_replace(lower(p_name), '[^a-z]+', ' ', 'g')), ' '), lambda x: x <> '') AS l, p_name FROM part)
