@@ -180,7 +180,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str
         pdf = pdf.sort_values("drawn")
         toxic = pdf["toxic"].to_numpy(bool)
         if not toxic.any() or toxic.all():
-            return pd.DataFrame({"grams": [], "slopes": [], "shift": []})
+            return pd.DataFrame({"grams": pd.Series(dtype=object), "slopes": pd.Series(dtype=object), "shift": pd.Series(dtype=float)})
         gram, slopes, shift = Trainer(pdf["text"].tolist(), toxic, rows, dim, window).train(STEPS, ROUNDS, WINDOWS, (clean / (~toxic).sum(), bad / toxic.sum()))
         return pd.DataFrame({"grams": [gram.astype("<f4").tobytes()], "slopes": [slopes.tolist()], "shift": [shift]})
 
