@@ -167,3 +167,23 @@ def hits(c: Column | str, words: tuple[str, ...] | list[str]) -> Column:
     """The words that a text holds, in the order of the list."""
     low = F.lower(string(c))
     return F.array_compact(F.array(*[F.when(F.contains(low, F.lit(w.lower())), F.lit(w)) for w in dict.fromkeys(words)]))
+
+
+#: Words that institutions are known by.
+INSTITUTION = "(?i)大学|学院|研究所|科学院|实验室|中心|公司|University|Institute|Academy"
+
+
+def split_collaboration(c: Column | str) -> Column:
+    """Struct (scholars, units) of a collaboration text: ``label: name (units)`` parts, labels and sources dropped."""
+    parts = F.filter(F.transform(F.split(string(c), r"[；;]\s*"), lambda p: F.trim(p)), lambda p: p != "")
+    bare = F.transform(parts, lambda p: F.trim(F.element_at(F.split(F.regexp_replace(p, r"^(?:强合作|中合作|弱合作|合作线索|合作学者)\s*[:：]\s*", ""), r"[，,]\s*(?:合作依据|来源|证据)\s*[:：]"), 1)))
+    plain = F.transform(bare, lambda p: F.regexp_replace(p, r"(?i)\((?:CN|CHN|HK|HKG|MO|MAC|TW|TWN)\)", ""))
+    pair = r"([^，,、；;（）()：:]{2,80})[（(]([^）)]+)[）)]"
+    names = F.flatten(F.transform(plain, lambda p: F.regexp_extract_all(p, F.lit(pair), F.lit(1))))
+    inside = F.flatten(F.transform(plain, lambda p: F.flatten(F.transform(F.regexp_extract_all(p, F.lit(pair), F.lit(2)), lambda x: F.split(x, r"[，,、]\s*")))))
+    alone = F.filter(bare, lambda p: ~p.rlike(r"[（(]") & p.rlike(INSTITUTION))
+    scholars = F.filter(F.transform(names, lambda n: F.regexp_replace(n, r"^[ ，,、]+|[ ，,、]+$", "")), lambda n: (n != "") & ~n.rlike(INSTITUTION))
+    units = F.concat(F.filter(F.transform(inside, lambda u: F.trim(u)), lambda u: u.rlike(INSTITUTION)), alone)
+    missing = clean_text(c) == rules.NO_INFORMATION
+    none = F.array().cast("array<string>")
+    return F.struct(F.when(missing, none).otherwise(F.array_distinct(scholars)).alias("scholars"), F.when(missing, none).otherwise(F.array_distinct(units)).alias("units"))
