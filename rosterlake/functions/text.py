@@ -73,7 +73,7 @@ def first_email(c: Column | str, fallback: str = rules.NO_INFORMATION) -> Column
 
 
 def homepage_or(c: Column | str, fallback: str = rules.NO_INFORMATION) -> Column:
-    return F.when(string(c).rlike("https?://|暂无公开信息"), c).otherwise(F.lit(fallback))
+    return F.when(string(c).rlike("https?://|暂无公开信息"), F.col(c) if isinstance(c, str) else c).otherwise(F.lit(fallback))
 
 
 def query_parts(c: Column | str, pattern: str = "(.+?)领域下的(.+?)方向顶级专家信息") -> Column:
@@ -124,7 +124,7 @@ def html_text(c: Column | str) -> Column:
     for name, char in ENTITIES:
         text = F.replace(text, F.lit(name), F.lit(char))
     text = F.regexp_replace(text, r"[ \t\r\f]+", " ")
-    return F.trim(F.regexp_replace(text, r"\s*\n\s*", "\n"))
+    return F.regexp_replace(F.regexp_replace(text, r"\s*\n\s*", "\n"), r"^\s+|\s+$", "")
 
 
 def segments(c: Column | str, ends: str = "。；;.!?") -> Column:

@@ -15,15 +15,15 @@ def _any(text: Column, words: tuple[str, ...]) -> Column:
     return reduce(lambda a, w: a | F.contains(text, F.lit(w)), words, F.lit(False))
 
 
-def error_source(message: Column | str, stage: Column | str = F.lit(""), sources: tuple = rules.ERROR_SOURCES, other: str = rules.ERROR_SOURCE_OTHER) -> Column:
-    text = F.lower(F.concat_ws(" ", string(stage), string(message)))
+def error_source(message: Column | str, stage: Column | str | None = None, sources: tuple = rules.ERROR_SOURCES, other: str = rules.ERROR_SOURCE_OTHER) -> Column:
+    text = F.lower(F.concat_ws(" ", F.lit("") if stage is None else string(stage), string(message)))
     out = F.lit(other)
     for words, name in reversed(sources):
         out = F.when(_any(text, words), F.lit(name)).otherwise(out)
     return out
 
 
-def diagnose(message: Column | str, stage: Column | str = F.lit(""), sources: tuple = rules.ERROR_SOURCES, causes: tuple = rules.ERROR_CAUSES, other: str = rules.ERROR_CAUSE_OTHER, other_source: str = rules.ERROR_SOURCE_OTHER) -> Column:
+def diagnose(message: Column | str, stage: Column | str | None = None, sources: tuple = rules.ERROR_SOURCES, causes: tuple = rules.ERROR_CAUSES, other: str = rules.ERROR_CAUSE_OTHER, other_source: str = rules.ERROR_SOURCE_OTHER) -> Column:
     """Struct (source, cause, detail, summary) of an error message; the first rule that fits counts."""
     detail = redact(F.when(F.trim(string(message)) == "", F.lit("未知错误")).otherwise(string(message)))
     low = F.lower(detail)
