@@ -157,16 +157,25 @@ def has_english_residue(c: Column | str) -> Column:
     return (words >= 4) | ((words >= 2) & (F.when(meant > 0, latin / meant).otherwise(0.0) >= 0.35))
 
 
+def one_of(words: tuple[str, ...] | list[str]) -> str:
+    """A pattern for any of the words, taken literally."""
+    return "|".join(f"\\Q{w}\\E" for w in words) or "(?!)"
+
+
+def word_array(words: tuple[str, ...] | list[str]) -> Column:
+    """A constant array of words."""
+    return F.split(F.lit("\x01".join(words)), "\x01")
+
+
 def any_contains(c: Column | str, words: tuple[str, ...] | list[str]) -> Column:
     """Whether a text holds one of the words, in any case."""
-    low = F.lower(string(c))
-    return reduce(lambda a, b: a | b, [F.contains(low, F.lit(w.lower())) for w in words], F.lit(False))
+    return F.lower(string(c)).rlike(one_of([w.lower() for w in words]))
 
 
 def hits(c: Column | str, words: tuple[str, ...] | list[str]) -> Column:
     """The words that a text holds, in the order of the list."""
     low = F.lower(string(c))
-    return F.array_compact(F.array(*[F.when(F.contains(low, F.lit(w.lower())), F.lit(w)) for w in dict.fromkeys(words)]))
+    return F.filter(word_array(list(dict.fromkeys(words))), lambda w: F.contains(low, F.lower(w)))
 
 
 #: Words that institutions are known by.

@@ -81,19 +81,34 @@ def homepage_status(homepage: str, method: str, failure: str, status: str) -> Co
     return F.struct(new.alias("status"), kept.alias("method"))
 
 
-def verify_name(name: str, sources: list[tuple[str, str, str]], page_status: str) -> Column:
-    """Struct (verdict, reasons). sources: (label, name column, id column)."""
+def with_name_check(rows: DataFrame, name: str, sources: list[tuple[str, str, str]], page_status: str) -> DataFrame:
+    """Adds ``name_check`` and ``name_check_why``. sources: (label, name column, id column); names that fit, ids and a page that was reached count."""
+    out = rows
+    for k, (_, other, key) in enumerate(sources):
+        out = out.withColumns({f"_n{k}": public_value(other), f"_i{k}": public_value(key)})
+    out = out.withColumns({f"_f{k}": (F.col(f"_n{k}") == "") | same_person(name, f"_n{k}") for k in range(len(sources))})
     good, bad = [], []
-    for label, other, key in sources:
-        n, k = public_value(other), public_value(key)
-        there = (n != "") | (k != "")
-        fits = (n == "") | same_person(name, n)
+    for k, (label, _, _) in enumerate(sources):
+        n = F.col(f"_n{k}")
+        there = (n != "") | (F.col(f"_i{k}") != "")
         shown = F.when(n == "", F.lit("")).otherwise(F.concat(F.lit("("), n, F.lit(")")))
-        good.append(F.when(there & fits, F.concat(F.lit(f"{label}作者记录"), shown)))
-        bad.append(F.when(there & ~fits, F.concat(F.lit(f"{label}疑似错配"), shown)))
+        good.append(F.when(there & F.col(f"_f{k}"), F.concat(F.lit(f"{label}作者记录"), shown)))
+        bad.append(F.when(there & ~F.col(f"_f{k}"), F.concat(F.lit(f"{label}疑似错配"), shown)))
     good.append(F.when(F.trim(string(page_status)) == "是", F.lit("专家个人主页访问成功")))
-    g, b = F.array_compact(F.array(*good)), F.array_compact(F.array(*bad))
+    out = out.withColumns({"_g": F.array_compact(F.array(*good)), "_b": F.array_compact(F.array(*bad))})
+    g, b = F.col("_g"), F.col("_b")
     verdict = F.when((F.size(b) == 0) & (F.size(g) >= 2), "已验证").otherwise("待复核")
     why = F.when(F.size(b) > 0, F.array_join(F.concat(b, g), "；")).when(F.size(g) >= 2, F.array_join(g, "；"))
     why = why.when(F.size(g) == 1, F.concat(F.lit("当前仅有单一验证来源："), F.array_join(g, "；"))).otherwise("未在 OpenAlex、Semantic Scholar 或可访问个人主页中完成姓名验证")
-    return F.struct(verdict.alias("verdict"), why.alias("why"))
+    drop = [f"_{c}{k}" for k in range(len(sources)) for c in "nif"]
+    return out.withColumns({"name_check": verdict, "name_check_why": why, "name_mismatch": F.size(b) > 0}).drop("_g", "_b", *drop)
+
+
+# Wording of a wrong match, and of relevance that is not shown.
+WRONG_MATCH = "疑似错配|姓名不一致|身份错配"
+NOT_RELEVANT = "直接关联证据不足|领域关联不足|与.+关联证据不足"
+
+
+def confident(why: str, texts: list[str], wrong: str = WRONG_MATCH, irrelevant: str = NOT_RELEVANT) -> Column:
+    """Neither a wrong match nor missing relevance is stated; what is only incomplete stays."""
+    return ~string(why).rlike(wrong) & ~F.concat_ws(" ", *[string(c) for c in texts]).rlike(irrelevant)

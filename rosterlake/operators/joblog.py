@@ -2,17 +2,15 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rosterlake.functions import rules
-from rosterlake.functions.text import redact, string
+from rosterlake.functions.text import one_of, redact, string
 
 
 def _any(text: Column, words: tuple[str, ...]) -> Column:
-    return reduce(lambda a, w: a | F.contains(text, F.lit(w)), words, F.lit(False))
+    return text.rlike(one_of(words))
 
 
 def error_source(message: Column | str, stage: Column | str | None = None, sources: tuple = rules.ERROR_SOURCES, other: str = rules.ERROR_SOURCE_OTHER) -> Column:

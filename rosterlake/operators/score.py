@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -34,10 +35,10 @@ def title_bonus(evidence: list[str], bonuses: tuple[tuple[str, int], ...] = rule
     """Struct (bonus, titles): the highest bonus, and the titles found without the generic one where a special one is."""
     text = F.concat_ws(" ", *[string(c) for c in evidence])
     found = hits(text, [k for k, _ in bonuses])
-    low = F.lower(text)
-    best = F.greatest(F.lit(0), *[F.when(F.contains(low, F.lit(k.lower())), b).otherwise(0) for k, b in bonuses])
+    worth = F.from_json(F.lit(json.dumps(dict(bonuses), ensure_ascii=False)), "map<string, int>")
+    best = F.coalesce(F.array_max(F.transform(found, lambda t: F.element_at(worth, t))), F.lit(0))
     special = F.exists(found, lambda t: t.endswith(generic) & (t != generic))
-    return F.struct(best.alias("bonus"), F.when(special, F.filter(found, lambda t: t != generic)).otherwise(found).alias("titles"))
+    return F.struct(best.alias("bonus"), F.filter(found, lambda t: ~special | (t != generic)).alias("titles"))
 
 
 def total_score(h: Column, citations: Column, i10: Column, bonus: Column) -> Column:

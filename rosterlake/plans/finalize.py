@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rosterlake.functions import rules
-from rosterlake.functions.text import first_email, homepage_or, string, subdomain_list
+from rosterlake.functions.text import first_email, homepage_or, subdomain_list
 from rosterlake.operators import filters, score
 from rosterlake.operators.merge import survivorship
 from rosterlake.operators.select import balanced_quota
@@ -51,9 +51,9 @@ def finalize(rows: DataFrame, query_text: str = "", keep_chinese: bool = False,
     out = merge_profiles(out, dedupe_key("name") if key is None else key)
     status = filters.homepage_status("homepage", "page_method", "page_error", "page_status")
     out = out.withColumn("_s", status).withColumns({"page_status": F.col("_s.status"), "page_method": F.col("_s.method")}).drop("_s")
-    check = filters.verify_name("name", [("OpenAlex", "oa_name", "oa_id"), ("Semantic Scholar", "s2_name", "s2_id")], "page_status")
-    out = out.withColumn("_v", check).withColumns({"name_check": F.col("_v.verdict"), "name_check_why": F.col("_v.why")}).drop("_v")
-    out = out.where(~string("name_check_why").rlike("不匹配|领域不符") & ~F.concat_ws(" ", "relevance", "basis").rlike("相关性不足|领域不符"))
+    out = filters.with_name_check(out, "name", [("OpenAlex", "oa_name", "oa_id"), ("Semantic Scholar", "s2_name", "s2_id")], "page_status")
+    # a mismatch is what the check's text would say; the flag keeps the filter short where it is pushed down
+    out = out.where(~F.col("name_mismatch") & filters.confident("relevance", ["org", "position", "relevance", "achievements"])).drop("name_mismatch")
     return score.with_scores(out).withColumn("subdomains", subdomain_list("subdomains_raw"))
 
 

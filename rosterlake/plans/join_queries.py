@@ -147,7 +147,8 @@ def verify_name(t: Tables) -> DataFrame:
         "name": F.lit("ada lovelace"), "oa_name": F.when(F.col("c_acctbal") > 0, "Ada M. Lovelace"), "oa_id": F.lit(None).cast("string"),
         "s2_name": F.lit(None).cast("string"), "s2_id": F.when(F.col("s_acctbal") > 0, F.col("s_name")), "page": F.lit("否"),
     })
-    return pairs.select("c_custkey", filters.verify_name("name", [("OpenAlex", "oa_name", "oa_id"), ("Semantic Scholar", "s2_name", "s2_id")], "page")["verdict"].alias("verdict"))
+    checked = filters.with_name_check(pairs, "name", [("OpenAlex", "oa_name", "oa_id"), ("Semantic Scholar", "s2_name", "s2_id")], "page")
+    return checked.select("c_custkey", F.col("name_check").alias("verdict"))
 
 
 @query("""SELECT doc_id, array_to_string(list_filter([CASE WHEN n_chars < 300 THEN 'no source' END, CASE WHEN contains(text, '@') AND NOT regexp_matches(text, '[\\p{L}\\p{N}_.+-]+@[\\p{L}\\p{N}_.-]+\\.[A-Za-z]{2,}') THEN 'bad e-mail' END, CASE WHEN regexp_matches(text, '(?i)idiot|moron') THEN 'risky wording' END], lambda x: x IS NOT NULL), ';') AS reasons FROM documents""")

@@ -180,7 +180,7 @@ def severe_gaps(t: Tables) -> DataFrame:
 @query("""SELECT d.doc_id FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id WHERE NOT coalesce(quality = 0, false) AND NOT regexp_matches(text, '(?i)not relevant|idiot')""")
 def low_confidence(t: Tables) -> DataFrame:
     joined = t.documents.join(t.labels, "doc_id", "left").withColumn("why", F.when(F.col("quality") == 0, "suspected mismatch"))
-    return joined.where(~text.string("why").rlike("mismatch") & ~text.string("text").rlike("(?i)not relevant|idiot")).select("doc_id")
+    return joined.where(filters.confident("why", ["text"], "mismatch", "(?i)not relevant|idiot")).select("doc_id")
 
 
 @query("""WITH w AS (SELECT p_partkey, p_brand, list_filter(string_split(lower(p_type), ' '), lambda x: length(x) >= 3 AND x NOT IN ('standard')) AS l FROM part),

@@ -63,9 +63,9 @@ def test_filters(spark):
 
 def test_verify_name(spark):
     df = spark.createDataFrame([("Ada Lovelace", "Ada Lovelace", "1", "Ada M. Lovelace", "2", ""), ("Ada Lovelace", "Bob King", "1", None, "2", "是"), ("Ada Lovelace", None, None, None, None, "")], "n string, a string, ai string, b string, bi string, page string")
-    got = [r[0] for r in df.select(filters.verify_name("n", [("OpenAlex", "a", "ai"), ("Semantic Scholar", "b", "bi")], "page")).collect()]
-    assert [g.verdict for g in got] == ["已验证", "待复核", "待复核"]
-    assert got[1].why == "OpenAlex疑似错配(Bob King)；Semantic Scholar作者记录；专家个人主页访问成功"
+    got = filters.with_name_check(df, "n", [("OpenAlex", "a", "ai"), ("Semantic Scholar", "b", "bi")], "page").collect()
+    assert [g.name_check for g in got] == ["已验证", "待复核", "待复核"]
+    assert got[1].name_check_why == "OpenAlex疑似错配(Bob King)；Semantic Scholar作者记录；专家个人主页访问成功"
 
 
 def test_joblog(spark):
