@@ -173,7 +173,8 @@ def scratch(t: Tables) -> str:
     import tempfile
 
     found = t.spark.conf.get("spark.checkpoint.dir", None)
-    if not found and not t.spark.sparkContext.master.startswith("local"):
+    master = t.spark.sparkContext.master
+    if not found and not (master == "local" or master.startswith("local[")):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     return (found or tempfile.mkdtemp(prefix="spark-rosterlake-")).rstrip("/")
 
