@@ -38,6 +38,20 @@ def text_rows(docs: DataFrame, id_col: str, text_col: str, *more: str) -> DataFr
     return docs.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"), *[F.col(f"`{c}`") for c in more])
 
 
+_HELD: dict[str, Callable[[], None]] = {}
+
+
+def holding(name: str, release: Callable[[], None]) -> None:
+    """What a Python worker keeps between tasks for one operator; caches of other operators are released first."""
+    for other in [n for n in _HELD if n != name]:
+        _HELD.pop(other)()
+    _HELD[name] = release
+
+
+def release_all() -> None:
+    holding("", lambda: None)
+
+
 def arrow_schema(schema: T.StructType) -> pa.Schema:
     from pyspark.sql.pandas.types import to_arrow_schema
 

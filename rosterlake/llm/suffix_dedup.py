@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import keep, text_rows
+from .common import keep, release_all, text_rows
 
 LENGTH, WINDOW, GRAM, HOT, PARTS, SAMPLE = 50, 20, 8, 50_000, 64, 32
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -103,6 +103,7 @@ def suffixes(texts: DataFrame, length: int, window: int, gram: int, keys_only: b
     busy = np.sort(np.array(hot or [], np.int64))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_all()
         hashes = WordHashes()
         for whole in batches:
             for start in range(0, whole.num_rows, 256):

@@ -17,8 +17,8 @@ rows are scored each; an empty table gives an empty result.
 
 from __future__ import annotations
 
-import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,11 +28,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import keep, text_rows
+from .common import keep, release_all, text_rows
 
-ROWS, DIM, WINDOW, SAMPLE, STEPS, ROUNDS, WINDOWS = 1 << 16, 4, 12, 3000, 60, 3, 8
+ROWS, DIM, WINDOW, SAMPLE, STEPS, ROUNDS, WINDOWS = 1 << 16, 4, 12, 2000, 60, 3, 8
 THRESHOLD = 0.3
-WORD = re.compile(r"\S+")
 
 
 def grams(word: str, rows: int) -> list[int]:
@@ -53,10 +52,13 @@ class Trainer:
         self.rng, self.rows, self.dim, self.window, self.toxic = np.random.default_rng(seed), rows, dim, window, toxic.astype(bool)
         index: dict[str, int] = {}
         self.texts = [np.fromiter((index.setdefault(w, len(index)) for w in words_of(t)), np.int64) for t in texts]
-        bags = [grams(w, rows) for w in index]
-        self.flat = np.fromiter((g for b in bags for g in b), np.int64)
-        self.sizes = np.array([len(b) for b in bags])
-        self.starts = np.r_[0, np.cumsum(self.sizes)[:-1]]
+        flat, sizes = array("i"), array("i")  # word by word, so that no lists of numbers pile up
+        for w in index:
+            bag = grams(w, rows)
+            flat.extend(bag)
+            sizes.append(len(bag))
+        self.flat, self.sizes = np.frombuffer(flat, np.int32), np.frombuffer(sizes, np.int32).astype(np.int64)
+        self.starts = np.cumsum(self.sizes) - self.sizes
         self.emb = self.rng.normal(0, 0.1, (rows, dim))
         self.out, self.bias = self.rng.normal(0, 0.1, (dim, 2)), np.zeros(2)
 
@@ -76,16 +78,23 @@ class Trainer:
         flat, own = np.concatenate(windows), np.repeat(np.arange(len(windows)), sizes)
         used, flat = np.unique(flat, return_inverse=True)
         bag_sizes = self.sizes[used]
-        offsets = np.repeat(self.starts[used] - np.r_[0, np.cumsum(bag_sizes)[:-1]], bag_sizes) + np.arange(bag_sizes.sum())
-        seen, ids = np.unique(self.flat[offsets], return_inverse=True)
-        starts, word = np.r_[0, np.cumsum(bag_sizes)[:-1]], np.repeat(np.arange(len(used)), bag_sizes)
+        starts = np.cumsum(bag_sizes) - bag_sizes
+        held = np.zeros(len(self.sizes), bool)
+        held[used] = True
+        grams_used = self.flat[np.repeat(held, self.sizes)]
+        there = np.zeros(self.rows, bool)
+        there[grams_used] = True
+        seen = np.flatnonzero(there)
+        ids = (np.cumsum(there) - 1)[grams_used]
+        word = np.repeat(np.arange(len(used)), bag_sizes)
+        del grams_used
         weight = np.where(labels, 0.5 / max(1, labels.sum()), 0.5 / max(1, (~labels).sum()))
         params = [self.emb[seen], self.out, self.bias]
         moments = [[np.zeros_like(p), np.zeros(1)] for p in params]
         first = np.r_[0, np.cumsum(sizes)[:-1]]
         for step in range(1, steps + 1):
             emb, out, bias = params
-            vec = np.add.reduceat(emb[ids], starts) / bag_sizes[:, None]
+            vec = np.stack([np.add.reduceat(emb[:, k][ids], starts) for k in range(self.dim)], axis=1) / bag_sizes[:, None]
             hidden = np.add.reduceat(vec[flat], first) / sizes[:, None]
             logit = hidden @ out + bias
             p = 1 / (1 + np.exp(np.clip(logit[:, 0] - logit[:, 1], -50, 50)))
@@ -177,6 +186,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str
     texts = text_rows(docs, id_col, text_col).join(F.broadcast(picked), "id").dropDuplicates(["id"])
 
     def fit(_, pdf: pd.DataFrame) -> pd.DataFrame:
+        release_all()
         pdf = pdf.sort_values("drawn")
         toxic = pdf["toxic"].to_numpy(bool)
         if not toxic.any() or toxic.all():
@@ -225,6 +235,7 @@ def scores(docs: DataFrame, model, id_col: str = "doc_id", text_col: str = "text
     shared = docs.sparkSession.sparkContext.broadcast({k: bytes(v) if k == "grams" else v for k, v in model.asDict().items()})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_all()
         own = Scorer(shared.value)
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
@@ -242,6 +253,7 @@ def without_toxic(docs: DataFrame, model, threshold: float = THRESHOLD, text_col
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_all()
         own = Scorer(shared.value)
         for whole in batches:
             for begin in range(0, whole.num_rows, 512):

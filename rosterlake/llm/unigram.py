@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .common import map_batches, text_rows
+from .common import holding, map_batches, text_rows
 
 MARK = "\u2581"
 #: Unicode White_Space; Python's own split also takes U+001C to U+001F.
@@ -107,6 +107,7 @@ def token_counts(docs: DataFrame, model: str, id_col: str = "doc_id", text_col:
     schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), T.StructField("n_words", T.LongType()), T.StructField("n_tokens", T.LongType())])
 
     def count(batch: pa.RecordBatch) -> list:
+        holding("pieces", counter.cache_clear)
         own = counter(model)
         got = [own.text(t) for t in batch.column(1).to_pylist()]
         return [batch.column(0), [w for w, _ in got], [n for _, n in got]]
