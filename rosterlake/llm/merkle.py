@@ -18,13 +18,14 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+import zstandard
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import keep, text_rows
+from .common import map_batches, text_rows
 
 #: Clauses end behind sentence marks, and between words behind some letters, so that no leaf is long.
 CLAUSE = re.compile(r".+?(?:[.!?|]+\s*|[dgkxyDGKXY]\s+|$)")
@@ -94,56 +95,76 @@ def compare(text: str, other: str, tree: str, other_tree: str) -> tuple:
 
 def fingerprint_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(id, fingerprint)`` of every text."""
-    from .common import map_batches
-
     schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), T.StructField("fingerprint", T.StringType())])
     return map_batches(text_rows(docs, id_col, text_col), lambda b: [b.column(0), [fingerprint(t) for t in b.column(1).to_pylist()]], schema)
 
 
+LAST = -(1 << 63)
+
+
 def neighbours(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Compare every text with its edited form and the next text, by descending id; the last with the first.
 
-    Texts are dealt by ranges of ids and sorted once. Inside a range each text meets the next one as it
-    streams by; only the first and the last text of each range are carried over to a second small step.
+    Texts are dealt by ranges of ids, compressed, in one shuffle. Inside a range each text meets the next
+    one as it streams by in order; the first text of a range is sent to the range before it as well.
     """
     texts = text_rows(docs, id_col, text_col).select(F.col("id").cast("long").alias("id"), "text")
-    ranged = texts.repartitionByRange(F.col("id").desc_nulls_last(), F.xxhash64("text")).sortWithinPartitions(F.col("id").desc_nulls_last(), F.xxhash64("text"), "text")
-    schema = T.StructType([*SCHEMA.fields, T.StructField("range", T.IntegerType()), T.StructField("head", T.StringType()), T.StructField("tail", T.StringType())])
-    names = schema.names
-
-    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
-        types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.int32(), pa.string(), pa.string()]
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
+    spark = docs.sparkSession
+    ids = texts.select(F.coalesce("id", F.lit(LAST)).alias("id"))
+    ranges = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    cuts = sorted(set(ids.agg(F.percentile_approx("id", [k / ranges for k in range(1, ranges)], 20 * ranges)).first()[0] or []))  # a number for each range
+
+    def range_of(values: np.ndarray) -> np.ndarray:
+        return len(cuts) - np.searchsorted(cuts, values)  # the first range has the largest ids
+
+    def heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        most: dict[int, int] = {}
+        for batch in batches:
+            values = batch.column(0).to_numpy()
+            own = range_of(values)
+            for r in np.unique(own).tolist():
+                most[r] = max(most.get(r, LAST), int(values[own == r].max()))
+        if most:
+            yield pa.RecordBatch.from_arrays([pa.array(list(most), pa.int32()), pa.array(list(most.values()), pa.int64())], names=["range", "head"])
+
+    first = {r["range"]: r["head"] for r in ids.mapInArrow(heads, "range int, head long").groupBy("range").agg(F.max("head").alias("head")).collect()}  # a row for each range
+    order = sorted(first)
+    before = {r: order[k - 1] for k, r in enumerate(order)}  # the first range's head goes to the last range
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack = zstandard.ZstdCompressor(level=3)
+        for whole in batches:
+            for at in range(0, whole.num_rows, 512):
+                part = whole.slice(at, 512)
+                values = part.column("id").fill_null(LAST).to_numpy()
+                own, rows = range_of(values), []
+                for doc, value, r, h, text in zip(part.column("id").to_pylist(), values.tolist(), own.tolist(), part.column("h").to_pylist(), part.column("text").to_pylist(), strict=True):
+                    raw = pack.compress(text.encode("utf-8", "surrogatepass"))
+                    rows.append((r, False, doc, value, h, raw))
+                    if value == first[r]:
+                        rows.append((before[r], True, doc, value, h, raw))
+                types = [pa.int32(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=["range", "guest", "id", "rank", "h", "raw"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, before = TaskContext.get().partitionId(), None
+        unpack, held = zstandard.ZstdDecompressor(), None  # held: range, id, text and tree of the row before
         for whole in batches:
-            for at in range(0, whole.num_rows, 512):
-                part, rows = whole.slice(at, 512), []
-                for doc, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+            for at in range(0, whole.num_rows, 256):
+                part, rows = whole.slice(at, 256), []
+                for r, guest, doc, raw in zip(*(part.column(c).to_pylist() for c in ("range", "guest", "id", "raw")), strict=True):
+                    if held is not None and held[0] != r:
+                        held = None
+                    if guest and held is None:
+                        continue  # only the first guest of a range counts
+                    text = unpack.decompress(raw).decode("utf-8", "surrogatepass")
                     tree = fingerprint(text)
-                    if before is None:
-                        rows.append((None,) * 7 + (own, text, None))
-                    else:
-                        rows.append((before[0], *compare(before[1], text, before[2], tree), None, None, None))
-                    before = (doc, text, tree)
-                yield batch_of(rows)
-        if before is not None:
-            yield batch_of([(before[0], *(None,) * 6, own, None, before[1])])
-
-    found = keep(ranged.mapInArrow(run, schema))
-    # two rows for each range from here on
-    heads = found.where("head is not null").select("range", "head")
-    numbered = keep(heads.select("range").withColumn("n", F.row_number().over(Window.orderBy("range")) - 1))
-    ranges = numbered.count()
-    heads = heads.join(numbered.hint("merge"), "range").select("n", "head")
-    tails = found.where("tail is not null").join(numbered.hint("merge"), "range").select(((F.col("n") + 1) % max(1, ranges)).alias("n"), "doc_id", "tail")
-
-    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in batches:
-            for doc, text, other in zip(*(c.to_pylist() for c in part.columns), strict=True):
-                row = (doc, *compare(text, other, fingerprint(text), fingerprint(other)))
-                yield batch_of([row + (None,) * 3]).select(SCHEMA.names)
-
-    ends = tails.join(heads.hint("merge"), "n").select("doc_id", "tail", "head").mapInArrow(finish, SCHEMA)
-    return found.where("head is null and tail is null").select(*SCHEMA.names).unionByName(ends)
+                    if held is not None:
+                        rows.append((held[1], *compare(held[2], text, held[3], tree)))
+                    held = None if guest else (r, doc, text, tree)
+                types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
+                columns = list(zip(*rows, strict=True)) or [()] * len(types)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=SCHEMA.names)
+
+    dealt = texts.select("id", F.xxhash64("text").alias("h"), "text").mapInArrow(deal, "range int, guest boolean, id long, rank long, h long, raw binary")
+    sorted_ranges = dealt.repartition(ranges, "range").sortWithinPartitions("range", "guest", F.desc("rank"), "h", "raw")
+    return sorted_ranges.select("range", "guest", "id", "raw").mapInArrow(run, SCHEMA)
