@@ -29,25 +29,33 @@ SEGMENTS = ((0, 22), (22, 21), (43, 21))
 SEED = 42
 
 
-def simhash(text: str, width: int) -> int:
-    """Signed 64-bit SimHash over shingles of ``width`` words of an ASCII-lower-cased text."""
+def shingle_hashes(text: str, width: int) -> np.ndarray:
+    """64-bit hashes of the shingles of ``width`` words of an ASCII-lower-cased text."""
     joined = b" ".join(text.encode("utf-8", "replace").lower().split())
     if not joined:
-        return 0
+        return np.empty(0, np.uint64)
     gaps = np.flatnonzero(np.frombuffer(joined, np.uint8) == 32)
     digest = xxhash.xxh64_intdigest
     if len(gaps) + 1 <= width:
-        hashes = np.array([digest(joined, SEED)], np.uint64)
-    else:
-        starts = [0, *(gaps[: len(gaps) + 1 - width] + 1).tolist()]
-        ends = [*gaps[width - 1 :].tolist(), len(joined)]
-        hashes = np.array([digest(joined[s:e], SEED) for s, e in zip(starts, ends, strict=True)], np.uint64)
+        return np.array([digest(joined, SEED)], np.uint64)
+    starts = [0, *(gaps[: len(gaps) + 1 - width] + 1).tolist()]
+    ends = [*gaps[width - 1 :].tolist(), len(joined)]
+    return np.array([digest(joined[s:e], SEED) for s, e in zip(starts, ends, strict=True)], np.uint64)
+
+
+def simhash_of(hashes: np.ndarray) -> int:
+    """Signed 64-bit SimHash of shingle hashes; 0 without any."""
     ones, n = np.zeros(64, np.int64), len(hashes)
     for at in range(0, n, 8192):
         ones += np.unpackbits(hashes[at : at + 8192].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
     return int(np.packbits(ones * 2 > n, bitorder="little").view(np.int64)[0])
 
 
+def simhash(text: str, width: int) -> int:
+    """Signed 64-bit SimHash over shingles of ``width`` words of an ASCII-lower-cased text."""
+    return simhash_of(shingle_hashes(text, width))
+
+
 def fingerprints(docs: DataFrame, shingle: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(id, fp)``."""
     schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), T.StructField("fp", T.LongType())])

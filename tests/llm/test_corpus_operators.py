@@ -250,6 +250,43 @@ def test_simhash_links_dense_groups(spark):
     assert {p: got.get(p, p) for p in signed} == expected
 
 
+def test_similar_texts(spark, odd, empty):
+    import corpus_pipeline
+
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(4))
+    rows = [(r[0], r[1]) for r in ODD]
+    for k in range(60):  # copies with 0 to 12 edited words of 400: similarities from about 0.75
+        words = [word() for _ in range(400)]
+        rows.append((1000 + 20 * k, " ".join(words)))
+        for c in range(1, 6):
+            copy = list(words)
+            for at in rng.sample(range(400), rng.randint(0, 12)):
+                copy[at] = word()
+            rows.append((1000 + 20 * k + c, " ".join(copy)))
+    base = [word() for _ in range(300)]
+    for c in range(150):  # one large group
+        copy = list(base)
+        for at in rng.sample(range(300), 3):
+            copy[at] = word()
+        rows.append((5000 + c, " ".join(copy)))
+    docs = spark.createDataFrame([(i, t, "en", "s", 1, None, None) for i, t in rows] + [(None, rows[20][1], "en", "s", 1, None, None)], DOCS)
+    sets = {}
+    for i, t in rows:
+        words = (t or "").encode().lower().split()
+        sets[i] = {tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))}
+    ids = sorted(sets)
+    jaccard = {(a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for n, a in enumerate(ids) for b in ids[n + 1 :] if min(a, b) < 5000 and a // 20 == b // 20 or min(a, b) >= 5000}
+    planted = [v for (a, _), v in jaccard.items() if 1000 <= a < 5000]
+    assert sum(0.8 <= v < 0.85 for v in planted) >= 50 and sum(0.7 < v < 0.8 for v in planted) >= 50
+    expected = classes_of(ids, [p for p, v in jaccard.items() if v >= 0.8])
+    kept = corpus_pipeline.near_duplicates(spark, docs, SMALL)
+    assert kept.columns == docs.columns
+    got = [r.doc_id for r in kept.collect()]
+    assert got.count(None) == 1 and sorted(i for i in got if i is not None) == sorted(set(expected.values()))
+    assert corpus_pipeline.near_duplicates(spark, empty, SMALL).count() == 0
+
+
 def test_components(spark):
     from rosterlake.llm.common import components
 
