@@ -97,11 +97,15 @@ def log_probabilities(grams: DataFrame, order: int) -> DataFrame:
 
 
 def perplexities(texts: DataFrame, table: DataFrame, order: int, shard: int = SHARD) -> DataFrame:
-    """``(id, lang, row, n, logp)`` of texts (id, lang, text), adding up the shards."""
+    """``(id, lang, n, logp)`` of every row of texts (id, lang, text), adding up the shards.
+
+    Sums of shards meet by id, language and 128 bits of the text; equal rows have equal sums and are told by their count.
+    """
     spark = texts.sparkSession
     size = table.count()
     shards = max(1, -(-size // shard))
-    schema = T.StructType([texts.schema["id"], texts.schema["lang"], T.StructField("n", T.LongType()), T.StructField("logp", T.DoubleType())])
+    schema = T.StructType([texts.schema["id"], texts.schema["lang"], T.StructField("h1", T.LongType()), T.StructField("h2", T.LongType()), T.StructField("n", T.LongType()), T.StructField("logp", T.DoubleType())])
+    texts = texts.select("id", "lang", "text", F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(1), "text").alias("h2"))
     parts = []
     for s in range(shards):
         rows = table.where(F.pmod(F.xxhash64("g"), F.lit(shards)) == s).toArrow()  # at most about `shard` rows of 16 bytes
@@ -123,15 +127,17 @@ def perplexities(texts: DataFrame, table: DataFrame, order: int, shard: int = SH
                         value = np.where(grams[place] == distinct, logp[place].astype(float), 0.0)
                         own = np.repeat(np.arange(len(listed)), sizes)
                         sums = np.bincount(own, value[back], len(listed))
-                    yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("lang"), pa.array(sizes.astype(np.int64)), pa.array(sums)], names=schema.names)
+                    yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("id", "lang", "h1", "h2")), pa.array(sizes.astype(np.int64)), pa.array(sums)], names=schema.names)
 
         parts.append(texts.mapInArrow(run, schema))
     out = parts[0]
     for other in parts[1:]:
         out = out.unionByName(other)
     if shards == 1:
-        return out
-    return out.groupBy("id", "lang", "n").agg(F.sum("logp").alias("logp"))
+        return out.drop("h1", "h2")
+    rows = (F.count("*") / shards).cast("long")  # each row has one sum in each shard
+    summed = out.groupBy("id", "lang", "h1", "h2", "n").agg(F.sum("logp").alias("logp"), rows.alias("rows"))
+    return summed.select("id", "lang", "n", (F.col("logp") / F.col("rows")).alias("logp"), F.explode(F.sequence(F.lit(1), F.col("rows").cast("int"))).alias("copy")).drop("copy")
 
 
 def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, slack: float = SLACK, order: int = ORDER, shard: int = SHARD, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", label_col: str = "quality") -> DataFrame:

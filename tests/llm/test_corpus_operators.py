@@ -388,6 +388,20 @@ def test_kneser_ney(spark, odd, empty):
     assert classify(odd, labels.limit(0)).where("not kept").count() == 0 and classify(empty, labels).count() == 0
 
 
+def test_kneser_ney_repeated_rows_over_shards(spark):
+    from rosterlake.llm.kneser_ney import classify
+
+    rng = random.Random(3)
+    texts = ["".join(rng.choice("ab") + rng.choice("xy") for _ in range(40)) for _ in range(30)]
+    rows = [(k, t, "en", "s", 1, None, None) for k, t in enumerate(texts)]
+    rows += rows[:3] * 2 + [(None, t, "en", "s", 1, None, None) for t in texts[:8]] + [(None, texts[0], "en", "s", 1, None, None), (None, None, None, "s", 1, None, None), (None, "", None, "s", 1, None, None)]
+    docs = spark.createDataFrame(rows, DOCS)
+    labels = spark.createDataFrame([(k, 1, 0) for k in range(0, 30, 2)], "doc_id long, quality int, toxic int")
+    told = lambda shard: sorted((r.id is None, r.id or 0, r.lang, r.n_chars, f"{r.perplexity or 0:.3f} {r.threshold:.3f}", r.kept) for r in classify(docs, labels, shard=shard).collect())
+    one = told(4_000_000)
+    assert len(one) == len(rows) and told(50) == one
+
+
 def brute_passages(rows, n):
     seen, marks = {}, defaultdict(set)
     for doc, text in sorted({(d, t) for d, t in rows if t and d is not None}):
