@@ -5,7 +5,7 @@ Of all suffixes only those at minimiser positions are retained: positions whose
 the smallest of ``window`` consecutive ones. The choice depends on the words alone, so equal passages
 retain suffixes at equal places, and every run of ``length`` words holds a retained one among its first
 ``window`` positions. Suffixes are sorted by their first ``length - window + 1`` words; neighbours that
-agree there are extended word by word to the left and right. Each run of ``length`` words that an
+agree there are extended to the left and right. Each run of ``length`` words that an
 earlier place (by id, then position) holds too is repeated, and repeated runs that touch are joined,
 which gives the same words as comparing all runs of ``length`` words in the corpus.
 
@@ -14,8 +14,8 @@ that very many suffixes share (as a sample of texts shows, which decides on the
 over several tasks by text; each finds what repeats in its part, and the first places of the runs, one
 for each run and part, are compared in a second, small aggregation.
 
-Words are split at white space and compared by hashes (prefixes by 64 bits, the words around a prefix
-by 15 bits each). Defined results: null and empty texts, and texts shorter than ``length`` words,
+Words are split at white space; prefixes and whole runs of ``length`` words are compared by 64-bit hashes,
+so copies of a template that differ in one word stay apart. Defined results: null and empty texts, and texts shorter than ``length`` words,
 repeat nothing; of copies the one with the smallest id counts as first; ``firsts`` lists texts that hold a run at an earlier place; rows with the same id and text
 are one text; a null id repeats nothing; an empty table gives an empty result.
 """
@@ -97,9 +97,9 @@ def anchors(h: np.ndarray, lengths: np.ndarray, length: int, window: int, gram:
 
 
 def suffixes(texts: DataFrame, length: int, window: int, gram: int, keys_only: bool = False, hot: list[int] | None = None) -> DataFrame:
-    """The retained suffixes of ``(id, text)``: prefix hash, part of a hot prefix, id, position, and the words around as short hashes."""
+    """The retained suffixes of ``(id, text)``: prefix hash, part of a hot prefix, id, position, and the hashes of the runs that hold the prefix, by words to the left (0: not in the text)."""
     prefix, side = length - window + 1, window - 1
-    schema = "key long" if keys_only else "key long, part int, id long, pos int, around binary"
+    schema = "key long" if keys_only else "key long, part int, id long, pos int, held binary"
     busy = np.sort(np.array(hot or [], np.int64))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -122,37 +122,17 @@ def suffixes(texts: DataFrame, length: int, window: int, gram: int, keys_only: b
                 own = np.searchsorted(begins, at, side="right") - 1
                 ids = np.array([d for d, _ in split], np.int64)[own]
                 part = np.where(np.isin(key, busy), mix(ids.view(np.uint64)) % np.uint64(PARTS) + np.uint64(1), np.uint64(0)).astype(np.int32) if len(busy) else np.zeros(len(at), np.int32)
-                # 0 stands for no word: texts lie apart by as many zeros as words are looked at
-                short = np.zeros(len(h) + (len(split) + 1) * side, np.uint16)
-                gap = (np.repeat(np.arange(len(split)), lengths) + 1) * side
-                short[np.arange(len(h)) + gap] = (h >> np.uint64(48)).astype(np.uint16) | np.uint16(1)
-                place = (at + (own + 1) * side)[:, None]
-                around = np.hstack([short[place - np.arange(1, side + 1)], short[place + prefix + np.arange(side)]])
-                offsets = np.arange(len(at) + 1, dtype=np.int32) * 4 * side
-                binary = pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(around).tobytes())])
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(part), pa.array(ids), pa.array((at - begins[own]).astype(np.int32)), binary], names=["key", "part", "id", "pos", "around"])
+                start_at = at[:, None] - np.arange(side + 1)
+                inside = (start_at >= begins[own][:, None]) & (start_at + length <= (begins + lengths)[own][:, None])
+                whole_runs = np.maximum(runs(h, length), np.uint64(1))
+                held = np.where(inside, whole_runs[np.clip(start_at, 0, len(whole_runs) - 1)], np.uint64(0))
+                offsets = np.arange(len(at) + 1, dtype=np.int32) * 8 * (side + 1)
+                binary = pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(held).tobytes())])
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(part), pa.array(ids), pa.array((at - begins[own]).astype(np.int32)), binary], names=["key", "part", "id", "pos", "held"])
 
     return texts.mapInArrow(run, schema)
 
 
-def windows(around: pa.Array, side: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each suffix the hashes of its side + 1 runs, by words to the left (0 to side), and which exist."""
-    words = np.frombuffer(around.buffers()[2], np.uint16, len(around) * 2 * side).reshape(-1, 2 * side)
-    left, right = words[:, :side].astype(np.uint64), words[:, side:].astype(np.uint64)
-    n = len(words)
-
-    def prefixes(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        out, ok = np.zeros((n, side + 1), np.uint64), np.ones((n, side + 1), bool)
-        for k in range(side):
-            out[:, k + 1] = mix(out[:, k] * _MIX + x[:, k] + np.uint64(1))
-            ok[:, k + 1] = ok[:, k] & (x[:, k] != 0)
-        return out, ok
-
-    (a, a_ok), (b, b_ok) = prefixes(left), prefixes(right)
-    k = np.arange(side + 1)
-    return mix(a[:, k] * _MIX + b[:, side - k] + k.astype(np.uint64)), a_ok[:, k] & b_ok[:, side - k]
-
-
 #: Runs of a text that start at words low to high (both included) and are repeated; first: a text that holds one of
 #: them earlier. With a run: the first place of that run in one part of a hot prefix, to be compared with other parts.
 RUN = "id long, low int, high int, first long, run long"
@@ -182,10 +162,10 @@ def _compare(grouped: DataFrame, side: int) -> DataFrame:
         if not len(at):
             return
         key, part, ids, pos = key[at], part[at], t.column("id").to_numpy()[at], t.column("pos").to_numpy()[at]
-        hashes, ok = windows(t.column("around").combine_chunks().take(pa.array(at)), side)
+        hashes = np.frombuffer(b"".join(t.column("held").take(pa.array(at)).to_pylist()), np.uint64).reshape(-1, side + 1)
         firsts, heads = np.full((len(at), side + 1), -1, np.int64), []
         for k in range(side + 1):
-            rows = np.flatnonzero(ok[:, k])
+            rows = np.flatnonzero(hashes[:, k])
             if not len(rows):
                 continue
             run = mix(key[rows].view(np.uint64) * _MIX + hashes[rows, k])
@@ -219,7 +199,7 @@ def _compare(grouped: DataFrame, side: int) -> DataFrame:
         if rows:
             yield from find(pa.Table.from_batches(held))
 
-    return grouped.select("key", "part", "id", "pos", "around").mapInArrow(run, RUN)
+    return grouped.select("key", "part", "id", "pos", "held").mapInArrow(run, RUN)
 
 
 def repeated_passages(docs: DataFrame, length: int = LENGTH, window: int = WINDOW, gram: int = GRAM, hot: int = HOT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

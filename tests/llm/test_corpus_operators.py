@@ -451,6 +451,20 @@ def test_repeated_passages(spark, odd, empty, docs, hot):
     assert suffix_dedup.repeated_passages(empty).count() == 0
 
 
+def test_variants_of_a_template_are_not_repeated(spark):
+    from rosterlake.llm import suffix_dedup
+
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(5))
+    front, back = " ".join(word() for _ in range(40)), " ".join(word() for _ in range(25))
+    # every run of 50 words holds the serial number or ends before it
+    rows = [(k, f"{front} no{k} {back}", "en", "s", 1, None, None) for k in range(20_000)] + [(20_000 + k, f"{front} no{k} {back}", "en", "s", 1, None, None) for k in range(3)]
+    docs = spark.createDataFrame(rows, DOCS)
+    for hot in (50_000, 64):
+        got = {(r.id, r.start_word, r.end_word, tuple(r.firsts)) for r in suffix_dedup.repeated_passages(docs, hot=hot).collect()}
+        assert got == {(20_000 + k, 0, 66, (k,)) for k in range(3)}
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
