@@ -2,10 +2,11 @@
 
 A rotation of the principal axes is learned so that the signs of the rotated vectors are balanced codes
 that lose little (alternating between codes and an orthogonal Procrustes fit), on a sample of at most
-``sample`` vectors drawn by a hash of the id. Every vector is coded and entered in one table for each
-16-bit segment of its code; it looks up the Hamming ball of radius one around its own segment in each.
-A pair found in several tables is taken from the first. Pairs whose whole codes differ in more than
-``max_bits`` bits are left; the others are reranked by the cosine of the original vectors in double
+``sample`` vectors drawn by a hash of the id. Two codes of ``bits`` bits come from rotations with starts
+of their own; vectors of fewer dimensions take as many rotations as fill a code. Every vector is entered
+in one table for each 16-bit segment of both codes; it looks up the Hamming ball of radius one around its
+own segment in each. A pair found in several tables is taken from the first. Pairs whose codes differ in
+more than ``max_bits`` bits on average are left; the others are reranked by the cosine of the original vectors in double
 precision. Codes find a pair with high probability, not always; the tests measure the recall.
 
 Equal vectors of a label are one class, so copies are never expanded. Defined results: rows whose label
@@ -28,7 +29,7 @@ from pyspark.sql import types as T
 from .common import components, keep
 
 COSINE, BITS, MAX_BITS, SAMPLE, TURNS = 0.93, 64, 16, 20_000, 40
-SEGMENT = 16
+SEGMENT, CODES = 16, 2
 
 
 def learn_rotation(x: np.ndarray, bits: int = BITS, turns: int = TURNS, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
@@ -45,6 +46,13 @@ def learn_rotation(x: np.ndarray, bits: int = BITS, turns: int = TURNS, seed: in
     return mean, main @ rotation
 
 
+def learn_codes(x: np.ndarray, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
+    """Mean and projections (dimension by ``CODES * bits``), each code filled by rotations with starts of their own."""
+    per = -(-bits // min(bits, x.shape[1]))
+    turned = [learn_rotation(x, bits, seed=seed) for seed in range(CODES * per)]
+    return turned[0][0], np.hstack([np.hstack([p for _, p in turned[c * per : (c + 1) * per]])[:, :bits] for c in range(CODES)])
+
+
 def usable(vector: str) -> F.Column:
     """Whether a vector can be compared."""
     v = F.col(vector)
@@ -60,32 +68,32 @@ def classes_of(vectors: DataFrame, id_col: str, vector_col: str, label_col: str)
 
 
 def encode(classes: DataFrame, sample: int, bits: int) -> DataFrame:
-    """Adds the ``code`` of each class; vectors that are not as long as most of the sample get code 0."""
+    """Adds the codes ``code0`` and on of each class; vectors that are not as long as most of the sample get code 0."""
     drawn = classes.orderBy(F.xxhash64("rep"), "label").limit(sample).select("v")
 
     def fit(_, pdf: pd.DataFrame) -> pd.DataFrame:
         sizes = pdf["v"].map(len)
         dim = int(sizes.mode().iloc[0])
         x = np.stack(pdf["v"][sizes == dim].to_list()).astype(float)
-        mean, projection = learn_rotation(x / np.linalg.norm(x, axis=1)[:, None], bits)
+        mean, projection = learn_codes(x / np.linalg.norm(x, axis=1)[:, None], bits)
         return pd.DataFrame({"dim": [dim], "mean": [mean.tobytes()], "projection": [projection.tobytes()]})
 
     model = drawn.groupBy(F.lit(0).alias("_all")).applyInPandas(fit, "dim int, mean binary, projection binary").first()
     if model is None:
-        return classes.withColumn("code", F.lit(0).cast("long"))
+        return classes.select("*", *[F.lit(0).cast("long").alias(f"code{c}") for c in range(CODES)])
     dim, mean, projection = model["dim"], np.frombuffer(bytes(model["mean"])), np.frombuffer(bytes(model["projection"])).reshape(model["dim"], -1)
-    schema = T.StructType([*classes.schema.fields, T.StructField("code", T.LongType())])
+    schema = T.StructType([*classes.schema.fields, *[T.StructField(f"code{c}", T.LongType()) for c in range(CODES)]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             v = batch.column("v")
-            codes = np.zeros((len(v), 64), bool)
+            codes = np.zeros((len(v), CODES, 64), bool)
             same = np.flatnonzero(np.diff(v.offsets.to_numpy()) == dim)
             if len(same):
                 x = v.take(pa.array(same)).flatten().to_numpy().reshape(-1, dim)
-                codes[same, : projection.shape[1]] = (x / np.linalg.norm(x, axis=1)[:, None] - mean) @ projection >= 0
-            packed = np.packbits(codes, axis=1, bitorder="little").view(np.int64).ravel()
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(packed)], names=schema.names)
+                codes[same, :, :bits] = ((x / np.linalg.norm(x, axis=1)[:, None] - mean) @ projection >= 0).reshape(len(x), CODES, bits)
+            packed = np.packbits(codes.reshape(len(v), CODES * 64), axis=1, bitorder="little").view(np.int64)
+            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(packed[:, c].copy()) for c in range(CODES))], names=schema.names)
 
     return classes.mapInArrow(run, schema)
 
@@ -93,20 +101,22 @@ def encode(classes: DataFrame, sample: int, bits: int) -> DataFrame:
 def candidates(coded: DataFrame, max_bits: int) -> DataFrame:
     """Pairs ``(a, b)`` of class numbers, a < b, each once."""
 
-    def segment(code: str, s: int) -> F.Column:
+    def segment(code: F.Column, s: int) -> F.Column:
         return F.shiftrightunsigned(code, s * SEGMENT).bitwiseAND(F.lit((1 << SEGMENT) - 1))
 
-    parts = range(64 // SEGMENT)
-    entry = coded.select("label", F.col("k").alias("b"), F.col("code").alias("cb"), F.explode(F.array(*[segment("code", s) + (s << SEGMENT) for s in parts])).alias("key"))
-    balls = [(segment("code", s).bitwiseXOR(F.lit(flip)) + (s << SEGMENT)) for s in parts for flip in (0, *(1 << j for j in range(SEGMENT)))]
-    probe = coded.select("label", F.col("k").alias("a"), F.col("code").alias("ca"), F.explode(F.array(*balls)).alias("key"))
-    differ = F.col("ca").bitwiseXOR(F.col("cb"))
+    parts = [(c, s) for c in range(CODES) for s in range(64 // SEGMENT)]
+    own_codes = [F.col(f"code{c}") for c in range(CODES)]
+    tables = [(n << SEGMENT, segment(own_codes[c], s)) for n, (c, s) in enumerate(parts)]
+    entry = coded.select("label", F.col("k").alias("b"), *[own_codes[c].alias(f"cb{c}") for c in range(CODES)], F.explode(F.array(*[value + tag for tag, value in tables])).alias("key"))
+    balls = [value.bitwiseXOR(F.lit(flip)) + tag for tag, value in tables for flip in (0, *(1 << j for j in range(SEGMENT)))]
+    probe = coded.select("label", F.col("k").alias("a"), *[own_codes[c].alias(f"ca{c}") for c in range(CODES)], F.explode(F.array(*balls)).alias("key"))
+    differ = [F.col(f"ca{c}").bitwiseXOR(F.col(f"cb{c}")) for c in range(CODES)]
     own = F.shiftright("key", SEGMENT)
     first = F.lit(len(parts))
-    for s in reversed(parts):
-        part = F.shiftrightunsigned(differ, s * SEGMENT).bitwiseAND(F.lit((1 << SEGMENT) - 1))
-        first = F.when(F.bit_count(part) <= 1, F.lit(s)).otherwise(first)
-    met = probe.hint("merge").join(entry, ["label", "key"]).where((F.col("a") < F.col("b")) & (F.bit_count(differ) <= max_bits) & (own == first))
+    for n, (c, s) in reversed(list(enumerate(parts))):
+        first = F.when(F.bit_count(segment(differ[c], s)) <= 1, F.lit(n)).otherwise(first)
+    apart = sum((F.bit_count(d) for d in differ[1:]), F.bit_count(differ[0]))
+    met = probe.hint("merge").join(entry, ["label", "key"]).where((F.col("a") < F.col("b")) & (apart <= CODES * max_bits) & (own == first))
     return met.select("a", "b")
 
 
@@ -114,7 +124,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, sample: int = SA
     """``(id, n_links, component_id)`` for every row of ``vectors``."""
     # equal vectors of different labels may share a smallest id, so classes get numbers of their own
     classes = keep(classes_of(vectors, id_col, vector_col, label_col).withColumn("k", F.monotonically_increasing_id()))
-    coded = keep(encode(classes, sample, bits).select("label", "k", "code"))
+    coded = keep(encode(classes, sample, bits).select("label", "k", *[f"code{c}" for c in range(CODES)]))
     vector = classes.select("k", "v")
     pairs = candidates(coded, max_bits)
     paired = pairs.join(vector.select(F.col("k").alias("a"), F.col("v").alias("va")).hint("merge"), "a").join(vector.select(F.col("k").alias("b"), F.col("v").alias("vb")).hint("merge"), "b").select("a", "b", "va", "vb")

@@ -321,6 +321,27 @@ def test_itq(spark):
     assert near_duplicates(spark.createDataFrame([], table.schema)).count() == 0
 
 
+def test_itq_recall_near_the_threshold(spark):
+    from rosterlake.llm import itq
+
+    rng = np.random.default_rng(8)
+    for dim, cosines in ((64, (0.9305, 0.931)), (24, (0.9305, 0.94))):
+        rows = []
+        for k in range(1500):
+            x, y = rng.normal(size=(2, dim))
+            x /= np.linalg.norm(x)
+            y -= (y @ x) * x
+            c = rng.uniform(*cosines)
+            rows += [(2 * k, x.tolist(), k % 3), (2 * k + 1, (c * x + np.sqrt(1 - c * c) * y / np.linalg.norm(y)).tolist(), k % 3)]
+        table = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+        got = {r.id: r.n_links for r in itq.near_duplicates(table, sample=500).collect()}  # most vectors are not fitted on
+        found = np.mean([got[2 * k] > 0 for k in range(1500)])
+        assert found >= 0.95, (dim, cosines, found)
+        # the tables sort pairs out, in few dimensions too
+        classes = itq.classes_of(table, "vec_id", "embedding", "label").withColumn("k", itq.F.col("rep"))
+        assert itq.candidates(itq.encode(classes, 500, itq.BITS), itq.MAX_BITS).count() < 0.05 * 3 * 1000 * 999 / 2
+
+
 def test_warc(spark):
     import hashlib
     import io
