@@ -5,8 +5,11 @@ sequences. Pieces of full length are sequences by themselves. The others are dea
 shards of a few thousand pieces, whatever their source or length, so a shard is bounded and a hot
 source is spread. Each shard is evolved on several islands with populations of their own; after every
 epoch an island's elite moves to the next island of its shard. A chromosome is a grouping: the
-sequence number of every piece. Crossover injects whole well-filled sequences of another parent,
-removes the sequences that hold duplicates of the injected pieces, and best-fits the displaced ones.
+sequence number of every piece. Populations start from pieces in random order, each put where it fits
+best. Crossover injects whole well-filled sequences of another parent, removes the sequences that hold
+duplicates of the injected pieces, and best-fits the displaced ones, longest first; children replace the
+worst. In the last epoch the grouping by best-fit decreasing joins, so that none is worse than it. An
+island stops at the least number of sequences that the tokens allow.
 
 Defined results: a null text is empty and is one piece of one token; repeated rows are packed as often
 as they occur; an empty table gives an empty result; ties between equal lengths are broken by order of
@@ -21,26 +24,59 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import holding, keep, map_batches, text_rows
 
-CAPACITY, SHARD, ISLANDS, EPOCHS, POPULATION, CHILDREN = 2048, 4096, 2, 2, 4, 4
-
-PIECES = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("piece", T.IntegerType()), T.StructField("start", T.LongType()), T.StructField("length", T.LongType()), T.StructField("ids_crc32", T.LongType())])
-
-
-def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text", end_id: int = 0, with_ids: bool = False, cache: int = 300_000) -> DataFrame:
-    """One row for each piece of each document; ``with_ids`` adds the ids themselves. cache: words that a worker remembers."""
+CAPACITY, SHARD, ISLANDS, EPOCHS, POPULATION, CHILDREN = 2048, 4096, 2, 3, 8, 16
+#: Characters that are tokenized together, which bounds a task's memory.
+TEXT_BLOCK = 8 << 20
+
+PIECES = T.StructType(
+    [
+        T.StructField("doc_id", T.LongType()),
+        T.StructField("piece", T.IntegerType()),
+        T.StructField("start", T.LongType()),
+        T.StructField("length", T.LongType()),
+        T.StructField("ids_crc32", T.LongType()),
+    ]
+)
+
+
+def blocks(texts: list[str], size: int = TEXT_BLOCK) -> Iterator[list[str]]:
+    """Runs of texts of about ``size`` characters."""
+    begin, held = 0, 0
+    for k, text in enumerate(texts):
+        held += len(text)
+        if held >= size:
+            yield texts[begin : k + 1]
+            begin, held = k + 1, 0
+    if begin < len(texts):
+        yield texts[begin:]
+
+
+def token_pieces(
+    docs: DataFrame,
+    tokenizer: str,
+    capacity: int = CAPACITY,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    end_id: int = 0,
+    with_ids: bool = False,
+    cache: int = 600_000,
+) -> DataFrame:
+    """One row for each piece of each document; ``with_ids`` adds the ids themselves. cache: pre-tokens that a worker remembers."""
 
     def cut(batch: pa.RecordBatch) -> list:
         from .wordbpe import word_ids
 
         holding("word ids", word_ids.cache_clear)
+        coder = word_ids(tokenizer, cache)
         end, take, rows, ids = np.array([end_id], "<u4").tobytes(), [], [], []
-        for row, raw in enumerate(word_ids(tokenizer, cache).batch(batch.column(1).to_pylist())):
+        encoded = (raw for block in blocks(batch.column(1).to_pylist()) for raw in coder.batch(block))
+        for row, raw in enumerate(encoded):
             raw += end
             for piece, at in enumerate(range(0, len(raw), 4 * capacity)):
                 part = raw[at : at + 4 * capacity]
@@ -52,7 +88,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, id_c
         return [batch.column(0).take(pa.array(take, pa.int64())), *columns] + [ids] * with_ids
 
     schema = T.StructType([*PIECES.fields, *[T.StructField("ids", T.ArrayType(T.IntegerType()))] * with_ids])
-    return map_batches(text_rows(docs, id_col, text_col).withColumn("id", F.col("id").cast("long")), cut, schema)
+    return map_batches(text_rows(docs, id_col, text_col).withColumn("id", F.col("id").cast("long")), cut, schema, rows=4096)
 
 
 class Grouping:
@@ -61,7 +97,7 @@ class Grouping:
     def __init__(self, lengths: np.ndarray, capacity: int, rng: np.random.Generator):
         self.lengths, self.capacity, self.rng = lengths, capacity, rng
 
-    def best_fit(self, order: list[int], where: np.ndarray, rooms: list[tuple[int, int]], bins: int) -> np.ndarray:
+    def best_fit(self, order, where: np.ndarray, rooms: list[tuple[int, int]], bins: int) -> np.ndarray:
         """Put pieces into the fullest sequence with room, else into a new one. rooms: sorted (room, sequence)."""
         lengths = self.lengths
         for i in order:
@@ -76,9 +112,13 @@ class Grouping:
                 insort(rooms, (room - need, to))
         return where
 
-    def fresh(self, noise: float) -> np.ndarray:
-        weight = self.lengths * (1 - noise * self.rng.random(len(self.lengths)))
-        return self.best_fit(np.argsort(-weight, kind="stable").tolist(), np.full(len(self.lengths), -1), [], 0)
+    def fresh(self) -> np.ndarray:
+        """Pieces in random order, each put where it fits best."""
+        return self.best_fit(self.rng.permutation(len(self.lengths)).tolist(), np.full(len(self.lengths), -1), [], 0)
+
+    def decreasing(self) -> np.ndarray:
+        """Best-fit decreasing."""
+        return self.best_fit(range(len(self.lengths)), np.full(len(self.lengths), -1), [], 0)
 
     def fill(self, where: np.ndarray) -> np.ndarray:
         return np.bincount(where, self.lengths).astype(np.int64)
@@ -109,56 +149,89 @@ class Grouping:
         rooms = sorted((int(room[k]), k) for k in np.flatnonzero(room > 0).tolist())
         return self.best_fit(np.flatnonzero(where < 0).tolist(), where, rooms, bins)
 
-    def evolve(self, elites: list[np.ndarray], population: int, children: int) -> np.ndarray:
-        people = [*elites, *(self.fresh(0.0 if k == 0 and not elites else 0.25) for k in range(population - len(elites)))]
-        people = sorted(people, key=self.fitness, reverse=True)
-        bound = -(-int(self.lengths.sum()) // self.capacity)
-        for _ in range(children):
-            if people[0].max(initial=-1) + 1 <= bound:
-                break
-            i, j = sorted(self.rng.choice(len(people), 2, replace=False)) if len(people) > 1 else (0, 0)
+    def evolve(self, elites: list[np.ndarray], population: int, children: int, last: bool = True) -> tuple[np.ndarray, int]:
+        """The best grouping after at most ``children`` children, and how many there were."""
+        people = [*elites, *(self.fresh() for _ in range(population - len(elites)))]
+        people += [self.decreasing()] if last else []
+        people = sorted(people, key=self.fitness, reverse=True)[:population]
+        bound, born = -(-int(self.lengths.sum()) // self.capacity), 0
+        while born < children and people[0].max(initial=-1) + 1 > bound:
+            i, j = self.rng.choice(len(people), 2, replace=False) if len(people) > 1 else (0, 0)
             people.append(self.child(people[i], people[j]))
             people = sorted(people, key=self.fitness, reverse=True)[:population]
-        return people[0]
+            born += 1
+        return people[0], born
+
 
+ISLAND = T.StructType(
+    [
+        T.StructField("shard", T.LongType()),
+        T.StructField("island", T.IntegerType()),
+        T.StructField("lengths", T.ArrayType(T.IntegerType())),
+        T.StructField("elite", T.ArrayType(T.IntegerType())),
+        T.StructField("fitness", T.DoubleType()),
+        T.StructField("born", T.IntegerType()),
+    ]
+)
 
-def _epoch(islands: DataFrame, epoch: int, capacity: int, population: int, children: int) -> DataFrame:
-    """Evolve every island by one epoch: rows (shard, island, lengths, elites) give (shard, island, lengths, elite, sequences)."""
-    schema = T.StructType([T.StructField("shard", T.LongType()), T.StructField("island", T.IntegerType()), T.StructField("lengths", T.ArrayType(T.IntegerType())), T.StructField("elite", T.ArrayType(T.IntegerType())), T.StructField("fitness", T.DoubleType())])
+
+def _epoch(islands: DataFrame, epoch: int, last: bool, capacity: int, population: int, children: int) -> DataFrame:
+    """Evolve every island by one epoch: rows (shard, island, lengths, elites) give rows of ``ISLAND``."""
+    ints = pa.list_(pa.int32())
+    types = [pa.int64(), pa.int32(), ints, ints, pa.float64(), pa.int32()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for shard, island, lengths, elites in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 own = Grouping(np.array(lengths), capacity, np.random.default_rng([shard, island, epoch]))
-                best = own.evolve([np.array(e) for e in elites or []], population, children)
-                yield pa.RecordBatch.from_arrays([pa.array([shard], pa.int64()), pa.array([island], pa.int32()), pa.array([lengths], pa.list_(pa.int32())), pa.array([best.astype("i4")], pa.list_(pa.int32())), pa.array([own.fitness(best)])], names=schema.names)
-
-    return islands.select("shard", "island", "lengths", "elites").mapInArrow(run, schema)
-
-
-def pack(pieces: DataFrame, capacity: int = CAPACITY, shard_size: int = SHARD, islands: int = ISLANDS, epochs: int = EPOCHS, population: int = POPULATION, children: int = CHILDREN, length_col: str = "length") -> DataFrame:
+                best, born = own.evolve([np.array(e) for e in elites or []], population, children, last)
+                row = (shard, island, lengths, best.astype("i4"), own.fitness(best), born)
+                yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, types, strict=True)], names=ISLAND.names)
+
+    return islands.select("shard", "island", "lengths", "elites").mapInArrow(run, ISLAND)
+
+
+def pack(
+    pieces: DataFrame,
+    capacity: int = CAPACITY,
+    shard_size: int = SHARD,
+    islands: int = ISLANDS,
+    epochs: int = EPOCHS,
+    population: int = POPULATION,
+    children: int = CHILDREN,
+    length_col: str = "length",
+) -> DataFrame:
     """``pieces`` with ``sequence_id`` and ``offset``; lengths are between 1 and ``capacity``."""
-    spark, names = pieces.sparkSession, [c for c in pieces.columns if c not in ("_row", "sequence_id", "offset")]  # these are given anew
-    stored = keep(pieces.select(*[F.col(f"`{c}`") for c in names]).withColumn("_row", F.monotonically_increasing_id()))
-    length, full = F.col(f"`{length_col}`"), F.col(f"`{length_col}`") >= capacity
-    whole = stored.where(full).select(*[F.col(f"`{c}`") for c in names], (-1 - F.col("_row")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    spark = pieces.sparkSession
+    names = [c for c in pieces.columns if c not in ("sequence_id", "offset")]  # these are given anew
+    columns = [F.col(f"_.`{c}`").alias(c) for c in names]
+    stored = keep(pieces.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("_"), F.monotonically_increasing_id().alias("row")))
+    length = F.col(f"_.`{length_col}`")
+    full = length >= capacity
+    whole = stored.where(full).select(*columns, (-1 - F.col("row")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     rest = stored.where(~full)
     shards = max(1, -(-rest.count() // shard_size))
-    dealt = rest.select(F.pmod(F.xxhash64("_row"), F.lit(shards)).alias("shard"), F.struct((-length).cast("int").alias("l"), F.col("_row").alias("r")).alias("item"))
     # a shard holds about shard_size pieces, however many there are in all
-    sorted_shards = keep(dealt.groupBy("shard").agg(F.sort_array(F.collect_list("item")).alias("items")).repartition(max(1, min(shards, spark.sparkContext.defaultParallelism * 4, 10_000))))
+    item = F.struct((-length).cast("int").alias("l"), F.col("row").alias("r"))
+    dealt = rest.select(F.pmod(F.xxhash64("row"), F.lit(shards)).alias("shard"), item.alias("item"))
+    tasks = max(1, min(shards, spark.sparkContext.defaultParallelism * 4, 10_000))
+    sorted_shards = keep(dealt.groupBy("shard").agg(F.sort_array(F.collect_list("item")).alias("items")).repartition(tasks))
     lengths = F.transform("items", lambda x: -x["l"])
-    state = sorted_shards.select("shard", lengths.alias("lengths"), F.explode(F.sequence(F.lit(0), F.lit(islands - 1))).alias("island")).withColumn("elites", F.lit(None).cast("array<array<int>>"))
+    every = F.explode(F.sequence(F.lit(0), F.lit(islands - 1)))
+    none = F.lit(None).cast("array<array<int>>")
+    state = sorted_shards.select("shard", lengths.alias("lengths"), every.alias("island")).withColumn("elites", none)
     for epoch in range(epochs):
         last = epoch == epochs - 1
-        evolved = keep(_epoch(state, epoch, capacity, population, children))
+        evolved = keep(_epoch(state, epoch, last, capacity, population, children))
         if not last:  # an island keeps its elite and gets that of the island before
-            sent = evolved.withColumn("to", F.explode(F.array_distinct(F.array("island", F.pmod(F.col("island") + 1, F.lit(islands))))))
-            state = sent.groupBy("shard", F.col("to").alias("island")).agg(F.first("lengths").alias("lengths"), F.collect_list(F.struct("fitness", "elite")).alias("e")).select("shard", "island", "lengths", F.transform(F.sort_array("e"), lambda x: x["elite"]).alias("elites"))
+            to = F.explode(F.array_distinct(F.array("island", F.pmod(F.col("island") + 1, F.lit(islands)))))
+            met = evolved.select("shard", to.alias("to"), "lengths", F.struct("fitness", "elite").alias("e"))
+            met = met.groupBy("shard", F.col("to").alias("island")).agg(F.first("lengths").alias("lengths"), F.collect_list("e").alias("e"))
+            state = met.select("shard", "island", "lengths", F.transform(F.sort_array("e"), lambda x: x["elite"]).alias("elites"))
     best = evolved.groupBy("shard").agg(F.max_by("elite", F.struct("fitness", "island")).alias("elite"))
-    placed = sorted_shards.join(best.hint("merge"), "shard").select("shard", F.explode(F.arrays_zip(F.col("items"), F.col("elite"))).alias("z")).select(F.col("z.items.r").alias("_row"), (F.col("shard") * F.lit(1 << 24) + F.col("z.elite")).alias("sequence_id"))
-    from pyspark.sql import Window
-
-    before = Window.partitionBy("sequence_id").orderBy("_row").rowsBetween(Window.unboundedPreceding, -1)
-    packed = rest.join(placed.hint("merge"), "_row").withColumn("offset", F.coalesce(F.sum(length).over(before), F.lit(0)).cast("long"))
-    return whole.unionByName(packed.select(*[F.col(f"`{c}`") for c in names], "sequence_id", "offset"))
+    zipped = F.explode(F.arrays_zip(F.col("items"), F.col("elite"))).alias("z")
+    placed = sorted_shards.join(best.hint("merge"), "shard").select("shard", zipped)
+    placed = placed.select(F.col("z.items.r").alias("row"), (F.col("shard") * F.lit(1 << 24) + F.col("z.elite")).alias("sequence_id"))
+    before = Window.partitionBy("sequence_id").orderBy("row").rowsBetween(Window.unboundedPreceding, -1)
+    packed = rest.join(placed.hint("merge"), "row").withColumn("offset", F.coalesce(F.sum(length).over(before), F.lit(0)).cast("long"))
+    return whole.unionByName(packed.select(*columns, "sequence_id", "offset"))
