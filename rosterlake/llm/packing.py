@@ -32,7 +32,7 @@ from .common import holding, keep, map_batches, text_rows
 
 CAPACITY, SHARD, ISLANDS, EPOCHS, POPULATION, CHILDREN = 2048, 4096, 2, 3, 8, 16
 #: Characters that are tokenized together, which bounds a task's memory.
-TEXT_BLOCK = 8 << 20
+TEXT_BLOCK = 3 << 20
 
 PIECES = T.StructType(
     [
@@ -65,7 +65,7 @@ def token_pieces(
     text_col: str = "text",
     end_id: int = 0,
     with_ids: bool = False,
-    cache: int = 600_000,
+    cache: int = 250_000,
 ) -> DataFrame:
     """One row for each piece of each document; ``with_ids`` adds the ids themselves. cache: pre-tokens that a worker remembers."""
 
