@@ -1,157 +1,369 @@
 """Quality by an interpolated modified Kneser-Ney model of character n-grams.
 
-The model is trained on trusted texts. Each task counts the distinct n-grams of its texts before the
-shuffle; the counts of all orders, continuation counts, discounts and back-off weights follow by
-aggregations and joins on n-grams, dealt over the cluster, and give every n-gram that occurs in any
-text its interpolated log-probability. These are joined to the texts shard by shard: a shard of at most
-``shard`` n-grams is sent to the tasks, which add up what their texts hold of it, and sums of shards
-are added by document. A document is kept if its perplexity for each character is at most a quantile
-of the trusted texts in its language.
-
-Characters are folded to 12 bits, so an n-gram of order five is a 60-bit number. Line starts stand in
-front of a text. Defined results: null and empty texts have no perplexity and are kept; a null language
-is a language of its own; a language without trusted texts takes the quantile of all trusted texts;
-without any, everything is kept; repeated rows are counted and scored each; repeated labels of one id
-are trusted if any is; an empty table gives an empty result.
+The model is fitted on trusted texts, but for every fourth (by a hash of the id), which set the thresholds.
+Each task counts the distinct n-grams of its texts before the shuffle; counts of all orders, continuation
+counts, discounts and back-off weights follow by aggregations and joins on distinct n-grams, and give every
+n-gram that occurs in any text its interpolated log-probability. No join is on a constant: the lowest
+order's history is one row, and those of higher orders have at most as many n-grams as there are characters.
+
+Documents meet the probabilities by sharded count joins. Texts are stored in blocks of a few million
+characters. A block asks each shard of the table for the distinct n-grams that it holds, as one compressed
+list; the shard answers with their log-probabilities, and the block adds up its documents' occurrences.
+A text that is longer than a block is several pieces whose sums meet by row. Neither n-grams nor texts
+pass through the driver, and nothing depends on how many shards there are.
+
+A document is kept if its perplexity for each character is at most its language's quantile of the trusted
+texts that were kept apart. N-grams are whole code points; line starts stand in front of a text. Defined
+results: null and empty texts have no perplexity and are kept; a null language is a language of its own; a
+language without such texts takes the quantile of all of them; without any, everything is kept; repeated
+rows are counted and scored each, rows without an id too; repeated labels of one id are trusted if any is;
+an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import zstandard
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import keep, text_rows
+from .common import file_system, keep, shared_dir
+from .suffix_dedup import _MIX, mix
+
+ORDER, QUANTILE = 5, 0.99
+#: Characters of a block, n-grams of a shard, and n-grams that one task answers.
+BLOCK, SHARD, ANSWERS = 8_000_000, 1_000_000, 50_000_000
+#: Up to so many trusted ids (of at most a few dozen bytes) are sent to every task; more are joined by a shuffle.
+SENT_IDS = 1_000_000
+SENT_LANGUAGES = 100_000
+
+
+def points_of(texts: list[str]) -> np.ndarray:
+    return np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), "<u4")
+
+
+class Grams:
+    """The n-grams of some texts: ``distinct`` (n-gram by code point, in order) and ``occurring``, a number for each window."""
 
-ORDER, BITS, SHARD, QUANTILE, SLACK = 5, 12, 4_000_000, 0.99, 1.15
+    def __init__(self, texts: list[str], order: int):
+        points = points_of(texts)
+        there = np.zeros(0x110000, bool)
+        there[points] = True
+        alphabet = np.flatnonzero(there).astype("<u4")
+        rank = np.zeros(0x110000, np.int64)
+        rank[alphabet] = np.arange(len(alphabet))
+        local = rank[points]
+        lengths = np.array([len(t) for t in texts])
+        ends = np.cumsum(lengths)
+        windows = np.ones(len(points), bool)  # those that start in a text's last order - 1 characters are none
+        for k in range(1, order):
+            windows[ends - k] = False
+        self.starts = np.flatnonzero(windows)
+        self.sizes = lengths - (order - 1)
+        code, top = local[self.starts], len(alphabet)
+        for k in range(1, order):
+            if top * len(alphabet) >= 1 << 62:  # many characters: number what is there so far
+                names, code = np.unique(code, return_inverse=True)
+                top = len(names)
+            code = code * len(alphabet) + local[self.starts + k]
+            top *= len(alphabet)
+        self.codes = code
+        self.names = np.unique(code)
+        first = np.zeros(len(self.names), np.int64)
+        self.index = pd.Index(self.names)
+        first[self.occurring()] = self.starts
+        self.distinct = points[first[:, None] + np.arange(order)]
 
+    def occurring(self) -> np.ndarray:
+        """The number, among the distinct n-grams, of each window."""
+        return self.index.get_indexer(self.codes)
 
-def codes(text: str, order: int = ORDER) -> np.ndarray:
-    """The n-gram that ends at each character."""
-    points = np.frombuffer(("\n" * (order - 1) + text).encode("utf-32-le", "replace"), np.uint32).astype(np.int64) & ((1 << BITS) - 1)
-    out = np.zeros(len(points) - order + 1, np.int64)
-    for k in range(order):
-        out = (out << BITS) | points[k : len(points) - order + 1 + k]
+
+def gram_keys(grams: np.ndarray, seed: int = 0) -> np.ndarray:
+    """64 bits of each n-gram."""
+    out = np.full(len(grams), seed, np.uint64)
+    for k in range(grams.shape[1]):
+        out = mix(out * _MIX + grams[:, k].astype(np.uint64) + np.uint64(1))
     return out
 
 
-def counted(texts: DataFrame, order: int) -> DataFrame:
-    """``(g, n)``: each n-gram that a text holds, with its count in trusted texts. texts: (id, text, trusted)."""
+def gram_texts(grams: np.ndarray) -> list[str]:
+    order, joined = grams.shape[1], np.ascontiguousarray(grams).tobytes().decode("utf-32-le", "surrogatepass")
+    return [joined[at : at + order] for at in range(0, len(joined), order)]
+
+
+def press(grams: np.ndarray) -> bytes:
+    """Sorted n-grams, compressed column by column."""
+    return zstandard.ZstdCompressor(level=3).compress(np.ascontiguousarray(grams.T).tobytes())
+
+
+def unpress(raw: bytes, order: int) -> np.ndarray:
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(raw), "<u4").reshape(order, -1).T
+
+
+def spread(texts: DataFrame) -> DataFrame:
+    """Texts compressed, to be moved."""
+    schema = T.StructType([f for f in texts.schema.fields if f.name != "text"] + [T.StructField("raw", T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        grams, sums = np.empty(0, np.int64), np.empty(0, np.int64)
-        held: list[tuple[np.ndarray, bool]] = []
-        size = 0
-
-        def settle() -> None:
-            nonlocal grams, sums, held, size
-            all_codes = np.concatenate([grams, *(c for c, _ in held)])
-            weights = np.concatenate([sums, *(np.full(len(c), int(t), np.int64) for c, t in held)])
-            grams, back = np.unique(all_codes, return_inverse=True)
-            sums = np.bincount(back, weights, len(grams)).astype(np.int64)
-            held, size = [], 0
+        pack = zstandard.ZstdCompressor(level=3)
+        for batch in batches:
+            raw = [pack.compress(t.encode("utf-8", "surrogatepass")) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in schema.names[:-1]), pa.array(raw, pa.binary())], names=schema.names)
 
+    return texts.mapInArrow(run, schema)
+
+
+def marked(texts: DataFrame, trusted: DataFrame, sent: int = SENT_IDS) -> DataFrame:
+    """Texts (id, lang, text) with ``trusted``; trusted: (id) once each, stored."""
+    flags = trusted.withColumn("trusted", F.lit(True))
+    flag = F.coalesce("trusted", F.lit(False)).alias("trusted")
+    if trusted.count() <= sent:
+        return texts.join(F.broadcast(flags), "id", "left").select("id", "lang", "text", flag)
+    moved = spread(texts.where("id is not null")).join(flags.hint("merge"), "id", "left").select("id", "lang", "raw", flag)
+    return moved.unionByName(spread(texts.where("id is null")).select("id", "lang", "raw", F.lit(False).alias("trusted")))
+
+
+def stored_blocks(texts: DataFrame, order: int, block: int) -> DataFrame:
+    """Pieces ``(block, row, id, lang, trusted, n, raw)`` of texts: n characters behind order - 1 others, compressed."""
+    has_text = "text" in texts.columns
+    schema = T.StructType(
+        [T.StructField("block", T.LongType()), T.StructField("row", T.LongType())]
+        + [texts.schema[c] for c in ("id", "lang", "trusted")]
+        + [T.StructField("n", T.LongType()), T.StructField("raw", T.BinaryType())]
+    )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack, unpack = zstandard.ZstdCompressor(level=3), zstandard.ZstdDecompressor()
+        number = row = TaskContext.get().partitionId() << 33
+        filled, step = 0, max(1, block // 2)
         for whole in batches:
-            for text, trusted in zip(whole.column("text").to_pylist(), whole.column("trusted").to_pylist(), strict=True):
-                if text:
-                    held.append((codes(text, order), trusted))
-                    size += len(text)
-                if size > 2_000_000:
-                    settle()
-                    if len(grams) > 4_000_000:  # a task's memory stays bounded; the shuffle adds what is split here
-                        yield pa.RecordBatch.from_arrays([pa.array(grams), pa.array(sums)], names=["g", "n"])
-                        grams, sums = grams[:0], sums[:0]
-        if held:
-            settle()
-        if len(grams):
-            yield pa.RecordBatch.from_arrays([pa.array(grams), pa.array(sums)], names=["g", "n"])
-
-    return texts.mapInArrow(run, "g long, n long").groupBy("g").agg(F.sum("n").alias("n"))
+            for at in range(0, whole.num_rows, 512):
+                batch, take, out = whole.slice(at, 512), [], []
+                for k, held in enumerate(batch.column(3).to_pylist()):
+                    text = held if has_text else unpack.decompress(held).decode("utf-8", "surrogatepass")
+                    text = "\n" * (order - 1) + text
+                    for begin in range(0, max(1, len(text) - order + 1), step):
+                        piece = text[begin : begin + step + order - 1]
+                        out.append((number, row, len(piece) - order + 1, pack.compress(piece.encode("utf-8", "surrogatepass"))))
+                        take.append(k)
+                        filled += len(piece)
+                        if filled >= step:
+                            number, filled = number + 1, 0
+                    row += 1
+                kept = [batch.column(c).take(pa.array(take, pa.int64())) for c in ("id", "lang", "trusted")]
+                numbers = [pa.array(c, pa.int64()) for c in zip(*(o[:3] for o in out), strict=True)]
+                yield pa.RecordBatch.from_arrays([*numbers[:2], *kept, numbers[2], pa.array([o[3] for o in out], pa.binary())], names=schema.names)
+
+    return texts.select("id", "lang", "trusted", "text" if has_text else "raw").mapInArrow(run, schema)
+
+
+def by_block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows of each block, which follow one another."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        numbers = batch.column("block").to_numpy()
+        cuts = [0, *(np.flatnonzero(numbers[1:] != numbers[:-1]) + 1).tolist(), len(numbers)]
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            if held and b > a and held[0].column("block")[0].as_py() != numbers[a]:
+                yield pa.Table.from_batches(held).combine_chunks()
+                held = []
+            if b > a:
+                held.append(batch.slice(a, b - a))
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+def texts_of(part: pa.Table) -> list[str]:
+    unpack = zstandard.ZstdDecompressor()
+    return [unpack.decompress(raw).decode("utf-8", "surrogatepass") for raw in part.column("raw").to_pylist()]
+
+
+def counted(stored: DataFrame, order: int) -> DataFrame:
+    """``(g, n)``: each n-gram that a text holds, with its count in texts to fit on."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in by_block(batches):
+            grams = Grams(texts_of(part), order)
+            if not len(grams.names):
+                continue
+            fit = np.repeat(part.column("fit").to_numpy(), grams.sizes)
+            n = np.bincount(grams.index.get_indexer(grams.codes[fit]), minlength=len(grams.names))
+            yield pa.RecordBatch.from_arrays([pa.array(gram_texts(grams.distinct), pa.string()), pa.array(n.astype(np.int64))], names=["g", "n"])
+
+    return stored.select("block", "fit", "raw").mapInArrow(run, "g string, n long").groupBy("g").agg(F.sum("n").alias("n"))
 
 
 def log_probabilities(grams: DataFrame, order: int) -> DataFrame:
-    """``(g, logp)`` for every n-gram: interpolated modified Kneser-Ney, down to a uniform start."""
-    seen = grams.where("n > 0")
-    levels = {order: keep(seen)}
+    """``(g, logp)`` for every n-gram (g, n): interpolated modified Kneser-Ney, down to a uniform start."""
+
+    def tail(k: int) -> Column:
+        return F.substring("g", 2, k)  # without the first of k + 1 characters
+
+    levels = {order: keep(grams.where("n > 0"))}
+    every = {order: grams.select("g")}
     for k in range(order - 1, 0, -1):  # a lower order counts what stands in front
-        levels[k] = keep(levels[k + 1].groupBy(F.col("g").bitwiseAND(F.lit((1 << BITS * k) - 1)).alias("g")).agg(F.count("*").alias("n")))
-    out = grams.select("g").withColumn("p", F.lit(1.0 / (1 << BITS)))
+        levels[k] = keep(levels[k + 1].groupBy(tail(k).alias("g")).agg(F.count("*").alias("n")))
+        every[k] = keep(every[k + 1].select(tail(k).alias("g")).distinct())
+    lower = None
     for k in range(1, order + 1):
-        level = levels[k]
-        counts = {r["n"]: r["count"] for r in level.where("n <= 4").groupBy("n").count().collect()}  # four numbers
+        counts = {r["n"]: r["count"] for r in levels[k].where("n <= 4").groupBy("n").count().collect()}  # four numbers
         n1, n2, n3, n4 = (counts.get(i, 0) for i in (1, 2, 3, 4))
         y = n1 / (n1 + 2 * n2) if n1 else 0.5
         d1, d2, d3 = (min(i, max(0.0, i - (i + 1) * y * b / a)) if a else 0.5 * y for i, a, b in ((1, n1, n2), (2, n2, n3), (3, n3, n4)))
         discount = F.when(F.col("n") == 1, F.lit(d1)).when(F.col("n") == 2, F.lit(d2)).otherwise(F.lit(d3))
-        history = level.groupBy(F.shiftrightunsigned("g", BITS).alias("h")).agg(F.sum("n").alias("total"), F.sum(discount).alias("mass"))
-        key = F.col("g").bitwiseAND(F.lit((1 << BITS * k) - 1))
-        out = out.withColumn("k", key).withColumn("h", F.shiftrightunsigned(key, BITS))
-        out = out.join(level.select(F.col("g").alias("k"), "n").hint("shuffle_hash"), "k", "left").join(history.hint("shuffle_hash"), "h", "left")
+        out = every[k].join(levels[k].hint("merge"), "g", "left")
+        sums = [F.sum("n").alias("total"), F.sum(discount).alias("mass")]
+        if k == 1:  # one history
+            start = levels[1].agg(*sums).first()
+            out = out.withColumn("p", F.lit(1.0 / max(1, every[1].count())))
+            out = out.withColumn("total", F.lit(start["total"]).cast("long")).withColumn("mass", F.lit(start["mass"]).cast("double"))
+        else:  # a history, and a lower n-gram, has at most as many n-grams as there are characters
+            history = levels[k].groupBy(F.substring("g", 1, k - 1).alias("h")).agg(*sums)
+            out = out.withColumn("h", F.substring("g", 1, k - 1)).join(history.hint("merge"), "h", "left")
+            out = out.withColumn("t", tail(k - 1)).join(lower.select(F.col("g").alias("t"), "p").hint("merge"), "t")
         found = F.coalesce((F.col("n") - discount) / F.col("total"), F.lit(0.0))
-        out = keep(out.select("g", F.when(F.col("total").isNull(), F.col("p")).otherwise(found + F.col("mass") / F.col("total") * F.col("p")).alias("p")))
-    return out.select("g", F.log("p").alias("logp"))
+        p = F.when(F.col("total").isNull(), F.col("p")).otherwise(found + F.col("mass") / F.col("total") * F.col("p"))
+        lower = keep(out.select("g", p.alias("p")))
+    return lower.select("g", F.log("p").alias("logp"))
+
+
+ASK = "shard int, part int, block long, grams binary, logp binary"
+
+
+def asked(stored: DataFrame, order: int, shards: int, parts: int) -> DataFrame:
+    """What each block asks each shard: its distinct n-grams there."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in by_block(batches):
+            grams, number = Grams(texts_of(part), order).distinct, part.column("block")[0].as_py()
+            own = (gram_keys(grams, 1) % np.uint64(shards)).astype(np.int64)
+            rows = [(s, number % parts, number, press(grams[own == s]), None) for s in np.unique(own).tolist()]
+            if rows:
+                types = [pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=["shard", "part", "block", "grams", "logp"])
+
+    return stored.select("block", "raw").mapInArrow(run, ASK)
+
+
+def dealt(table: DataFrame, order: int, shards: int, parts: int) -> DataFrame:
+    """The table (g, logp) by shard, once for each part, in rows of many n-grams without a block."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            grams = points_of(batch.column("g").to_pylist()).reshape(-1, order)
+            logp = batch.column("logp").to_numpy().astype("<f8")
+            own = (gram_keys(grams, 1) % np.uint64(shards)).astype(np.int64)
+            for s in np.unique(own).tolist():
+                at = np.flatnonzero(own == s)
+                row = (press(grams[at]), zstandard.compress(logp[at].tobytes()))
+                columns = [pa.array([s] * parts, pa.int32()), pa.array(range(parts), pa.int32()), pa.nulls(parts, pa.int64())]
+                yield pa.RecordBatch.from_arrays([*columns, *(pa.array([x] * parts, pa.binary()) for x in row)], names=["shard", "part", "block", "grams", "logp"])
+
+    return table.select("g", "logp").mapInArrow(run, ASK)
+
+
+def answered(rows: DataFrame, order: int) -> DataFrame:
+    """``(block, shard, logp)`` for rows that lie sorted by shard and part, the table's first."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        inflate = zstandard.ZstdDecompressor().decompress
+        at, found, grams, logp = None, None, [], []
+        for batch in batches:
+            for shard, part, block, raw, values in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (shard, part) != at:
+                    at, found, grams, logp = (shard, part), None, [], []
+                if block is None:
+                    grams.append(unpress(raw, order))
+                    logp.append(np.frombuffer(inflate(values), "<f8"))
+                    continue
+                if found is None:
+                    known, value, seed = np.concatenate(grams), np.concatenate(logp), 2
+                    while not (found := pd.Index(gram_keys(known, seed))).is_unique:
+                        seed += 1
+                mine = unpress(raw, order)
+                place = found.get_indexer(gram_keys(mine, seed))
+                if (known[place] != mine).any():
+                    raise RuntimeError("an n-gram is not in the table")
+                reply = zstandard.compress(value[place].astype("<f4").tobytes())
+                yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([shard], pa.int32()), pa.array([reply], pa.binary())], names=["block", "shard", "logp"])
+
+    return rows.select("shard", "part", "block", "grams", "logp").mapInArrow(run, "block long, shard int, logp binary")
+
+
+def added_up(stored: DataFrame, folder: str, order: int, shards: int) -> DataFrame:
+    """``(row, id, lang, trusted, n, logp)`` of each piece; a block reads the answers that are its own."""
+    schema = T.StructType([stored.schema[c] for c in ("row", "id", "lang", "apart", "n")] + [T.StructField("logp", T.DoubleType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import pyarrow.parquet as pq
+
+        system, place = file_system(folder)
+        inflate = zstandard.ZstdDecompressor().decompress
+        for part in by_block(batches):
+            grams = Grams(texts_of(part), order)
+            sums = np.zeros(part.num_rows)
+            if len(grams.names):
+                answer = pq.read_table(f"{place}/block={part.column('block')[0].as_py()}", filesystem=system, partitioning=None)
+                own = (gram_keys(grams.distinct, 1) % np.uint64(shards)).astype(np.int64)
+                logp = np.zeros(len(own))
+                for s, raw in zip(answer.column("shard").to_pylist(), answer.column("logp").to_pylist(), strict=True):
+                    logp[own == s] = np.frombuffer(inflate(raw), "<f4")
+                rows = np.repeat(np.arange(part.num_rows), grams.sizes)
+                sums = np.bincount(rows, logp[grams.occurring()], part.num_rows)
+            yield pa.RecordBatch.from_arrays([*(part.column(c).combine_chunks() for c in schema.names[:-1]), pa.array(sums)], names=schema.names)
 
+    return stored.select("block", "raw", *schema.names[:-1]).mapInArrow(run, schema)
 
-def perplexities(texts: DataFrame, table: DataFrame, order: int, shard: int = SHARD) -> DataFrame:
-    """``(id, lang, n, logp)`` of every row of texts (id, lang, text), adding up the shards.
 
-    Sums of shards meet by id, language and 128 bits of the text; equal rows have equal sums and are told by their count.
-    """
-    spark = texts.sparkSession
+def classify(
+    docs: DataFrame,
+    labels: DataFrame,
+    quantile: float = QUANTILE,
+    order: int = ORDER,
+    block: int = BLOCK,
+    shard: int = SHARD,
+    sent: int = SENT_IDS,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    lang_col: str = "lang",
+    label_col: str = "quality",
+) -> DataFrame:
+    """``(id, lang, n_chars, perplexity, threshold, kept)`` of every row."""
+    spark = docs.sparkSession
+    id_type = docs.schema[id_col].dataType
+    good = labels.where((F.col(f"`{label_col}`") > 0) & F.col(f"`{id_col}`").isNotNull())
+    trusted = keep(good.select(F.col(f"`{id_col}`").cast(id_type).alias("id")).distinct())
+    texts = docs.select(
+        F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{lang_col}`"), F.lit("")).alias("lang"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text")
+    )
+    stored = keep(stored_blocks(marked(texts, trusted, sent), order, block))
+    apart = F.col("trusted") & (F.pmod(F.crc32(F.col("id").cast("string").cast("binary")), F.lit(4)) == 2)
+    stored = stored.withColumn("apart", F.coalesce(apart, F.lit(False))).withColumn("fit", F.col("trusted") & ~F.col("apart"))
+    table = log_probabilities(keep(counted(stored, order)), order)
     size = table.count()
+    chars = stored.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     shards = max(1, -(-size // shard))
-    schema = T.StructType([texts.schema["id"], texts.schema["lang"], T.StructField("h1", T.LongType()), T.StructField("h2", T.LongType()), T.StructField("n", T.LongType()), T.StructField("logp", T.DoubleType())])
-    texts = texts.select("id", "lang", "text", F.xxhash64("text").alias("h1"), F.xxhash64(F.lit(1), "text").alias("h2"))
-    parts = []
-    for s in range(shards):
-        rows = table.where(F.pmod(F.xxhash64("g"), F.lit(shards)) == s).toArrow()  # at most about `shard` rows of 16 bytes
-        g, p = rows.column("g").to_numpy(), rows.column("logp").to_numpy()
-        sort = np.argsort(g)
-        shared = spark.sparkContext.broadcast((g[sort], p[sort].astype(np.float32)))
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            grams, logp = shared.value
-            for whole in batches:
-                for at in range(0, whole.num_rows, 256):
-                    batch = whole.slice(at, 256)
-                    listed = [codes(t, order) if t else np.empty(0, np.int64) for t in batch.column("text").to_pylist()]
-                    sizes = np.array([len(c) for c in listed])
-                    sums = np.zeros(len(listed))
-                    if sizes.sum() and len(grams):
-                        distinct, back = np.unique(np.concatenate(listed), return_inverse=True)
-                        place = np.minimum(np.searchsorted(grams, distinct), len(grams) - 1)
-                        value = np.where(grams[place] == distinct, logp[place].astype(float), 0.0)
-                        own = np.repeat(np.arange(len(listed)), sizes)
-                        sums = np.bincount(own, value[back], len(listed))
-                    yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("id", "lang", "h1", "h2")), pa.array(sizes.astype(np.int64)), pa.array(sums)], names=schema.names)
-
-        parts.append(texts.mapInArrow(run, schema))
-    out = parts[0]
-    for other in parts[1:]:
-        out = out.unionByName(other)
-    if shards == 1:
-        return out.drop("h1", "h2")
-    rows = (F.count("*") / shards).cast("long")  # each row has one sum in each shard
-    summed = out.groupBy("id", "lang", "h1", "h2", "n").agg(F.sum("logp").alias("logp"), rows.alias("rows"))
-    return summed.select("id", "lang", "n", (F.col("logp") / F.col("rows")).alias("logp"), F.explode(F.sequence(F.lit(1), F.col("rows").cast("int"))).alias("copy")).drop("copy")
-
-
-def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, slack: float = SLACK, order: int = ORDER, shard: int = SHARD, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", label_col: str = "quality") -> DataFrame:
-    """``(id, lang, n_chars, perplexity, threshold, kept)``; the threshold is ``slack`` times the language's quantile."""
-    trusted = keep(labels.where((F.col(f"`{label_col}`") > 0) & F.col(f"`{id_col}`").isNotNull()).select(F.col(f"`{id_col}`").alias("id")).distinct())
-    texts = text_rows(docs, id_col, text_col, lang_col).withColumn("lang", F.coalesce(F.col(f"`{lang_col}`"), F.lit(""))).select("id", "lang", "text")
-    marked = texts.select("id", "text").join(trusted.withColumn("t", F.lit(True)).hint("merge"), "id", "left").select("text", F.coalesce("t", F.lit(False)).alias("trusted"))
-    grams = keep(counted(marked, order))
-    table = log_probabilities(grams, order)
-    scored = keep(perplexities(texts, table, order, shard).withColumn("perplexity", F.when(F.col("n") > 0, F.exp(-F.col("logp") / F.col("n")))))
-    known = scored.where("perplexity is not null").join(trusted.hint("merge"), "id", "left_semi")
-    by_lang = known.groupBy("lang").agg(F.percentile_approx("perplexity", quantile, 10_000).alias("q"))
-    overall = known.agg(F.percentile_approx("perplexity", quantile, 10_000).alias("q_all"))
-    limits = by_lang.select("lang", (F.col("q") * slack).alias("threshold"))  # as many rows as languages
-    whole = overall.first()["q_all"]  # one number
-    joined = scored.join(limits.hint("merge"), "lang", "left").withColumn("threshold", F.coalesce("threshold", F.lit(None if whole is None else whole * slack).cast("double")))
+    parts = max(1, int(chars // (20 * shards * ANSWERS)))  # a block holds at most about a twentieth of its characters as distinct n-grams
+    rows = asked(stored, order, shards, parts).unionByName(dealt(table, order, shards, parts))
+    rows = rows.repartition("shard", "part").sortWithinPartitions("shard", "part", F.col("block").asc_nulls_first())
+    folder = f"{shared_dir(spark).rstrip('/')}/answers-{uuid.uuid4().hex}"
+    answered(rows, order).repartition("block").write.partitionBy("block").parquet(folder)
+    pieces = added_up(stored, folder, order, shards)
+    same = [F.first(c).alias(c) for c in ("id", "lang", "apart")]
+    scored = keep(pieces.groupBy("row").agg(*same, F.sum("n").alias("n"), F.sum("logp").alias("logp")))
+    scored = scored.withColumn("perplexity", F.when(F.col("n") > 0, F.exp(-F.col("logp") / F.col("n"))))
+    known = scored.where("perplexity is not null and apart")
+    at = F.percentile_approx("perplexity", quantile, 10_000)
+    whole = known.agg(at).first()[0]  # one number
+    limits = keep(known.groupBy("lang").agg(at.alias("threshold")))
+    limits = F.broadcast(limits) if limits.count() <= SENT_LANGUAGES else limits.hint("merge")
+    joined = scored.join(limits, "lang", "left").withColumn("threshold", F.coalesce("threshold", F.lit(whole).cast("double")))
     return joined.select("id", "lang", F.col("n").alias("n_chars"), "perplexity", "threshold", F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(True)).alias("kept"))

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import keep, shared_dir
+from .common import file_system, keep, shared_dir
 
 MAGIC = b"\x1f\x8b\x08"
 LEAST_BYTES, SPLIT = 100, 4 << 20
@@ -49,13 +49,6 @@ def record(page_id: int, url: str, payload: bytes, refers_to: int | None, digest
     return deflate.compress(head.encode() + block + b"\r\n\r\n") + deflate.flush()
 
 
-def file_system(folder: str):
-    """Arrow's view of a shared folder, by its scheme."""
-    from pyarrow import fs
-
-    return fs.FileSystem.from_uri(folder if "://" in folder else folder.replace("file:", "file://", 1) if folder.startswith("file:") else f"file://{folder}")
-
-
 def plan_records(pages: DataFrame, least_bytes: int = LEAST_BYTES, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """``(id, url, payload, digest, refers_to)``: which pages are responses and which revisit another."""
     rows = pages.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.coalesce(F.col(f"`{url_col}`"), F.lit("")).alias("url"), F.encode(F.coalesce(F.col(f"`{html_col}`"), F.lit("")), "UTF-8").alias("payload"))

@@ -386,58 +386,64 @@ def test_warc(spark):
     assert none.count() == 0 and warc.read_records(none, folder).count() == 0
 
 
+def plain_kneser_ney(fit, every, order):
+    """The log-probability of an n-gram, written down from the definition."""
+
+    def grams(text):
+        text = "\n" * (order - 1) + text
+        return [text[k : k + order] for k in range(len(text) - order + 1)]
+
+    levels = {order: Counter(g for t in fit for g in grams(t))}
+    for k in range(order - 1, 0, -1):
+        levels[k] = Counter(g[1:] for g in levels[k + 1])
+    characters = len({g[-1] for t in every for g in grams(t)})
+
+    def p(g):
+        if not g:
+            return 1 / characters
+        below, c = p(g[1:]), levels[len(g)]
+        n = Counter(c.values())
+        y = n[1] / (n[1] + 2 * n[2]) if n[1] else 0.5
+        d = [0] + [min(i, max(0.0, i - (i + 1) * y * n[i + 1] / n[i])) if n[i] else 0.5 * y for i in (1, 2, 3)]
+        seen = {x: m for x, m in c.items() if x[:-1] == g[:-1]}
+        if not seen:
+            return below
+        total = sum(seen.values())
+        return ((c[g] - d[min(3, c[g])]) / total if c[g] else 0) + sum(d[min(3, m)] for m in seen.values()) / total * below
+
+    return lambda text: [np.log(p(g)) for g in grams(text)]
+
+
 def test_kneser_ney(spark, odd, empty):
-    from rosterlake.llm.kneser_ney import classify, codes, counted, log_probabilities
+    from rosterlake.llm.kneser_ney import classify
 
     rng = random.Random(9)
-    texts = ["".join(rng.choice("ab") + rng.choice("xy") for _ in range(40)) for _ in range(60)]
-    marked = spark.createDataFrame([(t, k % 2 == 0) for k, t in enumerate(texts)], "text string, trusted boolean")
+    rows = [(k, "".join(rng.choice("ab漢") + rng.choice("xy字") for _ in range(rng.randint(1, 30))), "en" if k % 3 else None) for k in range(48)]
+    rows += [(100, "QQQQ!!!! ZZZZ???? " * 20, "en"), (101, None, "en"), (102, "", None), (103, "xx", "only here")]
+    rows += [rows[0], rows[0], (0, "another text of row 0", "en"), (None, rows[1][1], "en"), (None, rows[1][1], "en"), (None, "QQ", "en")]
+    good = {k for k in range(48) if k % 2 == 0}
+    apart = {k for k in good if zlib.crc32(str(k).encode()) % 4 == 2}
+    docs = spark.createDataFrame([(d, t, lang, "s", 1, "x", 3) for d, t, lang in rows], DOCS)
+    labels = spark.createDataFrame([(k, int(k in good), 0) for k in range(48)] + [(None, 1, 1), (100, 0, 0), (2, 1, 1), (2, 0, 0)], "doc_id long, quality int, toxic int")
+    texts = [(d, t or "", lang or "") for d, t, lang in rows]
     for order in (2, 3):
-        got = {r.g: r.logp for r in log_probabilities(counted(marked, order), order).collect()}
-        levels = {order: Counter(g for t in texts[::2] for g in codes(t, order).tolist())}
-        for k in range(order - 1, 0, -1):
-            levels[k] = Counter(g & ((1 << 12 * k) - 1) for g in levels[k + 1])
-
-        def p(g, k):
-            if k == 0:
-                return 1 / 4096
-            below, c = p(g & ((1 << 12 * (k - 1)) - 1), k - 1), levels[k]
-            n = Counter(c.values())
-            y = n[1] / (n[1] + 2 * n[2]) if n[1] else 0.5
-            d = [0] + [min(i, max(0.0, i - (i + 1) * y * n[i + 1] / n[i])) if n[i] else 0.5 * y for i in (1, 2, 3)]
-            seen = {x: m for x, m in c.items() if x >> 12 == g >> 12}
-            if not seen:
-                return below
-            total = sum(seen.values())
-            return ((c[g] - d[min(3, c[g])]) / total if c[g] else 0) + sum(d[min(3, m)] for m in seen.values()) / total * below
-
-        assert all(abs(np.exp(v) - p(g, order)) < 1e-9 for g, v in got.items())
-        history = next(iter(levels[order])) >> 12
-        assert abs(sum(p((history << 12) | w, order) for w in range(4096)) - 1) < 1e-6
-    rows = [(k, t, "en" if k % 3 else None, "s", 1, None, None) for k, t in enumerate(texts)] + [(100, "QQQQ!!!! ZZZZ???? " * 20, "en", "s", 1, None, None), (101, None, "en", "s", 1, None, None)]
-    docs = spark.createDataFrame(rows, DOCS)
-    labels = spark.createDataFrame([(k, int(k % 2 == 0), 0) for k in range(60)] + [(None, 1, 1), (100, 0, 0)], "doc_id long, quality int, toxic int")
-    one = {r.id: r for r in classify(docs, labels).collect()}
-    assert not one[100].kept and one[101].kept and one[101].perplexity is None and sum(r.kept for r in one.values()) >= 58
-    many = {r.id: r for r in classify(docs, labels, shard=50).collect()}  # several shards give the same sums
-    assert all(abs((many[k].perplexity or 0) - (one[k].perplexity or 0)) < 1e-3 for k in one)
+        score = plain_kneser_ney([t for d, t, _ in texts if d in good - apart], [t for _, t, _ in texts if t], order)
+        plain = [(d, t, lang, float(np.exp(-np.mean(score(t)))) if t else None) for d, t, lang in texts]
+
+        def quantile(values):
+            return sorted(values)[max(0, int(np.ceil(0.7 * len(values))) - 1)]
+
+        held = [(lang, p) for d, _, lang, p in plain if d in apart and p is not None]
+        limits = {lang: quantile([p for x, p in held if x == lang]) for lang in {x for x, _ in held}}
+        expected = sorted((d is None, d, lang, len(t), p and f'{p:.4g}', f'{limits.get(lang, quantile([p for _, p in held])):.4g}') for d, t, lang, p in plain)
+        for settings in ({}, {"shard": 20, "block": 40}, {"sent": 0, "shard": 50}):
+            got = classify(docs, labels, order=order, quantile=0.7, **settings).collect()
+            assert sorted((r.id is None, r.id, r.lang, r.n_chars, r.perplexity and f'{r.perplexity:.4g}', f'{r.threshold:.4g}') for r in got) == expected
+            assert all(r.kept == (r.perplexity is None or r.perplexity <= r.threshold) for r in got)
+            assert not any(r.kept for r in got if r.id == 100)
     assert classify(odd, labels.limit(0)).where("not kept").count() == 0 and classify(empty, labels).count() == 0
 
 
-def test_kneser_ney_repeated_rows_over_shards(spark):
-    from rosterlake.llm.kneser_ney import classify
-
-    rng = random.Random(3)
-    texts = ["".join(rng.choice("ab") + rng.choice("xy") for _ in range(40)) for _ in range(30)]
-    rows = [(k, t, "en", "s", 1, None, None) for k, t in enumerate(texts)]
-    rows += rows[:3] * 2 + [(None, t, "en", "s", 1, None, None) for t in texts[:8]] + [(None, texts[0], "en", "s", 1, None, None), (None, None, None, "s", 1, None, None), (None, "", None, "s", 1, None, None)]
-    docs = spark.createDataFrame(rows, DOCS)
-    labels = spark.createDataFrame([(k, 1, 0) for k in range(0, 30, 2)], "doc_id long, quality int, toxic int")
-    told = lambda shard: sorted((r.id is None, r.id or 0, r.lang, r.n_chars, f"{r.perplexity or 0:.3f} {r.threshold:.3f}", r.kept) for r in classify(docs, labels, shard=shard).collect())
-    one = told(4_000_000)
-    assert len(one) == len(rows) and told(50) == one
-
-
 def brute_passages(rows, n):
     seen, marks = {}, defaultdict(set)
     for doc, text in sorted({(d, t) for d, t in rows if t and d is not None}):
