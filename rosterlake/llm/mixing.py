@@ -1,40 +1,50 @@
 """Mixing sources to target weights: iterative proportional fitting on token weights, in DataFrame functions only.
 
-Documents fall into cells of source, language and topic. Each cell starts with its tokens as weight;
-sweeps rake the weights to the target marginals of each dimension in turn. A document's probability is
-its cell's weight over its cell's tokens, scaled to a token budget and capped at one, the surplus going
-to the other cells. A document is drawn if a hash of its id, a number in [0, 1), is below that.
-
-The cells are aggregated before anything else, so a hot source is a few partial sums. Up to
-``one_task`` cells are raked in one task without a shuffle; more are raked by the same windows, dealt
-by dimension.
-
-Defined results: null sources, languages and texts are categories or texts of their own ("" each);
-texts without words weigh one token; rows with the same id share their fate; an empty table gives an
-empty result; a cell without target weight is left out.
+Documents fall into cells of source, language and topic. Each cell starts with its tokens as weight; sweeps
+rake the weights to the target marginals of each dimension in turn, in tokens of the budget, and hold a cell
+at what it has. A document's probability is its cell's weight over its cell's tokens. A document is drawn if
+a hash of its id, a number in [0, 1), is below that. ``marginals`` compares what was drawn with the targets.
+
+A target gives shares to values of a dimension; values without a share take what is left in proportion to a
+power of their tokens (under 1, so that small ones gain). Where cells have too few tokens for their share,
+they are taken whole and the mixture holds fewer tokens than the budget.
+
+The cells are aggregated before anything else, so a hot source is a few partial sums. Up to ``ONE_TASK``
+cells are raked in one task without a shuffle; more are raked by the same windows, dealt by dimension.
+
+Defined results: null sources, languages and texts are categories or texts of their own ("" each); texts
+without words weigh one token; rows with the same id share their fate; rows without an id are drawn by a
+hash of their text; an empty table gives an empty result; a cell without target weight is left out.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import keep
 
 DIMENSIONS = ("source", "lang", "topic")
-#: A document's topic is the word of this list that it holds most often as a part of words, the first on ties.
-TOPICS = ("th", "en", "on", "er")
-TEMPER, SWEEPS, BUDGET, ONE_TASK = 0.5, 8, 0.6, 100_000
-
-
-def topic_of(text: Column, topics: tuple[str, ...] = TOPICS) -> Column:
-    """The topic of a text by substring counts over the whole text."""
-    counts = [(F.length(text) - F.length(F.replace(text, F.lit(t)))) / len(t) for t in topics]
-    top = F.greatest(*counts) if len(counts) > 1 else counts[0]
-    out = F.lit(topics[-1])
-    for t, c in reversed(list(zip(topics, counts, strict=True))):
-        out = F.when(c == top, F.lit(t)).otherwise(out)
-    return out
+#: A document's topic is the list that it holds most words of, the first on ties; without any it is ``OTHER``.
+TOPICS = {
+    "law": ("license", "licensed", "copyright", "warranty", "liability", "permission", "lizenz", "licencia", "licence", "rights", "reserved"),
+    "contact": ("email", "mail", "phone", "tel", "fax", "address", "contact", "telefon", "adresse", "correo", "com", "org"),
+    "code": ("def", "return", "import", "class", "function", "null", "true", "false", "key", "token", "secret", "api"),
+}
+OTHER = "prose"
+#: Shares of the mixture. Sources, and languages that are not listed, follow their tempered tokens.
+TARGETS = {"lang": {"en": 0.55, "de": 0.15, "fr": 0.15, "es": 0.15}, "topic": {"prose": 0.7, "law": 0.1, "contact": 0.1, "code": 0.1}}
+TEMPER, SWEEPS, BUDGET, ONE_TASK, SWEEPS_A_PLAN = 0.5, 12, 0.6, 100_000, 3
+
+
+def topic_of(text: Column, topics: dict[str, tuple[str, ...]] = TOPICS, other: str = OTHER) -> Column:
+    """The topic of a text by its whole words; a word is a run of the letters A to Z."""
+    words = F.concat(F.lit(" "), F.regexp_replace(text, "[^A-Za-z]+", "  "), F.lit(" "))
+    counts = [F.regexp_count(words, F.lit(f"(?i) (?:{'|'.join(listed)}) ")) for listed in topics.values()]
+    top = F.greatest(F.lit(1), *counts)
+    return F.coalesce(*[F.when(c == top, F.lit(t)) for t, c in zip(topics, counts, strict=True)], F.lit(other))
 
 
 def tokens_of(text: Column) -> Column:
@@ -43,61 +53,90 @@ def tokens_of(text: Column) -> Column:
     return F.greatest(F.length(F.regexp_replace(clean, "[ \t\n\r]+", "")), F.lit(1)).cast("long")
 
 
-def weighted(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang") -> DataFrame:
-    """``(id, source, lang, topic, tokens)``."""
+def cell_columns(id_col: str, text_col: str, source_col: str, lang_col: str) -> list[Column]:
+    """What the operator needs to know of a document: the key of its draw, its cell and its tokens."""
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
-    return docs.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{source_col}`"), F.lit("")).alias("source"), F.coalesce(F.col(f"`{lang_col}`"), F.lit("")).alias("lang"), topic_of(text).alias("topic"), tokens_of(text).alias("tokens"))
-
-
-def rake(cells: DataFrame, targets: dict[str, DataFrame] | None = None, temper: float = TEMPER, sweeps: int = SWEEPS, budget: float = BUDGET, one_task: int = ONE_TASK) -> DataFrame:
-    """Cells ``(source, lang, topic, tokens)`` with ``weight`` (sums to 1) and ``probability``.
-
-    targets: for a dimension, ``(value, share)``; others get their tokens to the power ``temper``.
-    """
+    key = F.coalesce(F.col(f"`{id_col}`").cast("string"), F.concat(F.lit("text:"), text))
+    return [
+        draw(key).alias("draw"),
+        F.coalesce(F.col(f"`{source_col}`"), F.lit("")).alias("source"),
+        F.coalesce(F.col(f"`{lang_col}`"), F.lit("")).alias("lang"),
+        topic_of(text).alias("topic"),
+        tokens_of(text).alias("tokens"),
+    ]
+
+
+def with_target(cells: DataFrame, dimension: str, listed: dict[str, float], temper: float, budget: float) -> DataFrame:
+    """Adds ``_<dimension>``: the tokens that the mixture is to hold of a cell's value."""
+    by, every = Window.partitionBy(dimension), Window.partitionBy(F.lit(0))
+    known = reduce(lambda to, item: to.when(F.col(dimension) == item[0], F.lit(float(item[1]))), listed.items(), F.when(F.lit(False), 0.0))
+    left = F.lit(max(0.0, 1.0 - sum(listed.values())))
+    # a value's part is spread over its cells, so that sums over cells are sums over values
+    cells = cells.withColumn("_n", F.sum("tokens").over(by).cast("double"))
+    cells = cells.withColumn("_part", F.col("tokens") / F.col("_n")).withColumn("_known", known).withColumn("_free", F.pow("_n", F.lit(temper)))
+    cells = cells.withColumn("_rest", F.sum(F.when(F.col("_known").isNull(), F.col("_part") * F.col("_free"))).over(every))
+    cells = cells.withColumn("_s", F.coalesce("_known", left * F.col("_free") / F.col("_rest")))
+    share = F.col("_s") / F.sum(F.col("_part") * F.col("_s")).over(every)
+    cells = cells.withColumn(f"_{dimension}", share * F.sum("tokens").over(every) * budget)
+    return cells.drop("_n", "_part", "_known", "_free", "_rest", "_s")
+
+
+def rake(
+    cells: DataFrame, targets: dict[str, dict[str, float]] | None = None, temper: float = TEMPER, sweeps: int = SWEEPS, budget: float = BUDGET, one_task: int = ONE_TASK
+) -> DataFrame:
+    """Cells ``(source, lang, topic, tokens)`` with ``weight`` (tokens to draw) and ``probability``."""
+    targets = TARGETS if targets is None else targets
     if cells.count() <= one_task:
         cells = cells.coalesce(1)  # no window below needs a shuffle then
-    total = Window.partitionBy(F.lit(0))
+    cells = cells.select(*DIMENSIONS, "tokens")
     for d in DIMENSIONS:
-        by = Window.partitionBy(d)
-        if targets and d in targets:
-            share = targets[d].select(F.col("value").alias(d), F.col("share").cast("double").alias(f"_{d}"))
-            cells = cells.join(share.hint("merge"), d, "left").fillna(0.0, [f"_{d}"])
-        else:  # a value's share, spread over its cells
-            cells = cells.withColumn("_n", F.sum("tokens").over(by)).withColumn(f"_{d}", F.pow(F.col("_n").cast("double"), F.lit(temper))).drop("_n")
-    cells = cells.withColumn("weight", F.col("tokens").cast("double"))
-    for _ in range(sweeps):
+        cells = with_target(cells, d, targets.get(d, {}), temper, budget)
+    cells = keep(cells.withColumn("weight", F.col("tokens").cast("double")))
+    for sweep in range(sweeps):
         for d in DIMENSIONS:
-            sums = F.sum("weight").over(Window.partitionBy(d))
-            cells = cells.withColumn("_s", sums).withColumn("weight", F.when(F.col("_s") > 0, F.col("weight") / F.col("_s") * F.col(f"_{d}")).otherwise(0.0))
-    cells = cells.withColumn("_s", F.sum("weight").over(total)).withColumn("weight", F.when(F.col("_s") > 0, F.col("weight") / F.col("_s")).otherwise(0.0)).where("weight > 0")
-    # the budget: cells with the highest ratio are taken whole while the scaled ratio passes 1
-    falling = Window.partitionBy(F.lit(0)).orderBy(F.desc("_ratio"), *DIMENSIONS)
-    cells = cells.withColumn("_ratio", F.col("weight") / F.col("tokens")).withColumn("_all", F.sum("tokens").over(total))
-    cells = cells.withColumn("_taken", F.coalesce(F.sum("tokens").over(falling.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("_left", F.sum("weight").over(falling.rowsBetween(0, Window.unboundedFollowing)))
-    cells = cells.withColumn("_scale", F.greatest(F.col("_all") * budget - F.col("_taken"), F.lit(0.0)) / F.col("_left"))
-    cells = cells.withColumn("_whole", F.col("_scale") * F.col("_ratio") >= 1).withColumn("_c", F.min(F.when(~F.col("_whole"), F.struct(F.col("_taken"), F.col("_scale")))).over(total)["_scale"])
-    probability = F.when(F.col("_whole"), 1.0).otherwise(F.least(F.lit(1.0), F.col("_c") * F.col("_ratio")))
-    return cells.select(*DIMENSIONS, "tokens", "weight", F.round(probability, 9).alias("probability"))
-
-
-def draw(id_: Column) -> Column:
-    """A number in [0, 1) from an id, the same everywhere."""
-    return F.conv(F.substring(F.md5(id_.cast("string")), 1, 12), 16, 10).cast("double") / float(1 << 48)
-
-
-def chosen(docs: DataFrame, targets: dict[str, DataFrame] | None = None, budget: float = BUDGET, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang") -> DataFrame:
-    """The rows of ``docs`` that are drawn, all columns as they are, with ``_topic, _tokens, _probability`` added."""
-    rows = weighted(docs, id_col, text_col, source_col, lang_col)
-    cells = keep(rows.groupBy(*DIMENSIONS).agg(F.sum("tokens").alias("tokens")))
-    fitted = keep(rake(cells, targets, budget=budget)).select(F.col("source").alias("_source"), F.col("lang").alias("_lang"), F.col("topic").alias("_topic"), F.col("probability").alias("_probability"))
+            cells = cells.withColumn("_sum", F.sum("weight").over(Window.partitionBy(d)))
+            cells = cells.withColumn("weight", F.when(F.col("_sum") > 0, F.col("weight") / F.col("_sum") * F.col(f"_{d}")).otherwise(0.0)).drop("_sum")
+        cells = cells.withColumn("weight", F.least("weight", F.col("tokens").cast("double")))
+        if sweep % SWEEPS_A_PLAN == SWEEPS_A_PLAN - 1:
+            cells = keep(cells)  # short plans
+    return cells.where("weight > 0").select(*DIMENSIONS, "tokens", "weight", F.round(F.col("weight") / F.col("tokens"), 9).alias("probability"))
+
+
+def draw(key: Column) -> Column:
+    """A number in [0, 1) from a string, the same everywhere."""
+    return F.conv(F.substring(F.md5(key), 1, 12), 16, 10).cast("double") / float(1 << 48)
+
+
+def drawn(
+    docs: DataFrame,
+    targets: dict[str, dict[str, float]] | None = None,
+    budget: float = BUDGET,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    source_col: str = "source",
+    lang_col: str = "lang",
+) -> DataFrame:
+    """``(row, source, lang, topic, tokens, probability)`` of the documents drawn; ``row`` holds all columns of ``docs``."""
+    needed = cell_columns(id_col, text_col, source_col, lang_col)
+    cells = keep(docs.select(*needed[1:]).groupBy(*DIMENSIONS).agg(F.sum("tokens").alias("tokens")))
+    fitted = keep(rake(cells, targets, budget=budget)).select(*DIMENSIONS, "probability")
     small = fitted.count() <= ONE_TASK  # rows of a few short strings: a few MB at most
-    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
-    marked = docs.select("*", F.coalesce(F.col(f"`{source_col}`"), F.lit("")).alias("_source"), F.coalesce(F.col(f"`{lang_col}`"), F.lit("")).alias("_lang"), topic_of(text).alias("_topic"), tokens_of(text).alias("_tokens"))
-    drawn = marked.join(F.broadcast(fitted) if small else fitted.hint("merge"), ["_source", "_lang", "_topic"])
-    return drawn.where((draw(F.col(f"`{id_col}`")) < F.col("_probability")) & F.col(f"`{id_col}`").isNotNull()).select(*[F.col(f"`{c}`") for c in docs.columns], "_topic", "_tokens", "_probability")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *needed)
+    joined = rows.join(F.broadcast(fitted) if small else fitted.hint("merge"), list(DIMENSIONS))
+    return joined.where(F.col("draw") < F.col("probability")).select("row", *DIMENSIONS, "tokens", "probability")
+
 
+def chosen(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, budget: float = BUDGET, **columns: str) -> DataFrame:
+    """The rows of ``docs`` that are drawn, all columns as they are."""
+    return drawn(docs, targets, budget, **columns).select(*[F.col(f"row.`{c}`") for c in docs.columns])
 
-def mix(docs: DataFrame, targets: dict[str, DataFrame] | None = None, budget: float = BUDGET, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", lang_col: str = "lang") -> DataFrame:
+
+def mix(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, budget: float = BUDGET, id_col: str = "doc_id", **columns: str) -> DataFrame:
     """``(id, source, lang, topic, tokens, probability)`` of the documents drawn."""
-    drawn = chosen(docs, targets, budget, id_col, text_col, source_col, lang_col)
-    return drawn.select(F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{source_col}`"), F.lit("")).alias("source"), F.coalesce(F.col(f"`{lang_col}`"), F.lit("")).alias("lang"), F.col("_topic").alias("topic"), F.col("_tokens").alias("tokens"), F.col("_probability").alias("probability"))
+    return drawn(docs, targets, budget, id_col, **columns).select(F.col(f"row.`{id_col}`").alias("id"), *DIMENSIONS, "tokens", "probability")
+
+
+def marginals(mixed: DataFrame, dimension: str) -> DataFrame:
+    """``(value, share)``: the tokens that were drawn, by value of a dimension."""
+    every = mixed.agg(F.sum("tokens")).first()[0]
+    return mixed.groupBy(F.col(dimension).alias("value")).agg((F.sum("tokens") / F.lit(every)).alias("share"))

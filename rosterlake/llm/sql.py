@@ -12,33 +12,45 @@ SELECT page_id, n AS payload_bytes, d AS payload_digest, CASE WHEN n >= {least_b
 CASE WHEN n >= {least_bytes} AND first < page_id THEN first END AS refers_to FROM f"""
 
 
-def mixing_sql(topics: tuple[str, ...] = mixing.TOPICS, temper: float = mixing.TEMPER, sweeps: int = mixing.SWEEPS, budget: float = mixing.BUDGET) -> str:
+def mixing_sql(
+    topics: dict[str, tuple[str, ...]] = mixing.TOPICS,
+    targets: dict[str, dict[str, float]] = mixing.TARGETS,
+    temper: float = mixing.TEMPER,
+    sweeps: int = mixing.SWEEPS,
+    budget: float = mixing.BUDGET,
+) -> str:
     """Every sweep over the dimensions is a step of its own."""
-    counts = ", ".join(f"(length(x) - length(replace(x, '{t}', ''))) / {len(t)} AS c{k}" for k, t in enumerate(topics))
-    top = f"greatest({', '.join(f'c{k}' for k in range(len(topics)))})"
-    topic = "CASE " + " ".join(f"WHEN c{k} = {top} THEN '{t}'" for k, t in enumerate(topics)) + " END"
-    targets = ", ".join(f"power(sum(tokens) OVER (PARTITION BY {d}), {temper}) AS t_{d}" for d in mixing.DIMENSIONS)
+    counts = ", ".join(f"len(regexp_extract_all(w, '(?i) (?:{'|'.join(words)}) ')) AS c{k}" for k, words in enumerate(topics.values()))
+    top = f"greatest(1, {', '.join(f'c{k}' for k in range(len(topics)))})"
+    topic = "CASE " + " ".join(f"WHEN c{k} = {top} THEN '{t}'" for k, t in enumerate(topics)) + f" ELSE '{mixing.OTHER}' END"
     steps, before = [], "cells"
+    for d in mixing.DIMENSIONS:
+        listed = targets.get(d, {})
+        known = "CASE " + " ".join(f"WHEN {d} = '{v}' THEN {float(x)}" for v, x in listed.items()) + " END" if listed else "CAST(NULL AS DOUBLE)"
+        left = max(0.0, 1.0 - sum(listed.values()))
+        steps.append(f"n_{d} AS (SELECT *, CAST(sum(tokens) OVER (PARTITION BY {d}) AS DOUBLE) AS n, {known} AS known FROM {before})")
+        steps.append(f"f_{d} AS (SELECT *, tokens / n AS part, power(n, {temper}) AS free FROM n_{d})")
+        steps.append(f"s_{d} AS (SELECT *, coalesce(known, {left} * free / sum(CASE WHEN known IS NULL THEN part * free END) OVER ()) AS s FROM f_{d})")
+        steps.append(f"t_{d}s AS (SELECT * EXCLUDE (n, known, part, free, s), s / sum(part * s) OVER () * sum(tokens) OVER () * {budget} AS t_{d} FROM s_{d})")
+        before = f"t_{d}s"
+    steps.append(f"w AS (SELECT *, CAST(tokens AS DOUBLE) AS weight FROM {before})")
+    before = "w"
     for k in range(sweeps):
         for d in mixing.DIMENSIONS:
             name = f"s{k}_{d}"
-            steps.append(f"{name} AS (SELECT * REPLACE (w / sum(w) OVER (PARTITION BY {d}) * t_{d} AS w) FROM {before})")
+            steps.append(f"{name} AS (SELECT * REPLACE (CASE WHEN sum(weight) OVER (PARTITION BY {d}) > 0 THEN weight / sum(weight) OVER (PARTITION BY {d}) * t_{d} ELSE 0 END AS weight) FROM {before})")
             before = name
-    order = "ORDER BY ratio DESC, source, lang, topic"
+        steps.append(f"s{k} AS (SELECT * REPLACE (least(weight, CAST(tokens AS DOUBLE)) AS weight) FROM {before})")
+        before = f"s{k}"
     return f"""WITH docs AS (SELECT doc_id, coalesce(source, '') AS source, coalesce(lang, '') AS lang, coalesce(text, '') AS x FROM documents),
-counted AS (SELECT *, greatest(length(regexp_replace(regexp_replace(x, '[^ \\t\\n\\r]+', 'x', 'g'), '[ \\t\\n\\r]+', '', 'g')), 1) AS tokens, {counts} FROM docs),
-rows AS (SELECT doc_id, source, lang, {topic} AS topic, tokens FROM counted),
-sums AS (SELECT source, lang, topic, CAST(sum(tokens) AS BIGINT) AS tokens FROM rows GROUP BY 1, 2, 3),
-cells AS (SELECT *, CAST(tokens AS DOUBLE) AS w, {targets} FROM sums),
+spaced AS (SELECT *, ' ' || regexp_replace(x, '[^A-Za-z]+', '  ', 'g') || ' ' AS w FROM docs),
+counted AS (SELECT *, greatest(length(regexp_replace(regexp_replace(x, '[^ \t\n\r]+', 'x', 'g'), '[ \t\n\r]+', '', 'g')), 1) AS tokens, {counts} FROM spaced),
+rows AS (SELECT doc_id, x, source, lang, {topic} AS topic, tokens FROM counted),
+cells AS (SELECT source, lang, topic, CAST(sum(tokens) AS BIGINT) AS tokens FROM rows GROUP BY 1, 2, 3),
 {", ".join(steps)},
-e AS (SELECT source, lang, topic, tokens, w / sum(w) OVER () AS weight FROM {before}),
-r AS (SELECT *, weight / tokens AS ratio, sum(tokens) OVER () AS every FROM e),
-b AS (SELECT *, greatest(every * {budget} - coalesce(sum(tokens) OVER ({order} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0), 0.0) / sum(weight) OVER ({order} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS scale,
- coalesce(sum(tokens) OVER ({order} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS taken FROM r),
-c AS (SELECT *, scale * ratio >= 1 AS whole, arg_min(scale, taken) FILTER (WHERE scale * ratio < 1) OVER () AS c FROM b),
-p AS (SELECT source, lang, topic, round(CASE WHEN whole THEN 1.0 ELSE least(1.0, c * ratio) END, 9) AS probability FROM c)
+p AS (SELECT source, lang, topic, round(weight / tokens, 9) AS probability FROM {before} WHERE weight > 0)
 SELECT doc_id, source, lang, topic, tokens, probability FROM rows JOIN p USING (source, lang, topic)
-WHERE CAST('0x' || left(md5(CAST(doc_id AS VARCHAR)), 12) AS BIGINT) / {float(1 << 48)} < probability"""
+WHERE CAST('0x' || left(md5(coalesce(CAST(doc_id AS VARCHAR), 'text:' || x)), 12) AS BIGINT) / {float(1 << 48)} < probability"""
 
 
 def oracle_sql() -> dict[str, str]:

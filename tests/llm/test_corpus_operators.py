@@ -133,20 +133,37 @@ def test_merkle(odd, empty, docs):
 
 
 def test_mixing(spark, odd, empty):
-    from rosterlake.llm.mixing import mix, rake
+    from rosterlake.llm.mixing import chosen, marginals, mix, rake, topic_of
 
-    cells = spark.createDataFrame([(s, lang, t, 100 * (1 + i * j + k)) for i, s in enumerate("abc") for j, lang in enumerate(("en", "de")) for k, t in enumerate("xy")], "source string, lang string, topic string, tokens long")
-    targets = {"source": spark.createDataFrame([("a", 0.5), ("b", 0.3), ("c", 0.2)], "value string, share double"), "lang": spark.createDataFrame([("en", 0.6), ("de", 0.4)], "value string, share double"), "topic": spark.createDataFrame([("x", 0.5), ("y", 0.5)], "value string, share double")}
+    listed = [(s, lang, t, 100 * (1 + i * j + k)) for i, s in enumerate("abc") for j, lang in enumerate(("en", "de")) for k, t in enumerate("xy")]
+    cells = spark.createDataFrame(listed, "source string, lang string, topic string, tokens long")
+    targets = {"source": {"a": 0.5, "b": 0.3, "c": 0.2}, "lang": {"en": 0.6, "de": 0.4}, "topic": {"x": 0.5, "y": 0.5}}
+    every = sum(r[3] for r in listed)
     for one_task in (0, 1000):
-        rows = rake(cells, targets, sweeps=20, budget=0.5, one_task=one_task).collect()
-        for d, want in (("source", {"a": 0.5, "b": 0.3, "c": 0.2}), ("lang", {"en": 0.6, "de": 0.4}), ("topic", {"x": 0.5, "y": 0.5})):
+        rows = rake(cells, targets, sweeps=20, budget=0.2, one_task=one_task).collect()
+        for d, want in targets.items():
             got = defaultdict(float)
             for r in rows:
-                got[r[d]] += r.weight
-            assert all(abs(got[k] - v) < 1e-3 for k, v in want.items())
-        assert abs(sum(r.tokens * r.probability for r in rows) - 0.5 * sum(r.tokens for r in rows)) < 1
-    got = mix(odd).collect()
-    assert {r.id for r in got} <= {d[0] for d in ODD} and mix(empty).count() == 0
+                got[r[d]] += r.weight / every / 0.2
+            assert all(abs(got[v] - share) < 1e-4 for v, share in want.items())
+        assert all(0 < r.probability <= 1 and abs(r.probability - r.weight / r.tokens) < 1e-8 for r in rows)
+    # a value with too few tokens is taken whole, values without a target share what is left
+    rows = rake(cells, {"source": {"a": 0.9}}, budget=0.9, sweeps=30).collect()
+    assert all(r.probability == 1 for r in rows if r.source == "a") and sum(r.weight for r in rows) <= 0.9 * every
+    # what is drawn follows the targets
+    docs = spark.createDataFrame([(k, "w " * 10, "en" if k % 4 else "de", f"s{k % 3}", 1, "x", 2) for k in range(6000)], DOCS)
+    drawn = mix(docs, {"lang": {"en": 0.5, "de": 0.5}}, budget=0.4)
+    shares = {r.value: r.share for r in marginals(drawn, "lang").collect()}
+    assert abs(shares["de"] - 0.5) < 0.03 and abs(drawn.count() - 2400) < 150
+    assert chosen(docs, budget=0.4).columns == docs.columns
+    # odd rows: nothing is lost with a budget that all fits in, rows without an id and columns named as helpers included
+    clash = odd.unionByName(spark.createDataFrame([(None, "no id", "en", "s1", 1, None, None)], DOCS))
+    clash = clash.withColumnsRenamed({"extra": "topic", "a b": "draw"}).withColumn("row", clash["doc_id"])
+    got = chosen(clash, {}, budget=50.0)
+    assert got.columns == clash.columns and got.count() == clash.count() == len(ODD) + 1
+    assert mix(odd, {}, budget=50.0).count() == len(ODD) and mix(empty).count() == 0
+    words = spark.createDataFrame([("The LICENSE, (license) email",), ("mail me",), ("licensee mailing",), ("",), ("phone license",)], "t string")
+    assert [r[0] for r in words.select(topic_of(words.t)).collect()] == ["law", "contact", "prose", "prose", "law"]
 
 
 def test_unigram_counts_equal_the_tokenizer(odd, empty, docs):
