@@ -2,17 +2,19 @@
 
 A word is the bag of its character n-grams (3 to 5, with borders), hashed into a fixed number of rows;
 a window of words is the average of its words' vectors, and a linear softmax over it gives two classes.
-Unseen spellings share n-gram vectors with known ones. A text is as toxic as its most toxic window, so
-length does not dilute a remark; in training, the windows of a toxic text that count as toxic are
-chosen by the model of the round before. The first round takes whole texts. A last logistic fit, on
-texts kept apart from training, maps the word scores of a text (best windows, best words, mean) to a
-probability. The fit uses a sample of labelled texts of at most ``sample`` rows of either class,
-drawn by a hash of the id; scoring covers every whole text. The model, ``rows * dim`` floats, is a few
-MB whatever the data.
-
-Defined results: null and empty texts get the score of a text whose words all score 0; repeated
-labels of one id count as toxic if any is; without labels of both classes every score is 0; repeated
-rows are scored each; an empty table gives an empty result.
+Unseen spellings share n-gram vectors with known ones. Training takes whole texts first, then windows: those
+of a toxic text that count as toxic are chosen by the model of the round before. A text is described by
+the softmax's log-odds of its most toxic windows, of its most toxic words and of the whole, so length does
+not dilute a remark; a logistic calibration of these, on texts kept apart from training, gives the
+probability. The fit uses a sample of labelled texts of at most ``sample`` rows of either class and
+``SAMPLE_CHARS`` characters in all, drawn by a hash of the id; scoring covers every whole text. The model,
+``rows * dim`` floats, is a few MB whatever the data.
+
+Defined results: null and empty texts get the score of a text whose words all score 0; repeated labels of
+one id count as toxic if any is; of the texts of one id the one with the smallest digest is learned from;
+without labels of both classes every score is 0; without both classes among the texts kept apart the
+log-odds of the most toxic window are taken as they are; repeated rows are scored each; an empty table gives
+an empty result.
 """
 
 from __future__ import annotations
@@ -24,13 +26,13 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import keep, release_all, text_rows
 
-ROWS, DIM, WINDOW, SAMPLE, STEPS, ROUNDS, WINDOWS = 1 << 16, 4, 12, 2000, 60, 3, 8
+ROWS, DIM, WINDOW, SAMPLE, SAMPLE_CHARS, STEPS, ROUNDS, WINDOWS = 1 << 16, 8, 3, 2000, 64 << 20, 60, 3, 8
 THRESHOLD = 0.3
 
 
@@ -131,8 +133,10 @@ class Trainer:
                 labels += [self.toxic[k]] * len(at)
             self.fit(windows, np.array(labels, bool), steps)
         score = self.word_scores()
-        seen = np.array([features(score[t]) for t, a in zip(self.texts, apart, strict=True) if a]).reshape(-1, len(SPANS) + 3)
-        slopes, shift = logistic(seen, self.toxic[apart], np.where(self.toxic[apart], weights[1], weights[0]))
+        slopes, shift = np.eye(len(SPANS) + 2)[0], float(self.bias[1] - self.bias[0])
+        if self.toxic[apart].any() and not self.toxic[apart].all():
+            seen = np.array([features(score[t]) for t, a in zip(self.texts, apart, strict=True) if a])
+            slopes, shift = logistic(seen, self.toxic[apart], np.where(self.toxic[apart], weights[1], weights[0]))
         return self.emb @ (self.out[:, 1] - self.out[:, 0]), slopes, shift
 
 
@@ -147,15 +151,15 @@ def best_window(scores: np.ndarray, window: int) -> tuple[float, int]:
     return float(means[at]), at
 
 
-#: A text is described by its best windows of these lengths, the mean of its best words and the mean of all words.
+#: A text is described by the log-odds of its best windows of these lengths, of its best words and of all words.
 SPANS, BEST_WORDS = (3, 12, 48), 6
 
 
 def features(scores: np.ndarray) -> list[float]:
     if not len(scores):
-        return [0.0] * (len(SPANS) + 3)
+        return [0.0] * (len(SPANS) + 2)
     top = np.partition(scores, max(0, len(scores) - BEST_WORDS))[-BEST_WORDS:]
-    return [*(best_window(scores, n)[0] for n in SPANS), float(top.sum()) / BEST_WORDS, float(scores.mean()), float(np.log1p(len(scores)))]
+    return [*(best_window(scores, n)[0] for n in SPANS), float(top.sum()) / BEST_WORDS, float(scores.mean())]
 
 
 def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, steps: int = 60) -> tuple[np.ndarray, float]:
@@ -183,7 +187,11 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str
     order = F.xxhash64("id")
     chosen = [marked.where(F.col("toxic") == c).withColumn("drawn", order).orderBy("drawn", "id").limit(sample) for c in (True, False)]
     picked = keep(chosen[0].unionByName(chosen[1]))  # at most 2 * sample ids
-    texts = text_rows(docs, id_col, text_col).join(F.broadcast(picked), "id").dropDuplicates(["id"])
+    least = F.min(F.struct(F.xxhash64("text").alias("h"), "text", "drawn", "toxic")).alias("t")
+    texts = keep(text_rows(docs, id_col, text_col).join(F.broadcast(picked), "id").groupBy("id").agg(least).select("id", "t.text", "t.drawn", "t.toxic"))
+    before = Window.partitionBy("toxic").orderBy("drawn", "id").rowsBetween(Window.unboundedPreceding, -1)
+    room = F.coalesce(F.sum(F.length("text")).over(before), F.lit(0)) < SAMPLE_CHARS // 2  # over at most 2 * sample rows
+    texts = texts.withColumn("room", room).where("room").select("text", "drawn", "toxic")
 
     def fit(_, pdf: pd.DataFrame) -> pd.DataFrame:
         release_all()
