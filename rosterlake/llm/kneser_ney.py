@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import file_system, keep, shared_dir
+from .common import arrow_schema, file_system, keep, shared_dir
 from .suffix_dedup import _MIX, mix
 
 ORDER, QUANTILE = 5, 0.99
@@ -122,47 +122,56 @@ def spread(texts: DataFrame) -> DataFrame:
 
 
 def marked(texts: DataFrame, trusted: DataFrame, sent: int = SENT_IDS) -> DataFrame:
-    """Texts (id, lang, text) with ``trusted``; trusted: (id) once each, stored."""
-    flags = trusted.withColumn("trusted", F.lit(True))
-    flag = F.coalesce("trusted", F.lit(False)).alias("trusted")
+    """Texts (id, lang, text) with ``kind``: 1 to fit on, 2 trusted and kept apart, 0 others; trusted: (id) once each, stored."""
+    fourth = F.pmod(F.crc32(F.col("id").cast("string").cast("binary")), F.lit(4)) == 2
+    flags = trusted.withColumn("kind", F.when(fourth, 2).otherwise(1))
+    kind = F.coalesce("kind", F.lit(0)).alias("kind")
     if trusted.count() <= sent:
-        return texts.join(F.broadcast(flags), "id", "left").select("id", "lang", "text", flag)
-    moved = spread(texts.where("id is not null")).join(flags.hint("merge"), "id", "left").select("id", "lang", "raw", flag)
-    return moved.unionByName(spread(texts.where("id is null")).select("id", "lang", "raw", F.lit(False).alias("trusted")))
+        return texts.join(F.broadcast(flags), "id", "left").select("id", "lang", "text", kind)
+    moved = spread(texts.where("id is not null")).join(flags.hint("merge"), "id", "left").select("id", "lang", "raw", kind)
+    return moved.unionByName(spread(texts.where("id is null")).select("id", "lang", "raw", F.lit(0).alias("kind")))
+
+
+#: What is known of each piece of a block.
+LISTS = ("row", "id", "lang", "kind", "n")
 
 
 def stored_blocks(texts: DataFrame, order: int, block: int) -> DataFrame:
-    """Pieces ``(block, row, id, lang, trusted, n, raw)`` of texts: n characters behind order - 1 others, compressed."""
+    """Rows ``(block, row, id, lang, kind, n, raw)`` of some pieces of texts: n characters behind order - 1 others, compressed together."""
     has_text = "text" in texts.columns
-    schema = T.StructType(
-        [T.StructField("block", T.LongType()), T.StructField("row", T.LongType())]
-        + [texts.schema[c] for c in ("id", "lang", "trusted")]
-        + [T.StructField("n", T.LongType()), T.StructField("raw", T.BinaryType())]
-    )
+    types = {"row": T.LongType(), "id": texts.schema["id"].dataType, "lang": T.StringType(), "kind": T.IntegerType(), "n": T.LongType()}
+    lists = [T.StructField(c, T.ArrayType(types[c])) for c in LISTS]
+    schema = T.StructType([T.StructField("block", T.LongType()), *lists, T.StructField("raw", T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pack, unpack = zstandard.ZstdCompressor(level=3), zstandard.ZstdDecompressor()
+        pack, unpack, to = zstandard.ZstdCompressor(level=6), zstandard.ZstdDecompressor(), arrow_schema(schema)
         number = row = TaskContext.get().partitionId() << 33
-        filled, step = 0, max(1, block // 2)
-        for whole in batches:
-            for at in range(0, whole.num_rows, 512):
-                batch, take, out = whole.slice(at, 512), [], []
-                for k, held in enumerate(batch.column(3).to_pylist()):
-                    text = held if has_text else unpack.decompress(held).decode("utf-8", "surrogatepass")
-                    text = "\n" * (order - 1) + text
-                    for begin in range(0, max(1, len(text) - order + 1), step):
-                        piece = text[begin : begin + step + order - 1]
-                        out.append((number, row, len(piece) - order + 1, pack.compress(piece.encode("utf-8", "surrogatepass"))))
-                        take.append(k)
-                        filled += len(piece)
-                        if filled >= step:
-                            number, filled = number + 1, 0
-                    row += 1
-                kept = [batch.column(c).take(pa.array(take, pa.int64())) for c in ("id", "lang", "trusted")]
-                numbers = [pa.array(c, pa.int64()) for c in zip(*(o[:3] for o in out), strict=True)]
-                yield pa.RecordBatch.from_arrays([*numbers[:2], *kept, numbers[2], pa.array([o[3] for o in out], pa.binary())], names=schema.names)
-
-    return texts.select("id", "lang", "trusted", "text" if has_text else "raw").mapInArrow(run, schema)
+        filled, step, held, pieces, size = 0, max(1, block // 2), [], [], 0
+
+        def settle() -> pa.RecordBatch:
+            nonlocal held, pieces, size
+            raw = pack.compress("".join(pieces).encode("utf-8", "surrogatepass"))
+            columns = [[number], *([list(c)] for c in zip(*held, strict=True)), [raw]]
+            held, pieces, size = [], [], 0
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, to, strict=True)], names=schema.names)
+
+        for batch in batches:
+            for doc, lang, kind, got in zip(*(batch.column(c).to_pylist() for c in range(4)), strict=True):
+                text = "\n" * (order - 1) + (got if has_text else unpack.decompress(got).decode("utf-8", "surrogatepass"))
+                for begin in range(0, max(1, len(text) - order + 1), step):
+                    piece = text[begin : begin + step + order - 1]
+                    held.append((row, doc, lang, kind, len(piece) - order + 1))
+                    pieces.append(piece)
+                    size, filled = size + len(piece), filled + len(piece)
+                    if size >= 1 << 18 or filled >= step:
+                        yield settle()
+                    if filled >= step:
+                        number, filled = number + 1, 0
+                row += 1
+        if held:
+            yield settle()
+
+    return texts.select("id", "lang", "kind", "text" if has_text else "raw").mapInArrow(run, schema)
 
 
 def by_block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -181,9 +190,18 @@ def by_block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.Table.from_batches(held).combine_chunks()
 
 
-def texts_of(part: pa.Table) -> list[str]:
-    unpack = zstandard.ZstdDecompressor()
-    return [unpack.decompress(raw).decode("utf-8", "surrogatepass") for raw in part.column("raw").to_pylist()]
+def flat(part: pa.Table, column: str) -> pa.Array:
+    return part.column(column).combine_chunks().flatten()
+
+
+def texts_of(part: pa.Table, order: int) -> list[str]:
+    unpack, out = zstandard.ZstdDecompressor(), []
+    for raw, sizes in zip(part.column("raw").to_pylist(), part.column("n").to_pylist(), strict=True):
+        text, at = unpack.decompress(raw).decode("utf-8", "surrogatepass"), 0
+        for n in sizes:
+            out.append(text[at : at + n + order - 1])
+            at += n + order - 1
+    return out
 
 
 def counted(stored: DataFrame, order: int) -> DataFrame:
@@ -191,23 +209,23 @@ def counted(stored: DataFrame, order: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in by_block(batches):
-            grams = Grams(texts_of(part), order)
+            grams = Grams(texts_of(part, order), order)
             if not len(grams.names):
                 continue
-            fit = np.repeat(part.column("fit").to_numpy(), grams.sizes)
+            fit = np.repeat(flat(part, "kind").to_numpy() == 1, grams.sizes)
             n = np.bincount(grams.index.get_indexer(grams.codes[fit]), minlength=len(grams.names))
             yield pa.RecordBatch.from_arrays([pa.array(gram_texts(grams.distinct), pa.string()), pa.array(n.astype(np.int64))], names=["g", "n"])
 
-    return stored.select("block", "fit", "raw").mapInArrow(run, "g string, n long").groupBy("g").agg(F.sum("n").alias("n"))
+    return stored.select("block", "kind", "n", "raw").mapInArrow(run, "g string, n long").groupBy("g").agg(F.sum("n").alias("n"))
 
 
 def log_probabilities(grams: DataFrame, order: int) -> DataFrame:
-    """``(g, logp)`` for every n-gram (g, n): interpolated modified Kneser-Ney, down to a uniform start."""
+    """``(g, logp)`` for every n-gram of a stored table (g, n): interpolated modified Kneser-Ney, down to a uniform start."""
 
     def tail(k: int) -> Column:
         return F.substring("g", 2, k)  # without the first of k + 1 characters
 
-    levels = {order: keep(grams.where("n > 0"))}
+    levels = {order: grams.where("n > 0")}
     every = {order: grams.select("g")}
     for k in range(order - 1, 0, -1):  # a lower order counts what stands in front
         levels[k] = keep(levels[k + 1].groupBy(tail(k).alias("g")).agg(F.count("*").alias("n")))
@@ -243,14 +261,14 @@ def asked(stored: DataFrame, order: int, shards: int, parts: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in by_block(batches):
-            grams, number = Grams(texts_of(part), order).distinct, part.column("block")[0].as_py()
+            grams, number = Grams(texts_of(part, order), order).distinct, part.column("block")[0].as_py()
             own = (gram_keys(grams, 1) % np.uint64(shards)).astype(np.int64)
             rows = [(s, number % parts, number, press(grams[own == s]), None) for s in np.unique(own).tolist()]
             if rows:
                 types = [pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=["shard", "part", "block", "grams", "logp"])
 
-    return stored.select("block", "raw").mapInArrow(run, ASK)
+    return stored.select("block", "n", "raw").mapInArrow(run, ASK)
 
 
 def dealt(table: DataFrame, order: int, shards: int, parts: int) -> DataFrame:
@@ -299,8 +317,8 @@ def answered(rows: DataFrame, order: int) -> DataFrame:
 
 
 def added_up(stored: DataFrame, folder: str, order: int, shards: int) -> DataFrame:
-    """``(row, id, lang, trusted, n, logp)`` of each piece; a block reads the answers that are its own."""
-    schema = T.StructType([stored.schema[c] for c in ("row", "id", "lang", "apart", "n")] + [T.StructField("logp", T.DoubleType())])
+    """``(row, id, lang, kind, n, logp)`` of each piece; a block reads the answers that are its own."""
+    schema = T.StructType([T.StructField(c, stored.schema[c].dataType.elementType) for c in LISTS] + [T.StructField("logp", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import pyarrow.parquet as pq
@@ -308,19 +326,19 @@ def added_up(stored: DataFrame, folder: str, order: int, shards: int) -> DataFra
         system, place = file_system(folder)
         inflate = zstandard.ZstdDecompressor().decompress
         for part in by_block(batches):
-            grams = Grams(texts_of(part), order)
-            sums = np.zeros(part.num_rows)
+            grams = Grams(texts_of(part, order), order)
+            sums = np.zeros(len(grams.sizes))
             if len(grams.names):
                 answer = pq.read_table(f"{place}/block={part.column('block')[0].as_py()}", filesystem=system, partitioning=None)
                 own = (gram_keys(grams.distinct, 1) % np.uint64(shards)).astype(np.int64)
                 logp = np.zeros(len(own))
                 for s, raw in zip(answer.column("shard").to_pylist(), answer.column("logp").to_pylist(), strict=True):
                     logp[own == s] = np.frombuffer(inflate(raw), "<f4")
-                rows = np.repeat(np.arange(part.num_rows), grams.sizes)
-                sums = np.bincount(rows, logp[grams.occurring()], part.num_rows)
-            yield pa.RecordBatch.from_arrays([*(part.column(c).combine_chunks() for c in schema.names[:-1]), pa.array(sums)], names=schema.names)
+                rows = np.repeat(np.arange(len(sums)), grams.sizes)
+                sums = np.bincount(rows, logp[grams.occurring()], len(sums))
+            yield pa.RecordBatch.from_arrays([*(flat(part, c) for c in LISTS), pa.array(sums)], names=schema.names)
 
-    return stored.select("block", "raw", *schema.names[:-1]).mapInArrow(run, schema)
+    return stored.select("block", "raw", *LISTS).mapInArrow(run, schema)
 
 
 def classify(
@@ -345,11 +363,9 @@ def classify(
         F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{lang_col}`"), F.lit("")).alias("lang"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text")
     )
     stored = keep(stored_blocks(marked(texts, trusted, sent), order, block))
-    apart = F.col("trusted") & (F.pmod(F.crc32(F.col("id").cast("string").cast("binary")), F.lit(4)) == 2)
-    stored = stored.withColumn("apart", F.coalesce(apart, F.lit(False))).withColumn("fit", F.col("trusted") & ~F.col("apart"))
     table = log_probabilities(keep(counted(stored, order)), order)
     size = table.count()
-    chars = stored.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    chars = stored.agg(F.coalesce(F.sum(F.aggregate("n", F.lit(0).cast("long"), lambda a, x: a + x)), F.lit(0))).first()[0]
     shards = max(1, -(-size // shard))
     parts = max(1, int(chars // (20 * shards * ANSWERS)))  # a block holds at most about a twentieth of its characters as distinct n-grams
     rows = asked(stored, order, shards, parts).unionByName(dealt(table, order, shards, parts))
@@ -357,10 +373,10 @@ def classify(
     folder = f"{shared_dir(spark).rstrip('/')}/answers-{uuid.uuid4().hex}"
     answered(rows, order).repartition("block").write.partitionBy("block").parquet(folder)
     pieces = added_up(stored, folder, order, shards)
-    same = [F.first(c).alias(c) for c in ("id", "lang", "apart")]
+    same = [F.first(c).alias(c) for c in ("id", "lang", "kind")]
     scored = keep(pieces.groupBy("row").agg(*same, F.sum("n").alias("n"), F.sum("logp").alias("logp")))
     scored = scored.withColumn("perplexity", F.when(F.col("n") > 0, F.exp(-F.col("logp") / F.col("n"))))
-    known = scored.where("perplexity is not null and apart")
+    known = scored.where("perplexity is not null and kind = 2")
     at = F.percentile_approx("perplexity", quantile, 10_000)
     whole = known.agg(at).first()[0]  # one number
     limits = keep(known.groupBy("lang").agg(at.alias("threshold")))
