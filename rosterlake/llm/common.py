@@ -80,6 +80,20 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], list], schema: T.S
     return df.mapInArrow(run, schema)
 
 
+def first_rows(docs: DataFrame, groups: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The rows of ``docs`` that stand for their group of groups (id, component_id): one row with the group's smallest id.
+
+    Of several rows with that id the one with the smallest digest of its text stays. Rows without an id stay.
+    """
+    columns = [F.col(f"row.`{c}`") for c in docs.columns]
+    first = groups.where(F.col("id") == F.col("component_id")).select("id").distinct()
+    rows = docs.where(F.col(f"`{id_col}`").isNotNull())
+    rows = rows.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{id_col}`").alias("id"))
+    least = F.min_by("row", F.xxhash64(f"row.`{text_col}`")).alias("row")  # partial first, so an id may hold many rows
+    single = rows.join(first.hint("merge"), "id", "left_semi").groupBy("id").agg(least)
+    return single.select(*columns).unionByName(docs.where(F.col(f"`{id_col}`").isNull()))
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
     """``(id, component)`` for every id on an edge; the component is its smallest id.
 

@@ -9,8 +9,8 @@ own segment in each. A pair found in several tables is taken from the first. Pai
 more than ``max_bits`` bits on average are left; the others are reranked by the cosine of the original vectors in double
 precision. Codes find a pair with high probability, not always; the tests measure the recall.
 
-Equal vectors of a label are one class, so copies are never expanded. Defined results: rows whose label
-or vector is null, or whose vector is empty, zero or holds null or non-finite components, link with
+Equal vectors of a label are one class, so copies are never expanded. Defined results: rows whose label,
+id or vector is null, or whose vector is empty, zero or holds null or non-finite components, link with
 nothing; repeated rows are vectors of their own with one id; vectors of unlike lengths are unlike; an
 empty table gives an empty result.
 """
@@ -149,6 +149,7 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, sample: int = SA
     full = classes.join(counted.hint("merge"), "k", "left").join(found.hint("merge"), "k", "left").withColumn("c", F.coalesce("component", "k"))
     least = full.groupBy("c").agg(F.min("rep").alias("component_id"))
     named = full.join(least.hint("merge"), "c").select("label", "v", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), "component_id")
-    rows = vectors.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{vector_col}`").cast("array<double>").alias("v"), F.col(f"`{label_col}`").alias("label"))
+    label = F.when(F.col(f"`{id_col}`").isNotNull(), F.col(f"`{label_col}`"))
+    rows = vectors.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{vector_col}`").cast("array<double>").alias("v"), label.alias("label"))
     joined = rows.join(named.hint("merge"), ["label", "v"], "left")
     return joined.select("id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "id").alias("component_id"))

@@ -49,7 +49,7 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     fold = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(4))
     model = train(docs, table(spark, sf_dir, "labels").where(fold != 2))
     scored = scores(docs, model).withColumnRenamed("id", "doc_id")
-    return scored.select("doc_id", (fold == 2).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+    return scored.select("doc_id", F.coalesce(fold == 2, F.lit(False)).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
 
 
 def op6_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,8 +71,9 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     folder = archive_folder(spark)
     found = read_records(write_pages(table(spark, sf_dir, "pages"), folder), folder, with_payload=False)
-    page = lambda c: F.regexp_extract(c, r"<urn:page:(-?\d+)>", 1)
-    return found.select(page("record_id").cast("long").alias("page_id"), "payload_bytes", F.col("digest").alias("payload_digest"), "record_type", F.when(F.col("record_type") == "revisit", page("refers_to").cast("long")).alias("refers_to"))
+    page = lambda c: F.regexp_extract(c, r"<urn:page:(-?\d*)>", 1).try_cast("long")
+    refers_to = F.when(F.col("record_type") == "revisit", page("refers_to")).alias("refers_to")
+    return found.select(page("record_id").alias("page_id"), "payload_bytes", F.col("digest").alias("payload_digest"), "record_type", refers_to)
 
 
 def op9_kneser_ney_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import components, keep, map_batches, text_rows
+from .common import components, first_rows, keep, map_batches, text_rows
 
 #: (lowest bit, width) of each segment.
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
@@ -145,10 +145,4 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 4, id_col:
 
 def one_of_each(docs: DataFrame, shingle: int = 5, radius: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stand for their group: one row with the group's smallest id. Rows without an id stay."""
-    found = near_duplicates(docs, shingle, radius, id_col, text_col)
-    first = found.where(F.col("id") == F.col("component_id")).select(F.col("id").alias("_first")).distinct()
-    named = docs.join(first.hint("merge"), F.col(f"`{id_col}`") == F.col("_first"), "left_semi")
-    from pyspark.sql import Window
-
-    single = named.withColumn("_n", F.row_number().over(Window.partitionBy(F.col(f"`{id_col}`")).orderBy(F.xxhash64(text_col)))).where("_n = 1").drop("_n")
-    return single.unionByName(docs.where(F.col(f"`{id_col}`").isNull()))
+    return first_rows(docs, near_duplicates(docs, shingle, radius, id_col, text_col), id_col, text_col)

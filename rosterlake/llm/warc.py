@@ -11,7 +11,8 @@ read, so a lost or repeated attempt leaves nothing behind that counts.
 
 Defined results: a null html is an empty payload, a null url an empty one; of equal payloads of at least
 ``least_bytes`` bytes the smallest page id is the response, on repeated rows with that id each is a
-response; an empty table gives no files and no records.
+response; a page without an id is a response, which none refers to, and its record's id has no number; an
+empty table gives no files and no records.
 """
 
 from __future__ import annotations
@@ -36,11 +37,18 @@ DATE = "2024-01-01T00:00:00Z"
 REVISIT = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
-def record(page_id: int, url: str, payload: bytes, refers_to: int | None, digest: str, payload_bytes: int) -> bytes:
+def record(page_id: int | None, url: str, payload: bytes, refers_to: int | None, digest: str, payload_bytes: int) -> bytes:
     """One gzip member with a response, or a revisit that holds the HTTP header only."""
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {payload_bytes}\r\n\r\n".encode()
     block = http if refers_to is not None else http + payload
-    fields = [("WARC-Type", "response" if refers_to is None else "revisit"), ("WARC-Record-ID", f"<urn:page:{page_id}>"), ("WARC-Date", DATE), ("WARC-Target-URI", " ".join(url.split())), ("WARC-Payload-Digest", f"sha256:{digest}"), ("Content-Type", "application/http;msgtype=response")]
+    fields = [
+        ("WARC-Type", "response" if refers_to is None else "revisit"),
+        ("WARC-Record-ID", f"<urn:page:{'' if page_id is None else page_id}>"),
+        ("WARC-Date", DATE),
+        ("WARC-Target-URI", " ".join(url.split())),
+        ("WARC-Payload-Digest", f"sha256:{digest}"),
+        ("Content-Type", "application/http;msgtype=response"),
+    ]
     if refers_to is not None:
         fields += [("WARC-Profile", REVISIT), ("WARC-Refers-To", f"<urn:page:{refers_to}>")]
     fields.append(("Content-Length", str(len(block))))

@@ -566,3 +566,51 @@ def test_registry_queries_run(spark):
         con = duckdb.connect()
         con.sql(f"create view documents as select * from '{SMALL}/documents.parquet'")
         assert sorted(rows["doc_id"]) == sorted(con.sql(sql).df()["doc_id"])
+
+
+def test_large_entries_confirm_more_than_the_best_partners(spark, monkeypatch):
+    from rosterlake.llm import similar
+
+    rng = random.Random(13)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(4))
+    base, rows = [word() for _ in range(200)], []
+    for k in range(140):  # edits close together: pairs on both sides of the threshold
+        at = rng.randint(0, 150)
+        copy = list(base)
+        copy[at : at + rng.randint(8, 30)] = [word() for _ in range(14)]
+        rows.append((k, " ".join(copy)))
+    sets = [{tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)} for _, t in rows]
+    pairs = [(a, b) for a in range(140) for b in range(a + 1, 140) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1, None, None) for i, t in rows], DOCS)
+    monkeypatch.setattr(similar, "BEST", 1)
+    monkeypatch.setattr(similar, "SMALL", 4)
+    got = {r.id: r.component_id for r in similar.near_duplicates(docs).collect()}
+    assert got == classes_of(range(140), pairs) and 1 < len(set(got.values())) < 140
+
+
+def test_odd_tables_through_every_query(spark, tmp_path):
+    """Tables with nulls in every column, repeated rows and ids, and columns named as the operators' own."""
+    from rosterlake.llm import registry
+
+    def write(name, rows, schema):
+        spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{name}.parquet")
+
+    more = "row string, h long, n int, draw int, topic string, part int"
+    tail = (None, 1, 2, None, "t", 3)
+    docs = [(r[0], r[1], r[2], r[3], r[4], *tail) for r in ODD] + [(None, "no id", "en", "s1", 1, *tail), (None, None, None, None, None, *tail), (7, "other text", "de", "s1", 3, *tail)]
+    write("documents", docs, f"doc_id long, text string, lang string, source string, n_chars long, {more}")
+    write("labels", [(1, 1, 0), (4, None, 1), (5, 0, None), (None, 1, 1), (7, 1, 1), (7, 1, 0), (8, 0, 0)], "doc_id long, quality int, toxic int")
+    write("embeddings", [(1, [1.0, 2.0], 1), (1, [1.0, 2.0], 1), (None, [1.0, 2.0], 1), (2, None, 1), (3, [-2.0, 1.0], 1), (4, [0.0, 0.0], None)], "vec_id long, embedding array<double>, label int")
+    same = "<p>" + "x" * 200 + "</p>"
+    write("pages", [(1, "u", same), (1, "u", same), (2, None, same), (None, "u", same), (3, "u", None), (None, None, None)], "page_id long, url string, html string")
+    got = {}
+    for name, query in registry.queries().items():
+        got[name] = query(spark, str(tmp_path)).collect()
+    n = len(docs)
+    assert all(len(got[q]) == n for q in ("op2_merkle_fingerprints", "op4_token_counts", "op5_toxicity", "op6_simhash_groups", "op9_kneser_ney_quality"))
+    assert Counter(r.doc_id for r in got["op1_best_fit_packing"] if r.piece == 0) == Counter(r[0] for r in docs)
+    links = {(r.vec_id, r.n_links, r.component_id) for r in got["op7_itq_links"]}
+    assert links == {(1, 1, 1), (None, 0, None), (2, 0, 2), (3, 0, 3), (4, 0, 4)}
+    kinds = Counter((r.page_id, r.record_type, r.refers_to) for r in got["op8_warc"])
+    assert kinds == {(1, "response", None): 2, (2, "revisit", 1): 1, (None, "response", None): 2, (3, "response", None): 1}
+    assert {r.held_out for r in got["op5_toxicity"]} <= {True, False}
