@@ -162,3 +162,72 @@ ERROR_CAUSES = (
     (("json", "markdown", "解析", "未生成有效", "未返回有效"), "服务返回了内容，但格式不符合系统要求，无法生成有效专家批次。"),
 )
 ERROR_CAUSE_OTHER = "执行过程中出现未归类异常。"
+
+# What to do about each cause, in the order of the causes; a pair stands for (homepage source, other source).
+ERROR_ACTIONS = (
+    "系统会保留检查点；可重试该细分领域，若重复出现需扩充学术术语保护规则。",
+    "检查 .env 中对应服务的配置，修改后完整重启 Streamlit。",
+    "检查 .env 中对应服务的密钥和地址，修改后完整重启系统。",
+    "使用 start_streamlit_logged.cmd 在正常本地终端启动，并检查防火墙网络权限。",
+    ("系统将尝试 OpenCLI 或其他公开来源；单个主页失败不会终止整批任务。", "检查账户权限、额度与服务控制台中的访问限制。"),
+    "系统将改用其他公开来源；若为 API 地址，请核对服务提供方的接口路径。",
+    "等待服务冷却后仅重试未完成领域，并检查账户剩余额度和并发限制。",
+    "已完成批次不受影响；待服务恢复后仅重试未完成领域。",
+    "减少单批证据文本或上传材料长度，再重试当前批次。",
+    "检查本机 DNS、代理和网络连接，恢复后仅重试未完成领域。",
+    "检查系统时间、代理证书和证书链；主页失败时系统会改用其他来源。",
+    "确认对应服务或 OpenCLI Bridge 已启动，稍后重试未完成领域。",
+    "通常属于服务波动或目标站限制；系统会保留已完成批次，可稍后续跑。",
+    "检查网络和对应服务状态；系统已保存断点，可稍后续跑。",
+    "系统不会丢失已完成批次；待服务恢复后仅重试未完成领域。",
+    "关闭占用该 Excel 的程序，并确认当前用户对项目目录具有写入权限后重试。",
+    "释放项目所在磁盘空间后，从已保存的检查点继续运行。",
+    "使用项目 .venv 启动，并根据 requirements.txt 补齐依赖。",
+    "已完成批次仍保留在检查点中，可点击仅重试未完成领域继续。",
+    "重试该批次；若持续发生，需要检查模型输出格式和表格字段完整性。",
+)
+ERROR_ACTION_OTHER = "查看下方技术详情和 worker.log；已完成批次与检查点不会被删除。"
+
+# The items of a run's summary: name, column (none: all rows), value that is counted, remark.
+RUN_SUMMARY = (
+    ("最终输出专家数", None, None, "已完成清洗、去重和明确已故专家过滤"),
+    ("姓名已验证", "name_check", "已验证", "通过多个公开来源交叉验证"),
+    ("姓名待复核", "name_check", "待复核", "建议在正式使用前人工复核"),
+    ("成功访问主页", "page_status", "是", "主页正文可访问且包含专家姓名"),
+    ("OpenCLI成功访问主页", "page_method", "OpenCLI", "普通 HTTP 失败后由真实浏览器渲染读取成功"),
+    ("主页访问失败", "page_status", "否", "包括 403、404、超时、SSL 或身份不匹配"),
+    ("主页未尝试", "page_status", "未尝试", "受补全上限或缺少有效主页影响"),
+    ("疑似已故待复核", "death_check", "疑似已故待复核", "未自动剔除，建议人工复核"),
+    ("未发现死亡证据", "death_check", "未发现死亡证据", "独立网页检索未发现明确死亡证据"),
+    ("生存状态核验未执行", "death_check", "未执行", "受配置、数量上限或缺少姓名影响"),
+)
+
+# Parts of sentences that evidence of each kind stands in.
+EDUCATION_WORDS = r"博士|硕士|本科|毕业|学位|Ph\.?D|DPhil|MD|B\.?S\.?|M\.?S\.?|education|biography|received|earned|obtained"
+RESEARCH_PART = (
+    r"[^。；;\n]{0,60}(?:research interests?|research focuses?|research areas?|研究兴趣|研究方向|主要研究|课题组研究|focuses on|works on|interested in)[^。；;\n]{0,220}"
+)
+ACHIEVEMENT_PART = (
+    r"[^。；;\n]{0,80}(?:award|honou?r|fellow|member of|academy|prize|medal|discovered|developed|led|published|citation"
+    r"|获奖|院士|会士|奖|发现|提出|领导|发表|引用)[^。；;\n]{0,180}"
+)
+CAREER_PART = r"[^。；;\n]{0,80}(?:previously|formerly|served as|worked at|joined|appointed|曾任|历任|任职于|加入|受聘于|长期在)[^。；;\n]{0,180}"
+# What stands behind a label, up to the next one.
+EDUCATION_LABEL = (
+    r"(?:Education|教育背景|学历)\s*[:：-]\s*(.{6,160}?)"
+    r"(?=\.\s+[A-Z][a-z]+\s+(?:received|won|was awarded|led|developed)|\s+(?:Research|Email|Phone|Contact|Awards?)\s*[:：-]|$)"
+)
+RESEARCH_LABEL = (
+    r"(?:research interests?|research focuses?|research areas?|研究兴趣|研究方向|主要研究)\s*[:：-]\s*(.{8,220}?)"
+    r"(?=\s+(?:Education|Email|Phone|Contact|Awards?)\s*[:：-]|$)"
+)
+RESEARCH_PREFIX = r"^(research interests?|research focuses?|research areas?|研究兴趣|研究方向|主要研究)\s*[:：-]?\s*"
+CAREER_LABEL = (
+    r"(?:Biography|Career|Professional Experience|工作经历|个人履历|职业经历)\s*[:：-]\s*(.{12,260}?)"
+    r"(?=\s+(?:Education|Research|Email|Phone|Contact|Awards?)\s*[:：-]|$)"
+)
+# Words of page navigation, words that leave a collaboration unproved, words of a death.
+NAVIGATION_TERMS = ("cookie", "privacy", "login", "menu", "copyright", "skip to", "search", "navigation")
+UNPROVED_COLLABORATION = ("具体个人需逐篇核实", "未确认", "待核实", "中国作者", "中国团队", "等单位", "等中国", "合作网络", "相关活动", "相关论文", "国际合著")
+DEATH_HAN_AFTER, DEATH_HAN_BEFORE = ("逝世", "去世", "辞世", "已故"), ("讣告", "悼念")
+DEATH_AFTER, DEATH_BEFORE, DEATH_TITLE = ("passed away", "died", "is deceased", "was deceased"), ("death of", "obituary for"), ("obituary", "in memoriam")

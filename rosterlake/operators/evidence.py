@@ -40,8 +40,8 @@ def first_value(items: DataFrame, key: str, pos: str, value: Column) -> DataFram
 
 def keyword_evidence(items: DataFrame, key: str, pos: str, text: str, words: tuple[str, ...]) -> DataFrame:
     """(key, found): the words in the items of a key, in order of items, then words; each once."""
-    found = items.select(key, pos, F.posexplode(hits(text, words)).alias("k", "word"))
-    first = found.groupBy(key, "word").agg(F.min(F.struct(pos, "k")).alias("at"))
+    found = items.select(key, pos, F.posexplode(hits(text, words)).alias("_k", "word"))
+    first = found.groupBy(key, "word").agg(F.min(F.struct(pos, "_k")).alias("at"))
     return first.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "word"))), lambda x: x["word"]).alias("found"))
 
 
@@ -90,6 +90,16 @@ def relevant_items(items: DataFrame, url: str, names_person: Column, context: Co
     return items.withColumn("tier", source_tier(url)).where((F.col("tier") < 4) & names_person & (context | official))
 
 
+def top_evidence(items: DataFrame, key: str, pos: str, url: str, fields: list[str], n: int = 10) -> DataFrame:
+    """(key, n, urls, evidence): the first ``n`` items of each key by tier and place, each URL once, as a JSON array. items hold ``tier``."""
+    one = items.groupBy(key, url).agg(F.min_by(F.struct(*[c for c in items.columns if c not in (key, url)]), F.struct("tier", pos)).alias("_i"))
+    ranked = one.withColumn("_rn", F.row_number().over(Window.partitionBy(key).orderBy("_i.tier", f"_i.{pos}"))).where(F.col("_rn") <= n)
+    item = F.struct(*[(F.col(c) if c == url else F.col(f"_i.{c}")).alias(c) for c in fields], F.col("_i.tier").cast("string").alias("tier"))
+    listed = F.array_sort(F.collect_list(F.struct("_rn", item.alias("item"), F.col(url).alias("url"))))
+    got = ranked.groupBy(key).agg(F.count("*").alias("n"), listed.alias("_l"))
+    return got.select(key, "n", F.transform("_l", lambda x: x["url"]).alias("urls"), F.to_json(F.transform("_l", lambda x: x["item"])).alias("evidence"))
+
+
 def chunks(docs: DataFrame, source: str, key: str, text: str, size: int = 900) -> DataFrame:
     """(source, key, chunk_no, chunk)."""
     return docs.select(source, key, F.posexplode(pieces(text, size)).alias("chunk_no", "chunk"))

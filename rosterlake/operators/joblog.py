@@ -21,16 +21,42 @@ def error_source(message: Column | str, stage: Column | str | None = None, sourc
     return out
 
 
-def diagnose(message: Column | str, stage: Column | str | None = None, sources: tuple = rules.ERROR_SOURCES, causes: tuple = rules.ERROR_CAUSES, other: str = rules.ERROR_CAUSE_OTHER, other_source: str = rules.ERROR_SOURCE_OTHER) -> Column:
-    """Struct (source, cause, detail, summary) of an error message; the first rule that fits counts."""
+def by_source(source: Column, said: str | tuple[str, str]) -> Column:
+    """A text, or of a pair of texts the one for homepages or for other sources."""
+    return F.lit(said) if isinstance(said, str) else F.when(source == rules.ERROR_SOURCE_HOMEPAGE, F.lit(said[0])).otherwise(F.lit(said[1]))
+
+
+def diagnose(
+    message: Column | str,
+    stage: Column | str | None = None,
+    sources: tuple = rules.ERROR_SOURCES,
+    causes: tuple = rules.ERROR_CAUSES,
+    actions: tuple = rules.ERROR_ACTIONS,
+    other: str = rules.ERROR_CAUSE_OTHER,
+    other_action: str = rules.ERROR_ACTION_OTHER,
+    other_source: str = rules.ERROR_SOURCE_OTHER,
+) -> Column:
+    """Struct (source, cause, action, detail, summary) of an error message; the first rule that fits counts."""
     detail = redact(F.when(F.trim(string(message)) == "", F.lit("未知错误")).otherwise(string(message)))
     low = F.lower(detail)
     source = error_source(detail, stage, sources, other_source)
-    cause = F.lit(other)
-    for words, text in reversed(causes):
-        said = F.lit(text) if isinstance(text, str) else F.when(source == rules.ERROR_SOURCE_HOMEPAGE, F.lit(text[0])).otherwise(F.lit(text[1]))
-        cause = F.when(_any(low, words), said).otherwise(cause)
-    return F.struct(source.alias("source"), cause.alias("cause"), detail.alias("detail"), F.concat(source, F.lit("："), cause).alias("summary"))
+    found = F.struct(F.lit(other).alias("cause"), F.lit(other_action).alias("action"))
+    for (words, cause), action in reversed(list(zip(causes, actions, strict=True))):
+        here = F.struct(by_source(source, cause).alias("cause"), by_source(source, action).alias("action"))
+        found = F.when(_any(low, words), here).otherwise(found)
+    summary = F.concat(source, F.lit("："), found["cause"])
+    return F.struct(source.alias("source"), found["cause"].alias("cause"), found["action"].alias("action"), detail.alias("detail"), summary.alias("summary"))
+
+
+def one_line(d: Column) -> Column:
+    """A diagnosis as one line for the user."""
+    return F.concat(F.lit("来源："), d["source"], F.lit("｜原因："), d["cause"], F.lit("｜建议："), d["action"], F.lit("｜技术详情："), d["detail"])
+
+
+def flat_diagnosis(d: Column) -> list[Column]:
+    """A diagnosis as the columns of a job's state."""
+    names = {"last_error": "summary", "error_source": "source", "error_reason": "cause", "error_action": "action", "error_detail": "detail"}
+    return [d[field].alias(name) for name, field in names.items()]
 
 
 def connection_failure(message: Column | str, connection: tuple[str, ...], model: tuple[str, ...]) -> Column:
@@ -58,6 +84,29 @@ def served_once(log: DataFrame, key: list[Column], order: list[str]) -> DataFram
     return log.withColumn("request_key", F.left(F.sha2(F.concat_ws("|", *key), 256), F.lit(12))).withColumn("first", F.row_number().over(Window.partitionBy("request_key").orderBy(*order)) == 1)
 
 
+def credits_once(log: DataFrame, key: list[Column], order: list[str], ok: Column, credits: Column) -> DataFrame:
+    """Adds ``request_key`` and ``charged``: of the calls of one normalised key only the first success is paid."""
+    keyed = log.withColumn("request_key", F.left(F.sha2(F.concat_ws("|", *key), 256), F.lit(12))).withColumn("_ok", ok)
+    nth = F.row_number().over(Window.partitionBy("request_key", "_ok").orderBy(*order))
+    return keyed.withColumn("charged", F.when(F.col("_ok") & (nth == 1), credits).otherwise(0)).drop("_ok")
+
+
+def last_causes(errors: DataFrame, job: str, order: list[Column], cause: Column, n: int = 3) -> DataFrame:
+    """(job, causes): the distinct causes of the last ``n`` errors of each job, the newest first."""
+    last = errors.withColumn("_rn", F.row_number().over(Window.partitionBy(job).orderBy(*order))).where(F.col("_rn") <= n)
+    listed = F.array_sort(F.collect_list(F.struct("_rn", cause.alias("cause"))))
+    return last.groupBy(job).agg(F.array_distinct(F.transform(listed, lambda x: x["cause"])).alias("causes"))
+
+
+def upserted(state: DataFrame, changes: DataFrame, job: str) -> DataFrame:
+    """The state of each job with the fields that a change gives; a job that is new is added. changes: one row for each job."""
+    given = [c for c in changes.columns if c != job]
+    fresh = changes.select(job, *[F.col(c).alias(f"_new_{c}") for c in given])
+    kept = [F.coalesce(F.col(f"_new_{c}"), F.col(c)).alias(c) if c in given else F.col(c) for c in state.columns if c != job]
+    more = [F.col(f"_new_{c}").alias(c) for c in given if c not in state.columns]
+    return state.join(fresh, job, "full_outer").select(job, *kept, *more)
+
+
 def subdomain_status(actual: Column, target: Column) -> Column:
     return F.when(actual >= target, "成功").when(actual > 0, "部分成功").otherwise("失败")
 
@@ -92,6 +141,16 @@ def recoverable(state: DataFrame, order: list[Column], statuses: tuple[str, ...]
     return state.orderBy(*order).limit(1).where(F.col("status").isin(*statuses))
 
 
+def attempt_breaker(attempts: DataFrame, job: str, order: list[str], ok: Column, gained: Column, names: Column, flag_at: int = 3) -> DataFrame:
+    """(job, attempts, gained, names, opened_at): names gained in order, and the attempt at which ``flag_at`` failures in a row open the breaker."""
+    marked = failure_streaks(attempts.withColumn("_gained", gained).withColumn("_name", names), job, order, ok, flag_at)
+    at = F.row_number().over(Window.partitionBy(job).orderBy(*order))
+    numbered = marked.withColumn("_at", at)
+    listed = F.transform(F.array_sort(F.collect_list(F.when(F.col("_gained") > 0, F.struct("_at", "_name")))), lambda x: x["_name"])
+    opened = F.min(F.when(F.col("open"), F.col("_at"))).alias("opened_at")
+    return numbered.groupBy(job).agg(F.count("*").alias("attempts"), F.sum("_gained").alias("gained"), listed.alias("names"), opened)
+
+
 def attempt_progress(attempts: DataFrame, job: str, order: list[str], gained: Column, target: int) -> DataFrame:
     """Running gain, what remains and the fraction done after each attempt."""
     by = Window.partitionBy(job).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)

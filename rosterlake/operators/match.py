@@ -24,10 +24,61 @@ def author_score(name: Column, other: Column, words: Column, topics: Column, h:
     return F.when(equal, 1000).when(part, 300).otherwise(0) + shared * 10 + h + F.least(citations / 10_000, F.lit(50.0))
 
 
+def second_author_score(name: Column, other: Column, aliases: Column, words: Column, homepage: Column, h: Column, citations: Column) -> Column:
+    """1000 for equal names, else 250 where the other holds the name, 200 for an alias, 5 a query word in the homepage, H, citations up to 50."""
+    a, b = space_normal(name), space_normal(other)
+    equal = (a == b) | (simple_name(name) == simple_name(other))
+    listed = F.lower(F.array_join(F.coalesce(aliases, F.array().cast("array<string>")), " "))
+    low = F.lower(string(homepage))
+    shared = F.size(F.filter(words, lambda w: F.contains(low, F.lower(w))))
+    points = F.when(equal, 1000).when((a != "") & F.contains(b, a), 250).otherwise(0) + F.when((a != "") & F.contains(listed, a), 200).otherwise(0)
+    return points + shared * 5 + F.coalesce(h, F.lit(0)) + F.least(F.coalesce(citations, F.lit(0)) / 10_000, F.lit(50.0))
+
+
+def top_papers(papers: Column, n: int = 5) -> Column:
+    """The most cited papers of an array<struct<title, year, citations, venue, url>> as text; of equal ones the earlier."""
+    placed = F.transform(papers, lambda p, k: F.struct((-F.coalesce(p["citations"], F.lit(0))).alias("less"), k.alias("k"), p.alias("p")))
+    best = F.transform(F.slice(F.array_sort(placed), 1, n), lambda x: x["p"])
+
+    def text(p: Column) -> Column:
+        said = [F.coalesce(F.nullif(string(p[c]), F.lit("")), F.lit(other)) for c, other in (("title", "未知论文"), ("year", "未知年份"), ("venue", "未知来源"))]
+        cited = F.coalesce(p["citations"], F.lit(0)).cast("string")
+        return F.concat(said[0], F.lit("("), said[1], F.lit(", "), said[2], F.lit(", 引用"), cited, F.lit(", "), string(p["url"]), F.lit(")"))
+
+    return F.array_join(F.transform(best, text), "；")
+
+
 def best_candidates(left: DataFrame, right: DataFrame, block: list[str], key: str, score: Column, order: list[Column]) -> DataFrame:
-    """The best candidate of each row among those of its block."""
+    """The best candidate of each row among those of its block.
+
+    Blocks should be name keys: a block of n rows and m candidates is n times m scores, of which partial
+    aggregation keeps one for each row before the shuffle. order: ascending columns that settle ties.
+    """
     scored = left.join(right, block).withColumn("score", score)
-    return scored.withColumn("_rn", F.row_number().over(Window.partitionBy(key).orderBy(F.desc("score"), *order))).where("_rn = 1").drop("_rn")
+    rest = [c for c in scored.columns if c != key]
+    best = F.min_by(F.struct(*rest), F.struct((-F.col("score")).alias("s"), *[c.alias(f"o{k}") for k, c in enumerate(order)]))
+    return scored.groupBy(key).agg(best.alias("_b")).select(key, *[F.col(f"_b.`{c}`").alias(c) for c in rest])
+
+
+def second_pass(rows: DataFrame, candidates: DataFrame, key: str, name: str, variants: Column, found_key: str, found_name: str, same: Column, citations: str, most: int = 3) -> DataFrame:
+    """(key, best): of the candidates found under a row's first name variants, the most cited that is the same person.
+
+    candidates: one row for each search form, ``found_key``; of equal citations the earlier variant counts.
+    """
+    asked = rows.select(key, name, F.posexplode(F.slice(variants, 1, most)).alias("_at", found_key))
+    met = asked.join(candidates, found_key).where(same)
+    fields = F.struct(*[F.col(c) for c in candidates.columns if c != found_key], F.col(found_key))
+    return met.groupBy(key).agg(F.min_by(fields, F.struct((-F.coalesce(F.col(citations), F.lit(0))).alias("less"), "_at")).alias("best"))
+
+
+def update_if_higher(rows: DataFrame, best: DataFrame, key: str, numbers: dict[str, str], texts: dict[str, str], trusted: Column) -> DataFrame:
+    """Numbers replaced where the match is trusted and its number is higher; texts set by a trusted match. best: (key, best)."""
+    joined = rows.join(best, key, "left")
+    fits = F.col("best").isNotNull() & F.coalesce(trusted, F.lit(False))
+    new = {own: F.when(fits & (F.col(f"best.{f}") > F.coalesce(F.col(own), F.lit(0))), F.col(f"best.{f}")).otherwise(F.col(own)) for own, f in numbers.items()}
+    old = {own: F.col(own) if own in rows.columns else F.lit(None).cast("string") for own in texts}
+    new |= {own: F.when(fits, F.col(f"best.{f}")).otherwise(old[own]) for own, f in texts.items()}
+    return joined.withColumns(new).drop("best")
 
 
 def backfill(rows: DataFrame, matched: DataFrame, key: str, columns: dict[str, str], trusted: Column) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rosterlake.functions import text
+from rosterlake.functions import rules, text
 from rosterlake.operators import evidence, filters, match, merge, report, score
 from rosterlake.sources import tables
 
@@ -18,7 +18,7 @@ SELECT s_suppkey, c_custkey, score FROM s WHERE rn = 1""")
 def candidate_top1(t: Tables) -> DataFrame:
     left = t.supplier.select(F.col("s_nationkey").alias("nation"), "s_suppkey", "s_acctbal")
     right = t.customer.select(F.col("c_nationkey").alias("nation"), "c_custkey", "c_acctbal")
-    return match.best_candidates(left, right, ["nation"], "s_suppkey", F.round(1000 - F.abs(F.col("s_acctbal") - F.col("c_acctbal")), 4), [F.asc("c_custkey")]).select("s_suppkey", "c_custkey", "score")
+    return match.best_candidates(left, right, ["nation"], "s_suppkey", F.round(1000 - F.abs(F.col("s_acctbal") - F.col("c_acctbal")), 4), [F.col("c_custkey")]).select("s_suppkey", "c_custkey", "score")
 
 
 BACKFILL_SQL = f"""{METRICS_SQL}, n AS (SELECT s_nationkey, count(*) * 10 AS nh, CAST(floor(sum(CAST(s_acctbal AS DECIMAL(18,2)))) AS BIGINT) * 50 AS nc FROM supplier GROUP BY 1),
@@ -121,15 +121,16 @@ def union_schema(t: Tables) -> DataFrame:
     return a.unionByName(b, allowMissingColumns=True).select("name", "balance", "kind", F.col("segment").isNotNull().alias("has_segment"))
 
 
-@query("""SELECT doc_id, n_chars, row_number() OVER (ORDER BY doc_id) AS place FROM documents WHERE n_chars > 2000""")
+@query("""SELECT doc_id, n_chars, row_number() OVER (ORDER BY doc_id) AS place FROM documents""")
 def restore_order(t: Tables) -> DataFrame:
-    worked = t.documents.where("n_chars > 2000").repartition("lang").select("doc_id", "n_chars")
-    # places by range partitions: counts of the ranges before, then places inside; no global window
-    ranged = worked.repartitionByRange("doc_id").sortWithinPartitions("doc_id").withColumn("part", F.spark_partition_id())
-    sizes = ranged.groupBy("part").agg(F.count("*").alias("n"), F.min("doc_id").alias("low"))
-    before = sizes.withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("low").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("part", "before")
+    worked = t.documents.repartition("lang").select("doc_id", "n_chars")
+    # places by ranges: the borders are found once and stored with the counts before them, so no range is named twice
+    cuts = worked.agg(F.percentile_approx("doc_id", [k / 64 for k in range(1, 64)], 10_000)).first()[0] or []  # 63 numbers
+    ranged = worked.withColumn("part", F.size(F.filter(F.array(*[F.lit(c) for c in sorted(set(cuts))]), lambda c: c < F.col("doc_id"))) if cuts else F.lit(0))
+    before = ranged.groupBy("part").agg(F.count("*").alias("n"))
+    before = before.withColumn("before", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("part", "before")
     inside = F.row_number().over(Window.partitionBy("part").orderBy("doc_id"))
-    return ranged.withColumn("i", inside).join(before, "part").select("doc_id", "n_chars", (F.col("i") + F.col("before")).alias("place"))
+    return ranged.withColumn("i", inside).join(F.broadcast(before), "part").select("doc_id", "n_chars", (F.col("i") + F.col("before")).alias("place"))
 
 
 @query("""SELECT c_custkey, n_name || '(' || r_name || ')' AS label FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey""")
@@ -179,24 +180,44 @@ def scratch(t: Tables) -> str:
     return (found or tempfile.mkdtemp(prefix="spark-rosterlake-")).rstrip("/")
 
 
-@query("""SELECT c_custkey, c_name AS 姓名, CASE WHEN c_acctbal > 0 THEN c_mktsegment ELSE '暂无公开信息' END AS 所在工作机构, 'ECON' AS 学科领域 FROM customer""")
+NONE = rules.NO_INFORMATION
+DELIVERED_SQL = {
+    "姓名": "name", "国籍": "lang", "职位": "k", "学科领域": "'x'", "细分领域": "'y'", "入选依据": f"""CASE WHEN cites >= 10000 THEN '因学术影响力指标突出入选：总被引次数约' || cites
+ WHEN quality = 1 THEN '因其代表成果与目标细分领域直接相关而入选：' || lang ELSE '{NONE}' END""", "领域关联依据": f"CASE WHEN quality = 1 THEN lang ELSE '{NONE}' END",
+    "国内合作学者": f"CASE WHEN toxic IS NULL THEN '{NONE}' ELSE '王' || lang END", "国内合作单位": f"CASE WHEN toxic IS NULL THEN '{NONE}' ELSE '清华大学' END",
+    "总被引次数": f"CASE WHEN cites > 0 THEN CAST(cites AS VARCHAR) ELSE '{NONE}' END", "性别": f"CASE WHEN quality = 0 THEN '女' ELSE '{NONE}' END", "语言": "lang",
+    "评价_顶级头衔标识": f"CASE WHEN quality = 1 THEN '是' ELSE '{NONE}' END", "成功访问主页": "'未尝试'", "主页访问方式": "'未尝试'", "专家姓名验证": "'待复核'", "独立生存状态核验": "'未执行'",
+    "个人主页": "'https://x.edu/' || k", "信息来源": "'https://x.edu/' || k",
+}
+DELIVERY_SQL = f"""WITH b AS (SELECT CAST(d.doc_id AS VARCHAR) AS k, source AS name, lang, quality, toxic, CASE WHEN n_chars >= 5000 THEN n_chars * 10 ELSE 0 END AS cites FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id)
+SELECT {", ".join(f'{DELIVERED_SQL.get(name) or repr(NONE)} AS "{name}"' for name, *_ in report.DELIVERED)} FROM b WHERE name <> ''"""
+
+
+def profiles(t: Tables) -> DataFrame:
+    """Documents as profiles with some columns of each kind."""
+    b = t.documents.join(t.labels, "doc_id", "left")
+    k, good = F.col("doc_id").cast("string"), F.col("quality") == 1
+    return b.select(
+        k.alias("position"), F.col("source").alias("name"), F.col("lang").alias("nationality"), F.when(F.col("n_chars") >= 5000, F.col("n_chars") * 10).cast("string").alias("citations_raw"),
+        F.when(good, F.col("lang")).alias("relevance"), F.when(F.col("toxic").isNotNull(), F.concat(F.lit("强合作: 王"), "lang", F.lit("(清华大学)，来源: u"))).alias("collab"),
+        F.when(F.col("quality") == 0, "女").alias("gender"), F.col("lang").alias("languages"), F.when(good, "是").alias("top_titles"), F.concat(F.lit("https://x.edu/"), k).alias("homepage"),
+    )
+
+
+@query(DELIVERY_SQL)
 def sink_roundtrip(t: Tables) -> DataFrame:
+    """All 35 delivered columns written and read again; an empty table has them too."""
     from uuid import uuid4
 
-    experts = t.customer.select("c_custkey", F.col("c_name").alias("name"), F.when(F.col("c_acctbal") > 0, F.col("c_mktsegment")).otherwise("nan").alias("org"), F.col("c_custkey").cast("string").alias("position"))
     folder = f"{scratch(t)}/delivery-{uuid4().hex}"
-    tables.write_tables({"delivery": report.delivery(experts, "ECON", "all"), "empty": report.delivery(experts.limit(0), "ECON", "all")}, folder)
-    back = t.spark.read.parquet(f"{folder}/delivery").unionByName(t.spark.read.parquet(f"{folder}/empty"))
-    return back.select(F.col("职位").cast("bigint").alias("c_custkey"), "姓名", "所在工作机构", "学科领域")
+    rows = profiles(t)
+    tables.write_tables({"delivery": report.delivery(rows, "x", "y"), "empty": report.delivery(rows.limit(0), "x", "y")}, folder)
+    return t.spark.read.parquet(f"{folder}/delivery").unionByName(t.spark.read.parquet(f"{folder}/empty"))
 
 
-@query("""WITH b AS (SELECT d.doc_id, source, lang, quality, toxic, text, n_chars FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id)
-SELECT doc_id, source AS 姓名, lang AS 国籍, CASE WHEN n_chars >= 30000 THEN '因学术影响力指标突出入选：总被引次数约' || n_chars WHEN quality = 1 THEN '因其代表成果与目标细分领域直接相关而入选：' || lang ELSE '暂无公开信息' END AS 入选依据 FROM b""")
+@query(DELIVERY_SQL)
 def delivery_projection(t: Tables) -> DataFrame:
-    b = t.documents.join(t.labels, "doc_id", "left")
-    cites = F.when(F.col("n_chars") >= 30_000, F.col("n_chars")).cast("string")
-    experts = b.select(F.col("doc_id").cast("string").alias("position"), F.col("source").alias("name"), F.col("lang").alias("nationality"), cites.alias("citations_raw"), F.when(F.col("quality") == 1, F.col("lang")).alias("relevance"))
-    return report.delivery(experts, "x", "y").select(F.col("职位").cast("bigint").alias("doc_id"), "姓名", "国籍", "入选依据")
+    return report.delivery(profiles(t), "x", "y")
 
 
 @query("""SELECT source, count(CASE WHEN contains(text, 'ther') THEN 1 END) AS n FROM documents WHERE contains(text, 'ther') GROUP BY 1""")

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rosterlake.functions import text
-from rosterlake.operators import joblog, merge, select
+from rosterlake.functions import rules, text
+from rosterlake.operators import joblog, merge, report, select
 
 from .book import Tables, query
 
@@ -18,27 +18,87 @@ def workload_split(t: Tables) -> DataFrame:
     return joblog.workload(wanted, 31, 10)
 
 
-@query("""WITH m AS (SELECT event_id, user_id, event_type, CASE event_type WHEN 'error' THEN 'HTTP ' || (400 + CAST(floor(value) AS BIGINT) % 110) || ' Tavily token=abc' || event_id ELSE event_type || ' timeout from OpenAlex' END AS msg FROM events), d AS (SELECT *, regexp_replace(msg, 'token=.*', 'token=***') AS detail FROM m)
-SELECT event_id, CASE WHEN event_type = 'error' THEN 'Tavily 搜索服务' ELSE 'OpenAlex 数据库' END AS source,
-CASE WHEN contains(detail, '401') THEN '身份验证失败，API Key 无效、过期，或与 API_BASE_URL 不属于同一平台。' WHEN contains(detail, '403') THEN '服务拒绝访问，当前密钥、账户或来源地址没有所需权限。'
-WHEN contains(detail, '404') THEN '请求的资源不存在，可能是主页已迁移、接口路径错误或记录已删除。' WHEN contains(detail, '429') THEN '服务触发调用频率或账户额度限制。'
-WHEN regexp_matches(detail, '50[0234]') THEN '远端服务或中转网关返回服务器错误，当前服务暂时不可用。' WHEN contains(detail, 'timeout') THEN '服务端或网络长时间未返回响应。' ELSE '执行过程中出现未归类异常。' END AS cause,
-detail FROM d""")
+def said(words: tuple[str, ...], text: str) -> str:
+    return "(" + " OR ".join(f"contains({text}, '{w}')" for w in words) + ")"
+
+
+def sided(value: str | tuple[str, str]) -> str:
+    return f"'{value}'" if isinstance(value, str) else f"CASE WHEN source = '{rules.ERROR_SOURCE_HOMEPAGE}' THEN '{value[0]}' ELSE '{value[1]}' END"
+
+
+def chosen(texts: tuple, other: str) -> str:
+    return "CASE " + " ".join(f"WHEN {said(words, 'low')} THEN {sided(text)}" for (words, _), text in zip(rules.ERROR_CAUSES, texts, strict=True)) + f" ELSE '{other}' END"
+
+
+#: Messages of every kind, by event; ids after the secret's mark are redacted before the words are looked for.
+MESSAGES = [words[0] for words, _ in rules.ERROR_CAUSES] + ["all is well"]
+STAGES = [words[0] for words, _ in rules.ERROR_SOURCES] + ["nothing"]
+DIAGNOSED_SQL = f"""m AS (SELECT event_id, user_id, ts, event_type, {MESSAGES}[1 + event_id % {len(MESSAGES)}] || '  in ' || event_type || ' token=abc' || event_id AS msg, {STAGES}[1 + user_id % {len(STAGES)}] AS stage FROM events),
+d AS (SELECT *, regexp_replace(regexp_replace(trim(msg), '\\s+', ' ', 'g'), 'token=.*', 'token=***') AS detail FROM m),
+s AS (SELECT *, lower(detail) AS low, CASE {" ".join(f"WHEN {said(words, 'lower(stage || chr(32) || detail)')} THEN '{name}'" for words, name in rules.ERROR_SOURCES)} ELSE '{rules.ERROR_SOURCE_OTHER}' END AS source FROM d),
+g AS (SELECT *, {chosen(tuple(c for _, c in rules.ERROR_CAUSES), rules.ERROR_CAUSE_OTHER)} AS cause, {chosen(rules.ERROR_ACTIONS, rules.ERROR_ACTION_OTHER)} AS action FROM s)"""
+
+
+def diagnosed(t: Tables) -> DataFrame:
+    message = F.element_at(text.word_array(MESSAGES), (F.col("event_id") % len(MESSAGES) + 1).cast("int"))
+    stage = F.element_at(text.word_array(STAGES), (F.col("user_id") % len(STAGES) + 1).cast("int"))
+    whole = F.concat(message, F.lit("  in "), "event_type", F.lit(" token=abc"), F.col("event_id").cast("string"))
+    return t.events.select("event_id", "user_id", "ts", "event_type", joblog.diagnose(whole, stage).alias("d"))
+
+
+@query(f"WITH {DIAGNOSED_SQL} SELECT event_id, source, cause, action, detail, source || '：' || cause AS summary FROM g")
 def error_classify(t: Tables) -> DataFrame:
-    return t.events.select("event_id", joblog.diagnose(error_text()).alias("d")).select("event_id", "d.source", "d.cause", "d.detail")
+    return diagnosed(t).select("event_id", "d.source", "d.cause", "d.action", "d.detail", "d.summary")
+
+
+@query(f"WITH {DIAGNOSED_SQL} SELECT event_id, '来源：' || source || '｜原因：' || cause || '｜建议：' || action || '｜技术详情：' || detail AS line, source || '：' || cause AS last_error, action AS error_action FROM g")
+def diagnostic_text(t: Tables) -> DataFrame:
+    d = diagnosed(t)
+    flat = d.select("event_id", joblog.one_line(F.col("d")).alias("line"), *joblog.flat_diagnosis(F.col("d")))
+    return flat.select("event_id", "line", "last_error", "error_action")
+
+
+@query(f"""WITH {DIAGNOSED_SQL}, r AS (SELECT user_id, cause, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM g WHERE event_type = 'error'),
+f AS (SELECT user_id, cause, min(rn) AS rn FROM r WHERE rn <= 3 GROUP BY 1, 2) SELECT user_id, string_agg(cause, '；' ORDER BY rn) AS causes FROM f GROUP BY 1""")
+def last_error_causes(t: Tables) -> DataFrame:
+    """The distinct causes of the last three errors of each user."""
+    errors = diagnosed(t).where("event_type = 'error'")
+    last = joblog.last_causes(errors, "user_id", [F.desc("ts"), F.desc("event_id")], F.col("d.cause"))
+    return last.select("user_id", F.array_join("causes", "；").alias("causes"))
 
 
 def error_text():
+    """Messages of two services, as a stream holds them."""
     code = F.concat(F.lit("HTTP "), (F.floor("value") % 110 + 400).cast("string"), F.lit(" Tavily token=abc"), F.col("event_id").cast("string"))
-    # ids after the secret's mark are redacted before the words are looked for
     return F.when(F.col("event_type") == "error", code).otherwise(F.concat("event_type", F.lit(" timeout from OpenAlex")))
 
 
-@query("""WITH m AS (SELECT event_id, event_type, CASE event_type WHEN 'error' THEN 'HTTP ' || (400 + CAST(floor(value) AS BIGINT) % 110) || ' Tavily' ELSE event_type || ' timeout from OpenAlex' END AS msg FROM events)
-SELECT event_id, event_id || ' | ' || CASE WHEN event_type = 'error' THEN 'Tavily 搜索服务' ELSE 'OpenAlex 数据库' END || ' | ' || left(msg, 20) AS line FROM m""")
-def diagnostic_text(t: Tables) -> DataFrame:
-    d = t.events.select("event_id", joblog.diagnose(error_text()).alias("d"))
-    return d.select("event_id", F.concat_ws(" | ", F.col("event_id").cast("string"), F.col("d.source"), F.left(F.trim(F.regexp_replace("d.detail", "token=.*", "")), F.lit(20))).alias("line"))
+@query("""WITH r AS (SELECT *, left(sha256(concat_ws('|', CAST(user_id AS VARCHAR), event_type)), 12) AS request_key, event_type <> 'error' AND value > 20 AS ok FROM events)
+SELECT event_id, request_key, CASE WHEN ok AND row_number() OVER (PARTITION BY request_key, ok ORDER BY event_id) = 1 THEN 2 ELSE 0 END AS charged FROM r""")
+def request_credits(t: Tables) -> DataFrame:
+    key = [F.col("user_id").cast("string"), F.lower("event_type")]
+    paid = joblog.credits_once(t.events, key, ["event_id"], (F.col("event_type") != "error") & (F.col("value") > 20), F.lit(2))
+    return paid.select("event_id", "request_key", "charged")
+
+
+@query("""WITH o AS (SELECT *, event_type <> 'error' AS ok, row_number() OVER w AS nth, sum(CASE WHEN event_type <> 'error' THEN 1 ELSE 0 END) OVER w AS island FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+s AS (SELECT *, sum(CASE WHEN ok THEN 0 ELSE 1 END) OVER (PARTITION BY user_id, island ORDER BY ts, event_id) AS streak FROM o)
+SELECT user_id, count(*) AS attempts, CAST(sum(CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END) AS BIGINT) AS gained,
+coalesce(string_agg(CASE WHEN event_type = 'purchase' THEN CAST(event_id AS VARCHAR) END, ',' ORDER BY nth), '') AS names, min(CASE WHEN streak >= 2 THEN nth END) AS opened_at FROM s GROUP BY 1""")
+def attempt_breaker(t: Tables) -> DataFrame:
+    gained = (F.col("event_type") == "purchase").cast("int")
+    got = joblog.attempt_breaker(t.events, "user_id", ["ts", "event_id"], F.col("event_type") != "error", gained, F.col("event_id").cast("string"), 2)
+    return got.select("user_id", "attempts", "gained", F.array_join("names", ",").alias("names"), "opened_at")
+
+
+@query("""WITH r AS (SELECT user_id, event_type, value, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM events WHERE user_id % 3 <> 0)
+SELECT coalesce(s.user_id, n.user_id) AS user_id, coalesce(n.status, s.status) AS status, s.n_events, n.value FROM
+(SELECT user_id, 'queued' AS status, count(*) AS n_events FROM events WHERE user_id % 2 = 0 GROUP BY 1) s FULL JOIN (SELECT user_id, event_type AS status, value FROM r WHERE rn = 1) n ON s.user_id = n.user_id""")
+def job_upsert(t: Tables) -> DataFrame:
+    """Queued jobs updated by the newest event of each, new jobs added."""
+    state = t.events.where("user_id % 2 = 0").groupBy("user_id").agg(F.lit("queued").alias("status"), F.count("*").alias("n_events"))
+    new = joblog.current_state(t.events.where("user_id % 3 <> 0"), "user_id", [F.desc("ts"), F.desc("event_id")])
+    return joblog.upserted(state, new.select("user_id", F.col("event_type").alias("status"), "value"), "user_id")
 
 
 @query("""SELECT event_id, event_type = 'error' AND value < 20 AS failed FROM events""")
@@ -115,11 +175,21 @@ def attempt_rollup(t: Tables) -> DataFrame:
     return joblog.attempt_progress(t.events.withColumn("fresh", seen.cast("int")), "user_id", ["ts", "event_id"], F.col("fresh"), 4).select("event_id", "total", "remaining", "progress")
 
 
-@query("""SELECT item, CAST(n AS BIGINT) AS n FROM (SELECT count(*) AS total, count(CASE WHEN event_type = 'error' THEN 1 END) AS errors, count(CASE WHEN event_type = 'purchase' AND value > 50 THEN 1 END) AS large, count(CASE WHEN event_type = 'view' THEN 1 END) AS views FROM events) UNPIVOT (n FOR item IN (total, errors, large, views))""")
+def summary_sql() -> str:
+    marks = {"name_check": "CASE event_type WHEN 'purchase' THEN '已验证' ELSE '待复核' END", "page_status": "CASE WHEN value < 30 THEN '否' WHEN value < 60 THEN ' 是 ' ELSE '未尝试' END"}
+    marks |= {"page_method": "CASE WHEN user_id % 4 = 0 THEN 'OpenCLI' END", "death_check": "CASE event_type WHEN 'error' THEN '疑似已故待复核' WHEN 'view' THEN '未发现死亡证据' ELSE '未执行' END"}
+    rows = [f"SELECT '{name}' AS item, count({'*' if c is None else f'CASE WHEN trim({marks[c]}) = {chr(39)}{v}{chr(39)} THEN 1 END'}) AS result, '{remark}' AS remark FROM events" for name, c, v, remark in rules.RUN_SUMMARY]
+    return " UNION ALL ".join(rows)
+
+
+@query(summary_sql())
 def run_summary(t: Tables) -> DataFrame:
-    of = lambda kind: F.col("event_type") == kind
-    one = t.events.agg(F.count("*").alias("total"), F.count_if(of("error")).alias("errors"), F.count_if(of("purchase") & (F.col("value") > 50)).alias("large"), F.count_if(of("view")).alias("views"))
-    return one.unpivot([], ["total", "errors", "large", "views"], "item", "n")
+    kind, value = F.col("event_type"), F.col("value")
+    rows = t.events.select(
+        F.when(kind == "purchase", "已验证").otherwise("待复核").alias("name_check"), F.when(value < 30, "否").when(value < 60, " 是 ").otherwise("未尝试").alias("page_status"),
+        F.when(F.col("user_id") % 4 == 0, "OpenCLI").alias("page_method"), F.when(kind == "error", "疑似已故待复核").when(kind == "view", "未发现死亡证据").otherwise("未执行").alias("death_check"),
+    )
+    return report.run_summary(rows)
 
 
 @query("""SELECT doc_id, left(regexp_replace(regexp_replace(regexp_replace(trim(regexp_replace(text, '\\s+', ' ', 'g')), '(?i)(authorization\\s*[:=]\\s*bearer\\s+)[^\\s,;]+', '\\1***', 'g'), '(?i)((?:api[_-]?key|token)\\s*[:=]\\s*)[^\\s,;]+', '\\1***', 'g'), '\\bsk-[A-Za-z0-9_-]{8,}\\b', 'sk-***', 'g'), 600) AS clean FROM documents""")
@@ -132,11 +202,12 @@ def first_seen(t: Tables) -> DataFrame:
     return merge.first_seen(t.events, ["user_id"], [F.asc("ts"), F.asc("event_id")]).select("user_id", "event_id", "event_type")
 
 
-@query("""WITH k AS (SELECT DISTINCT left(text, 20) AS k FROM conversations WHERE role = 'user' AND conv_id % 3 = 0),
-n AS (SELECT conv_id, turn, left(text, 20) AS k, row_number() OVER (PARTITION BY left(text, 20) ORDER BY conv_id, turn) AS rn FROM conversations WHERE role = 'user' AND conv_id % 3 <> 0)
+@query("""WITH u AS (SELECT *, md5(lower(trim(text))) AS k FROM conversations WHERE role = 'user'), k AS (SELECT DISTINCT k FROM u WHERE conv_id % 3 = 0),
+n AS (SELECT conv_id, turn, k, row_number() OVER (PARTITION BY k ORDER BY conv_id, turn) AS rn FROM u WHERE conv_id % 3 <> 0)
 SELECT conv_id, turn, k FROM n WHERE rn = 1 AND k NOT IN (SELECT k FROM k)""")
 def new_names_anti(t: Tables) -> DataFrame:
-    asked = t.conversations.where("role = 'user'").withColumn("k", F.left("text", F.lit(20)))
+    """Turns whose whole text, in any case, is new."""
+    asked = t.conversations.where("role = 'user'").withColumn("k", F.md5(F.lower(F.trim("text"))))
     return merge.new_rows(asked.where("conv_id % 3 <> 0"), asked.where("conv_id % 3 = 0"), "k", [F.asc("conv_id"), F.asc("turn")]).select("conv_id", "turn", "k")
 
 

@@ -50,7 +50,7 @@ def balanced_quota(t: Tables) -> DataFrame:
     return select.balanced_quota(t.customer, "c_custkey", F.array("c_mktsegment"), segments, 25, [("c_acctbal", True), ("c_custkey", False)]).select("c_custkey", "c_mktsegment", "c_acctbal", "pick")
 
 
-@query("""WITH f AS (SELECT *, left(text, 40) AS k FROM documents),
+@query("""WITH f AS (SELECT *, md5(lower(trim(text))) AS k FROM documents),
 r AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY n_chars DESC, doc_id) AS rn FROM f),
 s AS (SELECT k, source, min(rn) AS first FROM r GROUP BY 1, 2)
 SELECT g.k AS merge_key, g.n_rows, g.doc_id, g.n_chars, g.digest, s2.source FROM
@@ -59,8 +59,9 @@ JOIN (SELECT k, string_agg(source, '；' ORDER BY first) AS source FROM s GROUP
 def survivorship_merge(t: Tables) -> DataFrame:
     none = lambda c: F.trim(text.string(c)) == ""
     docs = t.documents.withColumn("first_id", F.col("doc_id").cast("string"))
-    merged = merge.survivorship(docs, F.left("text", F.lit(40)), [F.desc("n_chars"), F.asc("doc_id")], ["n_chars"], ["source"], ["text"], missing=none)
-    ids = merge.first_seen(docs.withColumn("merge_key", F.left("text", F.lit(40))).select("merge_key", "doc_id", "n_chars"), ["merge_key"], [F.desc("n_chars"), F.asc("doc_id")])
+    key = F.md5(F.lower(F.trim("text")))
+    merged = merge.survivorship(docs, key, [F.desc("n_chars"), F.asc("doc_id")], ["n_chars"], ["source"], ["text"], missing=none)
+    ids = merge.first_seen(docs.withColumn("merge_key", key).select("merge_key", "doc_id", "n_chars"), ["merge_key"], [F.desc("n_chars"), F.asc("doc_id")])
     return merged.join(ids.select("merge_key", "doc_id"), "merge_key").select("merge_key", "n_rows", "doc_id", "n_chars", F.md5("text").alias("digest"), "source")
 
 
@@ -130,10 +131,10 @@ def glossary(t: Tables) -> DataFrame:
     return t.part.select("p_partkey", text.glossary("p_type", (("economy", "thrift"), ("steel", "iron"))).alias("normal"))
 
 
-@query("""WITH j AS (SELECT coalesce(d.doc_id, l.doc_id) AS doc_id, CASE WHEN quality IS NULL THEN 'None' ELSE CAST(quality AS VARCHAR) END AS q, left(text, 30) AS x FROM documents d FULL JOIN labels l ON d.doc_id = l.doc_id)
+@query("""WITH j AS (SELECT coalesce(d.doc_id, l.doc_id) AS doc_id, CASE WHEN quality IS NULL THEN 'None' ELSE CAST(quality AS VARCHAR) END AS q, text AS x FROM documents d FULL JOIN labels l ON d.doc_id = l.doc_id)
 SELECT doc_id, regexp_matches(q, '(?i)nan|none') AS pending, lower(trim(q)) IN ('none', 'nan', '') AS cell, x IS NULL OR trim(x) = '' OR regexp_matches(x, '(?i)nan|none') AS text_missing FROM j""")
 def placeholder_flags(t: Tables) -> DataFrame:
-    joined = t.documents.join(t.labels, "doc_id", "full").select("doc_id", F.coalesce(F.col("quality").cast("string"), F.lit("None")).alias("q"), F.left("text", F.lit(30)).alias("x"))
+    joined = t.documents.join(t.labels, "doc_id", "full").select("doc_id", F.coalesce(F.col("quality").cast("string"), F.lit("None")).alias("q"), F.col("text").alias("x"))
     return joined.select("doc_id", text.missing_pending("q").alias("pending"), text.cell_placeholder("q").alias("cell"), text.enrich_placeholder("x").alias("text_missing"))
 
 
