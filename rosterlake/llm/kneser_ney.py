@@ -30,7 +30,7 @@ import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -39,7 +39,7 @@ from .suffix_dedup import _MIX, mix
 
 ORDER, QUANTILE = 5, 0.99
 #: Characters of a block, n-grams of a shard, and n-grams that one task answers.
-BLOCK, SHARD, ANSWERS = 8_000_000, 1_000_000, 50_000_000
+BLOCK, SHARD, ANSWERS = 8_000_000, 1_000_000, 20_000_000
 #: Up to so many trusted ids (of at most a few dozen bytes) are sent to every task; more are joined by a shuffle.
 SENT_IDS = 1_000_000
 SENT_LANGUAGES = 100_000
@@ -225,30 +225,25 @@ def log_probabilities(grams: DataFrame, order: int) -> DataFrame:
     def tail(k: int) -> Column:
         return F.substring("g", 2, k)  # without the first of k + 1 characters
 
-    levels = {order: grams.where("n > 0")}
-    every = {order: grams.select("g")}
-    for k in range(order - 1, 0, -1):  # a lower order counts what stands in front
-        levels[k] = keep(levels[k + 1].groupBy(tail(k).alias("g")).agg(F.count("*").alias("n")))
-        every[k] = keep(every[k + 1].select(tail(k).alias("g")).distinct())
+    # a lower order counts what stands in front; n-grams that no text to fit on holds go along with a count of 0
+    levels = {order: grams.select("g", "n")}
+    for k in range(order - 1, 0, -1):
+        levels[k] = keep(levels[k + 1].groupBy(tail(k).alias("g")).agg(F.count_if(F.col("n") > 0).alias("n")))
     lower = None
     for k in range(1, order + 1):
-        counts = {r["n"]: r["count"] for r in levels[k].where("n <= 4").groupBy("n").count().collect()}  # four numbers
+        counts = {r["n"]: r["count"] for r in levels[k].where("n between 1 and 4").groupBy("n").count().collect()}  # four numbers
         n1, n2, n3, n4 = (counts.get(i, 0) for i in (1, 2, 3, 4))
         y = n1 / (n1 + 2 * n2) if n1 else 0.5
         d1, d2, d3 = (min(i, max(0.0, i - (i + 1) * y * b / a)) if a else 0.5 * y for i, a, b in ((1, n1, n2), (2, n2, n3), (3, n3, n4)))
-        discount = F.when(F.col("n") == 1, F.lit(d1)).when(F.col("n") == 2, F.lit(d2)).otherwise(F.lit(d3))
-        out = every[k].join(levels[k].hint("merge"), "g", "left")
-        sums = [F.sum("n").alias("total"), F.sum(discount).alias("mass")]
+        discount = F.when(F.col("n") == 0, F.lit(0.0)).when(F.col("n") == 1, F.lit(d1)).when(F.col("n") == 2, F.lit(d2)).otherwise(F.lit(d3))
         if k == 1:  # one history
-            start = levels[1].agg(*sums).first()
-            out = out.withColumn("p", F.lit(1.0 / max(1, every[1].count())))
-            out = out.withColumn("total", F.lit(start["total"]).cast("long")).withColumn("mass", F.lit(start["mass"]).cast("double"))
+            start = levels[1].agg(F.sum("n").alias("total"), F.sum(discount).alias("mass"), F.count("*").alias("size")).first()
+            out = levels[1].withColumn("total", F.lit(start["total"] or 0)).withColumn("mass", F.lit(start["mass"] or 0.0)).withColumn("p", F.lit(1.0 / max(1, start["size"])))
         else:  # a history, and a lower n-gram, has at most as many n-grams as there are characters
-            history = levels[k].groupBy(F.substring("g", 1, k - 1).alias("h")).agg(*sums)
-            out = out.withColumn("h", F.substring("g", 1, k - 1)).join(history.hint("merge"), "h", "left")
+            same = Window.partitionBy("h")
+            out = levels[k].withColumn("h", F.substring("g", 1, k - 1)).withColumn("total", F.sum("n").over(same)).withColumn("mass", F.sum(discount).over(same))
             out = out.withColumn("t", tail(k - 1)).join(lower.select(F.col("g").alias("t"), "p").hint("merge"), "t")
-        found = F.coalesce((F.col("n") - discount) / F.col("total"), F.lit(0.0))
-        p = F.when(F.col("total").isNull(), F.col("p")).otherwise(found + F.col("mass") / F.col("total") * F.col("p"))
+        p = F.when(F.col("total") == 0, F.col("p")).otherwise((F.col("n") - discount) / F.col("total") + F.col("mass") / F.col("total") * F.col("p"))
         lower = keep(out.select("g", p.alias("p")))
     return lower.select("g", F.log("p").alias("logp"))
 
@@ -277,7 +272,7 @@ def dealt(table: DataFrame, order: int, shards: int, parts: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             grams = points_of(batch.column("g").to_pylist()).reshape(-1, order)
-            logp = batch.column("logp").to_numpy().astype("<f8")
+            logp = batch.column("logp").to_numpy().astype("<f4")
             own = (gram_keys(grams, 1) % np.uint64(shards)).astype(np.int64)
             for s in np.unique(own).tolist():
                 at = np.flatnonzero(own == s)
@@ -300,7 +295,7 @@ def answered(rows: DataFrame, order: int) -> DataFrame:
                     at, found, grams, logp = (shard, part), None, [], []
                 if block is None:
                     grams.append(unpress(raw, order))
-                    logp.append(np.frombuffer(inflate(values), "<f8"))
+                    logp.append(np.frombuffer(inflate(values), "<f4"))
                     continue
                 if found is None:
                     known, value, seed = np.concatenate(grams), np.concatenate(logp), 2
@@ -310,7 +305,7 @@ def answered(rows: DataFrame, order: int) -> DataFrame:
                 place = found.get_indexer(gram_keys(mine, seed))
                 if (known[place] != mine).any():
                     raise RuntimeError("an n-gram is not in the table")
-                reply = zstandard.compress(value[place].astype("<f4").tobytes())
+                reply = zstandard.compress(value[place].tobytes())
                 yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([shard], pa.int32()), pa.array([reply], pa.binary())], names=["block", "shard", "logp"])
 
     return rows.select("shard", "part", "block", "grams", "logp").mapInArrow(run, "block long, shard int, logp binary")
