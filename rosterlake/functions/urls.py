@@ -53,12 +53,16 @@ def valid_homepage(c: Column | str, index_domains: tuple[str, ...] = rules.INDEX
 
 
 def public_url(c: Column | str) -> Column:
-    """Web address with a public host: no local names, no private, loopback or reserved IPv4 address."""
+    """Web address with a public host: no local names, no private, loopback or reserved address."""
     host = F.regexp_replace(netloc(c), r":\d+$", "")
     ip = host.rlike(r"^\d{1,3}(?:\.\d{1,3}){3}$")
     a, b = (F.regexp_extract(host, r"^(\d{1,3})\.(\d{1,3})", k).try_cast("int") for k in (1, 2))
     private = a.isin(0, 10, 127) | (a >= 224) | ((a == 172) & b.between(16, 31)) | ((a == 192) & (b == 168)) | ((a == 169) & (b == 254)) | ((a == 100) & b.between(64, 127))
     local = host.isin("", "localhost") | host.rlike(r"\.(?:local|localhost|internal)$") | ~host.contains(".")
+    # fixed values: unspecified and loopback, private, link-local and multicast, mapped private addresses of IPv6
+    six = F.regexp_extract(netloc(c), r"^\[([0-9a-f:.]+)\]", 1)
+    closed = six.rlike(r"^(?:::1?|f[cd][0-9a-f]{2}:.*|fe[89ab][0-9a-f]:.*|ff[0-9a-f]{2}:.*|::ffff:(?:10|127|192\.168|169\.254|0)\..*)$")
+    local = F.when(six != "", closed).otherwise(local)
     return string(c).rlike("(?i)^https?://") & ~local & ~F.coalesce(ip & private, F.lit(False))
 
 

@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rosterlake.functions.text import HAN, cell_placeholder, string
+from rosterlake.functions.names import same_person
+from rosterlake.functions.text import HAN, cell_placeholder, clip, string
 from rosterlake.functions.urls import domain, source_tier
 
 #: Roles whose values tell a story.
 NARRATIVE = ("org", "position", "interests", "career", "education", "achievements", "collab", "basis", "relevance")
+# Degrees alone, words of schools, signs of a broken text.
 DEGREE_ONLY = r"(?i)^(?:博士|硕士|学士|医学博士|哲学博士|博士学位|硕士学位|学士学位|ph\.?d\.?|m\.?d\.?)$"
 SCHOOL = r"(?i)大学|学院|学校|研究所|医学院|医院|培训|博士后|university|college|school|institute|academy|hospital|medical center|postdoc"
 BROKEN = r"(?i)(?:\.\.\.|…)$|error sending|connection error|operation timed out|search results?"
@@ -71,11 +75,41 @@ def identity_lock(name_fits: Column, ids: Column, institution_fits: Column, page
     return F.when(~name_fits, "未通过").when((ids > 0) & (institution_fits | (page_ok & official_page)), "已锁定").otherwise("待复核")
 
 
+def lock_evidence(
+    rows: DataFrame, source_name: str, matched: list[str], ids: list[str], institution_fits: Column, page_ok: Column, official_pages: Column, best_tier: Column, blanked: list[str]
+) -> DataFrame:
+    """Adds ``lock``, ``lock_why`` and ``source_grade``; where a matched name is not the row's, the ``blanked`` columns are emptied.
+
+    matched: names that databases gave; ids: their author ids; official_pages: number of official profile URLs;
+    best_tier: the best trust tier of the row's sources.
+    """
+    wrong = F.array_compact(F.array(*[F.when(~cell_placeholder(c) & ~same_person(source_name, c), string(c)) for c in matched]))
+    signals = reduce(lambda a, c: a + F.when(cell_placeholder(c), 0).otherwise(1), ids, F.lit(0))
+    failed = F.size("_wrong") > 0
+    lock = identity_lock(~failed, F.col("_signals"), institution_fits, page_ok, official_pages > 0)
+    said = F.concat(
+        F.lit("同名数据库信号 "), F.col("_signals").cast("string"), F.lit(" 个；OpenAlex机构"), F.when(institution_fits, "匹配").otherwise("未匹配"), F.lit("；机构官方主页证据 "),
+        official_pages.cast("string"), F.lit(" 个；主页"), F.when(page_ok, "访问成功").otherwise("未完成有效访问"),
+    )
+    out = rows.withColumn("_wrong", wrong).withColumn("_signals", signals)
+    out = out.withColumn("lock", lock).withColumn("lock_why", F.when(failed, F.concat(F.lit("数据库匹配姓名与原表不一致："), F.array_join("_wrong", "、"))).otherwise(said))
+    out = out.withColumn("source_grade", F.when(best_tier == 1, "高可信来源优先").otherwise("普通公开来源待复核"))
+    return out.withColumns({c: F.when(failed, F.lit("")).otherwise(F.col(c)) for c in blanked}).drop("_wrong", "_signals")
+
+
 def claim_kept(claim: Column, locked: Column, institution_fits: Column, official_domains: Column, dated: Column) -> Column:
     """A claim of death stays only with a lock, the institution, two official domains and a date."""
     return claim & locked & institution_fits & (F.size(F.array_distinct(official_domains)) >= 2) & dated
 
 
+SMALL_ROWS = 10_000
+
+
+def small(table: DataFrame, most: int = SMALL_ROWS) -> DataFrame:
+    """A table of a few short columns, sent to every task if it has no more than ``most`` rows, else joined by its keys."""
+    return F.broadcast(table) if table.limit(most + 1).count() <= most else table.hint("merge")
+
+
 def missing_groups(cells: DataFrame, key: str, groups: dict[str, str]) -> DataFrame:
     """(key, one flag for each group): whether a blank cell's header is of the group."""
     blank = cells.where(cell_placeholder("value"))
@@ -87,11 +121,38 @@ def direct_proposals(blank: DataFrame, evidence: DataFrame, roles: DataFrame, ke
 
     blank: (key, column); roles: (column, field, prio), few rows; evidence: (key, field, value).
     """
-    wanted = blank.join(F.broadcast(roles), "column")
+    wanted = blank.join(small(roles), "column")
     found = wanted.join(evidence.where(~cell_placeholder("value")), [key, "field"])
     return found.groupBy(key, "column").agg(F.min_by("value", "prio").alias("value"))
 
 
+def supported_proposals(
+    blank: DataFrame,
+    evidence: DataFrame,
+    roles: DataFrame,
+    state: DataFrame,
+    key: str,
+    needs_lock: Sequence[str] = ("h_raw",),
+    indexed: Sequence[str] = ("interests", "relevance", "achievements", "basis"),
+    narrative: Sequence[str] = NARRATIVE,
+    size: int = 1800,
+) -> DataFrame:
+    """(key, column, value, hints): direct proposals that hold up: good enough, locked where that is needed, stories with a source.
+
+    blank: (key, column, role); roles: (role, field, prio), few rows; state: (key, locked, official, index_urls), the
+    official profile URLs and those of publication indexes in order. Stories carry up to three sources as hints.
+    """
+    role = F.col("role")
+    wanted = blank.join(small(roles), "role")
+    found = wanted.join(evidence, [key, "field"]).join(state, key)
+    hints = F.slice(F.array_distinct(F.when(role.isin(*indexed), F.concat("official", "index_urls")).otherwise(F.col("official"))), 1, 3)
+    story = role.isin(*narrative)
+    good = ~cell_placeholder("value") & ~low_quality(role, "value", narrative) & (~role.isin(*needs_lock) | F.col("locked")) & (~story | (F.col("locked") & (F.size("hints") > 0)))
+    kept = found.withColumn("hints", hints).where(good)
+    best = F.min_by(F.struct(clip("value", size).alias("value"), F.when(story, F.col("hints")).alias("hints")), "prio").alias("_b")
+    return kept.groupBy(key, "column").agg(best).select(key, "column", "_b.value", "_b.hints")
+
+
 def merge_proposals(key: str, *rounds: DataFrame) -> DataFrame:
     """(key, column, value, prio): of several rounds, the first listed counts for a cell."""
     tagged = [r.select(key, "column", "value", F.lit(n).alias("prio")) for n, r in enumerate(rounds)]
@@ -102,8 +163,9 @@ def merge_proposals(key: str, *rounds: DataFrame) -> DataFrame:
 
 
 def valid_proposals(proposals: DataFrame, blank: DataFrame, key: str) -> DataFrame:
-    """Proposals for cells that are blank, with a value; clipped."""
-    good = proposals.where(~cell_placeholder("value")).withColumn("value", F.left(F.trim(F.col("value")), F.lit(2000)))
+    """Proposals for cells that are blank, with a value that is good enough (of a ``role``, if they have one); clipped."""
+    role = F.col("role") if "role" in proposals.columns else F.lit("")
+    good = proposals.where(~cell_placeholder("value") & ~low_quality(role, "value")).withColumn("value", F.left(F.trim(F.col("value")), F.lit(2000)))
     return good.join(blank.select(key, "column").distinct(), [key, "column"], "left_semi")
 
 
@@ -128,6 +190,52 @@ def audit(filled: DataFrame, key: str) -> DataFrame:
     return filled.groupBy(key).agg(some.alias("n_filled"), listed.alias("columns"), F.when(some > 0, "completed").otherwise("unchanged").alias("note"))
 
 
+def audit_columns(filled: DataFrame, evidence: DataFrame, accepted: DataFrame, key: str) -> DataFrame:
+    """(key, sources, status, remark): the three audit columns of each row.
+
+    evidence: (key, sources, lock, life_status); accepted: (key, column), the cells that passed the gates.
+    """
+    counts = filled.groupBy(key).agg(F.count_if("filled").alias("n_filled"))
+    passed = accepted.groupBy(key).agg(F.count("*").alias("n_passed"))
+    joined = counts.join(evidence, key, "left").join(passed, key, "left")
+    text = lambda c, other: F.when(string(c) == "", F.lit(other)).otherwise(string(c))
+    n = F.coalesce("n_passed", F.lit(0)).cast("string")
+    status = F.concat(F.lit("身份"), text("lock", "待复核"), F.lit("；字段级验证通过 "), n, F.lit(" 项"))
+    remark = F.concat(F.lit("本次补全 "), F.col("n_filled").cast("string"), F.lit(" 个空白字段；生存状态："), text("life_status", "待核验"), F.lit("；原有非空单元格未被覆盖。"))
+    return joined.select(key, text("sources", "未找到可写入的中高可信公开来源 URL").alias("sources"), status.alias("status"), remark.alias("remark"))
+
+
+def detail_rows(filled: DataFrame, names: DataFrame, cited: DataFrame, evidence: DataFrame, key: str) -> DataFrame:
+    """(key, name, column, value, verdict, sources, lock) of every filled cell. cited: (key, column, urls)."""
+    rows = filled.where("filled").join(names, key, "left").join(cited, [key, "column"], "left").join(evidence.select(key, "lock"), key, "left")
+    urls = F.array_join(F.slice(F.coalesce("urls", F.array().cast("array<string>")), 1, 3), " | ")
+    lock = F.when(string("lock") == "", "待复核").otherwise(F.col("lock"))
+    return rows.select(key, "name", "column", "value", F.lit("通过字段级证据闸门").alias("verdict"), urls.alias("sources"), lock.alias("lock"))
+
+
+def completion_totals(filled: DataFrame, key: str) -> DataFrame:
+    """(total_rows, completed_rows, filled_cells)."""
+    rows = filled.groupBy(key).agg(F.count_if("filled").alias("n"))
+    return rows.agg(F.count("*").alias("total_rows"), F.count_if(F.col("n") > 0).alias("completed_rows"), F.coalesce(F.sum("n"), F.lit(0)).alias("filled_cells"))
+
+
+def run_stages(rows: DataFrame, stages: Sequence[tuple[str, Callable[..., DataFrame], Sequence[str]]], tables: dict[str, DataFrame]) -> tuple[DataFrame, dict[str, str]]:
+    """Stages ``(name, function, names of its tables)`` one behind the other; one whose tables or columns are missing leaves the rows as they were.
+
+    Returns the rows and what became of each stage.
+    """
+    said: dict[str, str] = {}
+    for name, stage, needed in stages:
+        missing = [t for t in needed if t not in tables]
+        try:
+            if not missing:
+                rows = stage(rows, *[tables[t] for t in needed])
+            said[name] = f"skipped: no {', '.join(missing)}" if missing else "done"
+        except AnalysisException as e:  # a column is missing
+            said[name] = f"skipped: {e.getCondition()}"
+    return rows, said
+
+
 def derived_sentences(accepted: DataFrame, key: str, template: str, roles: list[str]) -> DataFrame:
     """(key, value): a sentence from accepted fields, for rows that have them all."""
     wide = accepted.groupBy(key).agg(*[F.max(F.when(F.col("column") == r, F.col("value"))).alias(r) for r in roles])
@@ -136,8 +244,6 @@ def derived_sentences(accepted: DataFrame, key: str, template: str, roles: list[
 
 def payload(columns: dict[str, int]) -> Column:
     """A map of the fields that hold something, each clipped to its size."""
-    from rosterlake.functions.text import clip
-
     entries = F.array_compact(F.array(*[F.when(~cell_placeholder(c), F.struct(F.lit(c).alias("k"), clip(c, n).alias("v"))) for c, n in columns.items()]))
     return F.map_from_entries(entries)
 

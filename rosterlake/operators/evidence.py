@@ -100,6 +100,14 @@ def top_evidence(items: DataFrame, key: str, pos: str, url: str, fields: list[st
     return got.select(key, "n", F.transform("_l", lambda x: x["url"]).alias("urls"), F.to_json(F.transform("_l", lambda x: x["item"])).alias("evidence"))
 
 
+def bundles(items: DataFrame, name: str, org: str, pos: str, fields: list[str], n: int = 8) -> DataFrame:
+    """(bundle_key, items): the first ``n`` results of each person and workplace, in order; every later step shares them."""
+    key = F.concat(F.lower(F.trim(string(name))), F.lit("|"), F.lower(F.trim(string(org))))
+    first = items.withColumn("bundle_key", key).withColumn("_rn", F.row_number().over(Window.partitionBy("bundle_key").orderBy(pos))).where(F.col("_rn") <= n)
+    listed = F.array_sort(F.collect_list(F.struct("_rn", F.struct(*fields).alias("item"))))
+    return first.groupBy("bundle_key").agg(F.transform(listed, lambda x: x["item"]).alias("items"))
+
+
 def chunks(docs: DataFrame, source: str, key: str, text: str, size: int = 900) -> DataFrame:
     """(source, key, chunk_no, chunk)."""
     return docs.select(source, key, F.posexplode(pieces(text, size)).alias("chunk_no", "chunk"))

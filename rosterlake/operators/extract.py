@@ -33,7 +33,7 @@ def labelled(text: Column, label: str) -> Column:
 
 def parts(text: Column, pattern: str, least: int, most: int) -> Column:
     """The first match in each sentence, without navigation and what is too short or long."""
-    cut = F.filter(F.transform(segments(text), F.trim), lambda s: s != "")
+    cut = F.filter(F.transform(segments(text), lambda s: F.trim(s)), lambda s: s != "")
     found = F.transform(cut, lambda s: stripped(F.regexp_extract(s, f"(?i){pattern}", 0), " 。；;:-"))
     return F.filter(found, lambda s: F.length(s).between(least, most) & ~is_navigation(s, rules.NAVIGATION_TERMS))
 

@@ -137,5 +137,12 @@ def attach_if(rows: DataFrame, other: DataFrame, keys: list[str], columns: list[
     return joined
 
 
+def group_members(rows: DataFrame, group: Column, groups: str, name: str, order: str) -> DataFrame:
+    """(name, place): the names that a group holds, in order of first sighting, each once. groups: an array column."""
+    held = rows.where(F.array_contains(F.col(groups), group) & (F.trim(string(name)) != ""))
+    first = held.groupBy(F.trim(string(name)).alias(name)).agg(F.min(order).alias("place"))
+    return first
+
+
 def any_of(conditions: list[Column]) -> Column:
     return reduce(lambda a, c: a | c, conditions, F.lit(False))

@@ -213,3 +213,144 @@ def second_pass(t: Tables) -> DataFrame:
     best = match.second_pass(asked, candidates, "p_partkey", "p_name", F.col("v"), "form", "found", F.contains(F.col("found"), F.col("p_name")), "c")
     done = match.update_if_higher(rows, best, "p_partkey", {"citations": "c"}, {"matched": "found"}, F.lit(True))
     return done.select("p_partkey", "citations", "matched")
+
+
+LOCK_SQL = """r AS (SELECT d.doc_id, source, CASE WHEN d.doc_id % 7 = 0 THEN 'Other Person' WHEN d.doc_id % 3 = 0 THEN '暂无' ELSE source END AS oa_name, CASE WHEN d.doc_id % 2 = 0 THEN 'A' || d.doc_id ELSE '' END AS oa_id,
+ lang = 'en' AS fits, coalesce(quality = 1, false) AS page_ok, d.doc_id % 3 AS official, CAST(n_chars AS VARCHAR) AS h_raw FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id),
+k AS (SELECT *, oa_name = 'Other Person' AS wrong, CASE WHEN oa_id = '' THEN 0 ELSE 1 END AS signals FROM r)"""
+
+
+@query(f"""WITH {LOCK_SQL} SELECT doc_id, CASE WHEN wrong THEN '未通过' WHEN signals > 0 AND (fits OR (page_ok AND official > 0)) THEN '已锁定' ELSE '待复核' END AS lock,
+CASE WHEN wrong THEN '数据库匹配姓名与原表不一致：' || oa_name ELSE '同名数据库信号 ' || signals || ' 个；OpenAlex机构' || CASE WHEN fits THEN '匹配' ELSE '未匹配' END || '；机构官方主页证据 ' || official || ' 个；主页' || CASE WHEN page_ok THEN '访问成功' ELSE '未完成有效访问' END END AS lock_why,
+CASE WHEN official = 1 THEN '高可信来源优先' ELSE '普通公开来源待复核' END AS source_grade, CASE WHEN wrong THEN '' ELSE h_raw END AS h_raw, CASE WHEN wrong THEN '' ELSE oa_id END AS oa_id FROM k""")
+def locked_evidence(t: Tables) -> DataFrame:
+    """Whether the numbers of a match may be used; those of another person are emptied."""
+    rows = t.documents.join(t.labels, "doc_id", "left").select(
+        "doc_id", "source", F.when(F.col("doc_id") % 7 == 0, "Other Person").when(F.col("doc_id") % 3 == 0, "暂无").otherwise(F.col("source")).alias("oa_name"),
+        F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("A"), F.col("doc_id").cast("string"))).otherwise("").alias("oa_id"), F.col("n_chars").cast("string").alias("h_raw"), "lang", "quality",
+    )
+    official = F.col("doc_id") % 3
+    got = complete.lock_evidence(rows, "source", ["oa_name"], ["oa_id"], F.col("lang") == "en", F.coalesce(F.col("quality") == 1, F.lit(False)), official, official, ["h_raw", "oa_id"])
+    return got.select("doc_id", "lock", "lock_why", "source_grade", "h_raw", "oa_id")
+
+
+CELLS_SQL = """c AS (SELECT doc_id, unnest(['interests', 'h_raw', 'gender']) AS col, unnest([CASE WHEN doc_id % 4 = 0 THEN '' ELSE lang END, CASE WHEN doc_id % 3 = 0 THEN '暂无' ELSE '5' END, '-']) AS value, doc_id % 2 = 0 AS locked FROM documents),
+e AS (SELECT doc_id, unnest(['topics', 'page', 'h']) AS field, unnest([CASE WHEN doc_id % 5 = 0 THEN 'search results' ELSE 'topic ' || source END, 'page ' || lang, CAST(n_chars AS VARCHAR)]) AS v FROM documents),
+p AS (SELECT c.doc_id, col, CASE WHEN col = 'interests' THEN CASE WHEN doc_id % 5 = 0 THEN 'page ' || lang ELSE 'topic ' || source END ELSE CAST(n_chars AS VARCHAR) END AS value
+ FROM c JOIN documents d USING (doc_id) WHERE (value IN ('', '暂无', '-')) AND col IN ('interests', 'h_raw') AND locked AND (col = 'h_raw' OR doc_id % 6 <> 0))"""
+
+
+def cells(t: Tables) -> DataFrame:
+    three = t.documents.select(
+        "doc_id", F.when(F.col("doc_id") % 4 == 0, "").otherwise(F.col("lang")).alias("interests"), F.when(F.col("doc_id") % 3 == 0, "暂无").otherwise("5").alias("h_raw"), F.lit("-").alias("gender")
+    )
+    return three.unpivot("doc_id", ["interests", "h_raw", "gender"], "column", "value")
+
+
+def proposals(t: Tables) -> DataFrame:
+    blank = cells(t).where(text.cell_placeholder("value")).select("doc_id", "column", F.col("column").alias("role"))
+    topic = F.when(F.col("doc_id") % 5 == 0, "search results").otherwise(F.concat(F.lit("topic "), "source"))
+    wide = t.documents.select("doc_id", topic.alias("topics"), F.concat(F.lit("page "), "lang").alias("page"), F.col("n_chars").cast("string").alias("h"))
+    found = wide.unpivot("doc_id", ["topics", "page", "h"], "field", "value")
+    roles = t.spark.createDataFrame([("interests", "topics", 1), ("interests", "page", 2), ("h_raw", "h", 1)], "role string, field string, prio int")
+    none = F.array().cast("array<string>")
+    pages = F.when(F.col("doc_id") % 6 == 0, none).otherwise(F.array(F.lit("https://a.edu/p")))
+    state = t.documents.select("doc_id", (F.col("doc_id") % 2 == 0).alias("locked"), pages.alias("official"), none.alias("index_urls"))
+    return complete.supported_proposals(blank, found, roles, state, "doc_id")
+
+
+@query(f"WITH {CELLS_SQL} SELECT doc_id, col AS \"column\", value, CASE WHEN col = 'interests' THEN 'https://a.edu/p' END AS hints FROM p")
+def supported_fill(t: Tables) -> DataFrame:
+    """What evidence proposes for blank cells: good enough, with a lock, stories with a source."""
+    return proposals(t).select("doc_id", "column", "value", F.array_join("hints", " | ").alias("hints"))
+
+
+AUDIT_SQL = f"""{CELLS_SQL}, f AS (SELECT c.doc_id, c.col, p.value IS NOT NULL AS filled, p.value FROM c LEFT JOIN p ON c.doc_id = p.doc_id AND c.col = p.col),
+n AS (SELECT doc_id, count(CASE WHEN filled THEN 1 END) AS n FROM f GROUP BY 1)"""
+
+
+@query(f"""WITH {AUDIT_SQL} SELECT n.doc_id, CASE WHEN n.doc_id % 3 = 0 THEN '未找到可写入的中高可信公开来源 URL' ELSE 'https://a.edu/' || source END AS sources,
+'身份' || CASE WHEN n.doc_id % 2 = 0 THEN '已锁定' ELSE '待复核' END || '；字段级验证通过 ' || n || ' 项' AS status, '本次补全 ' || n || ' 个空白字段；生存状态：待核验；原有非空单元格未被覆盖。' AS remark FROM n JOIN documents USING (doc_id)""")
+def completion_columns(t: Tables) -> DataFrame:
+    new = proposals(t)
+    filled = complete.write_back(cells(t), new, "doc_id")
+    sources = F.when(F.col("doc_id") % 3 != 0, F.concat(F.lit("https://a.edu/"), "source"))
+    known = t.documents.select("doc_id", sources.alias("sources"), F.when(F.col("doc_id") % 2 == 0, "已锁定").alias("lock"), F.lit(None).cast("string").alias("life_status"))
+    return complete.audit_columns(filled, known, new.select("doc_id", "column"), "doc_id")
+
+
+@query(f"""WITH {AUDIT_SQL} SELECT doc_id, source AS name, col AS "column", value, '通过字段级证据闸门' AS verdict, CASE WHEN col = 'interests' THEN 'https://a.edu/p' ELSE '' END AS sources, CASE WHEN doc_id % 4 = 0 THEN '已锁定' ELSE '待复核' END AS lock FROM f JOIN documents USING (doc_id) WHERE filled""")
+def completion_details(t: Tables) -> DataFrame:
+    new = proposals(t)
+    filled = complete.write_back(cells(t), new, "doc_id")
+    known = t.documents.select("doc_id", F.when(F.col("doc_id") % 4 == 0, "已锁定").alias("lock"))
+    return complete.detail_rows(filled, t.documents.select("doc_id", F.col("source").alias("name")), new.select("doc_id", "column", F.col("hints").alias("urls")), known, "doc_id")
+
+
+@query(f"WITH {AUDIT_SQL} SELECT count(*) AS total_rows, count(CASE WHEN n > 0 THEN 1 END) AS completed_rows, CAST(sum(n) AS BIGINT) AS filled_cells FROM n")
+def completion_totals(t: Tables) -> DataFrame:
+    return complete.completion_totals(complete.write_back(cells(t), proposals(t), "doc_id"), "doc_id")
+
+
+@query("""SELECT doc_id, lang || '+' AS a, CASE WHEN quality IS NULL THEN lang || '+' ELSE lang || '+' || quality END AS b FROM documents LEFT JOIN labels USING (doc_id)""")
+def stage_fall_through(t: Tables) -> DataFrame:
+    """A chain of stages of which two cannot run: one lacks a table, one a column."""
+    stages = [
+        ("mark", lambda rows: rows.withColumn("a", F.concat("lang", F.lit("+"))), []),
+        ("absent table", lambda rows, other: rows.join(other, "doc_id"), ["nowhere"]),
+        ("absent column", lambda rows: rows.withColumn("a", F.col("no_such_column")), []),
+        ("labels", lambda rows, labels: rows.join(labels, "doc_id", "left").withColumn("b", F.concat("a", F.coalesce(F.col("quality").cast("string"), F.lit("")))), ["labels"]),
+    ]
+    rows, said = complete.run_stages(t.documents.select("doc_id", "lang"), stages, {"labels": t.labels})
+    assert list(said) == ["mark", "absent table", "absent column", "labels"] and said["labels"] == "done"
+    return rows.select("doc_id", "a", "b")
+
+
+BOTH_SQL = """b AS (SELECT doc_id, lang, source, regexp_replace(text, '[0-9_]', ' ', 'g') AS text FROM documents), u AS (SELECT doc_id, 'text' AS col, text AS v FROM b UNION ALL SELECT doc_id, 'source', regexp_replace(source, '[0-9]', ' ', 'g') || ' 大学 a university of note' FROM b),
+w AS (SELECT doc_id, col, v, regexp_extract_all(regexp_replace(regexp_replace(v, 'https?://\\S+', ' ', 'g'), '[\\p{L}\\p{N}_.+-]+@[\\p{L}\\p{N}_.-]+\\.[A-Za-z]{2,}', ' ', 'g'), '[A-Za-z][A-Za-z-]{2,}') AS l FROM u),
+x AS (SELECT *, length(regexp_replace(v, '[^A-Za-z]', '', 'g')) AS latin, length(regexp_replace(v, '[^A-Za-z\\x{4e00}-\\x{9fff}]', '', 'g')) AS meant FROM w)"""
+
+
+@query(f"WITH {BOTH_SQL} SELECT CAST(doc_id AS VARCHAR) AS doc_id, col AS \"column\", len(l) AS n_words, array_to_string(list_slice(l, 1, 12), ' ') AS snippet FROM x WHERE len(l) >= 4 OR (len(l) >= 2 AND meant > 0 AND latin / meant >= 0.35)")
+def residue_cells(t: Tables) -> DataFrame:
+    """Cells of two columns that are in English, with their first words."""
+    rows = t.documents.select("doc_id", F.regexp_replace("text", "[0-9_]", " ").alias("text"), F.concat(F.regexp_replace("source", "[0-9]", " "), F.lit(" 大学 a university of note")).alias("source"))
+    return report.residue_audit(rows, "doc_id", ["text", "source"])
+
+
+CITED_SQL = """c AS (SELECT doc_id, n_chars, replace(replace(text, ' the ', ' 1,234 citations '), ' de ', ' cited 77 ') AS x FROM documents),
+m AS (SELECT *, list_concat(regexp_extract_all(x, '(?i)(\\d[\\d,]*(?:\\.\\d+)?)\\s*(?:次)?\\s*(?:引用|被引|citations?|cited)', 1), regexp_extract_all(x, '(?i)(?:引用|被引|被引用|citations?|cited)\\s*(\\d[\\d,]*(?:\\.\\d+)?)\\s*(?:次)?', 1)) AS l FROM c)"""
+
+
+@query(f"""WITH {CITED_SQL} SELECT doc_id, CASE WHEN doc_id % 3 = 0 AND n_chars > 0 THEN CAST(n_chars AS DOUBLE) ELSE coalesce(list_max(list_transform(l, lambda v: TRY_CAST(regexp_extract(replace(v, ',', ''), '\\d+(?:\\.\\d+)?', 0) AS DOUBLE))), 0.0) END AS citations FROM m""")
+def citation_estimate(t: Tables) -> DataFrame:
+    """Citations from the first of six columns that has a number, else from what texts say."""
+    from rosterlake.operators import score
+
+    said = F.replace(F.replace("text", F.lit(" the "), F.lit(" 1,234 citations ")), F.lit(" de "), F.lit(" cited 77 "))
+    none = F.lit(None).cast("string")
+    six = {f"c{k}": F.when(F.col("doc_id") % 3 == 0, F.col("n_chars").cast("string")) if k == 3 else none for k in range(6)}
+    rows = t.documents.select("doc_id", said.alias("x"), *[c.alias(n) for n, c in six.items()])
+    return rows.select("doc_id", score.citation_estimate(list(six), ["x"]).alias("citations"))
+
+
+@query("""WITH r AS (SELECT lower(trim(lang)) || '|' || lower(trim(source)) AS bundle_key, doc_id, row_number() OVER (PARTITION BY lang, source ORDER BY doc_id) AS rn FROM documents) SELECT bundle_key, string_agg(CAST(doc_id AS VARCHAR), ',' ORDER BY rn) AS found FROM r WHERE rn <= 8 GROUP BY 1""")
+def person_bundles(t: Tables) -> DataFrame:
+    """The first eight items of each pair of language and source."""
+    got = evidence.bundles(t.documents, "lang", "source", "doc_id", ["doc_id", "lang"])
+    return got.select("bundle_key", F.array_join(F.transform("items", lambda x: x["doc_id"].cast("string")), ",").alias("found"))
+
+
+@query("""SELECT p_name AS name, min(p_partkey) AS place FROM part WHERE list_contains([p_type, p_brand], 'SMALL') AND trim(p_name) <> '' GROUP BY 1""")
+def subdomain_names(t: Tables) -> DataFrame:
+    rows = t.part.select(F.col("p_name").alias("name"), F.array("p_type", "p_brand").alias("groups"), "p_partkey")
+    return match.group_members(rows, F.lit("SMALL"), "groups", "name", "p_partkey")
+
+
+@query("""WITH r AS (SELECT p_partkey, p_name, i, '| ' || p_name || ' | ' || i || ' |' AS line FROM part, (SELECT unnest([1, 2]) AS i)) SELECT p_partkey, 1 AS row, 'name,n' AS cells FROM part UNION ALL SELECT p_partkey, i + 2, p_name || ',' || i FROM r""")
+def markdown_block(t: Tables) -> DataFrame:
+    """The first block of bars in a text that has a second one."""
+    body = F.concat(F.lit("intro\n| name | n |\n| --- | :-: |\n| "), "p_name", F.lit(" | 1 |\n| "), "p_name", F.lit(" | 2 |\nend\n| other | table |"))
+    from rosterlake.sources import tables
+
+    return tables.first_block(t.part.select("p_partkey", body.alias("x")), "p_partkey", "x").select("p_partkey", "row", F.array_join("cells", ",").alias("cells"))

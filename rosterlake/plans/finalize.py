@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from rosterlake.functions import rules
 from rosterlake.functions.text import first_email, homepage_or, subdomain_list
-from rosterlake.operators import filters, score
+from rosterlake.operators import extract, filters, score
 from rosterlake.operators.merge import survivorship
 from rosterlake.operators.select import balanced_quota
 from rosterlake.streaming import streams
@@ -36,8 +36,19 @@ def merge_profiles(rows: DataFrame, key: Column) -> DataFrame:
     return merged.join(ids, "merge_key")
 
 
-def finalize(rows: DataFrame, query_text: str = "", keep_chinese: bool = False, key: Column | None = None) -> DataFrame:
-    """Profiles through the whole chain; stages whose input columns a table lacks see nulls."""
+def targeted_fill(rows: DataFrame, stages: list[DataFrame], key: str) -> DataFrame:
+    """Rows with any gap take what evidence tables (key, fields...) hold for their missing fields, stage by stage; others are left alone."""
+    checks = {c: check for c, check in score.profile_checks().items() if any(c in stage.columns for stage in stages)}
+    return extract.fill_missing(rows, key, stages, checks) if checks else rows
+
+
+def finalize(
+    rows: DataFrame, query_text: str = "", keep_chinese: bool = False, key: Column | None = None, stages: list[DataFrame] | None = None, stage_key: str = "merge_key"
+) -> DataFrame:
+    """Profiles through the whole chain; stages whose input columns a table lacks see nulls.
+
+    stages: tables of evidence (stage_key and fields of a profile), which fill what is missing after the merge.
+    """
     from rosterlake.functions.names import dedupe_key
 
     text_columns = ["name", "homepage", "contact", "interests", "org", "position", "career", "education", "achievements", "collab", "basis", "relevance", "h_raw", "i10_raw", "g_raw", "citations_raw", "oa_name", "oa_id", "oa_topics", "s2_name", "s2_id", "s2_papers", "page_status", "page_method", "page_error", "death_check", "subdomains_raw", "name_check_why"]
@@ -49,6 +60,8 @@ def finalize(rows: DataFrame, query_text: str = "", keep_chinese: bool = False,
     if not keep_chinese:
         out = out.where(filters.foreign("org", rules.GREATER_CHINA_MARKERS))
     out = merge_profiles(out, dedupe_key("name") if key is None else key)
+    if stages:
+        out = targeted_fill(out, stages, stage_key)
     status = filters.homepage_status("homepage", "page_method", "page_error", "page_status")
     out = out.withColumn("_s", status).withColumns({"page_status": F.col("_s.status"), "page_method": F.col("_s.method")}).drop("_s")
     out = filters.with_name_check(out, "name", [("OpenAlex", "oa_name", "oa_id"), ("Semantic Scholar", "s2_name", "s2_id")], "page_status")

@@ -35,6 +35,19 @@ def markdown_rows(docs: DataFrame, key: str, text: str, header: str, least_cells
     return rows.withColumn("row", F.row_number().over(by)).select(key, "row", "cells")
 
 
+def first_block(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """``(key, row, cells)``: the first block of lines that begin and end with a bar; its divider, as second line, goes."""
+    lines = docs.select(key, F.posexplode(F.split(string(text), "\n")).alias("line", "raw")).withColumn("raw", F.trim("raw"))
+    barred = lines.withColumn("_bar", F.col("raw").rlike(r"^\|.*\|$|^\|$"))
+    one = barred.groupBy(key).agg(F.min(F.when(F.col("_bar"), F.col("line"))).alias("_first")).where("_first is not null")
+    ends = barred.join(one, key).where(~F.col("_bar") & (F.col("line") > F.col("_first"))).groupBy(key).agg(F.min("line").alias("_end"))
+    inside = barred.join(one, key).join(ends, key, "left").where((F.col("line") >= F.col("_first")) & (F.col("_end").isNull() | (F.col("line") < F.col("_end"))))
+    cells = F.transform(F.split(F.regexp_replace("raw", r"^\|+|\|+$", ""), r"\|"), lambda c: F.trim(c))
+    rows = inside.select(key, (F.col("line") - F.col("_first") + 1).alias("row"), cells.alias("cells"))
+    divider = (F.col("row") == 2) & F.forall("cells", lambda c: F.replace(c, F.lit(" "), F.lit("")).rlike("^[-:]*$"))
+    return rows.where(~divider)
+
+
 def detect_header(cells: DataFrame, name_words: tuple[str, ...], role_words: tuple[str, ...], rows: int = 30, columns: int = 80) -> DataFrame:
     """The header of each file: (file, sheet, row, score), best score first, then sheet and row; none below 100."""
     head = cells.where((F.col("row") <= rows) & (F.col("col") <= columns) & (F.trim(string("value")) != ""))
