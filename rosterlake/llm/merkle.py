@@ -2,10 +2,14 @@
 
 Paragraphs are lines. Consecutive paragraphs make a section, which a blank line or a paragraph whose
 digest is divisible by ``section`` ends, so an edit moves no border elsewhere. Paragraphs are cut
-into clauses. Leaves are digests of clauses; a paragraph's digest covers its clauses', a
-section's its paragraphs', the root the sections'. A fingerprint is text: the root, ``:`` and the
-leaves (7 hexadecimal digits and one for the order of magnitude of its size), with ``.`` between clauses, ``,`` between paragraphs and ``;``
-between sections. Equal roots mean equal texts; otherwise the branches that differ locate the edits.
+into clauses, so that an edit inside a long one is located. Leaves are digests of clauses; a paragraph's
+digest covers its clauses', a section's its paragraphs', the root the sections'.
+
+A fingerprint is the tree as text: the root, and for each section ``;``, its digest and its paragraphs, for
+each paragraph ``,``, its digest and its leaves, each behind a ``.``. Digests are 8 hexadecimal digits, but
+for the root's 32; a leaf's last digit is the order of magnitude of its size. Equal roots mean equal texts.
+Two trees are compared from the root down: equal sections count as a whole, inside the others equal
+paragraphs, inside the rest equal clauses, so what remains at the bottom is what was edited.
 
 Defined results: a null text is empty; empty texts have one fingerprint, and their likeness is 1;
 repeated rows and ties in the order are kept, in an order by text; an empty table gives an empty result.
@@ -27,55 +31,95 @@ from pyspark.sql import types as T
 
 from .common import map_batches, text_rows
 
-#: Clauses end behind sentence marks, and between words behind some letters, so that no leaf is long.
-CLAUSE = re.compile(r".+?(?:[.!?|]+\s*|[dgkxyDGKXY]\s+|$)")
+def clause_ends(every: int, spaced: int) -> re.Pattern:
+    """Clauses end behind sentence marks of any script, behind words that end in a letter whose code point is divisible
+    by ``every``, and in scripts without spaces behind characters divisible by ``spaced``; so no leaf is long."""
+    last = "".join(chr(c) for c in range(0x41, 0x2E80) if c % every == 0 and chr(c).isalpha())
+    alone = "".join(chr(c) for c in range(0x2E80, 0xD7A4) if c % spaced == 0)
+    return re.compile(rf".+?(?:[.!?|。！？；]+\s*|[{last}]\s+|[{alone}]|$)")
+
+
+CLAUSE = clause_ends(9, 16)
 SECTION = 8
+#: How a tree is written: what stands before a section, a paragraph and a leaf.
+MARKS = (";", ",", ".")
 
 
 def fingerprint(text: str, section: int = SECTION) -> str:
     """The tree of a text, as text."""
-    sha, sections, paragraphs, tops = hashlib.sha256, [], [], []
-    digests: list[bytes] = []
+    sha, out, tops, inside, digests = hashlib.sha256, [], [], [], []
 
     def close() -> None:
-        if paragraphs:
-            sections.append(",".join(paragraphs))
-            tops.append(sha(b"s" + b"".join(digests)).digest())
-            paragraphs.clear()
+        if inside:
+            top = sha(b"s" + b"".join(digests)).digest()
+            out.append(MARKS[0] + top.hex()[:8] + "".join(inside))
+            tops.append(top)
+            inside.clear()
             digests.clear()
 
     for line in text.split("\n") if text else []:
         parts = [x.encode("utf-8", "surrogatepass") for x in CLAUSE.findall(line) or [""]]
         leaves = [sha(x).digest() for x in parts]
         top = sha(b"p" + b"".join(leaves)).digest()
-        paragraphs.append(".".join(f"{x[:4].hex()[:7]}{min(15, len(part).bit_length()):x}" for x, part in zip(leaves, parts, strict=True)))
+        written = "".join([f".{x[:4].hex()[:7]}{min(15, len(part).bit_length()):x}" for x, part in zip(leaves, parts, strict=True)])
+        inside.append(MARKS[1] + top.hex()[:8] + written)
         digests.append(top)
         if not line.strip() or top[0] % section == 0:
             close()
     close()
-    return sha(b"r" + b"".join(tops)).hexdigest()[:32] + ":" + ";".join(sections)
+    return sha(b"r" + b"".join(tops)).hexdigest()[:32] + "".join(out)
 
 
-def leaves(tree: str) -> list[str]:
-    return re.findall(r"[0-9a-f]{8}", tree.partition(":")[2])
+def branches(written: str, level: int) -> list[tuple[str, str]]:
+    """The branches of one level as (digest, what is below)."""
+    return [(part[:8], part[8:]) for part in written.split(MARKS[level])[1:]]
 
 
-def likeness(a: str, b: str) -> float:
-    """1 for equal roots, else the share of leaves, weighed by size, that two trees have in common (of the larger tree)."""
-    if a.partition(":")[0] == b.partition(":")[0]:
-        return 1.0
-    x, y = Counter(leaves(a)), Counter(leaves(b))
+def weight(written: str) -> int:
+    """The size of what is below a branch, in orders of magnitude of its leaves."""
+    return sum(1 << int(leaf[7], 16) for leaf in re.findall(r"\.([0-9a-f]{8})", written))
+
 
-    def weight(found: Counter) -> int:
-        return sum(n << int(leaf[7], 16) for leaf, n in found.items())
+def apart(a: list[tuple[str, str]], b: list[tuple[str, str]]) -> tuple[list[tuple[str, str]], list[tuple[str, str]]]:
+    """The branches of either side that have no equal on the other, each used once."""
+    common = Counter(d for d, _ in a) & Counter(d for d, _ in b)
 
-    return weight(x & y) / max(weight(x), weight(y), 1)
+    def rest(side: list[tuple[str, str]]) -> list[tuple[str, str]]:
+        left, out = common.copy(), []
+        for branch in side:
+            if left[branch[0]]:
+                left[branch[0]] -= 1
+            else:
+                out.append(branch)
+        return out
+
+    return rest(a), rest(b)
+
+
+def likeness(a: str, b: str) -> float:
+    """1 for equal roots, else the share of the larger text, by size of clauses, that the trees have in common from the root down."""
+    if a[:32] == b[:32]:
+        return 1.0
+    whole = max(weight(a), weight(b))
+    x, y = branches(a[32:], 0), branches(b[32:], 0)
+    for level in (1, 2):
+        x, y = apart(x, y)
+        x, y = ([branch for _, below in side for branch in branches(below, level)] for side in (x, y))
+    x, y = apart(x, y)
+    lost = max(sum(1 << int(d[7], 16) for d, _ in side) for side in (x, y))
+    return max(0.0, 1 - lost / max(whole, 1))
 
 
 def differing(a: str, b: str) -> list[tuple[int, int]]:
-    """(section, paragraph) of ``a`` whose branch is not in ``b``."""
-    there = set(b.partition(":")[2].replace(";", ",").split(","))
-    return [(s, p) for s, section in enumerate(a.partition(":")[2].split(";")) for p, branch in enumerate(section.split(",")) if branch not in there]
+    """(section, paragraph) of ``a`` that no paragraph of ``b`` equals; only sections that differ are looked into."""
+    other = branches(b[32:], 0)
+    there = Counter(d for d, _ in other)
+    known = {d for digest, below in other for d, _ in branches(below, 1)}
+    out = []
+    for s, (digest, below) in enumerate(branches(a[32:], 0)):
+        if not there[digest]:
+            out += [(s, p) for p, (d, _) in enumerate(branches(below, 1)) if d not in known]
+    return out
 
 
 def edited(text: str, other: str) -> str:
@@ -100,6 +144,8 @@ def fingerprint_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
 
 LAST = -(1 << 63)
+#: Characters that one task compares.
+TASK_CHARS = 64 << 20
 
 
 def neighbours(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -111,7 +157,8 @@ def neighbours(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     texts = text_rows(docs, id_col, text_col).select(F.col("id").cast("long").alias("id"), "text")
     spark = docs.sparkSession
     ids = texts.select(F.coalesce("id", F.lit(LAST)).alias("id"))
-    ranges = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    tasks = max(2, int(spark.conf.get("spark.sql.shuffle.partitions")), texts.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0] // TASK_CHARS)
+    ranges = min(4 * tasks, 10_000)  # several ranges a task, so that tasks are of one size
     cuts = sorted(set(ids.agg(F.percentile_approx("id", [k / ranges for k in range(1, ranges)], 20 * ranges)).first()[0] or []))  # a number for each range
 
     def range_of(values: np.ndarray) -> np.ndarray:
@@ -166,5 +213,5 @@ def neighbours(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=SCHEMA.names)
 
     dealt = texts.select("id", F.xxhash64("text").alias("h"), "text").mapInArrow(deal, "range int, guest boolean, id long, rank long, h long, raw binary")
-    sorted_ranges = dealt.repartition(ranges, "range").sortWithinPartitions("range", "guest", F.desc("rank"), "h", "raw")
+    sorted_ranges = dealt.repartition(min(tasks, ranges), "range").sortWithinPartitions("range", "guest", F.desc("rank"), "h", "raw")
     return sorted_ranges.select("range", "guest", "id", "raw").mapInArrow(run, SCHEMA)

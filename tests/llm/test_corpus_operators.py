@@ -132,6 +132,71 @@ def test_merkle(odd, empty, docs):
     assert [branch for branch in differing(fingerprint(a), fingerprint(b))] and 0.3 < likeness(fingerprint(a), fingerprint(b)) < 1
 
 
+def plain_tree(text):
+    """Sections, paragraphs and clauses of a text, cut by hand from the rules."""
+    import hashlib
+
+    marks = ".!?|。！？；"
+
+    def clauses(line):
+        out, at, k = [], 0, 0
+        while k < len(line):
+            c = line[k]
+            if c in marks and k > at:
+                while k + 1 < len(line) and line[k + 1] in marks:
+                    k += 1
+                end = k + 1
+                while end < len(line) and line[end].isspace():
+                    end += 1
+            elif k > at and ord(c) < 0x2E80 and ord(c) >= 0x41 and c.isalpha() and ord(c) % 9 == 0 and k + 1 < len(line) and line[k + 1].isspace():
+                end = k + 1
+                while end < len(line) and line[end].isspace():
+                    end += 1
+            elif k > at and 0x2E80 <= ord(c) < 0xD7A4 and ord(c) % 16 == 0:
+                end = k + 1
+            else:
+                k += 1
+                continue
+            out.append(line[at:end])
+            at = k = end
+        return [*out, line[at:]] if at < len(line) else out or [""]
+
+    digest = lambda kind, parts: hashlib.sha256(kind + b"".join(parts)).digest()
+    sections, current = [], []
+    for line in text.split("\n") if text else []:
+        leaves = clauses(line)
+        top = digest(b"p", [hashlib.sha256(x.encode()).digest() for x in leaves])
+        current.append((top, leaves))
+        if not line.strip() or top[0] % 8 == 0:
+            sections.append(current)
+            current = []
+    return sections + [current] * bool(current)
+
+
+def test_merkle_trees_by_hand(odd, docs):
+    from rosterlake.llm.merkle import branches, differing, fingerprint, likeness
+
+    rng = random.Random(21)
+    texts = [r.text or "" for r in odd.collect()] + [r.text for r in docs.limit(40).collect()] + ["漢字" * 400 + "\n\n" + "".join(chr(rng.randint(0x4E00, 0x9FFF)) for _ in range(900))]
+    for text in texts:
+        sections, tree = plain_tree(text), fingerprint(text)
+        got = branches(tree[32:], 0)
+        assert len(got) == len(sections)
+        for (_, below), section in zip(got, sections, strict=True):
+            paragraphs = branches(below, 1)
+            assert [d for d, _ in paragraphs] == [top.hex()[:8] for top, _ in section]
+            assert [len(branches(b, 2)) for _, b in paragraphs] == [len(leaves) for _, leaves in section]
+    assert max(len(x) for section in plain_tree(texts[-1]) for _, leaves in section for x in leaves if len(leaves) > 40) < 150
+    # an edit of one line is found where it is, and the likeness is about what is left
+    lines = [" ".join(rng.choice(("alpha", "bell", "cool", "dial")) + str(rng.randint(0, 99)) for _ in range(12)) for _ in range(60)]
+    for at in (0, 17, 59):
+        changed = [*lines[:at], "something else altogether", *lines[at + 1 :]]
+        places = differing(fingerprint("\n".join(lines)), fingerprint("\n".join(changed)))
+        order = [p for s, section in enumerate(plain_tree("\n".join(lines))) for p in [(s, k) for k in range(len(section))]]
+        assert places == [order[at]]
+        assert 0.9 < likeness(fingerprint("\n".join(lines)), fingerprint("\n".join(changed))) < 1
+
+
 def test_mixing(spark, odd, empty):
     from rosterlake.llm.mixing import chosen, marginals, mix, rake, topic_of
 
