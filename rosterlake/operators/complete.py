@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from rosterlake.functions.names import same_person
 from rosterlake.functions.text import HAN, cell_placeholder, clip, string
 from rosterlake.functions.urls import domain, source_tier
+from rosterlake.operators.joins import small
 
 #: Roles whose values tell a story.
 NARRATIVE = ("org", "position", "interests", "career", "education", "achievements", "collab", "basis", "relevance")
@@ -102,14 +103,6 @@ def claim_kept(claim: Column, locked: Column, institution_fits: Column, official
     return claim & locked & institution_fits & (F.size(F.array_distinct(official_domains)) >= 2) & dated
 
 
-SMALL_ROWS = 10_000
-
-
-def small(table: DataFrame, most: int = SMALL_ROWS) -> DataFrame:
-    """A table of a few short columns, sent to every task if it has no more than ``most`` rows, else joined by its keys."""
-    return F.broadcast(table) if table.limit(most + 1).count() <= most else table.hint("merge")
-
-
 def missing_groups(cells: DataFrame, key: str, groups: dict[str, str]) -> DataFrame:
     """(key, one flag for each group): whether a blank cell's header is of the group."""
     blank = cells.where(cell_placeholder("value"))

@@ -11,6 +11,7 @@ from rosterlake.functions import rules
 from rosterlake.functions.names import mentions, simple_name
 from rosterlake.functions.text import HAN, any_contains, hits, pieces, segments, string
 from rosterlake.functions.urls import netloc, normal_url, source_tier
+from rosterlake.operators.joins import running_budget
 
 NAVIGATION = ("home", "menu", "login", "search", "contact", "privacy", "cookie", "sitemap")
 
@@ -117,10 +118,19 @@ def chunks_within_budget(chunked: DataFrame, query: list[str], source: str, key:
     """Chunks by relevance under a character budget: the best chunk of each source first, then the rest by score."""
     low = F.lower("chunk")
     count = lambda words: reduce(lambda a, w: a + F.contains(low, F.lit(w)).cast("int"), words, F.lit(0))
-    scored = chunked.dropDuplicates([*query, source, "chunk"]).withColumn("score", 4 * count(terms) + F.least(F.lit(6), count(markers)))
-    some = scored.withColumn("_some", F.max("score").over(Window.partitionBy(*query)) > 0).where((F.col("score") > 0) | ~F.col("_some"))
-    best = some.withColumn("_best", F.row_number().over(Window.partitionBy(*query, source).orderBy(F.desc("score"), key, "chunk_no")) == 1)
-    order = [(~F.col("_best")).asc(), F.desc("score"), F.asc(source), F.asc(key), F.asc("chunk_no")]
-    before = F.coalesce(F.sum(F.length("chunk") + 2).over(Window.partitionBy(*query).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    left = best.withColumn("_left", F.lit(budget) - before).where("_left > 0")
-    return left.withColumn("chunk", F.expr("rtrim(left(chunk, _left))")).drop("_left", "_some", "_best")
+    names = list(dict.fromkeys([*query, source]))
+    once = chunked.groupBy(*names, "chunk").agg(F.min(F.struct(key, "chunk_no")).alias("_p")).select(*names, "chunk", f"_p.{key}", "_p.chunk_no")
+    scored = once.withColumn("score", 4 * count(terms) + F.least(F.lit(6), count(markers)))
+    hit = scored.where(F.col("score") > 0)
+    some = hit.unionByName(scored.where(F.col("score") <= 0).join(hit.select(*query).distinct().hint("merge"), query, "left_anti"))
+    place = F.struct((-F.col("score")).alias("less"), F.col(key).alias("_key"), F.col("chunk_no").alias("_no"))
+    rest = [c for c in some.columns if c not in (*query, source)]
+    best = some.groupBy(*names).agg(F.min_by(F.struct(*rest), place).alias("_b")).select(*names, *[f"_b.{c}" for c in rest])
+    order = [F.desc("score"), F.asc(source), F.asc(key), F.asc("chunk_no")]
+    size = F.length("chunk") + 2
+    # what comes behind the best chunks of all sources is cut to the budget first, part by part
+    others = running_budget(some, query, order, size, budget, F.xxhash64("chunk")).drop("_left")
+    ids = [*names, key, "chunk_no"]
+    both = best.withColumn("_rank", F.lit(0)).unionByName(others.join(best.select(*ids).hint("merge"), ids, "left_anti").withColumn("_rank", F.lit(1)))
+    left = running_budget(both, query, [F.asc("_rank"), *order], size, budget, F.xxhash64("chunk"))
+    return left.withColumn("chunk", F.expr("rtrim(left(chunk, _left))")).drop("_left", "_rank")

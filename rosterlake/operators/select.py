@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rosterlake.operators.joins import running_budget, small
+
 
 def top_n(rows: DataFrame, keys: list[str], order: list[Column], n: int, rank: str = "rn") -> DataFrame:
     """The first ``n`` rows of each group, with their rank."""
@@ -26,7 +28,7 @@ def balanced_quota(rows: DataFrame, row_key: str, groups: Column, wanted: DataFr
     total = wanted.agg(F.count("*").alias("k"))  # one row
     quotas = wanted.join(F.broadcast(total)).select("grp", "pos", (F.floor(F.lit(n) / F.col("k")) + (F.col("pos") <= F.lit(n) % F.col("k")).cast("int")).alias("quota"))
     member = rows.select(row_key, F.explode(groups).alias("grp"), *[c for c, _ in order if c != row_key])
-    ranked = member.join(quotas, "grp").withColumn("_r", F.row_number().over(Window.partitionBy("grp").orderBy(*sorting(order)))).where(F.col("_r") <= n)
+    ranked = member.join(small(quotas), "grp").withColumn("_r", F.row_number().over(Window.partitionBy("grp").orderBy(*sorting(order)))).where(F.col("_r") <= n)
     chosen = ranked.where(F.col("_r") <= F.col("quota")).groupBy(row_key).agg(F.min(F.struct("pos", "_r")).alias("_in"))
     first = rows.join(chosen, row_key, "left")
     rest = first.where(F.col("_in").isNull()).orderBy(*sorting(order)).limit(n)
@@ -36,9 +38,9 @@ def balanced_quota(rows: DataFrame, row_key: str, groups: Column, wanted: DataFr
 
 
 def within_budget(rows: DataFrame, keys: list[str], order: list[Column], text: str, budget: int, extra: int = 0) -> DataFrame:
-    """Texts in order as long as a running character budget of each group lasts; the last one is cut."""
-    before = F.coalesce(F.sum(F.length(text) + extra).over(Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    left = rows.withColumn("_left", F.lit(budget) - before).where(F.col("_left") > 0)
+    """Texts in order as long as a running character budget of each group lasts; the last one is cut; empty texts go."""
+    full = rows.where(F.length(text) > 0)
+    left = running_budget(full, keys, order, F.length(text) + extra, budget, F.xxhash64(text))
     return left.withColumn(text, F.when(F.length(text) > F.col("_left"), F.rtrim(F.left(F.col(text), F.col("_left")))).otherwise(F.col(text))).drop("_left")
 
 

@@ -63,7 +63,7 @@ SELECT author_id, id, row_number() OVER (PARTITION BY 1 ORDER BY cited DESC, id,
 def works_authors(t: Tables) -> DataFrame:
     w = works(t)
     got = match.first_authors(w, [F.desc("cited_by_count"), F.asc("id")], 16, ("3", "7"))
-    ranked = got.join(w.select("id", "cited_by_count"), "id")  # 16 rows
+    ranked = w.select("id", "cited_by_count").join(F.broadcast(got), "id")  # 16 rows
     return ranked.select("author_id", "id", F.row_number().over(Window.orderBy(F.desc("cited_by_count"), "id", "pos")).alias("place"))
 
 

@@ -61,9 +61,9 @@ def canonical_rows(cells: DataFrame, layout: DataFrame, roles: DataFrame) -> Dat
     """Cells below the header with the role of their column: (file, row, role, value), later columns of a role win."""
     at = layout.select("file", "sheet", F.col("row").alias("header_row"))
     normal = F.lower(F.regexp_replace("value", r"\s+", ""))
-    header = cells.join(at, ["file", "sheet"]).where(F.col("row") == F.col("header_row")).select("file", "sheet", "col", normal.alias("alias")).join(roles, "alias").select("file", "sheet", "col", "role")
-    data = cells.join(at, ["file", "sheet"]).where(F.col("row") > F.col("header_row"))
-    return data.join(header, ["file", "sheet", "col"]).groupBy("file", "row", "role").agg(F.max_by("value", "col").alias("value"))
+    header = cells.join(at.hint("merge"), ["file", "sheet"]).where(F.col("row") == F.col("header_row")).select("file", "sheet", "col", normal.alias("alias")).join(roles.hint("merge"), "alias").select("file", "sheet", "col", "role")
+    data = cells.join(at.hint("merge"), ["file", "sheet"]).where(F.col("row") > F.col("header_row"))
+    return data.join(header.hint("merge"), ["file", "sheet", "col"]).groupBy("file", "row", "role").agg(F.max_by("value", "col").alias("value"))
 
 
 def row_numbers(rows: DataFrame, column: str) -> DataFrame:
