@@ -436,7 +436,27 @@ def test_itq_recall_near_the_threshold(spark):
         assert found >= 0.95, (dim, cosines, found)
         # the tables sort pairs out, in few dimensions too
         classes = itq.classes_of(table, "vec_id", "embedding", "label").withColumn("k", itq.F.col("rep"))
-        assert itq.candidates(itq.encode(classes, 500, itq.BITS), itq.MAX_BITS).count() < 0.05 * 3 * 1000 * 999 / 2
+        assert itq.candidates(*itq.lookups(itq.encode(classes, 500, itq.BITS)), itq.MAX_BITS).count() < 0.05 * 3 * 1000 * 999 / 2
+
+
+def test_itq_large_entries_in_blocks(spark, monkeypatch):
+    from rosterlake.llm import itq
+
+    rng = np.random.default_rng(5)
+    base, other = rng.normal(size=(2, 48))
+    rows = [(k, (base + rng.normal(size=48) * 0.19).tolist(), 1) for k in range(160)] + [(200 + k, (other + rng.normal(size=48) * 0.3).tolist(), k % 2) for k in range(60)]
+    rows += [(300 + k, rows[k][1], 1) for k in range(5)] + [(400, [1.0, 2.0], 1), (401, [1.0, 2.0], 1)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    whole = sorted(tuple(r) for r in itq.near_duplicates(table).collect())
+    monkeypatch.setattr(itq, "HOT", 4)
+    monkeypatch.setattr(itq, "SQUARE", 16)
+    assert sorted(tuple(r) for r in itq.near_duplicates(table).collect()) == whole
+    vectors = {i: (np.array(v), lab) for i, v, lab in rows}
+    pairs = [(a, b) for a in vectors for b in vectors if a < b and vectors[a][1] == vectors[b][1] and len(vectors[a][0]) == len(vectors[b][0])
+             and vectors[a][0] @ vectors[b][0] / np.linalg.norm(vectors[a][0]) / np.linalg.norm(vectors[b][0]) >= 0.93]
+    assert len(pairs) > 3000 and sum(n for _, n, _ in whole) >= 0.9 * 2 * len(pairs)
+    count = Counter(i for p in pairs for i in p)
+    assert all(n <= count[i] for i, n, _ in whole)
 
 
 def test_warc(spark):
