@@ -49,7 +49,7 @@ def first_candidates(items: DataFrame, key: str, pos: str, candidates: Column, n
 def education(items: DataFrame, key: str, pos: str, title: str, content: str) -> DataFrame:
     """(key, found): the first labelled span, or part that speaks of a degree."""
     text = joined_text(title, content)
-    every = F.transform(F.filter(F.split(text, r"[。；;\n]"), lambda s: s.rlike(f"(?i){rules.EDUCATION_WORDS}")), stripped)
+    every = F.transform(F.filter(F.split(text, r"[。；;\n]"), lambda s: s.rlike(f"(?i){rules.EDUCATION_WORDS}")), lambda s: stripped(s))
     return first_candidates(items, key, pos, F.concat(labelled(text, rules.EDUCATION_LABEL), F.filter(every, lambda x: F.length(x).between(10, 180))))
 
 
