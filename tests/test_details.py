@@ -31,7 +31,7 @@ def test_spans(items):
     got = found(extract.education(items, "k", "pos", "title", "content"))
     assert got["ada"] == ["PhD, University of London, 1840"] and got["bob"][0].startswith("menu login search")
     assert found(extract.interests(items, "k", "pos", "title", "content"))["ada"] == ["analytical engines and numbers"]
-    assert found(extract.career(items, "k", "pos", "title", "content"))["ada"] == ["She joined the Academy in 1835", "professor at London from 1836 to 1840"]
+    assert found(extract.career(items, "k", "pos", "title", "content"))["ada"] == ["She joined the Academy in 1835.", "professor at London from 1836 to 1840"]
     got = found(extract.achievements(items, "k", "pos", "title", "content", "name"))
     assert len(got["ada"]) == 2 and "Turing Award" in got["ada"][0] and "led the engine" in got["ada"][1]
     assert found(extract.titles(items, "k", "pos", "title", "content", "name"))["ada"] == ["Turing Award"]
