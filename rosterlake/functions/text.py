@@ -111,6 +111,42 @@ def redact(c: Column | str, limit: int = 600) -> Column:
     return F.left(text, F.lit(limit))
 
 
+def hide_parameters(c: Column | str, names: tuple[str, ...] = ("api_key", "mailto")) -> Column:
+    """The values of some URL parameters replaced by stars."""
+    return reduce(lambda t, n: F.regexp_replace(t, rf"([?&]{n}=)[^&\s)]+", "$1***"), names, string(c))
+
+
+def institution_label(name: Column | str, country: Column | str, fallback: str = rules.NO_INFORMATION) -> Column:
+    """``name(country)``, without brackets where there is no country."""
+    shown = F.when(string(name) == "", F.lit(fallback)).otherwise(string(name))
+    return F.when(string(country) == "", shown).otherwise(F.concat(shown, F.lit("("), string(country), F.lit(")")))
+
+
+def first_names(names: Column, most: int = 4, fallback: str = rules.NO_INFORMATION) -> Column:
+    """The first few names of an array that are not blank, as text."""
+    return rendered(F.slice(F.filter(names, lambda n: n.isNotNull() & (n != "")), 1, most), "、", fallback)
+
+
+def preferred_name(c: Column | str) -> Column:
+    """Of the parts of a name cell the last with two Latin words, else the first."""
+    parts = F.filter(F.transform(F.split(F.trim(string(c)), r"[\n/；;]+"), lambda p: F.trim(p)), lambda p: p != "")
+    latin = F.filter(parts, lambda p: F.size(F.regexp_extract_all(p, F.lit("[A-Za-z]+"), F.lit(0))) >= 2)
+    return F.when(F.size(latin) > 0, F.element_at(latin, -1)).when(F.size(parts) > 0, F.element_at(parts, 1)).otherwise(F.lit(""))
+
+
+def source_blocks(c: Column | str, header: str = "### 用户上传补充文件：", unnamed: str = "未命名文件", size: int = 900) -> Column:
+    """array<struct<source, chunk>>: a text cut before its source headers, then into pieces, in order."""
+    blocks = F.filter(F.transform(F.split(string(c), f"(?m)(?=^\\Q{header}\\E)"), lambda b: F.regexp_replace(b, r"^\s+|\s+$", "")), lambda b: b != "")
+
+    def cut(block: Column) -> Column:
+        first = F.regexp_extract(block, r"^[^\n]*", 0)
+        bare = F.trim(F.when(first.startswith(header), F.substring(first, len(header) + 1, 1_000_000)).otherwise(first))
+        name = F.when(bare == "", F.lit(unnamed)).otherwise(bare)
+        return F.transform(pieces(F.regexp_replace(block, r"^[^\n]*\n?", ""), size), lambda p: F.struct(name.alias("source"), p.alias("chunk")))
+
+    return F.flatten(F.transform(blocks, cut))
+
+
 #: The named entities that are replaced, the ampersand last.
 ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&amp;", "&"))
 

@@ -112,3 +112,24 @@ NOT_RELEVANT = "直接关联证据不足|领域关联不足|与.+关联证据不
 def confident(why: str, texts: list[str], wrong: str = WRONG_MATCH, irrelevant: str = NOT_RELEVANT) -> Column:
     """Neither a wrong match nor missing relevance is stated; what is only incomplete stays."""
     return ~string(why).rlike(wrong) & ~F.concat_ws(" ", *[string(c) for c in texts]).rlike(irrelevant)
+
+
+# What is said of the dead, states that are checked again, and reasons why a row is not checked.
+DEAD = r"(?i)已故|去世|逝世|deceased|died|passed away|obituary"
+UNCHECKED = ("", "未执行", "核验失败")
+NO_NAME, OVER_CAP, NOT_RUN = "缺少专家姓名", "超过本批独立核验数量上限", "未执行"
+
+
+def survival_queue(rows: DataFrame, row_id: str, name: str, status: str, check: str, cap: int) -> DataFrame:
+    """Adds ``queued`` and ``why_not``: unchecked rows, those said to be dead first, up to ``cap``; rows without a name take no place.
+
+    What comes before the last place is a limit, so the queue is never ordered as a whole.
+    """
+    open_ = F.trim(string(check)).isin(*UNCHECKED)
+    named = F.trim(string(name)) != ""
+    later = F.when(string(status).rlike(DEAD), 0).otherwise(1)
+    first = rows.where(open_ & named).select(row_id, later.alias("_later")).orderBy("_later", row_id).limit(cap).select(row_id, F.lit(True).alias("_q"))
+    joined = rows.join(first.hint("merge"), row_id, "left")
+    queued = F.coalesce("_q", F.lit(False))
+    why = F.when(open_ & ~named, NO_NAME).when(open_ & ~queued, OVER_CAP)
+    return joined.withColumn("queued", queued).withColumn("why_not", why).drop("_q")

@@ -137,8 +137,7 @@ def restore_order(t: Tables) -> DataFrame:
 def nested_label(t: Tables) -> DataFrame:
     place = t.nation.join(t.region, F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", F.struct(F.col("n_name").alias("display_name"), F.col("r_name").alias("country_code")).alias("i"))
     joined = t.customer.join(F.broadcast(place), F.col("c_nationkey") == F.col("n_nationkey"))  # 25 rows
-    label = F.concat("i.display_name", F.when(F.col("i.country_code").isNotNull(), F.concat(F.lit("("), "i.country_code", F.lit(")"))).otherwise(""))
-    return joined.select("c_custkey", label.alias("label"))
+    return joined.select("c_custkey", text.institution_label("i.display_name", "i.country_code").alias("label"))
 
 
 @query("""WITH s AS (SELECT c_custkey, c_nationkey, s_suppkey, c_name, s_name, c_acctbal, s_acctbal FROM customer JOIN supplier ON c_custkey = s_suppkey)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rosterlake.functions import names, text
+from rosterlake.functions import names, rules, text
 from rosterlake.operators import filters, merge, score, select
 
 from .book import Tables, query
@@ -126,9 +126,70 @@ def multi_split(t: Tables) -> DataFrame:
     return t.part.select("p_partkey", text.rendered(text.subdomain_list("p_type", separators=" +")).alias("parts"))
 
 
-@query("""SELECT p_partkey, trim(regexp_replace(regexp_replace(regexp_replace(p_type, '(?i)economy', 'thrift', 'g'), '(?i)steel', 'iron', 'g'), '\\s+', ' ', 'g')) AS normal FROM part""")
+#: Frequent words and what stands in their place, so that every rule of the glossary has something to do.
+SAID = (
+    " the ", " and ", " to ", " of ", " in ", " for ", " with ", " is ", " on ", " that ", " it ", " das ", " und ", " nicht ", " de ", " la ", " le ", " et ", " un ", " que ",
+    " en ", " el ", " ein ", " der ", " was ", " are ",
+)
+PHRASES = (
+    "Associate Professor", "assistant professor", "Emeritus Professor", "Visiting Professor", "Professor", "Research Professor", "principal investigator", "Research Scientist", "Senior Scientist",
+    "Chief Scientist", "Director", "chair", "Department of", "School of", "College of", "Institute of", "Research Center", "Research Centre", "University", "National Academy", "Fellow",
+    "award", "Awards", "Research interest", "collaboration ; and", "co-author : coauthor",
+)
+
+
+def glossary_sql() -> str:
+    said = "text"
+    for old, new in zip(SAID, PHRASES, strict=True):
+        said = f"replace({said}, '{old}', ' {new} ')"
+    out = f"trim({said})"
+    for pattern, new in (*rules.GLOSSARY, (r"\s+", " "), (r"\s*;\s*", "；"), (r"\s*:\s*", "：")):
+        out = f"regexp_replace({out}, '(?i){pattern}', '{new}', 'g')"
+    return f"SELECT doc_id, md5(trim({out})) AS digest, length(trim({out})) AS n FROM documents"
+
+
+@query(glossary_sql())
 def glossary(t: Tables) -> DataFrame:
-    return t.part.select("p_partkey", text.glossary("p_type", (("economy", "thrift"), ("steel", "iron"))).alias("normal"))
+    """All 26 replacements of the glossary on whole texts."""
+    said = F.col("text")
+    for old, new in zip(SAID, PHRASES, strict=True):
+        said = F.replace(said, F.lit(old), F.lit(f" {new} "))
+    return t.documents.select("doc_id", text.glossary(said).alias("g")).select("doc_id", F.md5("g").alias("digest"), F.length("g").alias("n"))
+
+
+@query("""SELECT event_id, 'GET http://a/x?api_key=***&mailto=***&q=' || event_type AS line FROM events""")
+def hidden_parameters(t: Tables) -> DataFrame:
+    line = F.concat(F.lit("GET http://a/x?api_key=k"), F.col("event_id").cast("string"), F.lit("&mailto=u"), F.col("user_id").cast("string"), F.lit("@x.org&q="), "event_type")
+    return t.events.select("event_id", text.hide_parameters(line).alias("line"))
+
+
+@query("""SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN p_name ELSE '王' END AS name, array_to_string(list_slice(list_filter([p_name, '', p_type, p_brand, NULL, 'a', 'b'], lambda x: x <> ''), 1, 4), '、') AS topics FROM part""")
+def preferred_names(t: Tables) -> DataFrame:
+    """The search name of a cell with several names, and the first four topics."""
+    cell = F.concat(F.lit("王；"), F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit("Ann / "), "p_name")).otherwise("Ann"))
+    topics = F.array(F.col("p_name"), F.lit(""), F.col("p_type"), F.col("p_brand"), F.lit(None).cast("string"), F.lit("a"), F.lit("b"))
+    return t.part.select("p_partkey", text.preferred_name(cell).alias("name"), text.first_names(topics).alias("topics"))
+
+
+@query("""WITH b AS (SELECT doc_id, unnest([lang, '未命名文件']) AS source, unnest([1, 2]) AS i, text FROM documents), l AS (SELECT doc_id, source, i, unnest(string_split_regex(text, '\n+')) AS p FROM b)
+SELECT doc_id, source, count(*) AS paragraphs, CAST(sum(length(trim(p))) AS BIGINT) AS chars FROM l WHERE trim(p) <> '' GROUP BY 1, 2""")
+def document_blocks(t: Tables) -> DataFrame:
+    """Texts under two source headers, cut into pieces; pieces longer than the text's longest line do not occur."""
+    both = F.concat(F.lit("### 用户上传补充文件： "), "lang", F.lit("\n"), "text", F.lit("\n### 用户上传补充文件：\n"), "text")
+    cut = t.documents.select("doc_id", F.explode(text.source_blocks(both, size=1 << 20)).alias("c"))
+    return cut.groupBy("doc_id", F.col("c.source").alias("source")).agg(F.count("*").alias("paragraphs"), F.sum(F.length("c.chunk")).alias("chars"))
+
+
+@query("""WITH r AS (SELECT d.doc_id, CASE WHEN d.doc_id % 11 = 0 THEN '' ELSE source END AS name, CASE WHEN toxic = 1 THEN 'reported deceased' ELSE '' END AS status, CASE WHEN quality = 1 THEN '未发现死亡证据' WHEN quality = 0 THEN '核验失败' ELSE '' END AS chk FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id),
+q AS (SELECT doc_id, row_number() OVER (ORDER BY CASE WHEN status <> '' THEN 0 ELSE 1 END, doc_id) AS rn FROM r WHERE chk <> '未发现死亡证据' AND name <> '')
+SELECT r.doc_id, coalesce(rn <= 25, false) AS queued, CASE WHEN chk <> '未发现死亡证据' AND name = '' THEN '缺少专家姓名' WHEN chk <> '未发现死亡证据' AND rn > 25 THEN '超过本批独立核验数量上限' END AS why_not FROM r LEFT JOIN q ON r.doc_id = q.doc_id""")
+def survival_queue(t: Tables) -> DataFrame:
+    """Who is checked next: the dead first, 25 in all; rows without a name take no place."""
+    rows = t.documents.join(t.labels, "doc_id", "left").select(
+        "doc_id", F.when(F.col("doc_id") % 11 == 0, "").otherwise(F.col("source")).alias("name"), F.when(F.col("toxic") == 1, "reported deceased").alias("status"),
+        F.when(F.col("quality") == 1, "未发现死亡证据").when(F.col("quality") == 0, "核验失败").alias("chk"),
+    )
+    return filters.survival_queue(rows, "doc_id", "name", "status", "chk", 25).select("doc_id", "queued", "why_not")
 
 
 @query("""WITH j AS (SELECT coalesce(d.doc_id, l.doc_id) AS doc_id, CASE WHEN quality IS NULL THEN 'None' ELSE CAST(quality AS VARCHAR) END AS q, text AS x FROM documents d FULL JOIN labels l ON d.doc_id = l.doc_id)
