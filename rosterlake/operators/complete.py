@@ -235,6 +235,40 @@ def derived_sentences(accepted: DataFrame, key: str, template: str, roles: list[
     return wide.dropna(subset=roles).select(key, F.format_string(template, *[F.col(r) for r in roles]).alias("value"))
 
 
+#: Words of the highest honours, and the sentences that follow from a post and from interests.
+HONOURS = r"(?i)院士|国家科学院|国家医学院|诺贝尔|图灵奖|Gruber|National Academy|Nobel|Turing|\bFellow\b|\bPrize\b|\bMedal\b"
+REASONS = ("现任%s，研究聚焦%s，具有明确的领域相关性与专业代表性。", "现任%s，具有可核验的专业任职与领域代表性。", "长期研究%s，与目标领域具有明确关联。")
+
+
+def derived_cells(accepted: DataFrame, blank: DataFrame, locked: DataFrame, key: str, most: int = 3) -> DataFrame:
+    """(key, column, value, urls): reasons and top marks that follow from accepted cells, for blank cells of locked rows.
+
+    accepted: (key, column, role, value, urls); blank: (key, column, role), roles ``basis`` and ``top``; locked: (key).
+    A reason follows from an accepted post or interests, a mark from another mark or from the words of an honour;
+    both need a source of tier 2 or better, and carry up to three.
+    """
+    good = F.filter("urls", lambda u: source_tier(u) <= 2)
+    of = lambda role: F.col("role") == role
+    marked = of("top") & (F.trim("value") == "是") & (F.size("urls") > 0)
+    ordered = lambda when, urls: F.array_distinct(F.flatten(F.transform(F.array_sort(F.collect_list(F.when(when, F.struct("column", urls.alias("u"))))), lambda x: x["u"])))
+    wide = accepted.join(locked.select(key).distinct().hint("merge"), key, "left_semi").groupBy(key).agg(
+        F.max(F.when(of("position"), F.col("value"))).alias("post"), F.max(F.when(of("interests"), F.col("value"))).alias("field"),
+        F.max(F.when(of("position"), good)).alias("post_urls"), F.max(F.when(of("interests"), good)).alias("field_urls"),
+        F.slice(F.min_by(F.when(marked, F.col("urls")), F.when(marked, F.col("column"))), 1, most).alias("mark_urls"),
+        F.slice(ordered(F.col("value").rlike(HONOURS), good), 1, most).alias("honour_urls"),
+    )
+    none = F.array().cast("array<string>")
+    support = F.slice(F.array_distinct(F.concat(F.coalesce("post_urls", none), F.coalesce("field_urls", none))), 1, most)
+    both, post, field = (F.format_string(r, *[F.col(c) for c in names]) for r, names in zip(REASONS, (("post", "field"), ("post",), ("field",)), strict=True))
+    reason = clip(F.when(F.col("post").isNotNull() & F.col("field").isNotNull(), both).when(F.col("post").isNotNull(), post).when(F.col("field").isNotNull(), field), 420)
+    top = F.when(F.size("mark_urls") > 0, F.col("mark_urls")).otherwise(F.col("honour_urls"))
+    known = wide.select(key, F.when(F.col("post").isNotNull() | F.col("field").isNotNull(), reason).alias("reason"), support.alias("support"), top.alias("top_urls"))
+    open_ = blank.where(F.col("role").isin("basis", "top")).join(accepted.select(key, "column"), [key, "column"], "left_anti").join(known, key)
+    is_basis = F.col("role") == "basis"
+    value, urls = F.when(is_basis, F.col("reason")).otherwise("是"), F.when(is_basis, F.col("support")).otherwise(F.col("top_urls"))
+    return open_.select(key, "column", value.alias("value"), urls.alias("urls")).where(F.col("value").isNotNull() & (F.size("urls") > 0))
+
+
 def payload(columns: dict[str, int]) -> Column:
     """A map of the fields that hold something, each clipped to its size."""
     entries = F.array_compact(F.array(*[F.when(~cell_placeholder(c), F.struct(F.lit(c).alias("k"), clip(c, n).alias("v"))) for c, n in columns.items()]))

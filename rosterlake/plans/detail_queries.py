@@ -354,3 +354,22 @@ def markdown_block(t: Tables) -> DataFrame:
     from rosterlake.sources import tables
 
     return tables.first_block(t.part.select("p_partkey", body.alias("x")), "p_partkey", "x").select("p_partkey", "row", F.array_join("cells", ",").alias("cells"))
+
+
+@query("""WITH d AS (SELECT d.doc_id, lang, source, quality, toxic FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id WHERE d.doc_id % 3 <> 0),
+p AS (SELECT doc_id, CASE WHEN quality = 1 THEN 'Fellow ' || source WHEN quality = 0 THEN source END AS post, CASE WHEN toxic IS NOT NULL THEN lang END AS field, doc_id % 5 = 0 AS poor FROM d),
+s AS (SELECT *, CASE WHEN post IS NOT NULL AND NOT poor THEN ['https://p.edu/' || doc_id] ELSE CAST([] AS VARCHAR[]) END AS pu, CASE WHEN field IS NOT NULL THEN ['https://f.org/' || doc_id] ELSE CAST([] AS VARCHAR[]) END AS fu FROM p)
+SELECT doc_id, 'why' AS "column", CASE WHEN post IS NOT NULL AND field IS NOT NULL THEN '现任' || post || '，研究聚焦' || field || '，具有明确的领域相关性与专业代表性。' WHEN post IS NOT NULL THEN '现任' || post || '，具有可核验的专业任职与领域代表性。' ELSE '长期研究' || field || '，与目标领域具有明确关联。' END AS value,
+array_to_string(list_concat(pu, fu), ' | ') AS urls FROM s WHERE len(list_concat(pu, fu)) > 0 UNION ALL SELECT doc_id, 'mark', '是', array_to_string(pu, ' | ') FROM s WHERE post LIKE 'Fellow %' AND len(pu) > 0""")
+def derived_reasons(t: Tables) -> DataFrame:
+    """Reasons and top marks that follow from accepted posts and interests of locked rows."""
+    rows = t.documents.join(t.labels, "doc_id", "left").withColumn("k", F.col("doc_id").cast("string"))
+    post = F.when(F.col("quality") == 1, F.concat(F.lit("Fellow "), "source")).when(F.col("quality") == 0, F.col("source"))
+    page = F.when(F.col("doc_id") % 5 == 0, F.concat(F.lit("https://p.com/"), "k")).otherwise(F.concat(F.lit("https://p.edu/"), "k"))
+    posts = rows.select("doc_id", F.lit("post").alias("column"), F.lit("position").alias("role"), post.alias("value"), F.array(page).alias("urls"))
+    field = F.when(F.col("toxic").isNotNull(), F.col("lang"))
+    fields = rows.select("doc_id", F.lit("field").alias("column"), F.lit("interests").alias("role"), field.alias("value"), F.array(F.concat(F.lit("https://f.org/"), "k")).alias("urls"))
+    accepted = posts.unionByName(fields).where("value is not null")
+    blank = rows.select("doc_id", F.explode(F.array(F.struct(F.lit("why").alias("column"), F.lit("basis").alias("role")), F.struct(F.lit("mark").alias("column"), F.lit("top").alias("role")))).alias("b"))
+    got = complete.derived_cells(accepted, blank.select("doc_id", "b.column", "b.role"), rows.where("doc_id % 3 <> 0"), "doc_id")
+    return got.select("doc_id", "column", "value", F.array_join("urls", " | ").alias("urls"))
