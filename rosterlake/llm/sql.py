@@ -20,7 +20,7 @@ def mixing_sql(
     budget: float = mixing.BUDGET,
 ) -> str:
     """Every sweep over the dimensions is a step of its own."""
-    counts = ", ".join(f"len(regexp_extract_all(w, '(?i) (?:{'|'.join(words)}) ')) AS c{k}" for k, words in enumerate(topics.values()))
+    counts = ", ".join(" + ".join(f"(strlen(w) - strlen(replace(w, ' {x}', ''))) // {len(x) + 1}" for x in words) + f" AS c{k}" for k, words in enumerate(topics.values()))
     top = f"greatest(1, {', '.join(f'c{k}' for k in range(len(topics)))})"
     topic = "CASE " + " ".join(f"WHEN c{k} = {top} THEN '{t}'" for k, t in enumerate(topics)) + f" ELSE '{mixing.OTHER}' END"
     steps, before = [], "cells"
@@ -43,7 +43,7 @@ def mixing_sql(
         steps.append(f"s{k} AS (SELECT * REPLACE (least(weight, CAST(tokens AS DOUBLE)) AS weight) FROM {before})")
         before = f"s{k}"
     return f"""WITH docs AS (SELECT doc_id, coalesce(source, '') AS source, coalesce(lang, '') AS lang, coalesce(text, '') AS x FROM documents),
-spaced AS (SELECT *, ' ' || regexp_replace(x, '[^A-Za-z]+', '  ', 'g') || ' ' AS w FROM docs),
+spaced AS (SELECT *, ' ' || replace(lower(x), chr(10), ' ') AS w FROM docs),
 counted AS (SELECT *, greatest(length(regexp_replace(regexp_replace(x, '[^ \t\n\r]+', 'x', 'g'), '[ \t\n\r]+', '', 'g')), 1) AS tokens, {counts} FROM spaced),
 rows AS (SELECT doc_id, x, source, lang, {topic} AS topic, tokens FROM counted),
 cells AS (SELECT source, lang, topic, CAST(sum(tokens) AS BIGINT) AS tokens FROM rows GROUP BY 1, 2, 3),
