@@ -6,6 +6,7 @@ import tempfile
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -80,18 +81,50 @@ def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], list], schema: T.S
     return df.mapInArrow(run, schema)
 
 
+def pressed(df: DataFrame, column: str) -> DataFrame:
+    """A text column compressed, to be moved; null texts stay null."""
+    schema = T.StructType([T.StructField(f.name, T.BinaryType()) if f.name == column else f for f in df.schema.fields])
+    at = df.columns.index(column)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack = zstandard.ZstdCompressor(level=3)
+        for batch in batches:
+            raw = pa.array([None if t is None else pack.compress(t.encode("utf-8", "surrogatepass")) for t in batch.column(at).to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([raw if k == at else c for k, c in enumerate(batch.columns)], names=schema.names)
+
+    return df.mapInArrow(run, schema)
+
+
+def unpressed(df: DataFrame, column: str) -> DataFrame:
+    """A compressed text column as it was."""
+    schema = T.StructType([T.StructField(f.name, T.StringType()) if f.name == column else f for f in df.schema.fields])
+    at = df.columns.index(column)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = zstandard.ZstdDecompressor()
+        for whole in batches:
+            for begin in range(0, whole.num_rows, 1024):
+                batch = whole.slice(begin, 1024)
+                text = pa.array([None if r is None else unpack.decompress(r).decode("utf-8", "surrogatepass") for r in batch.column(at).to_pylist()], pa.string())
+                yield pa.RecordBatch.from_arrays([text if k == at else c for k, c in enumerate(batch.columns)], names=schema.names)
+
+    return df.mapInArrow(run, schema)
+
+
 def first_rows(docs: DataFrame, groups: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """The rows of ``docs`` that stand for their group of groups (id, component_id): one row with the group's smallest id.
 
     Of several rows with that id the one with the smallest digest of its text stays. Rows without an id stay.
     """
-    columns = [F.col(f"row.`{c}`") for c in docs.columns]
     first = groups.where(F.col("id") == F.col("component_id")).select("id").distinct()
     rows = docs.where(F.col(f"`{id_col}`").isNotNull())
-    rows = rows.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{id_col}`").alias("id"))
-    least = F.min_by("row", F.xxhash64(f"row.`{text_col}`")).alias("row")  # partial first, so an id may hold many rows
-    single = rows.join(first.hint("merge"), "id", "left_semi").groupBy("id").agg(least)
-    return single.select(*columns).unionByName(docs.where(F.col(f"`{id_col}`").isNull()))
+    others = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text_col], F.lit(0).alias("_")).alias("row")
+    text = F.col(f"`{text_col}`")
+    moved = pressed(rows.select(others, F.col(f"`{id_col}`").alias("id"), F.xxhash64(text).alias("h"), text.alias("text")), "text")
+    least = F.min_by(F.struct("row", "text"), "h").alias("one")  # partial first, so an id may hold many rows
+    single = moved.join(first.hint("merge"), "id", "left_semi").groupBy("id").agg(least).select("one.row", "one.text")
+    columns = [F.col("text").alias(c) if c == text_col else F.col(f"row.`{c}`") for c in docs.columns]
+    return unpressed(single, "text").select(*columns).unionByName(docs.where(F.col(f"`{id_col}`").isNull()))
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:

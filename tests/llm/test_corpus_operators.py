@@ -653,7 +653,7 @@ def test_registry_queries_run(spark):
         assert sorted(rows["doc_id"]) == sorted(con.sql(sql).df()["doc_id"])
 
 
-def test_large_entries_confirm_more_than_the_best_partners(spark, monkeypatch):
+def test_large_groups_are_compared_whole_or_in_blocks(spark, monkeypatch):
     from rosterlake.llm import similar
 
     rng = random.Random(13)
@@ -667,9 +667,10 @@ def test_large_entries_confirm_more_than_the_best_partners(spark, monkeypatch):
     sets = [{tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)} for _, t in rows]
     pairs = [(a, b) for a in range(140) for b in range(a + 1, 140) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
     docs = spark.createDataFrame([(i, t, "en", "s", 1, None, None) for i, t in rows], DOCS)
-    monkeypatch.setattr(similar, "BEST", 1)
-    monkeypatch.setattr(similar, "SMALL", 4)
-    got = {r.id: r.component_id for r in similar.near_duplicates(docs).collect()}
+    for large in (2000, 16):  # as one task, and as pairs of blocks
+        monkeypatch.setattr(similar, "LARGE", large)
+        got = {r.id: r.component_id for r in similar.near_duplicates(docs).collect()}
+        assert got == classes_of(range(140), pairs)
     assert got == classes_of(range(140), pairs) and 1 < len(set(got.values())) < 140
 
 
