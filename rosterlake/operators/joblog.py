@@ -21,9 +21,11 @@ def error_source(message: Column | str, stage: Column | str | None = None, sourc
     return out
 
 
-def by_source(source: Column, said: str | tuple[str, str]) -> Column:
-    """A text, or of a pair of texts the one for homepages or for other sources."""
-    return F.lit(said) if isinstance(said, str) else F.when(source == rules.ERROR_SOURCE_HOMEPAGE, F.lit(said[0])).otherwise(F.lit(said[1]))
+def by_source(source: Column, said: tuple[str | tuple[str, str], ...], at: Column) -> Column:
+    """The text at a place of a list, in which a pair of texts stands for (homepages, other sources)."""
+    home, other = ([t if isinstance(t, str) else t[side] for t in said] for side in (0, 1))
+    pick = lambda listed: F.element_at(F.array(*[F.lit(t) for t in listed]), at)
+    return F.when(source == rules.ERROR_SOURCE_HOMEPAGE, pick(home)).otherwise(pick(other))
 
 
 def diagnose(
@@ -40,12 +42,12 @@ def diagnose(
     detail = redact(F.when(F.trim(string(message)) == "", F.lit("未知错误")).otherwise(string(message)))
     low = F.lower(detail)
     source = error_source(detail, stage, sources, other_source)
-    found = F.struct(F.lit(other).alias("cause"), F.lit(other_action).alias("action"))
-    for (words, cause), action in reversed(list(zip(causes, actions, strict=True))):
-        here = F.struct(by_source(source, cause).alias("cause"), by_source(source, action).alias("action"))
-        found = F.when(_any(low, words), here).otherwise(found)
-    summary = F.concat(source, F.lit("："), found["cause"])
-    return F.struct(source.alias("source"), found["cause"].alias("cause"), found["action"].alias("action"), detail.alias("detail"), summary.alias("summary"))
+    rule = F.lit(len(causes) + 1)
+    for n, (words, _) in reversed(list(enumerate(causes, 1))):
+        rule = F.when(_any(low, words), F.lit(n)).otherwise(rule)
+    cause = by_source(source, (*(c for _, c in causes), other), rule)
+    action = by_source(source, (*actions, other_action), rule)
+    return F.struct(source.alias("source"), cause.alias("cause"), action.alias("action"), detail.alias("detail"), F.concat(source, F.lit("："), cause).alias("summary"))
 
 
 def one_line(d: Column) -> Column:
