@@ -39,16 +39,21 @@ TARGETS = {"lang": {"en": 0.55, "de": 0.15, "fr": 0.15, "es": 0.15}, "topic": {"
 TEMPER, SWEEPS, BUDGET, ONE_TASK, SWEEPS_A_PLAN = 0.5, 12, 0.6, 100_000, 3
 
 
-def topic_of(text: Column, topics: dict[str, tuple[str, ...]] = TOPICS, other: str = OTHER) -> Column:
-    """The topic of a text by the beginnings (in ASCII) of its words, which stand behind a blank or a line end, in any case."""
+def topic_words(text: Column, topics: dict[str, tuple[str, ...]] = TOPICS) -> Column:
+    """The beginnings (in ASCII) of words, behind a blank or a line end and in any case, that are in a list; one pass over the text."""
     low = F.concat(F.lit(" "), F.replace(F.lower(text), F.lit("\n"), F.lit(" ")))
+    return F.regexp_extract_all(low, F.lit(f" ({'|'.join(w for words in topics.values() for w in words)})"), F.lit(1))
 
-    def count(word: str) -> Column:
-        return ((F.octet_length(low) - F.octet_length(F.replace(low, F.lit(f" {word}")))) / (len(word) + 1)).cast("int")
 
-    counts = [reduce(lambda a, w: a + count(w), words[1:], count(words[0])) for words in topics.values()]
-    top = F.greatest(F.lit(1), *counts)
-    return F.coalesce(*[F.when(c == top, F.lit(t)) for t, c in zip(topics, counts, strict=True)], F.lit(other))
+def topic_of(found: Column, topics: dict[str, tuple[str, ...]] = TOPICS, other: str = OTHER) -> Column:
+    """The topic of a text from its ``topic_words``, which are a stored column so that texts are read once."""
+
+    def count(words: tuple[str, ...]) -> Column:
+        return F.size(F.filter(found, lambda w: w.isin(*words)))
+
+    counts = F.array(*[count(words) for words in topics.values()])
+    names = F.array(*[F.lit(t) for t in topics])
+    return F.when(F.array_max(counts) > 0, F.element_at(names, F.array_position(counts, F.array_max(counts)).cast("int"))).otherwise(F.lit(other))
 
 
 def tokens_of(text: Column) -> Column:
@@ -57,17 +62,19 @@ def tokens_of(text: Column) -> Column:
     return F.greatest(F.length(F.regexp_replace(clean, "[ \t\n\r]+", "")), F.lit(1)).cast("long")
 
 
-def cell_columns(id_col: str, text_col: str, source_col: str, lang_col: str) -> list[Column]:
-    """What the operator needs to know of a document: the key of its draw, its cell and its tokens."""
+def in_cells(docs: DataFrame, id_col: str, text_col: str, source_col: str, lang_col: str) -> DataFrame:
+    """``(row, draw, source, lang, topic, tokens)``: all columns of a document, the number it is drawn by and its cell."""
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     key = F.coalesce(F.col(f"`{id_col}`").cast("string"), F.concat(F.lit("text:"), text))
-    return [
+    first = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
         draw(key).alias("draw"),
         F.coalesce(F.col(f"`{source_col}`"), F.lit("")).alias("source"),
         F.coalesce(F.col(f"`{lang_col}`"), F.lit("")).alias("lang"),
-        topic_of(text).alias("topic"),
+        topic_words(text).alias("found"),
         tokens_of(text).alias("tokens"),
-    ]
+    )
+    return first.select("row", "draw", "source", "lang", topic_of(F.col("found")).alias("topic"), "tokens")
 
 
 def with_target(cells: DataFrame, dimension: str, listed: dict[str, float], temper: float, budget: float) -> DataFrame:
@@ -121,11 +128,10 @@ def drawn(
     lang_col: str = "lang",
 ) -> DataFrame:
     """``(row, source, lang, topic, tokens, probability)`` of the documents drawn; ``row`` holds all columns of ``docs``."""
-    needed = cell_columns(id_col, text_col, source_col, lang_col)
-    cells = keep(docs.select(*needed[1:]).groupBy(*DIMENSIONS).agg(F.sum("tokens").alias("tokens")))
+    rows = in_cells(docs, id_col, text_col, source_col, lang_col)
+    cells = keep(rows.groupBy(*DIMENSIONS).agg(F.sum("tokens").alias("tokens")))
     fitted = keep(rake(cells, targets, budget=budget)).select(*DIMENSIONS, "probability")
     small = fitted.count() <= ONE_TASK  # rows of a few short strings: a few MB at most
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *needed)
     joined = rows.join(F.broadcast(fitted) if small else fitted.hint("merge"), list(DIMENSIONS))
     return joined.where(F.col("draw") < F.col("probability")).select("row", *DIMENSIONS, "tokens", "probability")
 

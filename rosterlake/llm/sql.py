@@ -20,7 +20,8 @@ def mixing_sql(
     budget: float = mixing.BUDGET,
 ) -> str:
     """Every sweep over the dimensions is a step of its own."""
-    counts = ", ".join(" + ".join(f"(strlen(w) - strlen(replace(w, ' {x}', ''))) // {len(x) + 1}" for x in words) + f" AS c{k}" for k, words in enumerate(topics.values()))
+    found = f"regexp_extract_all(w, ' ({'|'.join(x for words in topics.values() for x in words)})', 1)"
+    counts = ", ".join(f"len(list_filter({found}, lambda x: x IN ({', '.join(repr(x) for x in words)}))) AS c{k}" for k, words in enumerate(topics.values()))
     top = f"greatest(1, {', '.join(f'c{k}' for k in range(len(topics)))})"
     topic = "CASE " + " ".join(f"WHEN c{k} = {top} THEN '{t}'" for k, t in enumerate(topics)) + f" ELSE '{mixing.OTHER}' END"
     steps, before = [], "cells"
