@@ -89,6 +89,30 @@ def op10_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "start_word", "end_word", F.col("firsts").alias("first_doc_ids"))
 
 
+def planted_period(doc: int | None, n: int):
+    """The places of the words that op11 looks at: in a tenth of the texts, by their id, the end repeats its beginning."""
+    import zlib
+
+    import numpy as np
+
+    h = 1 if doc is None else zlib.crc32(str(doc).encode())
+    if h % 10:
+        return None
+    g, i = h // 10, np.arange(n)
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return np.where(i < a, i, a + (i - a) % p)
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .runs import longest, periodic_runs
+
+    found = periodic_runs(table(spark, sf_dir, "documents"), changed=planted_period).withColumn("best", longest())
+    best = [F.col(f"best.{c}").alias(c) for c in ("start", "length", "period")]
+    milli = F.floor(F.col("best.length") * 1000 / F.col("best.period")).alias("exponent_milli")
+    return found.select(F.col("id").alias("doc_id"), F.size("runs").cast("long").alias("n_runs"), *best, milli, "runs_sha256", "collapsed_sha256", "n_words")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -96,7 +120,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_best_fit_packing, op2_merkle_fingerprints, op3_source_mixing, op4_token_counts, op5_toxicity, op6_simhash_groups, op7_itq_links, op8_warc, op9_kneser_ney_quality, op10_repeated_passages, pipeline]
+    found = [op1_best_fit_packing, op2_merkle_fingerprints, op3_source_mixing, op4_token_counts, op5_toxicity, op6_simhash_groups, op7_itq_links, op8_warc, op9_kneser_ney_quality, op10_repeated_passages, op11_periodic_runs, pipeline]
     return {f.__name__: f for f in found}
 
 
