@@ -113,6 +113,13 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), F.size("runs").cast("long").alias("n_runs"), *best, milli, "runs_sha256", "collapsed_sha256", "n_words")
 
 
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .alignment import align
+
+    found, _ = align(table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), tokenizer_file("piece_bpe_32k.model"))
+    return found.withColumn("id", F.col("id").cast("long")).withColumnRenamed("id", "doc_id")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -120,7 +127,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_best_fit_packing, op2_merkle_fingerprints, op3_source_mixing, op4_token_counts, op5_toxicity, op6_simhash_groups, op7_itq_links, op8_warc, op9_kneser_ney_quality, op10_repeated_passages, op11_periodic_runs, pipeline]
+    found = [op1_best_fit_packing, op2_merkle_fingerprints, op3_source_mixing, op4_token_counts, op5_toxicity, op6_simhash_groups, op7_itq_links, op8_warc, op9_kneser_ney_quality, op10_repeated_passages, op11_periodic_runs, op12_token_alignment, pipeline]
     return {f.__name__: f for f in found}
 
 

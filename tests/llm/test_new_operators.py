@@ -125,3 +125,100 @@ def test_common_extensions_and_stretches():
     x = np.concatenate([np.arange(100), np.tile(np.arange(200, 220), 5), np.arange(300, 400)])
     ((b, e),) = stretches(x)
     assert b <= 100 and e >= 200 and e - b < 150
+
+
+def tokenizers():
+    import public_tokenizers
+    import sentencepiece
+    from tokenizers import Tokenizer
+
+    a = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    a.encode_special_tokens = True
+    return a, sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def plain_alignment(texts):
+    """(n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256) of each text, token by token."""
+    import bisect
+
+    a_model, b_model = tokenizers()
+    letters = {}
+    spare = 0
+    for byte in range(256):
+        if chr(byte).isprintable() and byte not in (0x20, 0xA0, 0xAD):
+            letters[chr(byte)] = byte
+        else:
+            letters[chr(256 + spare)] = byte
+            spare += 1
+    links, out = [], []
+    for text in texts:
+        links.append([])
+        out.append((0, 0, 0, 0, 0, 0, ""))
+        if not text:
+            continue
+        raw = (" " + text).encode()
+        a = a_model.encode(" " + text, add_special_tokens=False).ids
+        b = b_model.encode(text)
+        bytes_a = [bytes(letters[c] for c in a_model.id_to_token(k)) for k in a]
+        bytes_b = [bytes([int(b_model.id_to_piece(k)[3:5], 16)]) if b_model.is_byte(k) else b_model.id_to_piece(k).replace("▁", " ").encode() for k in b]
+        if b"".join(bytes_a) != raw or b"".join(bytes_b) != raw:
+            continue
+        ends_a, ends_b = np.cumsum([len(t) for t in bytes_a]).tolist(), np.cumsum([len(t) for t in bytes_b]).tolist()
+        begins_a = [0, *ends_a[:-1]]
+        for k, (s, e) in enumerate(zip([0, *ends_b[:-1]], ends_b, strict=True)):
+            i = bisect.bisect_right(ends_a, s)
+            while i < len(a) and begins_a[i] < e:
+                links[-1].append((a[i], b[k]))
+                i += 1
+        said, i, j = [], 0, 0
+        for cut in sorted(set(ends_a) & set(ends_b)):
+            p, q = bisect.bisect_right(ends_a, cut), bisect.bisect_right(ends_b, cut)
+            said.append(",".join(map(str, a[i:p])) + "|" + ",".join(map(str, b[j:q])))
+            i, j = p, q
+        out[-1] = (len(a), len(b), len(said), len(links[-1]), 0, 0, hashlib.sha256(";".join(said).encode()).hexdigest())
+    counts = Counter(link for each in links for link in each)
+    most = defaultdict(int)
+    for (_, b), n in counts.items():
+        most[b] = max(most[b], n)
+    return [(*o[:4], sum(counts[x] == most[x[1]] for x in each), sum(counts[x] for x in each), o[6]) for o, each in zip(out, links, strict=True)], counts, most
+
+
+@pytest.mark.parametrize("table", ["odd", "small", "empty"])
+def test_token_alignment(spark, folder, table):
+    from rosterlake.llm.registry import op12_token_alignment
+
+    got = op12_token_alignment(spark, folder[table]).collect()
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{folder[table]}/documents.parquet").select("doc_id", "text").collect()]
+    expected, _, _ = plain_alignment([t for _, t in docs])
+    assert Counter(tuple(r) for r in got) == Counter((d, *e) for (d, _), e in zip(docs, expected, strict=True))
+    if table == "small":
+        assert len({t for _, t in docs}) < len(docs) and max(r.count_sum for r in got) > 0
+
+
+def test_pair_counts_in_small_blocks(spark):
+    import public_tokenizers
+
+    from rosterlake.llm.alignment import align
+
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").limit(60)
+    texts = [r.text for r in docs.collect()]
+    paths = [public_tokenizers.path(n) for n in ("byte_bpe_50k.json", "piece_bpe_32k.model")]
+    found, pairs = align(docs, *paths, links=5_000)
+    expected, counts, most = plain_alignment(texts)
+    assert {(r.a, r.b): (r["count"], r.best) for r in pairs.collect()} == {x: (n, n == most[x[1]]) for x, n in counts.items()}
+    assert Counter(tuple(r)[1:] for r in found.collect()) == Counter(expected)
+
+
+def test_fast_encoder_gives_the_ids_of_the_file():
+    import public_tokenizers
+
+    from rosterlake.llm.alignment import ByteTokens
+
+    a, _ = tokenizers()
+    b = ByteTokens(public_tokenizers.path("byte_bpe_50k.json"))
+    assert b.fast is not None
+    rng = random.Random(3)
+    texts = [" " + "".join(rng.choice(w) for _ in range(rng.randint(1, 24))) for w in ("abcdeinorst", "ab", "thein", "0189", "=-_*", "éèü", "日本語", "'sdtl ", " \t\n　\xa0x") for _ in range(2000)]
+    texts += [" a%sb %s%s1 %s" % ((chr(c),) * 4) for c in range(0, 0x110000, 7) if not 0xD800 <= c < 0xE000]
+    texts += [" <|endoftext|>", "x" + " " * 20_000 + "y", " " * 5000]
+    assert b(texts) == [e.ids for e in a.encode_batch_fast(texts, add_special_tokens=False)]
