@@ -143,7 +143,7 @@ class Aligner:
     def gives_back(ids: list[int], tokens: pa.Array, text: bytes) -> bool:
         taken = tokens.take(pa.array(ids, pa.int64()))
         size = np.frombuffer(taken.buffers()[1], np.int32)[len(taken)]
-        return size == len(text) and memoryview(taken.buffers()[2])[:size] == text
+        return size == len(text) and memoryview(taken.buffers()[2]).cast("B")[:size] == text
 
     def digests(self, a: np.ndarray, b: np.ndarray, last_a: np.ndarray, last_b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) -> list[bytes]:
         """SHA-256 of each text's groups: A ids, a bar, B ids; groups part at semicolons."""
