@@ -120,6 +120,12 @@ def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("id", F.col("id").cast("long")).withColumnRenamed("id", "doc_id")
 
 
+def op13_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .postings import nearest
+
+    return nearest(table(spark, sf_dir, "embeddings"), F.pmod("id", F.lit(20)) == 0, n=20)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -127,7 +133,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_best_fit_packing, op2_merkle_fingerprints, op3_source_mixing, op4_token_counts, op5_toxicity, op6_simhash_groups, op7_itq_links, op8_warc, op9_kneser_ney_quality, op10_repeated_passages, op11_periodic_runs, op12_token_alignment, pipeline]
+    found = [op1_best_fit_packing, op2_merkle_fingerprints, op3_source_mixing, op4_token_counts, op5_toxicity, op6_simhash_groups, op7_itq_links, op8_warc, op9_kneser_ney_quality, op10_repeated_passages, op11_periodic_runs, op12_token_alignment, op13_nearest_neighbours, pipeline]
     return {f.__name__: f for f in found}
 
 

@@ -222,3 +222,92 @@ def test_fast_encoder_gives_the_ids_of_the_file():
     texts += [" a%sb %s%s1 %s" % ((chr(c),) * 4) for c in range(0, 0x110000, 7) if not 0xD800 <= c < 0xE000]
     texts += [" <|endoftext|>", "x" + " " * 20_000 + "y", " " * 5000]
     assert b(texts) == [e.ids for e in a.encode_batch_fast(texts, add_special_tokens=False)]
+
+
+def plain_nearest(rows, n=20):
+    """Rows (query_id, rank, vec_id, score) by brute force."""
+    good = sorted({(i, tuple(v)) for i, v in rows if i is not None and v and all(c is not None and np.isfinite(c) for c in v) and any(v)})
+    x = np.array([v for _, v in good])
+    out = []
+    for k, (i, v) in enumerate(good):
+        if i % 20 == 0:
+            score = np.einsum("ij,ij->i", np.repeat(x[k : k + 1], len(x), 0), x)
+            order = [j for j in np.lexsort(([g[0] for g in good], -score)).tolist() if j != k][:n]
+            out += [(i, r + 1, good[j][0], float(score[j])) for r, j in enumerate(order)]
+    return out
+
+
+def recall(got, expected):
+    want = {(q, v) for q, _, v, _ in expected}
+    return len(want & {(q, v) for q, _, v, _ in got}) / len(want)
+
+
+def neighbours(spark, rows, tmp_path, more="label int"):
+    from rosterlake.llm.registry import op13_nearest_neighbours
+
+    spark.createDataFrame([(*r, 1) for r in rows], f"vec_id long, embedding array<double>, {more}").write.parquet(f"{tmp_path}/embeddings.parquet")
+    return [tuple(r) for r in op13_nearest_neighbours(spark, str(tmp_path)).collect()]
+
+
+@pytest.mark.parametrize("name", ["sf0.001", "sf0.1"])
+def test_nearest_neighbours(spark, name):
+    from rosterlake.llm.registry import op13_nearest_neighbours
+
+    folder = f"/root/testdata/{name}"
+    got = [tuple(r) for r in op13_nearest_neighbours(spark, folder).collect()]
+    rows = [(r.vec_id, r.embedding) for r in spark.read.parquet(f"{folder}/embeddings.parquet").collect()]
+    expected = plain_nearest(rows)
+    score = {(q, v): s for q, _, v, s in got}
+    assert recall(got, expected) >= 0.95 and len(got) == len(expected)
+    assert Counter(q for q, *_ in got) == Counter(q for q, *_ in expected)
+    assert all(score.get((q, v), s) == s for q, _, v, s in expected)
+    by = defaultdict(list)
+    for q, r, v, s in sorted(got):
+        by[q].append((-s, v))
+    assert all(sorted(x) == x and all(v != q for _, v in x) for q, x in by.items())
+
+
+def test_nearest_neighbours_of_odd_vectors(spark, tmp_path):
+    rows = [(k, [1.0, 2.0]) for k in range(0, 60)] + [(60, [1.0, 2.0]), (60, [1.0, 2.0]), (80, [-3.0, 1.0]), (81, None), (100, [0.0, 0.0]), (101, [float("nan"), 1.0]), (102, [None, 1.0]), (103, [float("inf"), 1.0])]
+    rows += [(None, [5.0, 5.0]), (104, []), (-20, [0.5, 1.0]), (40, [9.0, 9.0]), (105, [1e200, 1.0])]
+    got = neighbours(spark, rows, tmp_path, "k int")
+    assert sorted(got) == sorted(plain_nearest([r for r in rows if r[0] != 105]))
+    assert {q for q, *_ in got} == {0, 20, 40, 60, 80, -20}
+
+
+def test_nearest_neighbours_of_few_or_no_vectors(spark, tmp_path):
+    assert neighbours(spark, [(1, None)], tmp_path / "a") == [] and neighbours(spark, [], tmp_path / "b") == []
+    assert neighbours(spark, [(20, [1.0])], tmp_path / "c") == []
+    assert neighbours(spark, [(20, [1.0]), (3, [2.0])], tmp_path / "d") == [(20, 1, 3, 2.0)]
+
+
+def test_nearest_neighbours_in_many_lists_and_blocks(spark, tmp_path, monkeypatch):
+    from rosterlake.llm import postings
+
+    rng = np.random.default_rng(2)
+    centers = rng.normal(size=(40, 24))
+    x = centers[rng.integers(0, 40, 3000)] + 0.35 * rng.normal(size=(3000, 24))
+    x *= rng.uniform(0.7, 1.3, size=(3000, 1))  # unlike lengths
+    x[1000:1900] = x[1000] + 0.01 * rng.normal(size=(900, 24))  # near copies
+    x[2000:2300] = x[2000]  # copies
+    rows = [(k, v.tolist()) for k, v in enumerate(x)]
+    for name, value in (("SIZE", 32), ("SHARD", 256), ("BLOCK_VECTORS", 300), ("BLOCK_QUERIES", 20)):
+        monkeypatch.setattr(postings, name, value)
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(6)
+    from pyspark.sql import functions as F
+
+    got = [tuple(r) for r in postings.nearest(vectors, F.pmod("id", F.lit(20)) == 0, size=32).collect()]
+    assert recall(got, plain_nearest(rows)) >= 0.95
+    _, classes = postings.classes_of(vectors, 21, "vec_id", "embedding")
+    assert classes.count() == 2701 and classes.agg(F.max(F.size("ids"))).first()[0] == 21
+    index = postings.fit(classes, size=32)
+    assert 60 <= len(index.graph.c) <= 140
+    entries = index.routed(classes, False, 0.1)
+    assert entries.select("k").distinct().count() == 2701
+    lists = entries.select(F.explode("lists").alias("l")).groupBy("l").count()
+    assert lists.agg(F.max("count")).first()[0] < 8 * 32
+    y = postings.widened(x[:200], index.longest, True)
+    far = index.graph.within(y, 0.25)
+    plain = np.sqrt(postings.squares(y, index.graph.c))
+    near = plain <= 1.25 * plain.min(axis=1, keepdims=True)
+    assert (np.isfinite(far) & near).sum() >= 0.97 * near.sum()
