@@ -41,7 +41,7 @@ from .itq import usable
 
 SAMPLE, SIZE, REPLICATE, PRUNE, NEAR = 200_000, 128, 0.1, 0.25, 32
 #: Bytes of the centroids at most; links of a centroid; vectors of a shard; vectors and queries of a block.
-MODEL_BYTES, LINKS, SHARD, BLOCK_VECTORS, BLOCK_QUERIES = 64_000_000, 24, 8_192, 16_384, 4_096
+MODEL_BYTES, LINKS, SHARD, BLOCK_VECTORS, BLOCK_QUERIES = 64_000_000, 24, 2_048, 4_096, 2_048
 
 
 def squares(x: np.ndarray, y: np.ndarray) -> np.ndarray:
