@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -111,18 +111,23 @@ def unpressed(df: DataFrame, column: str) -> DataFrame:
     return df.mapInArrow(run, schema)
 
 
+def text_hash(text: Column | str) -> Column:
+    """Tells rows that share an id apart; null counts as empty."""
+    return F.xxhash64(F.coalesce(F.col(f"`{text}`") if isinstance(text, str) else text, F.lit("")))
+
+
 def first_rows(docs: DataFrame, groups: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """The rows of ``docs`` that stand for their group of groups (id, component_id): one row with the group's smallest id.
+    """One row of ``docs`` for each group of groups (id, h, group): one with the smallest id, then text hash ``h``.
 
-    Of several rows with that id the one with the smallest digest of its text stays. Rows without an id stay.
+    Rows that share an id but not their text may belong to unlike groups. Rows without an id stay.
     """
-    first = groups.where(F.col("id") == F.col("component_id")).select("id").distinct()
+    first = groups.groupBy("group").agg(F.min(F.struct("id", "h")).alias("first")).select("first.id", "first.h").distinct()
     rows = docs.where(F.col(f"`{id_col}`").isNotNull())
     others = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text_col], F.lit(0).alias("_")).alias("row")
     text = F.col(f"`{text_col}`")
-    moved = pressed(rows.select(others, F.col(f"`{id_col}`").alias("id"), F.xxhash64(text).alias("h"), text.alias("text")), "text")
-    least = F.min_by(F.struct("row", "text"), "h").alias("one")  # partial first, so an id may hold many rows
-    single = moved.join(first.hint("merge"), "id", "left_semi").groupBy("id").agg(least).select("one.row", "one.text")
+    moved = pressed(rows.select(others, F.col(f"`{id_col}`").alias("id"), text_hash(text).alias("h"), text.alias("text")), "text")
+    one = F.min_by(F.struct("row", "text"), F.col("text").isNull()).alias("one")  # partial first, so copies may be many
+    single = moved.join(first.hint("merge"), ["id", "h"], "left_semi").groupBy("id", "h").agg(one).select("one.row", "one.text")
     columns = [F.col("text").alias(c) if c == text_col else F.col(f"row.`{c}`") for c in docs.columns]
     return unpressed(single, "text").select(*columns).unionByName(docs.where(F.col(f"`{id_col}`").isNull()))
 

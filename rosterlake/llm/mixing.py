@@ -5,16 +5,18 @@ rake the weights to the target marginals of each dimension in turn, in tokens of
 at what it has. A document's probability is its cell's weight over its cell's tokens. A document is drawn if
 a hash of its id, a number in [0, 1), is below that. ``marginals`` compares what was drawn with the targets.
 
-A target gives shares to values of a dimension; values without a share take what is left in proportion to a
-power of their tokens (under 1, so that small ones gain). Where cells have too few tokens for their share,
-they are taken whole and the mixture holds fewer tokens than the budget.
+A target gives shares to values of a dimension; values without a share take what is left, ``rest`` of the whole
+at least, in proportion to a power of their tokens (under 1, so that small ones gain). Shares are then made to
+add up to one over the values that occur. Where cells have too few tokens for their share, they are taken whole
+and the mixture holds fewer tokens than the budget; ``report`` shows by how much.
 
 The cells are aggregated before anything else, so a hot source is a few partial sums. Up to ``ONE_TASK``
 cells are raked in one task without a shuffle; more are raked by the same windows, dealt by dimension.
 
 Defined results: null sources, languages and texts are categories or texts of their own ("" each); texts
 without words weigh one token; rows with the same id share their fate; rows without an id are drawn by a
-hash of their text; an empty table gives an empty result; a cell without target weight is left out.
+hash of their text; an empty table gives an empty result; values with a share of 0 are left out, and so is
+all if nothing else occurs.
 """
 
 from __future__ import annotations
@@ -27,22 +29,25 @@ from pyspark.sql import functions as F
 from .common import keep
 
 DIMENSIONS = ("source", "lang", "topic")
-#: A document's topic is the list of which most words begin with an entry, the first on ties; without any it is ``OTHER``.
+#: A document's topic is the list of which it holds most words, the first on ties; without any it is ``OTHER``.
 TOPICS = {
-    "law": ("licen", "copyright", "warrant", "liabil", "permission", "reserved"),
-    "contact": ("email", "mail", "phone", "telefon", "address", "contact"),
+    "law": ("license", "licence", "licensed", "copyright", "warranty", "warranties", "liability", "liable", "permission", "permissions", "reserved"),
+    "contact": ("email", "mail", "phone", "telephone", "telefon", "teléfono", "téléphone", "address", "contact"),
     "code": ("return", "import", "function", "null", "token", "api"),
 }
 OTHER = "prose"
 #: Shares of the mixture. Sources, and languages that are not listed, follow their tempered tokens.
-TARGETS = {"lang": {"en": 0.55, "de": 0.15, "fr": 0.15, "es": 0.15}, "topic": {"prose": 0.7, "law": 0.1, "contact": 0.1, "code": 0.1}}
-TEMPER, SWEEPS, BUDGET, ONE_TASK, SWEEPS_A_PLAN = 0.5, 12, 0.6, 100_000, 3
+TARGETS = {"lang": {"en": 0.5, "de": 0.15, "fr": 0.15, "es": 0.15}, "topic": {"prose": 0.7, "law": 0.1, "contact": 0.1, "code": 0.1}}
+TEMPER, SWEEPS, BUDGET, ONE_TASK, SWEEPS_A_PLAN, REST = 0.5, 12, 0.6, 100_000, 3, 0.05
+#: What parts words besides blanks.
+MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~\t\n\x0b\x0c\r"
 
 
 def topic_words(text: Column, topics: dict[str, tuple[str, ...]] = TOPICS) -> Column:
-    """The beginnings (in ASCII) of words, behind a blank or a line end and in any case, that are in a list; one pass over the text."""
-    low = F.concat(F.lit(" "), F.replace(F.lower(text), F.lit("\n"), F.lit(" ")))
-    return F.regexp_extract_all(low, F.lit(f" ({'|'.join(w for words in topics.values() for w in words)})"), F.lit(1))
+    """The words of a text, in any case, that are in a list."""
+    words = F.split(F.translate(F.lower(text), MARKS, " " * len(MARKS)), " ")
+    listed = [w for some in topics.values() for w in some]
+    return F.filter(words, lambda w: w.isin(*listed))
 
 
 def topic_of(found: Column, topics: dict[str, tuple[str, ...]] = TOPICS, other: str = OTHER) -> Column:
@@ -77,17 +82,17 @@ def in_cells(docs: DataFrame, id_col: str, text_col: str, source_col: str, lang_
     return first.select("row", "draw", "source", "lang", topic_of(F.col("found")).alias("topic"), "tokens")
 
 
-def with_target(cells: DataFrame, dimension: str, listed: dict[str, float], temper: float, budget: float) -> DataFrame:
+def with_target(cells: DataFrame, dimension: str, listed: dict[str, float], temper: float, budget: float, rest: float = REST) -> DataFrame:
     """Adds ``_<dimension>``: the tokens that the mixture is to hold of a cell's value."""
     by, every = Window.partitionBy(dimension), Window.partitionBy(F.lit(0))
     known = reduce(lambda to, item: to.when(F.col(dimension) == item[0], F.lit(float(item[1]))), listed.items(), F.when(F.lit(False), 0.0))
-    left = F.lit(max(0.0, 1.0 - sum(listed.values())))
+    left = F.lit(max(float(rest), 1.0 - sum(listed.values())))
     # a value's part is spread over its cells, so that sums over cells are sums over values
     cells = cells.withColumn("_n", F.sum("tokens").over(by).cast("double"))
     cells = cells.withColumn("_part", F.col("tokens") / F.col("_n")).withColumn("_known", known).withColumn("_free", F.pow("_n", F.lit(temper)))
     cells = cells.withColumn("_rest", F.sum(F.when(F.col("_known").isNull(), F.col("_part") * F.col("_free"))).over(every))
     cells = cells.withColumn("_s", F.coalesce("_known", left * F.col("_free") / F.col("_rest")))
-    share = F.col("_s") / F.sum(F.col("_part") * F.col("_s")).over(every)
+    share = F.coalesce(F.col("_s") / F.nullif(F.sum(F.col("_part") * F.col("_s")).over(every), F.lit(0.0)), F.lit(0.0))
     cells = cells.withColumn(f"_{dimension}", share * F.sum("tokens").over(every) * budget)
     return cells.drop("_n", "_part", "_known", "_free", "_rest", "_s")
 
@@ -95,7 +100,7 @@ def with_target(cells: DataFrame, dimension: str, listed: dict[str, float], temp
 def rake(
     cells: DataFrame, targets: dict[str, dict[str, float]] | None = None, temper: float = TEMPER, sweeps: int = SWEEPS, budget: float = BUDGET, one_task: int = ONE_TASK
 ) -> DataFrame:
-    """Cells ``(source, lang, topic, tokens)`` with ``weight`` (tokens to draw) and ``probability``."""
+    """Cells ``(source, lang, topic, tokens)`` with ``weight`` (tokens to draw), ``probability`` and ``target_<dimension>`` (tokens of the cell's value)."""
     targets = TARGETS if targets is None else targets
     if cells.count() <= one_task:
         cells = cells.coalesce(1)  # no window below needs a shuffle then
@@ -110,7 +115,7 @@ def rake(
         cells = cells.withColumn("weight", F.least("weight", F.col("tokens").cast("double")))
         if sweep % SWEEPS_A_PLAN == SWEEPS_A_PLAN - 1:
             cells = keep(cells)  # short plans
-    return cells.where("weight > 0").select(*DIMENSIONS, "tokens", "weight", F.round(F.col("weight") / F.col("tokens"), 9).alias("probability"))
+    return cells.where("weight > 0").select(*DIMENSIONS, "tokens", "weight", F.round(F.col("weight") / F.col("tokens"), 9).alias("probability"), *[F.col(f"_{d}").alias(f"target_{d}") for d in DIMENSIONS])
 
 
 def draw(key: Column) -> Column:
@@ -146,6 +151,13 @@ def mix(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, bud
     return drawn(docs, targets, budget, id_col, **columns).select(F.col(f"row.`{id_col}`").alias("id"), *DIMENSIONS, "tokens", "probability")
 
 
+def report(cells: DataFrame) -> DataFrame:
+    """``(dimension, value, target, weight, short)`` of raked cells: tokens that a value is to have, that it gets, and what is missing."""
+    each = F.array(*[F.struct(F.lit(d).alias("dimension"), F.col(d).alias("value"), F.col(f"target_{d}").alias("target")) for d in DIMENSIONS])
+    sums = cells.select(F.explode(each).alias("x"), "weight").groupBy("x.dimension", "x.value").agg(F.max("x.target").alias("target"), F.sum("weight").alias("weight"))
+    return sums.withColumn("short", F.greatest(F.col("target") - F.col("weight"), F.lit(0.0)))
+
+
 def marginals(mixed: DataFrame, dimension: str) -> DataFrame:
     """``(value, share)``: the tokens that were drawn, by value of a dimension."""
     every = mixed.agg(F.sum("tokens")).first()[0]

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import components, first_rows, keep, map_batches, text_rows
+from .common import components, first_rows, keep, map_batches, text_hash, text_rows
 
 #: (lowest bit, width) of each segment.
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
@@ -57,9 +57,10 @@ def simhash(text: str, width: int) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(id, fp)``."""
-    schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), T.StructField("fp", T.LongType())])
-    return map_batches(text_rows(docs, id_col, text_col), lambda b: [b.column(0), [simhash(t, shingle) for t in b.column(1).to_pylist()]], schema)
+    """``(id, h, fp)``; ``h`` is the text's hash."""
+    schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), T.StructField("h", T.LongType()), T.StructField("fp", T.LongType())])
+    rows = text_rows(docs, id_col, text_col).withColumn("h", text_hash("text"))
+    return map_batches(rows, lambda b: [b.column(0), b.column(2), [simhash(t, shingle) for t in b.column(1).to_pylist()]], schema)
 
 
 def _close(fp: np.ndarray, table: np.ndarray, radius: int) -> list[tuple[int, int]]:
@@ -133,16 +134,16 @@ def links(classes: DataFrame, radius: int = 4) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 4, radius: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(id, fp, component_id)``: the smallest id that can be reached over links."""
+    """``(id, h, fp, group, component_id)``: the smallest id that can be reached over links; groups of rows that share an id have numbers of their own."""
     marked = keep(fingerprints(docs, shingle, id_col, text_col))
     classes = keep(marked.groupBy("fp").agg(F.min("id").alias("first")))
     found = components(links(classes, radius)).withColumnRenamed("id", "fp")
     joined = classes.join(found.hint("merge"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     first = joined.groupBy("component").agg(F.min("first").alias("component_id"))
-    named = joined.join(first.hint("merge"), "component").select("fp", "component_id")
-    return marked.join(named.hint("merge"), "fp").select("id", "fp", "component_id")
+    named = joined.join(first.hint("merge"), "component").select("fp", F.col("component").alias("group"), "component_id")
+    return marked.join(named.hint("merge"), "fp").select("id", "h", "fp", "group", "component_id")
 
 
 def one_of_each(docs: DataFrame, shingle: int = 5, radius: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that stand for their group: one row with the group's smallest id. Rows without an id stay."""
-    return first_rows(docs, near_duplicates(docs, shingle, radius, id_col, text_col), id_col, text_col)
+    """One row of ``docs`` for each group, one with its smallest id. Rows without an id stay."""
+    return first_rows(docs, near_duplicates(docs.where(F.col(f"`{id_col}`").isNotNull()), shingle, radius, id_col, text_col), id_col, text_col)

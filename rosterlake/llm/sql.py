@@ -18,21 +18,22 @@ def mixing_sql(
     temper: float = mixing.TEMPER,
     sweeps: int = mixing.SWEEPS,
     budget: float = mixing.BUDGET,
+    rest: float = mixing.REST,
 ) -> str:
     """Every sweep over the dimensions is a step of its own."""
-    found = f"regexp_extract_all(w, ' ({'|'.join(x for words in topics.values() for x in words)})', 1)"
-    counts = ", ".join(f"len(list_filter({found}, lambda x: x IN ({', '.join(repr(x) for x in words)}))) AS c{k}" for k, words in enumerate(topics.values()))
+    counts = ", ".join(f"len(list_filter(w, lambda x: x IN ({', '.join(repr(x) for x in words)}))) AS c{k}" for k, words in enumerate(topics.values()))
     top = f"greatest(1, {', '.join(f'c{k}' for k in range(len(topics)))})"
     topic = "CASE " + " ".join(f"WHEN c{k} = {top} THEN '{t}'" for k, t in enumerate(topics)) + f" ELSE '{mixing.OTHER}' END"
     steps, before = [], "cells"
+    marks = mixing.MARKS.replace("'", "''")
     for d in mixing.DIMENSIONS:
         listed = targets.get(d, {})
         known = "CASE " + " ".join(f"WHEN {d} = '{v}' THEN {float(x)}" for v, x in listed.items()) + " END" if listed else "CAST(NULL AS DOUBLE)"
-        left = max(0.0, 1.0 - sum(listed.values()))
+        left = max(rest, 1.0 - sum(listed.values()))
         steps.append(f"n_{d} AS (SELECT *, CAST(sum(tokens) OVER (PARTITION BY {d}) AS DOUBLE) AS n, {known} AS known FROM {before})")
         steps.append(f"f_{d} AS (SELECT *, tokens / n AS part, power(n, {temper}) AS free FROM n_{d})")
         steps.append(f"s_{d} AS (SELECT *, coalesce(known, {left} * free / sum(CASE WHEN known IS NULL THEN part * free END) OVER ()) AS s FROM f_{d})")
-        steps.append(f"t_{d}s AS (SELECT * EXCLUDE (n, known, part, free, s), s / sum(part * s) OVER () * sum(tokens) OVER () * {budget} AS t_{d} FROM s_{d})")
+        steps.append(f"t_{d}s AS (SELECT * EXCLUDE (n, known, part, free, s), coalesce(s / nullif(sum(part * s) OVER (), 0), 0) * sum(tokens) OVER () * {budget} AS t_{d} FROM s_{d})")
         before = f"t_{d}s"
     steps.append(f"w AS (SELECT *, CAST(tokens AS DOUBLE) AS weight FROM {before})")
     before = "w"
@@ -44,7 +45,7 @@ def mixing_sql(
         steps.append(f"s{k} AS (SELECT * REPLACE (least(weight, CAST(tokens AS DOUBLE)) AS weight) FROM {before})")
         before = f"s{k}"
     return f"""WITH docs AS (SELECT doc_id, coalesce(source, '') AS source, coalesce(lang, '') AS lang, coalesce(text, '') AS x FROM documents),
-spaced AS (SELECT *, ' ' || replace(lower(x), chr(10), ' ') AS w FROM docs),
+spaced AS (SELECT *, string_split(translate(lower(x), '{marks}', '{" " * len(mixing.MARKS)}'), ' ') AS w FROM docs),
 counted AS (SELECT *, greatest(length(regexp_replace(regexp_replace(x, '[^ \t\n\r]+', 'x', 'g'), '[ \t\n\r]+', '', 'g')), 1) AS tokens, {counts} FROM spaced),
 rows AS (SELECT doc_id, x, source, lang, {topic} AS topic, tokens FROM counted),
 cells AS (SELECT source, lang, topic, CAST(sum(tokens) AS BIGINT) AS tokens FROM rows GROUP BY 1, 2, 3),

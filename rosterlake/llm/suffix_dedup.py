@@ -246,10 +246,11 @@ def without_spans(text: str, parts: list) -> str:
     return " ".join(kept)
 
 
-def without_repeats(docs: DataFrame, spans: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def without_repeats(docs: DataFrame, spans: DataFrame, id_col: str = "doc_id", text_col: str = "text", drop_emptied: bool = False) -> DataFrame:
     """``docs`` with the repeated stretches cut out of their texts, other columns as they are; white space around a cut becomes one blank.
 
     Stretches are found by id and text, so rows that share an id keep what is theirs. Texts travel compressed.
+    drop_emptied: rows of whose texts the cuts leave nothing go; texts that were empty before stay.
     """
     others = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text_col], F.lit(0).alias("_"))
     text = F.col(f"`{text_col}`")
@@ -269,11 +270,14 @@ def without_repeats(docs: DataFrame, spans: DataFrame, id_col: str = "doc_id", t
         unpack = zstandard.ZstdDecompressor()
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
-                batch, out = whole.slice(at, 512), []
+                batch, out, emptied = whole.slice(at, 512), [], []
                 for raw, parts in zip(batch.column("raw").to_pylist(), batch.column("cuts").to_pylist(), strict=True):
                     got = None if raw is None else unpack.decompress(raw).decode("utf-8", "surrogatepass")
                     out.append(without_spans(got, [(p["start_word"], p["end_word"]) for p in parts]) if parts and got else got)
-                yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(out, pa.string())], names=["row", "text"])
+                    emptied.append(bool(parts and got and not out[-1]))
+                yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(out, pa.string()), pa.array(emptied)], names=["row", "text", "emptied"])
 
-    clean = joined.mapInArrow(cut, T.StructType([joined.schema["row"], T.StructField("text", T.StringType())]))
+    clean = joined.mapInArrow(cut, T.StructType([joined.schema["row"], T.StructField("text", T.StringType()), T.StructField("emptied", T.BooleanType())]))
+    if drop_emptied:
+        clean = clean.where(~F.col("emptied"))
     return clean.select(*[F.col("text").alias(c) if c == text_col else F.col(f"row.`{c}`") for c in docs.columns])

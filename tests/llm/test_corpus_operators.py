@@ -228,8 +228,29 @@ def test_mixing(spark, odd, empty):
     got = chosen(clash, {}, budget=50.0)
     assert got.columns == clash.columns and got.count() == clash.count() == len(ODD) + 1
     assert mix(odd, {}, budget=50.0).count() == len(ODD) and mix(empty).count() == 0
-    words = spark.createDataFrame([("The LICENSE, licence email",), ("mail me",), ("unlicensed Email",), ("",), ("phone\nlicense",)], "t string")
-    assert [r[0] for r in words.select(topic_words(words.t).alias('w')).select(topic_of(F.col('w'))).collect()] == ["law", "contact", "contact", "prose", "law"]
+    words = spark.createDataFrame([("The LICENSE, licence email",), ("mail me",), ("unlicensed Email",), ("",), ("phone\nlicense",), ("(license)",), ("apical nullify",), ("x.import/function",)], "t string")
+    assert [r[0] for r in words.select(topic_words(words.t).alias('w')).select(topic_of(F.col('w'))).collect()] == ["law", "contact", "contact", "prose", "law", "law", "prose", "code"]
+
+
+def test_mixing_keeps_what_has_no_target(spark):
+    from rosterlake.llm import mixing, sql
+
+    langs = ("en", "de", "pl", None)
+    docs = spark.createDataFrame([(k, "w " * 10, langs[k % 4], None if k % 3 else "s", None, "x", 2) for k in range(4000)], DOCS)
+    got = Counter(r.lang for r in mixing.chosen(docs, budget=0.4).collect())
+    assert all(got[lang] > 20 for lang in langs)
+    only = docs.where("lang = 'pl'")
+    assert 300 < mixing.mix(only, budget=0.4).count() < 500 and mixing.mix(docs.where("lang is null"), budget=0.4).count() > 300
+    zero = {"lang": {"pl": 0.0}}
+    assert mixing.mix(only, zero).count() == 0 and {r.lang for r in mixing.chosen(docs, zero, budget=0.4).collect()} == {"en", "de", None}
+    con = duckdb.connect()
+    documents = docs.toPandas()  # noqa: F841
+    for targets in (mixing.TARGETS, zero):
+        assert sorted(r.id for r in mixing.mix(docs, targets).collect()) == sorted(con.sql(sql.mixing_sql(targets=targets)).df()["doc_id"])
+    cells = mixing.in_cells(docs, "doc_id", "text", "source", "lang").groupBy(*mixing.DIMENSIONS).agg(F.sum("tokens").alias("tokens"))
+    told = {(r.dimension, r.value): r for r in mixing.report(mixing.rake(cells, budget=0.4)).collect()}
+    assert abs(sum(r.target for k, r in told.items() if k[0] == "lang") - 0.4 * 40_000) < 1 and told["lang", "pl"].target > 0
+    assert told["lang", "en"].short > 1000 and told["lang", "pl"].short < 100  # there are but 10,000 tokens of en
 
 
 def test_unigram_counts_equal_the_tokenizer(odd, empty, docs):
@@ -330,6 +351,20 @@ def test_simhash(odd, empty, docs):
     assert near_duplicates(empty).count() == 0
 
 
+@pytest.mark.parametrize("method", ["simhash", "similar"])
+def test_texts_of_rows_that_share_an_id(spark, method):
+    from rosterlake.llm import simhash, similar
+
+    rng = random.Random(4)
+    texts = {name: " ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(60)) for name in [f"a{g}" for g in range(6)] + [f"b{g}" for g in range(6)]}
+    rows = [r for g in range(6) for r in ((10 * g + 3, texts[f"b{g}"]), (10 * g + 7, texts[f"a{g}"]), (10 * g + 7, texts[f"b{g}"]))]
+    docs = spark.createDataFrame([(k, t, "en", "s", 1, "x", 2) for k, t in [*rows, (100, None), (100, ""), (None, texts["a0"]), (None, texts["a0"])]], DOCS)
+    kept = (similar.one_of_similar if method == "similar" else simhash.one_of_each)(docs)
+    got = Counter((r.doc_id, r.text or "") for r in kept.collect())
+    first = [(10 * g + 3, texts[f"b{g}"]) for g in range(6)] + [(10 * g + 7, texts[f"a{g}"]) for g in range(6)]
+    assert kept.columns == docs.columns and got == Counter([*first, (100, ""), (None, texts["a0"]), (None, texts["a0"])])
+
+
 def test_simhash_links_dense_groups(spark):
     from rosterlake.llm.common import components
     from rosterlake.llm.simhash import links
@@ -609,6 +644,17 @@ def test_passages_of_rows_that_share_an_id(spark):
     assert cut.columns == docs.columns and cut.where("text is null").count() == 1 and cut.where("doc_id is null and length(text) > 100").count() == 1
 
 
+def test_only_what_was_cut_is_dropped(spark):
+    import corpus_pipeline
+
+    long = " ".join(f"w{k}" for k in range(60))
+    rows = [(1, long, 5), (2, long, 5), (3, "", None), (4, "  \n ", None), (5, None, None), (6, "", 0), (7, long + " end", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_chars long")
+    got = {(r.doc_id, r.text, r.n_chars) for r in corpus_pipeline.passages(spark, docs, SMALL).collect()}
+    assert got == {(1, long, len(long)), (3, "", 0), (4, "  \n ", 4), (5, None, None), (6, "", 0), (7, "end", 3)}
+    assert corpus_pipeline.passages(spark, docs.drop("n_chars"), SMALL).columns == ["doc_id", "text"]
+
+
 def test_variants_of_a_template_are_not_repeated(spark):
     from rosterlake.llm import suffix_dedup
 
