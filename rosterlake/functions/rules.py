@@ -204,14 +204,14 @@ RUN_SUMMARY = (
 
 # Parts of sentences that evidence of each kind stands in.
 EDUCATION_WORDS = r"博士|硕士|本科|毕业|学位|Ph\.?D|DPhil|MD|B\.?S\.?|M\.?S\.?|education|biography|received|earned|obtained"
-RESEARCH_PART = (
-    r"[^。；;\n]{0,60}(?:research interests?|research focuses?|research areas?|研究兴趣|研究方向|主要研究|课题组研究|focuses on|works on|interested in)[^。；;\n]{0,220}"
-)
+#: (characters before, words, characters behind) of a part of a sentence that holds one of the words.
+RESEARCH_PART = (60, r"research interests?|research focuses?|research areas?|研究兴趣|研究方向|主要研究|课题组研究|focuses on|works on|interested in", 220)
 ACHIEVEMENT_PART = (
-    r"[^。；;\n]{0,80}(?:award|honou?r|fellow|member of|academy|prize|medal|discovered|developed|led|published|citation"
-    r"|获奖|院士|会士|奖|发现|提出|领导|发表|引用)[^。；;\n]{0,180}"
+    80,
+    r"award|honou?r|fellow|member of|academy|prize|medal|discovered|developed|led|published|citation|获奖|院士|会士|奖|发现|提出|领导|发表|引用",
+    180,
 )
-CAREER_PART = r"[^。；;\n]{0,80}(?:previously|formerly|served as|worked at|joined|appointed|曾任|历任|任职于|加入|受聘于|长期在)[^。；;\n]{0,180}"
+CAREER_PART = (80, r"previously|formerly|served as|worked at|joined|appointed|曾任|历任|任职于|加入|受聘于|长期在", 180)
 # What stands behind a label, up to the next one.
 EDUCATION_LABEL = (
     r"(?:Education|教育背景|学历)\s*[:：-]\s*(.{6,160}?)"

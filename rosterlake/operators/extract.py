@@ -31,11 +31,36 @@ def labelled(text: Column, label: str) -> Column:
     return F.when(found != "", F.array(stripped(found))).otherwise(F.array().cast("array<string>"))
 
 
-def parts(text: Column, pattern: str, least: int, most: int) -> Column:
-    """The first match in each sentence, without navigation and what is too short or long."""
-    cut = F.filter(F.transform(segments(text), lambda s: F.trim(s)), lambda s: s != "")
-    found = F.transform(cut, lambda s: stripped(F.regexp_extract(s, f"(?i){pattern}", 0), " 。；;:-"))
-    return F.filter(found, lambda s: F.length(s).between(least, most) & ~is_navigation(s, rules.NAVIGATION_TERMS))
+#: Longest word that a part of a sentence is known by.
+WORD_SIZE = 40
+
+
+def around(sentence: Column, part: tuple[int, str, int], stops: str = "。；;\n") -> Column:
+    """The first part of a sentence that holds one of the words, between stops: so many characters before and behind; else empty.
+
+    The same as a search for ``[^stops]{0,before}(?:words)[^stops]{0,behind}``, but that tries every place and every
+    number of characters before it. Here the first word is found by one alternation, which gives the place where
+    such a part begins, and the whole pattern is tried there only, on a few hundred characters.
+    """
+    before, words, behind = part
+    # a mark in front tells a word at the beginning from none
+    front = F.regexp_extract(F.concat(F.lit("\x01"), sentence), f"(?is)^(.*?)(?:{words})", 1)
+    bare = F.substring_index(F.translate(front, f"\x01{stops}", "\x01" * (len(stops) + 1)), "\x01", -1)
+    begin = F.length(front) - F.least(F.length(bare), F.lit(before))
+    window = F.substring(sentence, begin, F.lit(before + WORD_SIZE + behind))
+    found = F.regexp_extract(window, f"(?i)^[^{stops}]{{0,{before}}}(?:{words})[^{stops}]{{0,{behind}}}", 0)
+    return F.when(front != "", found).otherwise("")
+
+
+def parts(text: Column, part: tuple[int, str, int], least: int, most: int, n: int) -> Column:
+    """The first match in each sentence, without navigation and what is too short or long; sentences behind ``n`` finds are not looked at."""
+
+    def step(found: Column, sentence: Column) -> Column:
+        new = stripped(around(F.trim(sentence), part), " 。；;:-")
+        fits = F.length(new).between(least, most) & ~is_navigation(new, rules.NAVIGATION_TERMS)
+        return F.when(F.size(found) >= n, found).when(fits, F.concat(found, F.array(new))).otherwise(found)
+
+    return F.aggregate(segments(text), F.array().cast("array<string>"), step)
 
 
 def first_candidates(items: DataFrame, key: str, pos: str, candidates: Column, n: int = 1) -> DataFrame:
@@ -56,22 +81,22 @@ def education(items: DataFrame, key: str, pos: str, title: str, content: str) ->
 def interests(items: DataFrame, key: str, pos: str, title: str, content: str) -> DataFrame:
     """(key, found): the first labelled span of any item, else the first part that speaks of research, without its label."""
     text = joined_text(title, content)
-    bare = F.transform(parts(text, rules.RESEARCH_PART, 8, 220), lambda x: F.trim(F.regexp_replace(x, f"(?i){rules.RESEARCH_PREFIX}", "")))
+    bare = F.transform(parts(text, rules.RESEARCH_PART, 8, 220, 1), lambda x: F.trim(F.regexp_replace(x, f"(?i){rules.RESEARCH_PREFIX}", "")))
     said = first_candidates(items, key, pos, labelled(text, rules.RESEARCH_LABEL))
-    other = first_candidates(items, key, pos, F.slice(bare, 1, 1)).withColumnRenamed("found", "_other")
+    other = first_candidates(items, key, pos, bare).withColumnRenamed("found", "_other")
     return said.join(other, key, "full_outer").select(key, F.coalesce("found", "_other").alias("found"))
 
 
 def career(items: DataFrame, key: str, pos: str, title: str, content: str) -> DataFrame:
     """(key, found): the first two of labelled spans and parts that speak of posts, each once."""
     text = joined_text(title, content)
-    return first_candidates(items, key, pos, F.concat(labelled(text, rules.CAREER_LABEL), F.slice(parts(text, rules.CAREER_PART, 8, 240), 1, 1)), 2)
+    return first_candidates(items, key, pos, F.concat(labelled(text, rules.CAREER_LABEL), parts(text, rules.CAREER_PART, 8, 240, 1)), 2)
 
 
 def achievements(items: DataFrame, key: str, pos: str, title: str, content: str, name: str, within: int = 5000) -> DataFrame:
     """(key, found): the first two parts that speak of achievements, of items that name the person early on."""
     named = items.where(mentions(F.left(F.concat_ws(" ", title, content), F.lit(within)), name))
-    return first_candidates(named, key, pos, parts(joined_text(title, content, " "), rules.ACHIEVEMENT_PART, 12, 220), 2)
+    return first_candidates(named, key, pos, parts(joined_text(title, content, " "), rules.ACHIEVEMENT_PART, 12, 220, 2), 2)
 
 
 def titles(items: DataFrame, key: str, pos: str, title: str, content: str, name: str, words: tuple[str, ...] = rules.TITLE_KEYWORDS) -> DataFrame:

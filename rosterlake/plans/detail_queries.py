@@ -44,7 +44,8 @@ def strip_sql(c: str, marks: str = " 。；;") -> str:
     return f"regexp_replace({c}, '^[{marks}]+|[{marks}]+$', '', 'g')"
 
 
-def parts_sql(c: str, pattern: str, least: int, most: int) -> str:
+def parts_sql(c: str, part: tuple[int, str, int], least: int, most: int) -> str:
+    pattern = "[^。；;\\n]{0,%d}(?:%s)[^。；;\\n]{0,%d}" % part
     cut = f"list_filter(list_transform(string_split(regexp_replace({c}, '([。；;.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda s: trim(s)), lambda s: s <> '')"
     found = f"list_transform({cut}, lambda s: {strip_sql(f'''regexp_extract(s, '(?i){pattern}', 0)''', ' 。；;:-')})"
     nav = f"regexp_matches(lower(s), '{'|'.join(rules.NAVIGATION_TERMS)}') OR length(s) - length(replace(s, '|', '')) >= 2"
@@ -82,10 +83,11 @@ def education_span(t: Tables) -> DataFrame:
 BARE_SQL = f"list_transform({parts_sql('x', rules.RESEARCH_PART, 8, 220)}, lambda s: trim(regexp_replace(s, '(?i){rules.RESEARCH_PREFIX}', '')))"
 
 
-@query(f"""WITH {ITEMS_SQL}, {first_sql(label_sql('x', rules.RESEARCH_LABEL.replace("(?=", "(?:")), 1, "pos % 2 = 0", name="said")},
-{first_sql(f"list_slice({BARE_SQL}, 1, 1)", 1, "pos % 2 = 0", name="other")} SELECT coalesce(said.k, other.k) AS k, coalesce(said.found, other.found) AS found FROM said FULL JOIN other ON said.k = other.k""")
+@query(f"""WITH {ITEMS_SQL.replace("source AS k", "CAST(doc_id AS VARCHAR) AS k")}, {first_sql(label_sql('x', rules.RESEARCH_LABEL.replace("(?=", "(?:")), 1, name="said")},
+{first_sql(f"list_slice({BARE_SQL}, 1, 1)", 1, name="other")} SELECT coalesce(said.k, other.k) AS k, coalesce(said.found, other.found) AS found FROM said FULL JOIN other ON said.k = other.k""")
 def interests_span(t: Tables) -> DataFrame:
-    return shown(extract.interests(items(t).where("pos % 2 = 0"), "k", "pos", "title", "content"))
+    """By document, so that some have no label and fall back to a part of a sentence."""
+    return shown(extract.interests(items(t).withColumn("k", F.col("pos").cast("string")), "k", "pos", "title", "content"))
 
 
 @query(f"""WITH {ITEMS_SQL}, {first_sql(f'''list_concat({label_sql('x', rules.CAREER_LABEL.replace("(?=", "(?:"))}, list_slice({parts_sql('x', rules.CAREER_PART, 8, 240)}, 1, 1))''', 2)} SELECT * FROM found""")
