@@ -5,7 +5,8 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from functools import reduce
 
-from pyspark.errors import AnalysisException
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import AnalysisException, PySparkException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -212,20 +213,30 @@ def completion_totals(filled: DataFrame, key: str) -> DataFrame:
     return rows.agg(F.count("*").alias("total_rows"), F.count_if(F.col("n") > 0).alias("completed_rows"), F.coalesce(F.sum("n"), F.lit(0)).alias("filled_cells"))
 
 
-def run_stages(rows: DataFrame, stages: Sequence[tuple[str, Callable[..., DataFrame], Sequence[str]]], tables: dict[str, DataFrame]) -> tuple[DataFrame, dict[str, str]]:
-    """Stages ``(name, function, names of its tables)`` one behind the other; one whose tables or columns are missing leaves the rows as they were.
+def run_stages(
+    rows: DataFrame, stages: Sequence[tuple[str, Callable[..., DataFrame], Sequence[str]]], tables: dict[str, DataFrame], folder: str
+) -> tuple[DataFrame, dict[str, str]]:
+    """Stages ``(name, function, names of its tables)`` one behind the other, each written to ``folder`` and read again.
 
-    Returns the rows and what became of each stage.
+    A stage whose tables or columns are missing, or that fails while it runs, leaves the rows as the stage before
+    wrote them; what a broken stage has written is not read. Returns the rows and what became of each stage:
+    ``done``, ``skipped: ...`` or ``failed: ...``.
     """
-    said: dict[str, str] = {}
-    for name, stage, needed in stages:
+    spark, said = rows.sparkSession, {}
+    for n, (name, stage, needed) in enumerate(stages):
         missing = [t for t in needed if t not in tables]
+        if missing:
+            said[name] = f"skipped: no {', '.join(missing)}"
+            continue
+        path = f"{folder.rstrip('/')}/{n:02d}"
         try:
-            if not missing:
-                rows = stage(rows, *[tables[t] for t in needed])
-            said[name] = f"skipped: no {', '.join(missing)}" if missing else "done"
+            found = stage(rows, *[tables[t] for t in needed])
+            found.write.mode("overwrite").parquet(path)
+            rows, said[name] = spark.read.schema(found.schema).parquet(path), "done"
         except AnalysisException as e:  # a column is missing
             said[name] = f"skipped: {e.getCondition()}"
+        except (PySparkException, Py4JJavaError) as e:  # a task failed as often as it may
+            said[name] = f"failed: {getattr(e, 'getCondition', lambda: None)() or type(e).__name__}"
     return rows, said
 
 

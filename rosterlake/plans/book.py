@@ -21,6 +21,24 @@ class Tables:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
 
+def scratch(t: Tables) -> str:
+    """The folder that driver and executors share."""
+    import tempfile
+
+    found = t.spark.conf.get("spark.checkpoint.dir", None)
+    master = t.spark.sparkContext.master
+    if not found and not (master == "local" or master.startswith("local[")):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    return (found or tempfile.mkdtemp(prefix="spark-rosterlake-")).rstrip("/")
+
+
+def new_folder(t: Tables, kind: str) -> str:
+    """A new folder in the shared one."""
+    from uuid import uuid4
+
+    return f"{scratch(t)}/{kind}-{uuid4().hex}"
+
+
 def query(sql: str | None = None) -> Callable[[Callable[[Tables], DataFrame]], Callable[[Tables], DataFrame]]:
     """Register a function of the tables under its own name."""
 

@@ -12,8 +12,7 @@ from rosterlake.operators.merge import survivorship
 from rosterlake.operators.select import balanced_quota
 from rosterlake.streaming import streams
 
-from .book import Tables, query
-from .join_queries import scratch
+from .book import Tables, new_folder, query, scratch
 from .log_queries import error_text
 from .profile_queries import METRICS_SQL, SCORE_SQL, customer_metrics
 
@@ -91,17 +90,16 @@ def finalize_pipeline(t: Tables) -> DataFrame:
     return picked.select("name", "n_rows", "score", "pick")
 
 
-@query("SELECT user_id, count(*) AS n FROM (SELECT DISTINCT user_id, event_type FROM events) GROUP BY 1")
+@query("SELECT user_id, event_type, min(event_id % 2) AS batch, arg_min(event_id, (event_id % 2, event_id)) AS event_id FROM events GROUP BY 1, 2")
 def stream_new_keys(t: Tables) -> DataFrame:
-    """Keys of a stream of event files, worked through twice: the second run finds nothing new."""
-    from uuid import uuid4
-
-    place = f"{scratch(t)}/stream-{uuid4().hex}"
-    schema = t.events.schema
-    for _ in range(2):
-        found = streams.new_keys(streams.batches(t.spark, t.folder, schema, pattern="events.parquet"), ["user_id", "event_type"])
-        streams.run_available(found.select("user_id", "event_type"), f"{place}/out", f"{place}/state")
-    return t.spark.read.parquet(f"{place}/out").groupBy("user_id").agg(F.count("*").alias("n"))
+    """Keys of event files in three runs of a stream: even events, then odd ones too, then nothing new."""
+    place = new_folder(t, "stream")
+    for rest in (0, 1, None):
+        if rest is not None:
+            t.events.where(F.col("event_id") % 2 == rest).write.mode("append").parquet(f"{place}/in")
+        logged = streams.batches(t.spark, f"{place}/in", t.events.schema)
+        streams.add_new_keys(logged, ["user_id", "event_type"], [F.asc("event_id")], f"{place}/out", f"{place}/state")
+    return t.spark.read.parquet(f"{place}/out").select("user_id", "event_type", F.col("batch").cast("long").alias("batch"), "event_id")
 
 
 @query("""SELECT CASE WHEN event_type = 'error' THEN 'Tavily 搜索服务' ELSE 'OpenAlex 数据库' END AS error_source, count(*) AS n FROM events GROUP BY 1""")

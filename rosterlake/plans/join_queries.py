@@ -9,7 +9,7 @@ from rosterlake.functions import rules, text
 from rosterlake.operators import evidence, filters, match, merge, report, score
 from rosterlake.sources import tables
 
-from .book import Tables, query
+from .book import Tables, new_folder, query, scratch
 from .profile_queries import METRICS_SQL, customer_metrics
 
 
@@ -168,17 +168,6 @@ def batch_read(t: Tables) -> DataFrame:
     return tables.read_batches(t.spark, [f"{folder}/even", f"{folder}/odd"], named.schema).groupBy(F.col("batch_id").alias("part")).agg(F.count("*").alias("n"))
 
 
-def scratch(t: Tables) -> str:
-    """The folder that driver and executors share."""
-    import tempfile
-
-    found = t.spark.conf.get("spark.checkpoint.dir", None)
-    master = t.spark.sparkContext.master
-    if not found and not (master == "local" or master.startswith("local[")):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    return (found or tempfile.mkdtemp(prefix="spark-rosterlake-")).rstrip("/")
-
-
 NONE = rules.NO_INFORMATION
 DELIVERED_SQL = {
     "姓名": "name", "国籍": "lang", "职位": "k", "学科领域": "'x'", "细分领域": "'y'", "入选依据": f"""CASE WHEN cites >= 10000 THEN '因学术影响力指标突出入选：总被引次数约' || cites

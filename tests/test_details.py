@@ -96,7 +96,7 @@ def test_second_source(spark):
     assert df.select(match.top_papers(F.col("p"))).first()[0] == "B(2001, 未知来源, 引用9, u2)；A(2000, V, 引用5, u1)；未知论文(未知年份, 未知来源, 引用0, )"
 
 
-def test_fill_summary_and_stages(spark):
+def test_fill_summary_and_stages(spark, tmp_path):
     rows = spark.createDataFrame([("1", "", "x"), ("2", "kept", ""), ("3", "", "")], "k string, org string, position string")
     first = spark.createDataFrame([("1", "MIT", "y"), ("2", "no", "prof")], "k string, org string, position string")
     second = spark.createDataFrame([("1", "ETH"), ("3", "ETH")], "k string, org string")
@@ -106,8 +106,32 @@ def test_fill_summary_and_stages(spark):
     people = spark.createDataFrame([("是", "已验证"), ("否", "待复核"), (" 是 ", "")], "page_status string, name_check string")
     counts = {r.item: r.result for r in report.run_summary(people, residue=4).collect()}
     assert counts["最终输出专家数"] == 3 and counts["成功访问主页"] == 2 and counts["姓名已验证"] == 1 and counts["主页未尝试"] == 0 and counts["英文残留单元格"] == 4 and len(counts) == 11
-    out, said = complete.run_stages(rows, [("a", lambda r: r.select("nothing"), []), ("b", lambda r, t: r.join(t, "k"), ["gone"]), ("c", lambda r: r.limit(1), [])], {})
-    assert out.count() == 1 and said["a"].startswith("skipped") and said["b"] == "skipped: no gone" and said["c"] == "done"
+    out, said = complete.run_stages(rows, [("a", lambda r: r.select("nothing"), []), ("b", lambda r, t: r.join(t, "k"), ["gone"]), ("c", lambda r: r.limit(1), []), ("d", lambda r: r.withColumn("k", F.raise_error(F.lit("no"))), [])], {}, str(tmp_path))
+    assert out.count() == 1 and said["a"].startswith("skipped") and said["b"] == "skipped: no gone" and said["c"] == "done" and said["d"] == "failed: USER_RAISED_EXCEPTION"
+
+
+def test_incremental_keys(spark, tmp_path):
+    import os
+
+    from rosterlake.streaming import streams
+
+    def run(rows, checkpoint):
+        if rows:
+            spark.createDataFrame(rows, "k string, n int").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        streams.add_new_keys(streams.batches(spark, f"{tmp_path}/in", schema), ["k"], [F.asc("n")], f"{tmp_path}/out", f"{tmp_path}/{checkpoint}")
+        return sorted((str(r.k), r.n) for r in spark.read.parquet(f"{tmp_path}/out").collect())
+
+    schema = spark.createDataFrame([], "k string, n int").schema
+    assert run([("a", 2), ("a", 1), (None, 3), (None, 4)], "one") == [("None", 3), ("a", 1)]
+    second = run([("a", 0), ("b", 9), (None, 1)], "one")
+    assert second == [("None", 3), ("a", 1), ("b", 9)] == run([], "one")
+    assert not os.path.exists(f"{tmp_path}/one/state")
+    os.remove(f"{tmp_path}/one/commits/1")  # the second batch is done again, as after a failure
+    for name in os.listdir(f"{tmp_path}/one/commits"):
+        if name.startswith(".1"):
+            os.remove(f"{tmp_path}/one/commits/{name}")
+    assert run([], "one") == second
+    assert run([], "another") == second  # a stream without a checkpoint finds what is stored
 
 
 def test_targeted_fill_in_the_whole_chain(spark):
