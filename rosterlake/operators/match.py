@@ -7,32 +7,46 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rosterlake.functions.names import simple_name, space_normal
+from rosterlake.functions.names import simple_name, space_normal, words
 from rosterlake.functions.text import string
 
 #: Country codes that count as Greater China.
 GREATER_CHINA_CODES = ("CN", "HK", "MO", "TW")
 
 
-def author_score(name: Column, other: Column, words: Column, topics: Column, h: Column, citations: Column) -> Column:
-    """1000 for equal names, else 300 where one holds the other, 10 a query word among the topics, H, citations up to 50."""
+def name_points(name: Column, other: Column) -> Column:
+    """1000 for equal names, else 300 where one holds the other."""
     a, b = space_normal(name), space_normal(other)
     equal = (a == b) | ((simple_name(name) != "") & (simple_name(name) == simple_name(other)))
     part = (F.contains(b, a) & (a != "")) | (F.contains(a, b) & (b != ""))
+    return F.when(equal, 1000).when(part, 300).otherwise(0)
+
+
+def fame(h: Column, citations: Column) -> Column:
+    """H, and citations up to 50 points."""
+    return F.coalesce(h, F.lit(0)) + F.least(F.coalesce(citations, F.lit(0)) / 10_000, F.lit(50.0))
+
+
+def author_score(name: Column, other: Column, asked: Column, topics: Column, h: Column, citations: Column) -> Column:
+    """Points of the names, 10 a query word among the topics, fame."""
     low = F.lower(string(topics))
-    shared = F.size(F.filter(words, lambda w: F.contains(low, F.lower(w))))
-    return F.when(equal, 1000).when(part, 300).otherwise(0) + shared * 10 + h + F.least(citations / 10_000, F.lit(50.0))
+    shared = F.size(F.filter(asked, lambda w: F.contains(low, F.lower(w))))
+    return name_points(name, other) + shared * 10 + fame(h, citations)
 
 
-def second_author_score(name: Column, other: Column, aliases: Column, words: Column, homepage: Column, h: Column, citations: Column) -> Column:
-    """1000 for equal names, else 250 where the other holds the name, 200 for an alias, 5 a query word in the homepage, H, citations up to 50."""
+def second_name_points(name: Column, other: Column, aliases: Column) -> Column:
+    """1000 for equal names, else 250 where the other holds the name; 200 more for an alias."""
     a, b = space_normal(name), space_normal(other)
     equal = (a == b) | (simple_name(name) == simple_name(other))
     listed = F.lower(F.array_join(F.coalesce(aliases, F.array().cast("array<string>")), " "))
+    return F.when(equal, 1000).when((a != "") & F.contains(b, a), 250).otherwise(0) + F.when((a != "") & F.contains(listed, a), 200).otherwise(0)
+
+
+def second_author_score(name: Column, other: Column, aliases: Column, asked: Column, homepage: Column, h: Column, citations: Column) -> Column:
+    """Points of the names, 5 a query word in the homepage, fame."""
     low = F.lower(string(homepage))
-    shared = F.size(F.filter(words, lambda w: F.contains(low, F.lower(w))))
-    points = F.when(equal, 1000).when((a != "") & F.contains(b, a), 250).otherwise(0) + F.when((a != "") & F.contains(listed, a), 200).otherwise(0)
-    return points + shared * 5 + F.coalesce(h, F.lit(0)) + F.least(F.coalesce(citations, F.lit(0)) / 10_000, F.lit(50.0))
+    shared = F.size(F.filter(asked, lambda w: F.contains(low, F.lower(w))))
+    return second_name_points(name, other, aliases) + shared * 5 + fame(h, citations)
 
 
 def top_papers(papers: Column, n: int = 5) -> Column:
@@ -60,6 +74,76 @@ def best_candidates(left: DataFrame, right: DataFrame, block: list[str], key: st
     return scored.groupBy(key).agg(best.alias("_b")).select(key, *[F.col(f"_b.`{c}`").alias(c) for c in rest])
 
 
+#: Names that a key of the index may lead to and still be looked up alone; letters of a word beyond which it is entered as a whole.
+COMMON, LONG = 256, 40
+
+
+def name_pairs(left: DataFrame, right: DataFrame, a: str, b: str, common: int = COMMON) -> DataFrame:
+    """Pairs ``(a, b)`` of names, one of which may be part of the other, from an index of words.
+
+    A name that is part of another begins within one of its words and ends within one; words between are equal. So
+    each name is entered under the ends and the beginnings of its words, and asks by the rarest of its own: its
+    first word as an end, its last as a beginning, others as they are. Keys of more than ``common`` names are never
+    looked up alone: a name that has no rarer one asks by its first and last word together, and one of a single
+    word only meets the same name. Names that are equal without single letters meet too, unless very many are.
+    Names without words meet nothing.
+    """
+    names = left.select(F.col(a).alias("name")).unionByName(right.select(F.col(b).alias("name"))).distinct().withColumn("w", words("name")).where(F.size("w") > 0)
+    size = lambda x: F.when(F.length(x) > LONG, F.lit(1)).otherwise(F.length(x))
+    ends = F.flatten(F.transform("w", lambda x: F.transform(F.sequence(F.lit(1), size(x)), lambda k: F.concat(F.lit("e"), F.substring(x, k, F.length(x))))))
+    begins = F.flatten(F.transform("w", lambda x: F.transform(F.sequence(F.lit(0), size(x) - 1), lambda k: F.concat(F.lit("b"), F.substring(x, F.lit(1), F.length(x) - k)))))
+    same = F.concat(F.lit("~"), simple_name("name"))
+    held = names.select("name", F.explode(F.array_distinct(F.concat(ends, begins, F.array(same)))).alias("key"))
+    counts = held.groupBy("key").agg(F.count("*").alias("n"))
+    known = held.join(counts.hint("merge"), "key")
+    many = F.collect_list(F.when(F.col("n") > common, F.col("key"))).alias("many")  # parts of one name
+    frequent = known.groupBy("name").agg(many)
+    of = lambda side: F.transform(F.filter("many", lambda k: k.startswith(side)), lambda k: F.substring(k, 2, 1_000))
+    both = F.flatten(F.transform(of("e"), lambda x: F.transform(of("b"), lambda y: F.concat(F.lit("x"), x, F.lit(" "), y))))
+    whole = F.concat(F.lit("="), space_normal("name"))
+    entries = known.where(F.col("n") <= common).select("name", "key").unionByName(frequent.select("name", F.explode(both).alias("key"))).unionByName(names.select("name", whole.alias("key")))
+
+    last = F.size("w") - 1
+    own = F.transform("w", lambda x, k: F.concat(F.when(k == last, "b").otherwise("e"), x))
+    own = F.when(last == 0, F.concat(own, F.array(F.concat(F.lit("e"), F.col("w")[0])))).otherwise(own)
+    asked = names.select("name", "w", F.explode(own).alias("key")).join(counts.hint("merge"), "key").groupBy("name").agg(
+        F.min(F.struct("n", "key")).alias("best"), F.max("n").alias("most"), F.first("w").alias("w"), F.collect_list("key").alias("keys")
+    )
+    pair = F.concat(F.lit("x"), F.col("w")[0], F.lit(" "), F.element_at("w", -1))
+    single = F.when(F.col("most") <= common, F.col("keys")).otherwise(F.array(whole))
+    asks = F.when(F.size("w") == 1, single).when(F.col("best.n") <= common, F.array("best.key")).otherwise(F.array(pair))
+    asks = asked.select("name", F.explode(asks).alias("key")).unionByName(known.where(F.col("key").startswith("~") & (F.length("key") > 1) & (F.col("n") <= common)).select("name", "key"))
+
+    def met(small: str, small_names: DataFrame, large: str, large_names: DataFrame) -> DataFrame:
+        one = asks.withColumnRenamed("name", small).join(small_names.select(small).distinct().hint("merge"), small, "left_semi")
+        other = entries.withColumnRenamed("name", large).join(large_names.select(large).distinct().hint("merge"), large, "left_semi")
+        return one.join(other.hint("merge"), "key").select(F.col(a).alias("a"), F.col(b).alias("b"))
+
+    return met(a, left, b, right).unionByName(met(b, right, a, left)).distinct()
+
+
+def best_by_name(left: DataFrame, right: DataFrame, key: str, name: str, asked: list[str], found: str, told: list[str], strength: Column, order: Column, score: Column, fits: Column, forms: Column | None = None, common: int = COMMON) -> DataFrame:
+    """The best candidate of each row among those whose names fit.
+
+    Rows with one name and question (``asked``) are one question, and of candidates with one name and the same
+    ``told`` only the strongest can win, the least by ``order`` on ties; so neither side's repeated names multiply.
+    forms: names that a candidate is indexed by (else ``found``); fits: whether a pair of names counts.
+    """
+    questions = left.select(name, *asked).distinct()
+    rest = [c for c in right.columns if c not in (found, *told)]
+    one = F.min_by(F.struct(*rest), F.struct((-strength).alias("less"), order.alias("order"))).alias("_r")
+    known = right.groupBy(found, *told).agg(one).select(found, *told, *[F.col(f"_r.`{c}`").alias(c) for c in rest])
+    named = known.withColumn("_form", F.explode(F.array(found) if forms is None else forms))
+    pairs = name_pairs(questions, named, name, "_form", common)
+    met = questions.join(pairs.withColumnRenamed("a", name).hint("merge"), name).join(named.withColumnRenamed("_form", "b").hint("merge"), "b")
+    scored = met.where(fits).withColumn("score", score)
+    kept = [found, *told, *rest, "score"]
+    best = scored.groupBy(name, *asked).agg(F.min_by(F.struct(*kept), F.struct((-F.col("score")).alias("less"), order.alias("order"))).alias("_b"))
+    same = [F.col(f"l.{c}").eqNullSafe(F.col(f"q.{c}")) for c in (name, *asked)]
+    joined = left.select(key, name, *asked).alias("l").join(best.alias("q").hint("merge"), reduce(lambda x, y: x & y, same))
+    return joined.select(F.col(f"l.{key}").alias(key), *[F.col(f"q._b.`{c}`").alias(c) for c in kept])
+
+
 def second_pass(rows: DataFrame, candidates: DataFrame, key: str, name: str, variants: Column, found_key: str, found_name: str, same: Column, citations: str, most: int = 3) -> DataFrame:
     """(key, best): of the candidates found under a row's first name variants, the most cited that is the same person.
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rosterlake.functions import names, rules, text, urls
-from rosterlake.operators import complete, evidence, extract, match, report
+from rosterlake.operators import complete, evidence, extract, match, report, select
 
 from .book import Tables, new_folder, query
 
@@ -155,37 +155,49 @@ def evidence_top_ten(t: Tables) -> DataFrame:
 @query(f"""WITH {ITEMS_SQL}, r AS (SELECT k, url, row_number() OVER (PARTITION BY k ORDER BY {TIER_SQL}, pos) AS rn FROM it) SELECT k, string_agg(url, ' | ' ORDER BY rn) AS sources FROM r WHERE rn <= 5 GROUP BY 1""")
 def best_sources(t: Tables) -> DataFrame:
     """The five best URLs of each source of documents."""
-    listed = F.transform(F.array_sort(F.collect_list(F.struct("pos", "url"))), lambda x: x["url"])
-    return items(t).groupBy("k").agg(F.array_join(urls.ranked_sources(listed), " | ").alias("sources"))
+    tiered = items(t).select("k", "pos", "url", urls.source_tier("url").alias("tier")).where("tier < 4")
+    once = tiered.groupBy("k", "url").agg(F.min("pos").alias("pos"), F.min("tier").alias("tier"))
+    best = select.top_n(once, ["k"], [F.asc("tier"), F.asc("pos")], 5)
+    return best.groupBy("k").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rn", "url"))), lambda x: x["url"]), " | ").alias("sources"))
 
 
-PAIR_SQL = """a AS (SELECT *, regexp_extract_all(p_brand, '[0-9]')[1] || p_size AS block FROM part),
-s AS (SELECT l.p_partkey AS row_id, r.p_partkey AS author, l.p_name AS n, r.p_name AS o, l.p_type AS q, r.p_type AS topics, CAST(r.p_size AS DOUBLE) AS h, r.p_retailprice * 100 AS c FROM a l JOIN a r ON l.block = r.block WHERE l.p_partkey % 2 = 0 AND r.p_partkey % 2 = 1)"""
+PAIR_SQL = """e AS (SELECT p_partkey AS row_id, p_name || ' ' || p_type AS n, p_type AS q FROM part WHERE p_partkey % 2 = 0),
+r AS (SELECT p_partkey AS author, CASE p_partkey % 3 WHEN 0 THEN p_name WHEN 1 THEN p_name || ' ' || p_type ELSE 'dr ' || p_name || ' ' || p_type END AS o, p_type AS topics, CAST(p_size AS DOUBLE) AS h, p_retailprice * 100 AS c FROM part WHERE p_partkey % 2 = 1),
+s AS (SELECT * FROM e CROSS JOIN r)"""
 
 
 def pairs(t: Tables) -> tuple[DataFrame, DataFrame]:
-    block = F.concat(F.regexp_extract("p_brand", "[0-9]", 0), F.col("p_size").cast("string")).alias("block")
-    left = t.part.where("p_partkey % 2 = 0").select(block, F.col("p_partkey").alias("row_id"), F.col("p_name").alias("n"), F.col("p_type").alias("q"))
-    right = t.part.where("p_partkey % 2 = 1").select(block, F.col("p_partkey").alias("author"), F.col("p_name").alias("o"), F.col("p_type").alias("topics"), F.col("p_size").cast("double").alias("h"), (F.col("p_retailprice") * 100).alias("c"))
+    """Parts of even numbers as people, of odd ones as authors, whose names are shorter, equal or longer."""
+    full = F.concat_ws(" ", "p_name", "p_type")
+    other = F.when(F.col("p_partkey") % 3 == 0, F.col("p_name")).when(F.col("p_partkey") % 3 == 1, full).otherwise(F.concat(F.lit("dr "), full))
+    left = t.part.where("p_partkey % 2 = 0").select(F.col("p_partkey").alias("row_id"), full.alias("n"), F.col("p_type").alias("q"))
+    right = t.part.where("p_partkey % 2 = 1").select(F.col("p_partkey").alias("author"), other.alias("o"), F.col("p_type").alias("topics"), F.col("p_size").cast("double").alias("h"), (F.col("p_retailprice") * 100).alias("c"))
     return left, right
 
 
-@query(f"""WITH {PAIR_SQL}, v AS (SELECT row_id, author, CASE WHEN lower(n) = lower(o) THEN 1000 WHEN contains(lower(o), lower(n)) OR contains(lower(n), lower(o)) THEN 300 ELSE 0 END + CASE WHEN contains(lower(topics), lower(q)) THEN 10 ELSE 0 END + h + least(c / 10000, 50.0) AS score FROM s),
-r AS (SELECT *, row_number() OVER (PARTITION BY row_id ORDER BY score DESC, author) AS rn FROM v) SELECT row_id, author, round(score, 4) AS score FROM r WHERE rn = 1""")
+@query(f"""WITH {PAIR_SQL}, v AS (SELECT row_id, author, CASE WHEN lower(n) = lower(o) THEN 1000 WHEN contains(lower(o), lower(n)) OR contains(lower(n), lower(o)) THEN 300 ELSE 0 END AS points, CASE WHEN contains(lower(topics), lower(q)) THEN 10 ELSE 0 END + h + least(c / 10000, 50.0) AS more FROM s),
+w AS (SELECT *, row_number() OVER (PARTITION BY row_id ORDER BY points + more DESC, author) AS rn FROM v WHERE points > 0) SELECT row_id, author, round(points + more, 4) AS score FROM w WHERE rn = 1""")
 def author_match(t: Tables) -> DataFrame:
-    """The best author of each name, of those with the same key."""
+    """The best author of each name, by an index of name tokens; the SQL looks at all pairs."""
     left, right = pairs(t)
-    points = match.author_score(F.col("n"), F.col("o"), F.array(F.lower("q")), F.col("topics"), F.col("h"), F.col("c"))
-    return match.best_candidates(left, right, ["block"], "row_id", points, [F.col("author")]).select("row_id", "author", F.round("score", 4).alias("score"))
+    n, o = F.col("n"), F.col("o")
+    points = match.author_score(n, o, F.array(F.lower("q")), F.col("topics"), F.col("h"), F.col("c"))
+    got = match.best_by_name(left, right, "row_id", "n", ["q"], "o", ["topics"], match.fame(F.col("h"), F.col("c")), F.col("author"), points, match.name_points(n, o) > 0)
+    return got.select("row_id", "author", F.round("score", 4).alias("score"))
 
 
-@query(f"""WITH {PAIR_SQL}, v AS (SELECT row_id, author, CASE WHEN lower(n) = lower(o) THEN 1000 WHEN contains(lower(o), lower(n)) THEN 250 ELSE 0 END + CASE WHEN author % 3 = 0 AND contains(lower(o) || ' x', lower(n)) THEN 200 ELSE 0 END
- + CASE WHEN contains('http://' || lower(topics), lower(q)) THEN 5 ELSE 0 END + h + least(c / 10000, 50.0) AS score FROM s), r AS (SELECT *, row_number() OVER (PARTITION BY row_id ORDER BY score DESC, author) AS rn FROM v) SELECT row_id, author, round(score, 4) AS score FROM r WHERE rn = 1""")
+@query(f"""WITH {PAIR_SQL}, v AS (SELECT row_id, author, CASE WHEN lower(n) = lower(o) THEN 1000 WHEN contains(lower(o), lower(n)) THEN 250 ELSE 0 END + CASE WHEN author % 3 = 0 AND contains(lower(o) || ' ' || lower(o || ' ' || topics), lower(n)) THEN 200 ELSE 0 END AS points,
+ CASE WHEN contains('http://' || lower(topics), lower(q)) THEN 5 ELSE 0 END + h + least(c / 10000, 50.0) AS more FROM s), w AS (SELECT *, row_number() OVER (PARTITION BY row_id ORDER BY points + more DESC, author) AS rn FROM v WHERE points > 0) SELECT row_id, author, round(points + more, 4) AS score FROM w WHERE rn = 1""")
 def second_author_match(t: Tables) -> DataFrame:
+    """The same for the second source, whose short names have a longer one as alias."""
     left, right = pairs(t)
-    aliases = F.when(F.col("author") % 3 == 0, F.array(F.col("o"), F.lit("x")))
-    points = match.second_author_score(F.col("n"), F.col("o"), aliases, F.array(F.col("q")), F.concat(F.lit("http://"), "topics"), F.col("h"), F.col("c"))
-    return match.best_candidates(left, right, ["block"], "row_id", points, [F.col("author")]).select("row_id", "author", F.round("score", 4).alias("score"))
+    n, o, aliases = F.col("n"), F.col("o"), F.col("aliases")
+    right = right.withColumn("aliases", F.when(F.col("author") % 3 == 0, F.array(o, F.concat_ws(" ", "o", "topics"))))
+    points = match.second_author_score(n, o, aliases, F.array(F.col("q")), F.concat(F.lit("http://"), "topics"), F.col("h"), F.col("c"))
+    forms = F.concat(F.array(o), F.coalesce(aliases, F.array().cast("array<string>")))
+    fits = match.second_name_points(n, o, aliases) > 0
+    got = match.best_by_name(left, right, "row_id", "n", ["q"], "o", ["topics", "aliases"], match.fame(F.col("h"), F.col("c")), F.col("author"), points, fits, forms)
+    return got.select("row_id", "author", F.round("score", 4).alias("score"))
 
 
 @query("""WITH l AS (SELECT l_orderkey, l_linenumber, l_partkey, CAST(floor(l_quantity) AS BIGINT) AS c, year(l_shipdate) AS y FROM lineitem), r AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY c DESC, l_linenumber, 'P' || l_partkey, y) AS rn FROM l)

@@ -147,3 +147,37 @@ def test_delivery_and_finalize(spark):
     out = report.delivery(done, "农业", "种质").first().asDict()
     assert out["姓名"] == "Prof Ada Lovelace" and out["细分领域"] == "甲；乙" and out["学科领域"] == "农业" and "H指数约60" in out["入选依据"]
     assert report.delivery(done.limit(0), "a", "b").columns == report.delivery(done, "a", "b").columns
+
+
+def test_name_pairs_equal_all_pairs(spark):
+    import random
+
+    from rosterlake.operators import match
+
+    rng = random.Random(2)
+    word = lambda: rng.choice(("li", "wei", "wang")) if rng.random() < 0.5 else "".join(rng.choice("abel") for _ in range(rng.randint(1, 4)))
+    left = sorted({" ".join(word() for _ in range(rng.randint(2, 3))) for _ in range(150)} | {"王 伟", "x" * 300 + " y", "!!", "Anna B. Lee"})
+    right = sorted({" ".join(word() for _ in range(rng.randint(2, 4))) for _ in range(150)} | {"dr 王 伟", "x" * 300 + " y z", "anna lee", "wang"})
+    frames = [spark.createDataFrame([(n,) for n in names], f"{c} string") for c, names in (("n", left), ("o", right))]
+    simple = lambda n: " ".join(w for w in __import__("re").findall("[a-z\u4e00-\u9fff]+", n.lower()) if len(w) > 1)
+    expected = {(n, o) for n in left for o in right if n.lower() in o.lower() or (o.lower() in n.lower() and " " in o) or (simple(n) and simple(n) == simple(o))}
+    expected = {(n, o) for n, o in expected if n != "!!"}
+    for common in (256, 5):
+        got = {(r.a, r.b) for r in match.name_pairs(*frames, "n", "o", common).collect()}
+        fits = {(n, o) for n, o in got if n.lower() in o.lower() or (o.lower() in n.lower() and " " in o) or (simple(n) and simple(n) == simple(o))}
+        assert fits == expected and ("Anna B. Lee", "anna lee") in got
+    assert len(expected) > 20
+
+
+def test_pairs_of_names_grow_with_the_names(spark):
+    import random
+
+    from rosterlake.operators import match
+
+    counts = []
+    for size in (400, 1600):
+        rng = random.Random(size)
+        names = [f"{rng.choice(('wei', 'li', 'anna'))} " + "".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(size)]
+        rows = spark.createDataFrame([(n,) for n in names], "n string")
+        counts.append(match.name_pairs(rows, rows.withColumnRenamed("n", "o"), "n", "o", common=50).count())
+    assert counts[1] < 6 * counts[0]
