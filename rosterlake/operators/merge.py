@@ -8,30 +8,43 @@ from pyspark.sql import functions as F
 from rosterlake.functions.text import missing_pending, number_in, string
 
 
-def survivorship(rows: DataFrame, key: Column, order: list[Column], numeric: list[str], combine: list[str], others: list[str], missing=missing_pending, separator: str = r"[；;]\s*", joiner: str = "；") -> DataFrame:
-    """One row for each key, merged field by field.
-
-    Rows of a group stand in ``order``. Numeric fields keep the value with the greatest number, the first
-    on ties. Combined fields list the distinct parts of what is not missing (a single distinct value is
-    left as it is). Other fields keep the longest text that is not missing, the first on ties. Where all
-    are missing, the first row's value stays. Aggregates on both sides of one shuffle; no group is
-    gathered but for the texts of combined fields.
+def combined_texts(rows: DataFrame, key: str, place: str, columns: list[str], missing, separator: str, joiner: str) -> DataFrame:
+    """(key, one column for each of ``columns``): the distinct parts of a group's texts in order of place; a single distinct text is left as it is.
+
+    Copies are dropped by partial aggregation before texts are split, and parts likewise before they are listed,
+    so a list is as long as the merged text, however many rows a group has.
+    """
+    each = F.array(*[F.struct(F.lit(c).alias("c"), F.when(~missing(c), F.trim(string(c))).alias("v")) for c in columns])
+    texts = rows.select(key, place, F.explode(each).alias("_x")).where("_x.v is not null").groupBy(key, F.col("_x.c").alias("_c"), F.col("_x.v").alias("_v")).agg(F.min(place).alias(place))
+    parts = texts.select(key, "_c", "_v", place, F.posexplode(F.transform(F.split("_v", separator), lambda p: F.trim(p))).alias("_at", "_p"))
+    first = parts.groupBy(key, "_c", "_p").agg(F.min(F.struct(place, "_at")).alias("_first"), F.min("_v").alias("_one"), F.max("_v").alias("_other"))
+    listed = F.transform(F.array_sort(F.collect_list(F.when(~missing("_p"), F.struct("_first", "_p")))), lambda x: x["_p"])
+    whole = first.groupBy(key, "_c").agg(listed.alias("_l"), F.min("_one").alias("_one"), F.max("_other").alias("_other"))
+    merged = F.when(F.col("_one") == F.col("_other"), F.col("_one")).otherwise(F.array_join("_l", joiner))
+    return whole.groupBy(key).agg(*[F.max(F.when(F.col("_c") == c, merged)).alias(c) for c in columns])
+
+
+def survivorship(rows: DataFrame, key: Column, place: Column, numeric: list[str], combine: list[str], others: list[str], missing=missing_pending, separator: str = r"[；;]\s*", joiner: str = "；") -> DataFrame:
+    """One row for each key, merged field by field: (merge_key, n_rows, first, fields...), ``first`` being the least place.
+
+    place: a struct that orders the rows of a group. Numeric fields keep the value with the greatest number, the
+    first on ties. Combined fields list the distinct parts of what is not missing (a single distinct value is left
+    as it is). Other fields keep the longest text that is not missing, the first on ties. Where all are missing, the
+    first row's value stays. All are partial aggregations: no group is ordered or gathered as a whole.
     """
-    ranked = rows.withColumn("_key", key).withColumn("_rn", F.row_number().over(Window.partitionBy("_key").orderBy(*order)))
-    aggregates = [F.count("*").alias("n_rows")]
+    placed = rows.withColumns({"_key": key, "_place": place})
+    aggregates = [F.count("*").alias("n_rows"), F.min("_place").alias("first")]
     for c in numeric:
-        aggregates.append(F.max_by(F.col(c), F.struct(number_in(c), -F.col("_rn"))).alias(c))
+        aggregates.append(F.min_by(F.col(c), F.struct((-number_in(c)).alias("less"), "_place")).alias(c))
     for c in others:
-        best = F.max_by(F.when(~missing(c), F.col(c)), F.when(~missing(c), F.struct(F.length(string(c)), -F.col("_rn"))))
-        aggregates.append(F.coalesce(best, F.min_by(F.col(c), F.col("_rn"))).alias(c))
-    for c in combine:
-        aggregates += [F.collect_list(F.when(~missing(c), F.struct("_rn", F.trim(string(c)).alias("v")))).alias(f"_l_{c}"), F.min_by(F.col(c), F.col("_rn")).alias(f"_f_{c}")]
-    merged = ranked.groupBy("_key").agg(*aggregates)
-    for c in combine:
-        texts = F.array_distinct(F.transform(F.array_sort(F.col(f"_l_{c}")), lambda x: x["v"]))
-        parts = F.filter(F.flatten(F.transform(texts, lambda t: F.transform(F.split(t, separator), lambda p: F.trim(p)))), lambda p: ~missing(p))
-        one = F.when(F.size(texts) == 0, F.col(f"_f_{c}").cast("string")).when(F.size(texts) == 1, F.element_at(texts, 1)).otherwise(F.array_join(F.array_distinct(parts), joiner))
-        merged = merged.withColumn(c, one).drop(f"_l_{c}", f"_f_{c}")
+        best = F.min_by(F.when(~missing(c), F.col(c)), F.when(~missing(c), F.struct((-F.length(string(c))).alias("less"), "_place")))
+        aggregates.append(F.coalesce(best, F.min_by(F.col(c), "_place")).alias(c))
+    aggregates += [F.min_by(F.col(c).cast("string"), "_place").alias(f"_f_{c}") for c in combine]
+    merged = placed.groupBy("_key").agg(*aggregates)
+    if combine:
+        listed = combined_texts(placed, "_key", "_place", combine, missing, separator, joiner)
+        merged = merged.join(listed.withColumnRenamed("_key", "_k").hint("merge"), F.col("_key").eqNullSafe(F.col("_k")), "left").drop("_k")
+        merged = merged.withColumns({c: F.coalesce(c, f"_f_{c}") for c in combine}).drop(*[f"_f_{c}" for c in combine])
     return merged.withColumnRenamed("_key", "merge_key")
 
 

@@ -29,10 +29,10 @@ def with_columns(rows: DataFrame, names: list[str]) -> DataFrame:
 def merge_profiles(rows: DataFrame, key: Column) -> DataFrame:
     others = [c for c in rows.columns if c not in {*NUMERIC, *COMBINED, "row_id", "score", "citations"} and dict(rows.dtypes)[c] == "string"]
     scored = score.with_scores(rows).withColumn("_full", score.completeness(["homepage", "contact", "education", "collab", "oa_id", "s2_id"])).withColumn("row_text", F.col("row_id").cast("string"))
-    order = [F.desc_nulls_last("score"), F.desc_nulls_last("citations"), F.desc_nulls_last("_full"), F.asc("row_id")]
-    ids = scored.withColumn("_k", key).withColumn("_rn", F.row_number().over(Window.partitionBy("_k").orderBy(*order))).where("_rn = 1").select(F.col("_k").alias("merge_key"), "row_id")
-    merged = survivorship(scored, key, order, [c for c in NUMERIC if c in rows.columns], [c for c in COMBINED if c in rows.columns], others)
-    return merged.join(ids, "merge_key")
+    falling = lambda c: [F.col(c).isNull().alias(f"no_{c}"), (-F.col(c)).alias(c)]
+    place = F.struct(*falling("score"), *falling("citations"), (-F.col("_full")).alias("full"), "row_id")
+    merged = survivorship(scored, key, place, [c for c in NUMERIC if c in rows.columns], [c for c in COMBINED if c in rows.columns], others)
+    return merged.withColumn("row_id", F.col("first.row_id")).drop("first")
 
 
 def targeted_fill(rows: DataFrame, stages: list[DataFrame], key: str) -> DataFrame:

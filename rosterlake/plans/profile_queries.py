@@ -60,9 +60,9 @@ def survivorship_merge(t: Tables) -> DataFrame:
     none = lambda c: F.trim(text.string(c)) == ""
     docs = t.documents.withColumn("first_id", F.col("doc_id").cast("string"))
     key = F.md5(F.lower(F.trim("text")))
-    merged = merge.survivorship(docs, key, [F.desc("n_chars"), F.asc("doc_id")], ["n_chars"], ["source"], ["text"], missing=none)
-    ids = merge.first_seen(docs.withColumn("merge_key", key).select("merge_key", "doc_id", "n_chars"), ["merge_key"], [F.desc("n_chars"), F.asc("doc_id")])
-    return merged.join(ids.select("merge_key", "doc_id"), "merge_key").select("merge_key", "n_rows", "doc_id", "n_chars", F.md5("text").alias("digest"), "source")
+    place = F.struct((-F.col("n_chars")).alias("less"), "doc_id")
+    merged = merge.survivorship(docs, key, place, ["n_chars"], ["source"], ["text"], missing=none)
+    return merged.select("merge_key", "n_rows", "first.doc_id", "n_chars", F.md5("text").alias("digest"), "source")
 
 
 @query("""SELECT d.doc_id, array_to_string(list_filter([CASE WHEN quality IS NULL THEN 'quality' END, CASE WHEN toxic IS NULL THEN 'toxic' END, CASE WHEN n_chars < 500 THEN 'text' END], lambda x: x IS NOT NULL), ',') AS missing

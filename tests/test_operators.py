@@ -29,11 +29,11 @@ def test_survivorship(spark):
     from rosterlake.functions.names import dedupe_key
 
     df = spark.createDataFrame(rows, PROFILE)
-    out = {r.merge_key: r for r in merge.survivorship(df, dedupe_key("name"), [F.asc("row_id")], ["h_raw"], ["achievements"], ["name", "position", "interests"]).collect()}
+    out = {r.merge_key: r for r in merge.survivorship(df, dedupe_key("name"), F.struct("row_id"), ["h_raw"], ["achievements"], ["name", "position", "interests"]).collect()}
     ada = out["ada lovelace"]
     assert (ada.n_rows, ada.position, ada.achievements, ada.h_raw, ada.interests) == (3, "讲席教授", "A成果；B成果；C成果", "30", "待核验")
     assert ada.name == "Prof. Ada Lovelace" and out["bo li"].achievements == "X；X"  # a single value is left as it is
-    again = merge.survivorship(df.where("row_id = 4"), dedupe_key("name"), [F.asc("row_id")], ["h_raw"], ["achievements"], ["name"]).first()
+    again = merge.survivorship(df.where("row_id = 4"), dedupe_key("name"), F.struct("row_id"), ["h_raw"], ["achievements"], ["name"]).first()
     assert again.achievements == "X；X"
 
 
@@ -181,3 +181,14 @@ def test_pairs_of_names_grow_with_the_names(spark):
         rows = spark.createDataFrame([(n,) for n in names], "n string")
         counts.append(match.name_pairs(rows, rows.withColumnRenamed("n", "o"), "n", "o", common=50).count())
     assert counts[1] < 6 * counts[0]
+
+
+def test_survivorship_of_a_million_copies(spark):
+    from rosterlake.operators import merge
+
+    rows = spark.range(1_000_000).select(F.col("id"), F.lit("a").alias("k"), F.when(F.col("id") % 2 == 0, "x；y").otherwise("y; z").alias("listed"), F.lit("w " * 20).alias("text"), (F.col("id") % 7).cast("string").alias("n"))
+    more = spark.createDataFrame([(5, None, "only", "t", "1"), (4, None, "only", "t", "2"), (6, "b", None, None, None)], "id long, k string, listed string, text string, n string")
+    got = {r.merge_key: r for r in merge.survivorship(rows.unionByName(more), F.col("k"), F.struct((-F.col("id")).alias("less"), "id"), ["n"], ["listed"], ["text"]).collect()}
+    assert got["a"].listed == "y；z；x" and got["a"].n_rows == 1_000_000 and got["a"].first.id == 999_999 and got["a"].n == "6"
+    assert got[None].listed == "only" and got[None].n_rows == 2 and got[None].n == "2"
+    assert got["b"].listed is None and got["b"].text is None
