@@ -138,54 +138,72 @@ ERROR_SOURCES = (
 )
 ERROR_SOURCE_OTHER = "系统或网络环境"
 ERROR_SOURCE_HOMEPAGE = "专家主页网站"
-# Causes by words in the message, in order; a pair of texts stands for (homepage source, other source).
-ERROR_CAUSES = (
-    (("sensitive words", "local:sensitive_words", "敏感词"), "中转服务的内容过滤规则误拦截了正常学术请求。"),
-    (("not configured", "missing api key", "api key is missing", "缺少环境变量", "未配置"), "运行环境缺少该服务所需的地址、API Key 或其他配置。"),
-    (("401", "invalid_api_key", "incorrect api key", "authentication"), "身份验证失败，API Key 无效、过期，或与 API_BASE_URL 不属于同一平台。"),
-    (("winerror 10013", "socket access", "禁止的访问权限"), "本机防火墙、安全软件或受限运行环境禁止了外部网络连接。"),
-    (("403", "forbidden"), ("目标主页拒绝自动访问，通常是反爬虫、地区限制或访问权限限制。", "服务拒绝访问，当前密钥、账户或来源地址没有所需权限。")),
-    (("404", "not found"), "请求的资源不存在，可能是主页已迁移、接口路径错误或记录已删除。"),
-    (("429", "rate limit", "too many requests", "限流", "冷却"), "服务触发调用频率或账户额度限制。"),
-    (("500", "502", "503", "504", "bad gateway", "service unavailable"), "远端服务或中转网关返回服务器错误，当前服务暂时不可用。"),
-    (("context length", "maximum context", "too many tokens", "token limit"), "发送给模型的上下文超过该模型或中转服务允许的长度。"),
-    (("name resolution", "getaddrinfo", "dns", "nodename nor servname"), "域名解析失败，当前网络无法把服务域名解析为可访问地址。"),
-    (("ssl", "certificate", "tls"), "HTTPS 证书校验或 TLS 握手失败。"),
-    (("connection refused", "actively refused", "连接被拒绝"), "目标服务端口拒绝连接，服务可能未启动或暂时不可用。"),
-    (("connection reset", "remote disconnected", "connection aborted", "eof"), "连接已建立但被远端服务提前断开。"),
-    (("connection error", "connecterror", "api connection", "连接失败"), "客户端未能与目标服务建立稳定连接。"),
-    (("timeout", "timed out", "readtimeout", "connecttimeout", "超时"), "服务端或网络长时间未返回响应。"),
-    (("permission denied", "winerror 32", "文件正在使用", "另一个程序正在使用"), "结果文件或运行目录被占用，系统无法读取或写入。"),
-    (("no space left", "disk full", "磁盘空间不足"), "磁盘剩余空间不足，无法保存检查点或 Excel 文件。"),
-    (("no module named", "modulenotfounderror", "importerror"), "运行环境缺少必要的 Python 依赖，或启动时使用了错误的虚拟环境。"),
-    (("cancelled", "canceled", "keyboardinterrupt", "被取消"), "任务被用户、系统重启或运行环境主动取消。"),
-    (("json", "markdown", "解析", "未生成有效", "未返回有效"), "服务返回了内容，但格式不符合系统要求，无法生成有效专家批次。"),
+# Words in the message, the cause they tell, and what to do about it, in order; a pair of texts stands for
+# (homepage source, other source).
+ERROR_RULES = (
+    (("sensitive words", "local:sensitive_words", "敏感词"),
+     "中转服务的内容过滤规则误拦截了正常学术请求。",
+     "系统会保留检查点；可重试该细分领域，若重复出现需扩充学术术语保护规则。"),
+    (("not configured", "missing api key", "api key is missing", "缺少环境变量", "未配置"),
+     "运行环境缺少该服务所需的地址、API Key 或其他配置。",
+     "检查 .env 中对应服务的配置，修改后完整重启 Streamlit。"),
+    (("401", "invalid_api_key", "incorrect api key", "authentication"),
+     "身份验证失败，API Key 无效、过期，或与 API_BASE_URL 不属于同一平台。",
+     "检查 .env 中对应服务的密钥和地址，修改后完整重启系统。"),
+    (("winerror 10013", "socket access", "禁止的访问权限"),
+     "本机防火墙、安全软件或受限运行环境禁止了外部网络连接。",
+     "使用 start_streamlit_logged.cmd 在正常本地终端启动，并检查防火墙网络权限。"),
+    (("403", "forbidden"),
+     ("目标主页拒绝自动访问，通常是反爬虫、地区限制或访问权限限制。", "服务拒绝访问，当前密钥、账户或来源地址没有所需权限。"),
+     ("系统将尝试 OpenCLI 或其他公开来源；单个主页失败不会终止整批任务。", "检查账户权限、额度与服务控制台中的访问限制。")),
+    (("404", "not found"),
+     "请求的资源不存在，可能是主页已迁移、接口路径错误或记录已删除。",
+     "系统将改用其他公开来源；若为 API 地址，请核对服务提供方的接口路径。"),
+    (("429", "rate limit", "too many requests", "限流", "冷却"),
+     "服务触发调用频率或账户额度限制。",
+     "等待服务冷却后仅重试未完成领域，并检查账户剩余额度和并发限制。"),
+    (("500", "502", "503", "504", "bad gateway", "service unavailable"),
+     "远端服务或中转网关返回服务器错误，当前服务暂时不可用。",
+     "已完成批次不受影响；待服务恢复后仅重试未完成领域。"),
+    (("context length", "maximum context", "too many tokens", "token limit"),
+     "发送给模型的上下文超过该模型或中转服务允许的长度。",
+     "减少单批证据文本或上传材料长度，再重试当前批次。"),
+    (("name resolution", "getaddrinfo", "dns", "nodename nor servname"),
+     "域名解析失败，当前网络无法把服务域名解析为可访问地址。",
+     "检查本机 DNS、代理和网络连接，恢复后仅重试未完成领域。"),
+    (("ssl", "certificate", "tls"),
+     "HTTPS 证书校验或 TLS 握手失败。",
+     "检查系统时间、代理证书和证书链；主页失败时系统会改用其他来源。"),
+    (("connection refused", "actively refused", "连接被拒绝"),
+     "目标服务端口拒绝连接，服务可能未启动或暂时不可用。",
+     "确认对应服务或 OpenCLI Bridge 已启动，稍后重试未完成领域。"),
+    (("connection reset", "remote disconnected", "connection aborted", "eof"),
+     "连接已建立但被远端服务提前断开。",
+     "通常属于服务波动或目标站限制；系统会保留已完成批次，可稍后续跑。"),
+    (("connection error", "connecterror", "api connection", "连接失败"),
+     "客户端未能与目标服务建立稳定连接。",
+     "检查网络和对应服务状态；系统已保存断点，可稍后续跑。"),
+    (("timeout", "timed out", "readtimeout", "connecttimeout", "超时"),
+     "服务端或网络长时间未返回响应。",
+     "系统不会丢失已完成批次；待服务恢复后仅重试未完成领域。"),
+    (("permission denied", "winerror 32", "文件正在使用", "另一个程序正在使用"),
+     "结果文件或运行目录被占用，系统无法读取或写入。",
+     "关闭占用该 Excel 的程序，并确认当前用户对项目目录具有写入权限后重试。"),
+    (("no space left", "disk full", "磁盘空间不足"),
+     "磁盘剩余空间不足，无法保存检查点或 Excel 文件。",
+     "释放项目所在磁盘空间后，从已保存的检查点继续运行。"),
+    (("no module named", "modulenotfounderror", "importerror"),
+     "运行环境缺少必要的 Python 依赖，或启动时使用了错误的虚拟环境。",
+     "使用项目 .venv 启动，并根据 requirements.txt 补齐依赖。"),
+    (("cancelled", "canceled", "keyboardinterrupt", "被取消"),
+     "任务被用户、系统重启或运行环境主动取消。",
+     "已完成批次仍保留在检查点中，可点击仅重试未完成领域继续。"),
+    (("json", "markdown", "解析", "未生成有效", "未返回有效"),
+     "服务返回了内容，但格式不符合系统要求，无法生成有效专家批次。",
+     "重试该批次；若持续发生，需要检查模型输出格式和表格字段完整性。"),
 )
 ERROR_CAUSE_OTHER = "执行过程中出现未归类异常。"
 
-# What to do about each cause, in the order of the causes; a pair stands for (homepage source, other source).
-ERROR_ACTIONS = (
-    "系统会保留检查点；可重试该细分领域，若重复出现需扩充学术术语保护规则。",
-    "检查 .env 中对应服务的配置，修改后完整重启 Streamlit。",
-    "检查 .env 中对应服务的密钥和地址，修改后完整重启系统。",
-    "使用 start_streamlit_logged.cmd 在正常本地终端启动，并检查防火墙网络权限。",
-    ("系统将尝试 OpenCLI 或其他公开来源；单个主页失败不会终止整批任务。", "检查账户权限、额度与服务控制台中的访问限制。"),
-    "系统将改用其他公开来源；若为 API 地址，请核对服务提供方的接口路径。",
-    "等待服务冷却后仅重试未完成领域，并检查账户剩余额度和并发限制。",
-    "已完成批次不受影响；待服务恢复后仅重试未完成领域。",
-    "减少单批证据文本或上传材料长度，再重试当前批次。",
-    "检查本机 DNS、代理和网络连接，恢复后仅重试未完成领域。",
-    "检查系统时间、代理证书和证书链；主页失败时系统会改用其他来源。",
-    "确认对应服务或 OpenCLI Bridge 已启动，稍后重试未完成领域。",
-    "通常属于服务波动或目标站限制；系统会保留已完成批次，可稍后续跑。",
-    "检查网络和对应服务状态；系统已保存断点，可稍后续跑。",
-    "系统不会丢失已完成批次；待服务恢复后仅重试未完成领域。",
-    "关闭占用该 Excel 的程序，并确认当前用户对项目目录具有写入权限后重试。",
-    "释放项目所在磁盘空间后，从已保存的检查点继续运行。",
-    "使用项目 .venv 启动，并根据 requirements.txt 补齐依赖。",
-    "已完成批次仍保留在检查点中，可点击仅重试未完成领域继续。",
-    "重试该批次；若持续发生，需要检查模型输出格式和表格字段完整性。",
-)
 ERROR_ACTION_OTHER = "查看下方技术详情和 worker.log；已完成批次与检查点不会被删除。"
 
 # The items of a run's summary: name, column (none: all rows), value that is counted, remark.

@@ -13,12 +13,26 @@ def _any(text: Column, words: tuple[str, ...]) -> Column:
     return text.rlike(one_of(words))
 
 
+def first_rule(text: Column, words: list[tuple[str, ...]]) -> Column:
+    """The number of the first of several rules, from 1, one of whose words a text holds; one more than there are if none does.
+
+    One pass over the text finds a word at each place where one begins, by first letters; a word stands for the
+    first rule that it, or a word it begins with, belongs to.
+    """
+    every = {w: n for n, listed in reversed(list(enumerate(words, 1))) for w in listed}
+    rule = {w: min(n for other, n in every.items() if w.startswith(other)) for w in every}
+    by: dict[str, list[str]] = {}
+    for w in sorted(rule, key=lambda w: (-len(w), w)):
+        by.setdefault(w[0], []).append(w[1:])
+    tree = "|".join(f"\\Q{letter}\\E(?:{one_of(rest)})" for letter, rest in by.items())
+    found = F.regexp_extract_all(text, F.lit(f"(?=({tree}))"), F.lit(1))
+    number = F.create_map(*[F.lit(x) for w, n in rule.items() for x in (w, n)])
+    return F.coalesce(F.array_min(F.transform(found, lambda w: number[w])), F.lit(len(words) + 1))
+
+
 def error_source(message: Column | str, stage: Column | str | None = None, sources: tuple = rules.ERROR_SOURCES, other: str = rules.ERROR_SOURCE_OTHER) -> Column:
     text = F.lower(F.concat_ws(" ", F.lit("") if stage is None else string(stage), string(message)))
-    out = F.lit(other)
-    for words, name in reversed(sources):
-        out = F.when(_any(text, words), F.lit(name)).otherwise(out)
-    return out
+    return F.element_at(F.array(*[F.lit(name) for _, name in sources], F.lit(other)), first_rule(text, [words for words, _ in sources]))
 
 
 def by_source(source: Column, said: tuple[str | tuple[str, str], ...], at: Column) -> Column:
@@ -32,22 +46,21 @@ def diagnose(
     message: Column | str,
     stage: Column | str | None = None,
     sources: tuple = rules.ERROR_SOURCES,
-    causes: tuple = rules.ERROR_CAUSES,
-    actions: tuple = rules.ERROR_ACTIONS,
+    told: tuple = rules.ERROR_RULES,
     other: str = rules.ERROR_CAUSE_OTHER,
     other_action: str = rules.ERROR_ACTION_OTHER,
     other_source: str = rules.ERROR_SOURCE_OTHER,
 ) -> Column:
     """Struct (source, cause, action, detail, summary) of an error message; the first rule that fits counts."""
     detail = redact(F.when(F.trim(string(message)) == "", F.lit("未知错误")).otherwise(string(message)))
-    low = F.lower(detail)
-    source = error_source(detail, stage, sources, other_source)
-    rule = F.lit(len(causes) + 1)
-    for n, (words, _) in reversed(list(enumerate(causes, 1))):
-        rule = F.when(_any(low, words), F.lit(n)).otherwise(rule)
-    cause = by_source(source, (*(c for _, c in causes), other), rule)
-    action = by_source(source, (*actions, other_action), rule)
-    return F.struct(source.alias("source"), cause.alias("cause"), action.alias("action"), detail.alias("detail"), F.concat(source, F.lit("："), cause).alias("summary"))
+    first = F.struct(error_source(detail, stage, sources, other_source).alias("source"), first_rule(F.lower(detail), [words for words, *_ in told]).alias("rule"), detail.alias("detail"))
+
+    def whole(x: Column) -> Column:
+        cause = by_source(x["source"], (*(c for _, c, _ in told), other), x["rule"])
+        action = by_source(x["source"], (*(a for _, _, a in told), other_action), x["rule"])
+        return F.struct(x["source"].alias("source"), cause.alias("cause"), action.alias("action"), x["detail"].alias("detail"), F.concat(x["source"], F.lit("："), cause).alias("summary"))
+
+    return F.transform(F.array(first), whole)[0]  # so that nothing is worked out twice
 
 
 def one_line(d: Column) -> Column:

@@ -27,16 +27,16 @@ def sided(value: str | tuple[str, str]) -> str:
 
 
 def chosen(texts: tuple, other: str) -> str:
-    return "CASE " + " ".join(f"WHEN {said(words, 'low')} THEN {sided(text)}" for (words, _), text in zip(rules.ERROR_CAUSES, texts, strict=True)) + f" ELSE '{other}' END"
+    return "CASE " + " ".join(f"WHEN {said(words, 'low')} THEN {sided(text)}" for (words, *_), text in zip(rules.ERROR_RULES, texts, strict=True)) + f" ELSE '{other}' END"
 
 
 #: Messages of every kind, by event; ids after the secret's mark are redacted before the words are looked for.
-MESSAGES = [words[0] for words, _ in rules.ERROR_CAUSES] + ["all is well"]
+MESSAGES = [words[0] for words, *_ in rules.ERROR_RULES] + ["all is well"]
 STAGES = [words[0] for words, _ in rules.ERROR_SOURCES] + ["nothing"]
 DIAGNOSED_SQL = f"""m AS (SELECT event_id, user_id, ts, event_type, {MESSAGES}[1 + event_id % {len(MESSAGES)}] || '  in ' || event_type || ' token=abc' || event_id AS msg, {STAGES}[1 + user_id % {len(STAGES)}] AS stage FROM events),
 d AS (SELECT *, regexp_replace(regexp_replace(trim(msg), '\\s+', ' ', 'g'), 'token=.*', 'token=***') AS detail FROM m),
 s AS (SELECT *, lower(detail) AS low, CASE {" ".join(f"WHEN {said(words, 'lower(stage || chr(32) || detail)')} THEN '{name}'" for words, name in rules.ERROR_SOURCES)} ELSE '{rules.ERROR_SOURCE_OTHER}' END AS source FROM d),
-g AS (SELECT *, {chosen(tuple(c for _, c in rules.ERROR_CAUSES), rules.ERROR_CAUSE_OTHER)} AS cause, {chosen(rules.ERROR_ACTIONS, rules.ERROR_ACTION_OTHER)} AS action FROM s)"""
+g AS (SELECT *, {chosen(tuple(c for _, c, _ in rules.ERROR_RULES), rules.ERROR_CAUSE_OTHER)} AS cause, {chosen(tuple(a for *_, a in rules.ERROR_RULES), rules.ERROR_ACTION_OTHER)} AS action FROM s)"""
 
 
 def diagnosed(t: Tables) -> DataFrame:

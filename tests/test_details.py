@@ -53,18 +53,18 @@ def test_deaths(items, spark):
 
 
 def test_every_error_rule(spark):
-    rows = [(n, word.upper()) for n, (words, _) in enumerate(rules.ERROR_CAUSES) for word in words]
+    rows = [(n, word.upper()) for n, (words, *_) in enumerate(rules.ERROR_RULES) for word in words]
     got = spark.createDataFrame(rows, "n int, m string").withColumn("d", joblog.diagnose("m")).collect()
-    low = [[w for w in words] for words, _ in rules.ERROR_CAUSES]
+    low = [[w for w in words] for words, *_ in rules.ERROR_RULES]
     for r in got:
         first = next(k for k, words in enumerate(low) if any(w in r.m.lower() for w in words))
-        cause, action = rules.ERROR_CAUSES[first][1], rules.ERROR_ACTIONS[first]
+        _, cause, action = rules.ERROR_RULES[first]
         assert r.d.cause == (cause if isinstance(cause, str) else cause[1]) and r.d.action == (action if isinstance(action, str) else action[1])
     df = spark.createDataFrame([("403 forbidden", "个人主页"), ("", ""), ("fine", "worker")], "m string, s string").withColumn("d", joblog.diagnose("m", "s"))
     home, blank, other = df.select("d.*", joblog.one_line(F.col("d")).alias("line")).collect()
-    assert (home.cause, home.action) == (rules.ERROR_CAUSES[4][1][0], rules.ERROR_ACTIONS[4][0]) and home.source == "专家主页网站"
+    assert (home.cause, home.action) == (rules.ERROR_RULES[4][1][0], rules.ERROR_RULES[4][2][0]) and home.source == "专家主页网站"
     assert blank.detail == "未知错误" and other.action == rules.ERROR_ACTION_OTHER and other.line == f"来源：后台任务进程｜原因：{rules.ERROR_CAUSE_OTHER}｜建议：{rules.ERROR_ACTION_OTHER}｜技术详情：fine"
-    assert len(rules.ERROR_CAUSES) == len(rules.ERROR_ACTIONS) == 20
+    assert len(rules.ERROR_RULES) == 20
 
 
 def test_default_lists(spark):
@@ -110,6 +110,22 @@ def test_fill_summary_and_stages(spark, tmp_path):
     assert out.count() == 1 and said["a"].startswith("skipped") and said["b"] == "skipped: no gone" and said["c"] == "done" and said["d"] == "failed: USER_RAISED_EXCEPTION"
 
 
+def test_first_rule_is_found_in_one_pass(spark):
+    import random
+
+    from rosterlake.operators.joblog import first_rule
+
+    rng = random.Random(1)
+    groups = [("ab", "bca", "x.y"), ("abc", "b"), ("ca", "(c"), ("aab",)]
+    texts = ["".join(rng.choice("abc(x.y") for _ in range(rng.randint(0, 12))) for _ in range(400)]
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", first_rule(F.col("t"), groups).alias("n")).collect()
+    assert [r.n for r in got] == [next((n for n, words in enumerate(groups, 1) if any(w in r.t for w in words)), 5) for r in got]
+    every = [words for words, *_ in rules.ERROR_RULES]
+    said = [f"<{a} {b}>" for words in every for a in words for b in ("dns", "json", "x")]
+    got = spark.createDataFrame([(t,) for t in said], "t string").select("t", first_rule(F.col("t"), every).alias("n")).collect()
+    assert [r.n for r in got] == [next(n for n, words in enumerate(every, 1) if any(w in r.t for w in words)) for r in got]
+
+
 def test_incremental_keys(spark, tmp_path):
     import os
 
