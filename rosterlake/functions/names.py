@@ -62,6 +62,12 @@ def same_person(a: Column | str, b: Column | str) -> Column:
     return (x != "") & (y != "") & ((x == y) | F.when(han, compact).otherwise((F.size(F.array_intersect(s, t)) >= 2) & within))
 
 
+def same_author(a: Column | str, b: Column | str) -> Column:
+    """The loose form: one simple name is part of the other."""
+    x, y = simple_name(a), simple_name(b)
+    return (x != "") & (y != "") & (F.contains(x, y) | F.contains(y, x))
+
+
 def institution_tokens(c: Column | str, stop: tuple[str, ...] = INSTITUTION_STOP) -> Column:
     return F.array_except(F.array_distinct(F.regexp_extract_all(F.lower(string(c)), F.lit(f"[a-z]{{3,}}|[{HAN}]{{2,}}"), F.lit(0))), F.array(*[F.lit(s) for s in stop]))
 

@@ -249,3 +249,40 @@ NAVIGATION_TERMS = ("cookie", "privacy", "login", "menu", "copyright", "skip to"
 UNPROVED_COLLABORATION = ("具体个人需逐篇核实", "未确认", "待核实", "中国作者", "中国团队", "等单位", "等中国", "合作网络", "相关活动", "相关论文", "国际合著")
 DEATH_HAN_AFTER, DEATH_HAN_BEFORE = ("逝世", "去世", "辞世", "已故"), ("讣告", "悼念")
 DEATH_AFTER, DEATH_BEFORE, DEATH_TITLE = ("passed away", "died", "is deceased", "was deceased"), ("death of", "obituary for"), ("obituary", "in memoriam")
+
+# Parts of sentences that speak of a post, and of an institution.
+POSITION_PART = (
+    80,
+    r"Professor|Associate Professor|Assistant Professor|Director|Chair|Principal Investigator|PI|Research Scientist|Group Leader"
+    r"|教授|副教授|助理教授|研究员|首席科学家|主任|负责人|课题组长",
+    80,
+)
+INSTITUTION_PART = (
+    80,
+    r"University|Institute|Laboratory|Lab|College|School|Center|Centre|Observatory|Hospital|大学|学院|研究所|实验室|中心|天文台|医院",
+    80,
+)
+
+# A date or an age in what is said of a death, and what stands for a claim that is not upheld.
+DEATH_DATE = r"(?:19|20)\d{2}|\b(?:jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*\b|\d{1,2}月\d{1,2}日|享年\s*\d+|aged?\s+\d+"
+CLAIM_OPEN = "待核验"
+CLAIM_REFUSED = "共享核验线索未通过补全分支身份闸门，不作为死亡结论：确认死亡需身份锁定、机构匹配、明确死亡日期，并至少具有两个独立的大学/政府权威来源。"
+
+# Queries of the field that has sources of its own, and the sources: kind, name, URL, purpose, whether the page is read.
+AGRICULTURE_QUERY = "农业|农学|作物|种植|养殖|粮食|农机|农业工程|农业信息|种质|agriculture|agricultural|crop|farming|food science"
+SOURCE_RECORDS = (
+    ("core", "OpenAlex", "https://openalex.org/", "作者身份、机构、论文、主题与引文指标交叉验证", False),
+    ("core", "Semantic Scholar", "https://www.semanticscholar.org/", "作者身份和代表论文按需交叉验证", False),
+    ("core", "Tavily 网页检索", "https://www.tavily.com/", "发现专家主页、奖项、合作新闻和公开网页证据", False),
+    ("domain", "中国农业科学院农业资源与农业区划研究所杰出人才", "https://iarrp.caas.cn/rcdw1/jcrc/gjzrkxjjzdxmzcr/index.htm", "补充农业领域国内杰出人才候选", True),
+    ("domain", "Stanford/Elsevier 全球前 2% 顶尖科学家数据集", "https://elsevier.digitalcommonsdata.com/datasets/btchxktzyw/8", "补充高影响力农业科学家候选与排名证据", True),
+    ("domain", "世界粮食奖 2020-2026 获奖者", "https://www.worldfoodprize.org/en/laureates/20202026_laureates/", "补充农业与粮食领域最高奖项获得者", True),
+    ("domain", "世界粮食奖 2025 农业食品领军人物", "https://www.worldfoodprize.org/index.cfm?nodeID=97060&audienceID=1", "补充农业食品领域领军人物", True),
+    ("domain", "世界粮食奖 2024 农业食品领军人物", "https://www.worldfoodprize.org/en/nominations/top_agrifood_pioneers/2024_top_agrifood_pioneers_list/", "补充农业食品领域领军人物", True),
+    ("domain", "CIGR 信息技术分会成员", "https://www.cigr.org/SectionVII", "补充现代农业信息技术与农业工程专家", True),
+    ("domain", "CIGR 成员与治理机构名录", "https://www.cigr.org/membersxgoverning-bodies-overview", "交叉验证 CIGR 成员身份与任职", True),
+)
+
+# Words of a failed connection, and of the service that it is about.
+CONNECTION_WORDS = ("connection error", "connecttimeout", "readtimeout", "timed out", "连接失败", "连接超时", "服务连接失败或超时")
+MODEL_WORDS = ("llm/api", "研究员节点", "验证节点", "纠错节点", "模型中转", "大模型")

@@ -31,6 +31,13 @@ def source_tier(c: Column | str, authority: tuple[str, ...] = rules.AUTHORITY_DO
     return F.when((host == "") | in_domains(host, low), 4).when(official, 1).when(host.endswith(".org"), 2).otherwise(3)
 
 
+def official_profile(c: Column | str) -> Column:
+    """Whether a trusted URL is of a university or a government."""
+    host = domain(c)
+    ends = reduce(lambda a, e: a | host.endswith(e), (".edu", ".gov", ".gov.cn", ".ac.cn", ".ac.uk"), F.contains(host, F.lit(".edu.")))
+    return (source_tier(c) < 4) & ends
+
+
 def normal_url(c: Column | str) -> Column:
     """The key by which URLs are the same: lower case, no slash at the end."""
     return F.regexp_replace(F.lower(F.trim(string(c))), r"/+$", "")

@@ -10,9 +10,10 @@ from pyspark.errors import AnalysisException, PySparkException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rosterlake.functions import rules
 from rosterlake.functions.names import same_person
 from rosterlake.functions.text import HAN, cell_placeholder, clip, string
-from rosterlake.functions.urls import domain, source_tier
+from rosterlake.functions.urls import domain, official_profile, source_tier
 from rosterlake.operators.joins import small
 
 #: Roles whose values tell a story.
@@ -104,6 +105,19 @@ def claim_kept(claim: Column, locked: Column, institution_fits: Column, official
     return claim & locked & institution_fits & (F.size(F.array_distinct(official_domains)) >= 2) & dated
 
 
+def settle_claim(rows: DataFrame, check: str, said: str, status: str, locked: Column, institution_fits: Column, confirmed: str = "确认已故", date: str = rules.DEATH_DATE) -> DataFrame:
+    """Rows whose claim of a death is not upheld have the check open again, no status, and what was said marked as refused.
+
+    A claim needs a lock, the institution, a date or an age in what is said, and two official domains there.
+    """
+    urls = F.transform(F.regexp_extract_all(string(said), F.lit(r"https?://[^\s；;,，)）|]+"), F.lit(0)), lambda u: F.regexp_replace(u, r"[.。:：!?！？)）]+$", ""))
+    official = F.transform(F.filter(urls, official_profile), domain)
+    kept = claim_kept(F.trim(string(check)) == confirmed, locked, institution_fits, official, string(said).rlike(f"(?i){date}"))
+    refused = (F.trim(string(check)) == confirmed) & ~F.coalesce(kept, F.lit(False))
+    new = {check: F.lit(rules.CLAIM_OPEN), status: F.lit(""), said: F.concat(F.lit(rules.CLAIM_REFUSED), string(said))}
+    return rows.withColumn("_refused", refused).withColumns({c: F.when(F.col("_refused"), v).otherwise(F.col(c)) for c, v in new.items()}).drop("_refused")
+
+
 def missing_groups(cells: DataFrame, key: str, groups: dict[str, str]) -> DataFrame:
     """(key, one flag for each group): whether a blank cell's header is of the group."""
     blank = cells.where(cell_placeholder("value"))
@@ -116,7 +130,7 @@ def direct_proposals(blank: DataFrame, evidence: DataFrame, roles: DataFrame, ke
     blank: (key, column); roles: (column, field, prio), few rows; evidence: (key, field, value).
     """
     wanted = blank.join(small(roles), "column")
-    found = wanted.join(evidence.where(~cell_placeholder("value")), [key, "field"])
+    found = wanted.join(evidence.where(~cell_placeholder("value")).hint("merge"), [key, "field"])
     return found.groupBy(key, "column").agg(F.min_by("value", "prio").alias("value"))
 
 
@@ -138,7 +152,7 @@ def supported_proposals(
     """
     role = F.col("role")
     wanted = blank.join(small(roles), "role")
-    found = wanted.join(evidence, [key, "field"]).join(state, key)
+    found = wanted.join(evidence.hint("merge"), [key, "field"]).join(state.hint("merge"), key)
     hints = F.slice(F.array_distinct(F.when(role.isin(*indexed), F.concat("official", "index_urls")).otherwise(F.col("official"))), 1, 3)
     story = role.isin(*narrative)
     good = ~cell_placeholder("value") & ~low_quality(role, "value", narrative) & (~role.isin(*needs_lock) | F.col("locked")) & (~story | (F.col("locked") & (F.size("hints") > 0)))
@@ -164,15 +178,17 @@ def valid_proposals(proposals: DataFrame, blank: DataFrame, key: str) -> DataFra
 
 
 def correct(accepted: DataFrame, corrections: DataFrame, key: str) -> DataFrame:
-    """Accepted cells with the corrected value where there is a usable one; other corrections do not count."""
+    """Accepted cells with the corrected value where there is one that is good enough (for their ``role``, if they have one)."""
+    role = F.col("role") if "role" in accepted.columns else F.lit("")
     new = corrections.select(key, "column", F.col("value").alias("_new"))
-    joined = accepted.join(new, [key, "column"], "left")
-    return joined.withColumn("value", F.when(~cell_placeholder("_new"), F.col("_new")).otherwise(F.col("value"))).drop("_new")
+    joined = accepted.join(new.hint("merge"), [key, "column"], "left")
+    good = ~cell_placeholder("_new") & ~low_quality(role, "_new")
+    return joined.withColumn("value", F.when(good, F.col("_new")).otherwise(F.col("value"))).drop("_new")
 
 
 def write_back(cells: DataFrame, final: DataFrame, key: str) -> DataFrame:
     """Cells with ``filled``: only blank ones take a new value."""
-    joined = cells.join(final.select(key, "column", F.col("value").alias("_new")), [key, "column"], "left")
+    joined = cells.join(final.select(key, "column", F.col("value").alias("_new")).hint("merge"), [key, "column"], "left")
     fill = cell_placeholder("value") & ~cell_placeholder("_new")
     return joined.withColumn("filled", fill).withColumn("value", F.when(fill, F.col("_new")).otherwise(F.col("value"))).drop("_new")
 
@@ -213,6 +229,20 @@ def completion_totals(filled: DataFrame, key: str) -> DataFrame:
     return rows.agg(F.count("*").alias("total_rows"), F.count_if(F.col("n") > 0).alias("completed_rows"), F.coalesce(F.sum("n"), F.lit(0)).alias("filled_cells"))
 
 
+def completed_tables(cells: DataFrame, final: DataFrame, names: DataFrame, evidence: DataFrame, key: str) -> dict[str, DataFrame]:
+    """The tables that a completion delivers: all cells, three audit columns of each row, every filled cell, and totals.
+
+    final: (key, column, value, urls), what passed the gates; names: (key, name); evidence: (key, sources, lock, life_status).
+    """
+    filled = write_back(cells, final, key)
+    return {
+        "completed": filled.drop("filled"),
+        "audit": audit_columns(filled, evidence, final.select(key, "column"), key),
+        "details": detail_rows(filled, names, final.select(key, "column", "urls"), evidence, key),
+        "totals": completion_totals(filled, key),
+    }
+
+
 def run_stages(
     rows: DataFrame, stages: Sequence[tuple[str, Callable[..., DataFrame], Sequence[str]]], tables: dict[str, DataFrame], folder: str
 ) -> tuple[DataFrame, dict[str, str]]:
@@ -274,7 +304,7 @@ def derived_cells(accepted: DataFrame, blank: DataFrame, locked: DataFrame, key:
     reason = clip(F.when(F.col("post").isNotNull() & F.col("field").isNotNull(), both).when(F.col("post").isNotNull(), post).when(F.col("field").isNotNull(), field), 420)
     top = F.when(F.size("mark_urls") > 0, F.col("mark_urls")).otherwise(F.col("honour_urls"))
     known = wide.select(key, F.when(F.col("post").isNotNull() | F.col("field").isNotNull(), reason).alias("reason"), support.alias("support"), top.alias("top_urls"))
-    open_ = blank.where(F.col("role").isin("basis", "top")).join(accepted.select(key, "column"), [key, "column"], "left_anti").join(known, key)
+    open_ = blank.where(F.col("role").isin("basis", "top")).join(accepted.select(key, "column").hint("merge"), [key, "column"], "left_anti").join(known.hint("merge"), key)
     is_basis = F.col("role") == "basis"
     value, urls = F.when(is_basis, F.col("reason")).otherwise("是"), F.when(is_basis, F.col("support")).otherwise(F.col("top_urls"))
     return open_.select(key, "column", value.alias("value"), urls.alias("urls")).where(F.col("value").isNotNull() & (F.size("urls") > 0))

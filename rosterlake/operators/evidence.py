@@ -46,28 +46,18 @@ def keyword_evidence(items: DataFrame, key: str, pos: str, text: str, words: tup
     return first.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "word"))), lambda x: x["word"]).alias("found"))
 
 
-def event_hits(text: Column | str, name: Column | str, words: tuple[str, ...], within: int = 80) -> Column:
-    """Whether a text says the event of a person: name and an event word at most ``within`` characters behind."""
-    key = simple_name(name)
-    first, last = F.element_at(F.split(key, " "), 1), F.element_at(F.split(key, " "), -1)
-    escaped = lambda c: F.regexp_replace(c, r"([\\.\[\]{}()*+?^$|])", r"\\$1")
-    latin = F.concat(F.lit("(?s)"), escaped(first), F.lit(r"(?:\s+[a-z][a-z.-]*){0,3}\s+"), escaped(last), F.lit(rf".{{0,{within}}}(?:{'|'.join(words)})"))
-    han = F.concat(F.lit("(?s)"), F.replace(key, F.lit(" "), F.lit("")), F.lit(rf".{{0,40}}(?:{'|'.join(words)})"))
-    low = F.lower(string(text))
-    said = F.when(key.rlike(f"[{HAN}]"), F.regexp_like(F.regexp_replace(low, r"\s+", ""), han)).otherwise(F.regexp_like(low, latin))
-    return mentions(text, name) & said  # the cheap test first
-
-
 def two_domain_verdict(items: DataFrame, key: str, pos: str, url: str, said: Column, strong: Column, confirmed: str = "确认已故", suspected: str = "疑似已故待复核", none: str = "未发现死亡证据") -> DataFrame:
     """(key, verdict, n_items, n_domains, first_items): a strong item or two domains confirm; one item is suspected."""
     host = F.coalesce(F.nullif(netloc(url), F.lit("")), F.col(url))
     marked = items.withColumn("_said", said).withColumn("_strong", strong & said).withColumn("_host", F.when(said, host))
     got = marked.groupBy(key).agg(
         F.bool_or("_strong").alias("s"), F.count_if("_said").alias("n_items"), F.count_distinct("_host").alias("n_domains"),
-        F.slice(F.array_sort(F.collect_list(F.when(F.col("_said"), F.struct((~F.col("_strong")).alias("weak"), F.col(pos).alias("pos"))))), 1, 2).alias("first"),
     )
+    first = marked.where("_said").withColumn("_rn", F.row_number().over(Window.partitionBy(key).orderBy(F.desc("_strong"), pos))).where("_rn <= 2")
+    listed = first.groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("_rn", F.col(pos).alias("pos")))), lambda x: x["pos"]).alias("first"))
+    got = got.join(listed.withColumnRenamed(key, "_key").hint("merge"), F.col(key).eqNullSafe(F.col("_key")), "left")
     verdict = F.when(F.col("s") | (F.col("n_domains") >= 2), confirmed).when(F.col("n_items") > 0, suspected).otherwise(none)
-    return got.select(key, verdict.alias("verdict"), "n_items", "n_domains", F.transform("first", lambda x: x["pos"]).alias("first_items"))
+    return got.select(key, verdict.alias("verdict"), "n_items", "n_domains", F.coalesce("first", F.array().cast(listed.schema["first"].dataType)).alias("first_items"))
 
 
 def homepage_score(url: Column | str, text_names: Column, name_in_url: Column, org_in_text: Column) -> Column:

@@ -84,7 +84,28 @@ def interests(items: DataFrame, key: str, pos: str, title: str, content: str) ->
     bare = F.transform(parts(text, rules.RESEARCH_PART, 8, 220, 1), lambda x: F.trim(F.regexp_replace(x, f"(?i){rules.RESEARCH_PREFIX}", "")))
     said = first_candidates(items, key, pos, labelled(text, rules.RESEARCH_LABEL))
     other = first_candidates(items, key, pos, bare).withColumnRenamed("found", "_other")
-    return said.join(other, key, "full_outer").select(key, F.coalesce("found", "_other").alias("found"))
+    return said.join(other.hint("merge"), key, "full_outer").select(key, F.coalesce("found", "_other").alias("found"))
+
+
+def first_part(items: DataFrame, key: str, pos: str, title: str, content: str, part: tuple[int, str, int], most: int = 150) -> DataFrame:
+    """(key, found): the first part of a sentence with one of the words, of 8 characters or more: a post, an institution."""
+    return first_candidates(items, key, pos, parts(joined_text(title, content), part, 8, most, 1))
+
+
+def posts(items: DataFrame, key: str, pos: str, title: str, content: str) -> DataFrame:
+    return first_part(items, key, pos, title, content, rules.POSITION_PART)
+
+
+def institutions(items: DataFrame, key: str, pos: str, title: str, content: str) -> DataFrame:
+    return first_part(items, key, pos, title, content, rules.INSTITUTION_PART)
+
+
+def with_label(current: Column, label: str, found: Column) -> Column:
+    """A text with what was found behind a label at its end, unless it is there already; placeholders give way."""
+    from rosterlake.functions.text import enrich_placeholder
+
+    new = F.concat(F.lit(label), found)
+    return F.when((string(found) == "") | F.contains(string(current), string(found)), current).when(enrich_placeholder(current), new).otherwise(F.concat(F.trim(current), F.lit("；"), new))
 
 
 def career(items: DataFrame, key: str, pos: str, title: str, content: str) -> DataFrame:
@@ -165,6 +186,6 @@ def fill_missing(rows: DataFrame, key: str, stages: list[DataFrame], missing: di
 
 def fill_once(rows: DataFrame, key: str, found: DataFrame, missing: dict[str, Column]) -> DataFrame:
     fields = [c for c in missing if c in found.columns]
-    joined = rows.join(found.select(key, *[F.col(c).alias(f"_new_{c}") for c in fields]), key, "left")
+    joined = rows.join(found.select(key, *[F.col(c).alias(f"_new_{c}") for c in fields]).hint("merge"), key, "left")
     new = {c: F.when(missing[c] & (string(f"_new_{c}") != ""), F.col(f"_new_{c}")).otherwise(F.col(c)) for c in fields}
     return joined.withColumns(new).drop(*[f"_new_{c}" for c in fields])

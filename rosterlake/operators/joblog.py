@@ -74,7 +74,7 @@ def flat_diagnosis(d: Column) -> list[Column]:
     return [d[field].alias(name) for name, field in names.items()]
 
 
-def connection_failure(message: Column | str, connection: tuple[str, ...], model: tuple[str, ...]) -> Column:
+def connection_failure(message: Column | str, connection: tuple[str, ...] = rules.CONNECTION_WORDS, model: tuple[str, ...] = rules.MODEL_WORDS) -> Column:
     """Words of both lists."""
     low = F.lower(string(message))
     return _any(low, connection) & _any(low, model)

@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rosterlake.functions.names import simple_name, space_normal, words
-from rosterlake.functions.text import string
+from rosterlake.functions.text import clip, institution_label, string
+from rosterlake.functions.urls import append_url
 
 #: Country codes that count as Greater China.
 GREATER_CHINA_CODES = ("CN", "HK", "MO", "TW")
@@ -150,7 +151,7 @@ def second_pass(rows: DataFrame, candidates: DataFrame, key: str, name: str, var
     candidates: one row for each search form, ``found_key``; of equal citations the earlier variant counts.
     """
     asked = rows.select(key, name, F.posexplode(F.slice(variants, 1, most)).alias("_at", found_key))
-    met = asked.join(candidates, found_key).where(same)
+    met = asked.join(candidates.hint("merge"), found_key).where(same)
     fields = F.struct(*[F.col(c) for c in candidates.columns if c != found_key], F.col(found_key))
     return met.groupBy(key).agg(F.min_by(fields, F.struct((-F.coalesce(F.col(citations), F.lit(0))).alias("less"), "_at")).alias("best"))
 
@@ -165,12 +166,24 @@ def update_if_higher(rows: DataFrame, best: DataFrame, key: str, numbers: dict[s
     return joined.withColumns(new).drop("best")
 
 
-def backfill(rows: DataFrame, matched: DataFrame, key: str, columns: dict[str, str], trusted: Column) -> DataFrame:
-    """Numbers replaced by the matched ones where those are trusted and not lower. columns: own name to matched name."""
-    joined = rows.join(matched, key, "left").withColumn("_t", F.coalesce(trusted, F.lit(False)))
-    for own, new in columns.items():
-        joined = joined.withColumn(own, F.when(F.col("_t") & (F.col(new) >= F.coalesce(F.col(own), F.lit(0))), F.col(new)).otherwise(F.col(own)))
-    return joined.withColumnRenamed("_t", "trusted").drop(*columns.values())
+def backfill(
+    rows: DataFrame, matched: DataFrame, key: str, columns: dict[str, str], trusted: Column, texts: dict[str, str] | None = None, sources: str | None = None, source: str | None = None, blank: bool = True
+) -> DataFrame:
+    """What a trusted match says: numbers that are above zero and not lower, texts, and its page among the sources.
+
+    columns, texts: own name to matched name. Texts of rows without a trusted match are emptied, or with ``blank``
+    off left as they are. sources: an array column that the URL in ``source`` is added to.
+    """
+    taken = [*columns.values(), *(texts or {}).values(), *([source] if source else [])]
+    joined = rows.join(matched.select(key, *dict.fromkeys(taken)).hint("merge"), key, "left").withColumn("_t", F.coalesce(trusted, F.lit(False)))
+    new = {own: F.when(F.col("_t") & (F.col(c) > 0) & (F.col(c) >= F.coalesce(F.col(own), F.lit(0))), F.col(c)).otherwise(F.col(own)) for own, c in columns.items()}
+    for own, c in (texts or {}).items():
+        other = F.lit("") if blank else F.col(own) if own in rows.columns else F.lit(None).cast("string")
+        new[own] = F.when(F.col("_t"), string(c)).otherwise(other)
+    if sources and source:
+        listed = F.coalesce(sources, F.array().cast("array<string>"))
+        new[sources] = F.when(F.col("_t"), append_url(listed, string(source))).otherwise(listed)
+    return joined.withColumns(new).withColumnRenamed("_t", "trusted").drop(*[c for c in dict.fromkeys(taken) if c not in rows.columns])
 
 
 def priority_rows(rows: DataFrame, priority: Column, cap: int, later: Column) -> DataFrame:
@@ -198,18 +211,41 @@ def strength(target_position: Column, positions: Column, partners: Column, citat
     return F.when(both | ((partners >= 2) & (citations >= 300)), "强合作").when((citations >= 100) | (partners >= 2), "中合作").otherwise("弱合作")
 
 
-def collaborations(works: DataFrame, country: str = "CN", top: int = 40) -> DataFrame:
-    """(author_id, id, strength, partners): an author's works with partners from a country, of the ``top`` most cited.
+def collaborations(works: DataFrame, country: str = "CN", top: int = 40, shown: int = 5) -> DataFrame:
+    """(author_id, place, id, strength, partners, line): an author's works with partners from a country, of the ``top`` most cited.
 
-    Each work's authorships are small arrays, so partners are found in the row, without a self-join.
+    works: (id, title, year, cited_by_count, authorships array<struct<author_id, name, position, institutions
+    array<struct<name, country>>>>). Partners are told by name and institutions, each once. Each work's
+    authorships are small arrays, so partners are found in the row, without a self-join. The line names the first
+    ``shown`` partners and the work.
     """
-    each = works.select("id", "cited_by_count", "authorships", F.explode("authorships").alias("me"))
-    ranked = each.withColumn("_rn", F.row_number().over(Window.partitionBy("me.author_id").orderBy(F.desc("cited_by_count"), "id"))).where(F.col("_rn") <= top)
-    mine = F.col("me")["author_id"]
-    others = F.filter("authorships", lambda a: (a["author_id"] != mine) & F.exists(a["institutions"], lambda i: i["country"] == country))
-    named = F.transform(others, lambda a: F.struct(a["author_id"].alias("author_id"), a["position"].alias("position")))
-    found = ranked.withColumn("p", F.array_distinct(named)).where(F.size("p") > 0)
-    return found.select(F.col("me.author_id").alias("author_id"), "id", strength(F.col("me.position"), F.transform("p", lambda x: x["position"]), F.size("p"), F.col("cited_by_count")).alias("strength"), F.size("p").alias("partners"))
+    mine = F.explode(F.array_distinct(F.transform("authorships", lambda a: a["author_id"]))).alias("author_id")
+    each = works.select("id", "title", "year", "cited_by_count", "authorships", mine).where("author_id is not null")
+    ranked = each.withColumn("place", F.row_number().over(Window.partitionBy("author_id").orderBy(F.desc("cited_by_count"), "id"))).where(F.col("place") <= top)
+    own = F.filter("authorships", lambda a: a["author_id"] == F.col("author_id"))[0]["position"]
+
+    def partner(a: Column) -> Column:
+        there = F.transform(F.slice(F.filter(a["institutions"], lambda i: i["country"] == country), 1, 3), lambda i: institution_label(i["name"], i["country"]))
+        who = F.when(string(a["name"]) == "", F.lit("未知中国合作者")).otherwise(string(a["name"]))
+        return F.struct(F.concat(who, F.lit("（"), F.array_join(F.array_distinct(there), "、"), F.lit("）")).alias("label"), string(a["position"]).alias("position"))
+
+    others = F.filter("authorships", lambda a: ~a["author_id"].eqNullSafe(F.col("author_id")) & F.exists(a["institutions"], lambda i: i["country"] == country))
+    placed = ranked.withColumn("_p", F.transform(others, partner)).where(F.size("_p") > 0)
+    first = F.filter("_p", lambda x, k: F.array_position(F.transform("_p", lambda y: y["label"]), x["label"]) == k + 1)
+    found = placed.withColumn("_p", first)
+    kind = strength(own, F.transform("_p", lambda x: x["position"]), F.size("_p"), F.coalesce("cited_by_count", F.lit(0)))
+    title = F.when(string("title") == "", "未知论文").otherwise(clip("title", 120))
+    year = F.when(string("year") == "", "未知年份").otherwise(string("year"))
+    names = F.array_join(F.transform(F.slice("_p", 1, shown), lambda x: x["label"]), "、")
+    said = [F.col("strength"), F.lit("："), names, F.lit("；合作依据：《"), title, F.lit("》（"), year, F.lit("，OpenAlex，引用"), F.coalesce("cited_by_count", F.lit(0)).cast("string"), F.lit("次）")]
+    return found.withColumn("strength", kind).select("author_id", "place", "id", "strength", F.size("_p").alias("partners"), F.concat(*said).alias("line"))
+
+
+def collaboration_texts(found: DataFrame, most: int = 5) -> DataFrame:
+    """(author_id, collab): the lines of an author's first works with partners, as one text."""
+    first = found.withColumn("_rn", F.row_number().over(Window.partitionBy("author_id").orderBy("place"))).where(F.col("_rn") <= most)
+    listed = F.array_sort(F.collect_list(F.struct("_rn", "line")))
+    return first.groupBy("author_id").agg(F.array_join(F.transform(listed, lambda x: x["line"]), "；").alias("collab"))
 
 
 def attach_if(rows: DataFrame, other: DataFrame, keys: list[str], columns: list[str], condition: Column) -> DataFrame:

@@ -108,13 +108,6 @@ def identity_lock(t: Tables) -> DataFrame:
     return pairs.select("c_custkey", complete.identity_lock(F.col("c_acctbal") >= 0, F.col("c_custkey") % 3, F.col("s_acctbal") > 0, even, even).alias("lock"))
 
 
-@query("""SELECT c_custkey, c_acctbal > 0 AND c_custkey % 3 > 0 AND c_nationkey = s_nationkey AND c_custkey % 2 = 0 AS kept FROM customer JOIN supplier ON c_custkey = s_suppkey""")
-def claim_gate(t: Tables) -> DataFrame:
-    pairs = t.customer.join(t.supplier, F.col("c_custkey") == F.col("s_suppkey"))
-    hosts = F.when(F.col("c_custkey") % 2 == 0, F.array(F.lit("a.edu"), F.lit("b.edu"))).otherwise(F.array(F.lit("a.edu"), F.lit("a.edu")))
-    return pairs.select("c_custkey", complete.claim_kept(F.col("c_acctbal") > 0, F.col("c_custkey") % 3 > 0, F.col("c_nationkey") == F.col("s_nationkey"), hosts, F.lit(True)).alias("kept"))
-
-
 @query("""SELECT doc_id, 'missing' AS side FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels) UNION ALL SELECT doc_id, 'extra' FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents)""")
 def coverage_check(t: Tables) -> DataFrame:
     return complete.coverage(t.documents, t.labels, "doc_id")

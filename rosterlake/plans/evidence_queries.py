@@ -53,11 +53,6 @@ def email_first(t: Tables) -> DataFrame:
     return found.withColumnRenamed("value", "email")
 
 
-@query()
-def html_text(t: Tables) -> DataFrame:
-    return t.pages.select("page_id", text.html_text("html").alias("text"))
-
-
 @query()
 def segment_hits(t: Tables) -> DataFrame:
     return evidence.first_hit(t.documents, "source", "doc_id", "text", r"(?i)[^.;\n]{0,80}\b(?:the|les|die|los)\b[^.;\n]{0,80}")

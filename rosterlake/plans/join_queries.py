@@ -67,22 +67,6 @@ def works_authors(t: Tables) -> DataFrame:
     return ranked.select("author_id", "id", F.row_number().over(Window.orderBy(F.desc("cited_by_count"), "id", "pos")).alias("place"))
 
 
-@query(f"""WITH {WORKS_SQL}, me AS (SELECT author_id, id, ln, position, cited, row_number() OVER (PARTITION BY author_id ORDER BY cited DESC, id) AS rn FROM (SELECT author_id, id, min(ln) AS ln, arg_min(position, ln) AS position, max(cited) AS cited FROM w GROUP BY 1, 2)),
-p AS (SELECT m.author_id, m.id, m.position AS mp, m.cited, count(DISTINCT (o.author_id, o.position)) AS partners, bool_or(o.position IN ('first', 'last')) AS ends FROM me m JOIN w o ON o.id = m.id AND o.author_id <> m.author_id AND o.country < 5 WHERE rn <= 40 GROUP BY 1, 2, 3, 4)
-SELECT author_id, id, CASE WHEN (mp IN ('first', 'last') AND ends) OR (partners >= 2 AND cited >= 300) THEN '强合作' WHEN cited >= 100 OR partners >= 2 THEN '中合作' ELSE '弱合作' END AS strength, partners FROM p""")
-def collab_strength(t: Tables) -> DataFrame:
-    near = F.transform("authorships", lambda a: F.struct(a["l_linenumber"].alias("ln"), a["author_id"].alias("author_id"), a["position"].alias("position"), F.transform(a["institutions"], lambda i: F.struct(F.when(i["country"].cast("int") < 5, "CN").otherwise(i["country"]).alias("country"))).alias("institutions")))
-    w = works(t).withColumn("authorships", near)
-    # one sighting of an author in a work: the first
-    mine = w.select("id", "cited_by_count", "authorships", F.explode("authorships").alias("me"))
-    once = merge.first_seen(mine.withColumn("a", F.col("me.author_id")), ["id", "a"], [F.asc("me.ln")])
-    ranked = once.withColumn("rn", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("cited_by_count"), "id"))).where("rn <= 40")
-    others = F.filter("authorships", lambda a: (a["author_id"] != F.col("a")) & F.exists(a["institutions"], lambda i: i["country"] == "CN"))
-    p = ranked.withColumn("p", F.array_distinct(F.transform(others, lambda a: F.struct(a["author_id"], a["position"].alias("position"))))).where(F.size("p") > 0)
-    strength = match.strength(F.col("me.position"), F.transform("p", lambda x: x["position"]), F.size("p"), F.col("cited_by_count"))
-    return p.select(F.col("a").alias("author_id"), "id", strength.alias("strength"), F.size("p").cast("bigint").alias("partners"))
-
-
 @query("""SELECT d.doc_id, CASE WHEN p.page_id IS NULL THEN '未尝试' WHEN d.doc_id % 5 = 0 THEN '否' ELSE '是' END AS status, CASE WHEN p.page_id IS NULL THEN '未尝试' WHEN d.doc_id % 5 = 0 THEN '失败' ELSE 'HTTP' END AS method FROM documents d LEFT JOIN pages p ON d.doc_id = p.page_id""")
 def page_join_status(t: Tables) -> DataFrame:
     joined = t.documents.select("doc_id").join(t.pages.select(F.col("page_id").alias("doc_id"), F.col("url").alias("homepage")), "doc_id", "left")

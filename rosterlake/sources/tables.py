@@ -2,13 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import time
+import uuid
+
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from rosterlake.functions import rules
 from rosterlake.functions.text import string
 from rosterlake.functions.urls import normal_url
 from rosterlake.operators.filters import is_person
+from rosterlake.operators.joins import SMALL_ROWS
+
+#: Places of sources that users give, behind those that are fixed.
+GIVEN_FROM = 1_000_000
 
 
 def read_batches(spark: SparkSession, paths: list[str], schema: T.StructType, name: str = "name") -> DataFrame:
@@ -17,6 +26,28 @@ def read_batches(spark: SparkSession, paths: list[str], schema: T.StructType, na
     return read.where(is_person(name))
 
 
+def chosen_files(spark: SparkSession, folder: str, kinds: tuple[str, ...] = ("validation", "delivery")) -> list[str]:
+    """Files of batches (folder/batch/kind/file): of each batch the first kind that it has.
+
+    Only file names are read, and the list is the one that the scan of these files holds anyway.
+    """
+    files = spark.read.option("recursiveFileLookup", "true").parquet(folder).select(F.col("_metadata.file_path").alias("path")).distinct()
+    part = lambda k: F.element_at(F.split("path", "/"), k)
+    rank = F.array_position(F.array(*[F.lit(k) for k in kinds]), part(-2))
+    ranked = files.select("path", part(-3).alias("batch"), rank.alias("rank")).where("rank > 0")
+    best = ranked.groupBy("batch").agg(F.min("rank").alias("rank"))
+    return [r.path for r in ranked.join(best.hint("merge"), ["batch", "rank"]).select("path").collect()]
+
+
+def preferred_batches(spark: SparkSession, folder: str, schema: T.StructType, name: str = "name", kinds: tuple[str, ...] = ("validation", "delivery")) -> DataFrame:
+    """Rows of all batches below a folder with their ``batch_id``, from the checked table where a batch has one; rows that name no person go."""
+    files = chosen_files(spark, folder, kinds)
+    if not files:
+        return spark.createDataFrame([], T.StructType([*schema.fields, T.StructField("batch_id", T.StringType())]))
+    read = spark.read.schema(schema).parquet(*files).withColumn("batch_id", F.element_at(F.split("_metadata.file_path", "/"), -3))
+    return read.where(is_person(name))
+
+
 def markdown_rows(docs: DataFrame, key: str, text: str, header: str, least_cells: int = 10) -> DataFrame:
     """Rows of the first Markdown table of each text whose header holds ``header``.
 
@@ -40,8 +71,8 @@ def first_block(docs: DataFrame, key: str, text: str) -> DataFrame:
     lines = docs.select(key, F.posexplode(F.split(string(text), "\n")).alias("line", "raw")).withColumn("raw", F.trim("raw"))
     barred = lines.withColumn("_bar", F.col("raw").rlike(r"^\|.*\|$|^\|$"))
     one = barred.groupBy(key).agg(F.min(F.when(F.col("_bar"), F.col("line"))).alias("_first")).where("_first is not null")
-    ends = barred.join(one, key).where(~F.col("_bar") & (F.col("line") > F.col("_first"))).groupBy(key).agg(F.min("line").alias("_end"))
-    inside = barred.join(one, key).join(ends, key, "left").where((F.col("line") >= F.col("_first")) & (F.col("_end").isNull() | (F.col("line") < F.col("_end"))))
+    ends = barred.join(one.hint("merge"), key).where(~F.col("_bar") & (F.col("line") > F.col("_first"))).groupBy(key).agg(F.min("line").alias("_end"))
+    inside = barred.join(one.hint("merge"), key).join(ends.hint("merge"), key, "left").where((F.col("line") >= F.col("_first")) & (F.col("_end").isNull() | (F.col("line") < F.col("_end"))))
     cells = F.transform(F.split(F.regexp_replace("raw", r"^\|+|\|+$", ""), r"\|"), lambda c: F.trim(c))
     rows = inside.select(key, (F.col("line") - F.col("_first") + 1).alias("row"), cells.alias("cells"))
     divider = (F.col("row") == 2) & F.forall("cells", lambda c: F.replace(c, F.lit(" "), F.lit("")).rlike("^[-:]*$"))
@@ -71,6 +102,22 @@ def row_numbers(rows: DataFrame, column: str) -> DataFrame:
     return rows.withColumn(column, F.trim(string(column)).try_cast("bigint")).where(F.col(column).isNotNull())
 
 
+def source_records(queries: DataFrame, key: str, query: str, records: DataFrame, given: DataFrame, pattern: str = rules.AGRICULTURE_QUERY) -> DataFrame:
+    """(key, ord, name, url, purpose, fetch) of each query: core sources, those of its domain, and web addresses that its user gives, each once.
+
+    records: (ord, kind, name, url, purpose, fetch), few rows, of kind ``core``, or ``domain`` for queries that fit the
+    pattern; given: (key, at, url). The first of URLs that differ in case and end slashes counts.
+    """
+    asked = queries.select(key, F.col(query).rlike(f"(?i){pattern}").alias("_domain"))
+    fixed = asked.join(F.broadcast(records.limit(SMALL_ROWS)), (F.col("kind") == "core") | F.col("_domain"))
+    own = given.withColumn("url", F.trim(string("url"))).where(F.col("url").rlike("^https?://")).select(
+        key, (F.col("at") + GIVEN_FROM).alias("ord"), F.concat(F.lit("用户补充数据源 "), F.col("at").cast("string")).alias("name"), "url", F.lit("用户指定的候选专家与公开信息补充来源").alias("purpose"), F.lit(True).alias("fetch")
+    )
+    both = fixed.select(key, F.col("ord").cast("long").alias("ord"), "name", "url", "purpose", "fetch").unionByName(own.withColumn("ord", F.col("ord").cast("long")))
+    first = Window.partitionBy(key, normal_url("url")).orderBy("ord")
+    return both.withColumn("_rn", F.row_number().over(first)).where("_rn = 1").drop("_rn")
+
+
 def source_list(*tables: DataFrame) -> DataFrame:
     """(url, ord) of several lists: one row for each URL that differs in more than case and end slashes, the first counts."""
     out = tables[0]
@@ -80,11 +127,6 @@ def source_list(*tables: DataFrame) -> DataFrame:
     return out.withColumn("_rn", F.row_number().over(Window.partitionBy(key).orderBy("ord"))).where("_rn = 1").drop("_rn")
 
 
-def top_nested(array: str, by: str, n: int) -> Column:
-    """The first ``n`` structs of an array by a falling number."""
-    return F.slice(F.sort_array(F.transform(array, lambda x: F.struct(x[by].alias("_by"), x.alias("x"))), asc=False), 1, n)
-
-
 def capped_texts(docs: DataFrame, source: str, key: str, text: str, per_file: int = 50_000, files: int = 10, total: int | None = None) -> DataFrame:
     """Cleaned texts of each source: so many characters a file, so many files, and a running total if given."""
     clean = F.trim(F.regexp_replace(F.regexp_replace(string(text), r"[ \t]+", " "), r"\n{3,}", "\n\n"))
@@ -100,3 +142,34 @@ def write_tables(tables: dict[str, DataFrame], folder: str) -> None:
     """One Parquet table for each sheet; an empty table keeps its schema."""
     for name, df in tables.items():
         df.write.mode("overwrite").parquet(f"{folder.rstrip('/')}/{name}")
+
+
+MANIFEST = "run string, at long, name string, path string"
+
+
+def write_run(tables: dict[str, DataFrame], folder: str) -> str:
+    """Several tables as one commit: all under a folder of their own, and a manifest that names them at last.
+
+    Readers follow the manifest, so what a broken run has written is never read.
+    """
+    folder, run = folder.rstrip("/"), uuid.uuid4().hex
+    for name, df in tables.items():
+        df.write.parquet(f"{folder}/{run}/{name}")
+    spark = next(iter(tables.values())).sparkSession
+    at = time.time_ns()
+    spark.createDataFrame([(run, at, name, f"{run}/{name}") for name in tables], MANIFEST).coalesce(1).write.mode("append").parquet(f"{folder}/manifest")
+    return run
+
+
+def read_run(spark: SparkSession, folder: str, run: str | None = None) -> dict[str, DataFrame]:
+    """The tables of a run, of the last one unless it is named; none if no run is complete."""
+    try:
+        listed = spark.read.schema(MANIFEST).parquet(f"{folder.rstrip('/')}/manifest")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return {}
+    if run is None:
+        run = (listed.agg(F.max_by("run", F.struct("at", "run"))).first() or [None])[0]
+    rows = listed.where(F.col("run") == run).select("name", "path").collect()  # a few names
+    return {r["name"]: spark.read.parquet(f"{folder.rstrip('/')}/{r.path}") for r in rows}

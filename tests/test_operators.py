@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from rosterlake.functions import rules
-from rosterlake.operators import complete, evidence, filters, joblog, match, merge, report, score, select
+from rosterlake.operators import complete, evidence, extract, filters, joblog, match, merge, report, score, select
 from rosterlake.plans.finalize import finalize
 from rosterlake.sources import tables
 
@@ -91,7 +91,7 @@ def test_joblog(spark):
 
 def test_evidence(spark):
     items = spark.createDataFrame([(1, 1, "Obituary: Ada Lovelace passed away", "http://a.com/obituary"), (2, 1, "Ada Lovelace, who died in May", "http://a.com/1"), (3, 1, "Ada Lovelace works", "http://a.com"), (4, 1, "Ada Lovelace died", "http://a.com"), (4, 2, "Ada K. Lovelace died", "http://b.com")], "k int, pos int, content string, url string").withColumn("name", F.lit("Ada Lovelace"))
-    said = evidence.event_hits("content", "name", ("passed away", "died"))
+    said = extract.says_death("content", "name")
     strong = F.exists(F.array(*[F.lit(h) for h in rules.STRONG_SOURCE_HINTS]), lambda h: F.contains(F.lower("url"), h))
     got = {r.k: r.verdict for r in evidence.two_domain_verdict(items, "k", "pos", "url", said, strong).collect()}
     assert got == {1: "确认已故", 2: "疑似已故待复核", 3: "未发现死亡证据", 4: "确认已故"}
