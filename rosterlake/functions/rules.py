@@ -286,3 +286,11 @@ SOURCE_RECORDS = (
 # Words of a failed connection, and of the service that it is about.
 CONNECTION_WORDS = ("connection error", "connecttimeout", "readtimeout", "timed out", "连接失败", "连接超时", "服务连接失败或超时")
 MODEL_WORDS = ("llm/api", "研究员节点", "验证节点", "纠错节点", "模型中转", "大模型")
+
+# Parts of a profile that speak of a high honour, in order.
+BASIS_PATTERNS = (
+    r"[^；。]{0,80}(?:美国国家科学院|National Academy|院士|Academician)[^；。]{0,80}",
+    r"[^；。]{0,80}(?:CIGR|IEEE Fellow|ACM Fellow|AAAI Fellow|Royal Society)[^；。]{0,80}",
+    r"[^；。]{0,80}(?:世界粮食奖|World Food Prize|诺贝尔|Nobel|图灵奖|Turing Award|菲尔兹|Fields Medal)[^；。]{0,80}",
+    r"[^；。]{0,80}(?:全球前2%|斯坦福2%|高被引学者|Highly Cited Researcher)[^；。]{0,80}",
+)

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from rosterlake.functions import rules
 from rosterlake.functions.names import mentions, simple_name
 from rosterlake.functions.text import HAN, any_contains, one_of, segments, string
+from rosterlake.functions.urls import netloc
 from rosterlake.operators.evidence import is_navigation
 
 
@@ -179,6 +180,45 @@ def survival_items(items: DataFrame, key: str, pos: str, title: str, content: st
     return marked.where(F.size(F.concat("_t", "_b")) > 0).select(key, pos, url, F.concat("_t", "_b")[0].alias("snippet"), strong.alias("strong"))
 
 
+# Verdicts, and what is said for one weak item and for none.
+CONFIRMED, SUSPECTED, NO_DEATH = "确认已故", "疑似已故待复核", "未发现死亡证据"
+ONE_WEAK, NO_ITEM = "单一弱证据待人工核验：", "独立网页检索未发现同时匹配专家姓名与明确死亡表述的证据"
+
+
+def death_verdicts(found: DataFrame, key: str, most: int = 2) -> DataFrame:
+    """(key, verdict, why) from items that say a death: a strong one or two domains confirm. found: (key, pos, url, snippet, strong)."""
+    host = F.coalesce(F.nullif(netloc("url"), F.lit("")), F.col("url"))
+    sums = found.groupBy(key).agg(F.bool_or("strong").alias("_s"), F.count_distinct(host).alias("_n"))
+    # strong items are named alone where there are any
+    best = found.withColumn("_rn", F.row_number().over(Window.partitionBy(key).orderBy(F.desc("strong"), "pos"))).where(F.col("_rn") <= most)
+    item = F.struct("_rn", "strong", F.concat("snippet", F.lit(" | "), F.col("url")).alias("text"))
+    listed = best.groupBy(F.col(key).alias("_key")).agg(F.array_sort(F.collect_list(item)).alias("_l"))
+    joined = sums.join(listed.hint("merge"), F.col(key) == F.col("_key"))
+    confirmed = F.col("_s") | (F.col("_n") >= 2)
+    chosen = F.filter("_l", lambda x: x["strong"] | ~F.col("_s"))
+    text = F.array_join(F.transform(chosen, lambda x: F.when(confirmed, x["text"]).otherwise(F.concat(F.lit(ONE_WEAK), x["text"]))), "；")
+    return joined.select(key, F.when(confirmed, CONFIRMED).otherwise(SUSPECTED).alias("verdict"), text.alias("why"))
+
+
+def verify_survival(rows: DataFrame, row_id: str, name: str, items: DataFrame, cap: int | None = None) -> DataFrame:
+    """Rows whose check is open take the verdict of their items: check, reason and status; those beyond the cap say so.
+
+    items: (row_id, pos, title, content, url). Columns death_check, death_check_why and life_status are set.
+    """
+    from rosterlake.operators.filters import NOT_RUN, survival_queue
+
+    queued = survival_queue(rows, row_id, name, "life_status", "death_check", cap)
+    asked = queued.where("queued").select(row_id, F.col(name).alias("_name"))
+    met = items.join(asked.hint("merge"), row_id)
+    found = death_verdicts(survival_items(met, row_id, "pos", "title", "content", "url", "_name"), row_id)
+    joined = queued.join(found.hint("merge"), row_id, "left")
+    verdict, q = F.coalesce("verdict", F.lit(NO_DEATH)), F.col("queued")
+    status = F.when(q & (verdict == CONFIRMED), "已故").when(q & (verdict == NO_DEATH) & (F.trim(string("life_status")) == "已故"), "待核验").otherwise(F.col("life_status"))
+    check = F.when(q, verdict).when(F.col("why_not").isNotNull(), NOT_RUN).otherwise(F.col("death_check"))
+    why = F.when(q, F.coalesce("why", F.lit(NO_ITEM))).otherwise(F.coalesce("why_not", F.col("death_check_why")))
+    return joined.withColumns({"life_status": status, "death_check": check, "death_check_why": why}).drop("queued", "why_not", "verdict", "why")
+
+
 def fill_missing(rows: DataFrame, key: str, stages: list[DataFrame], missing: dict[str, Column]) -> DataFrame:
     """Columns filled where their check says that they are missing, from tables (key, column, ...) in stage order; one row for each key."""
     return reduce(lambda out, stage: fill_once(out, key, stage, missing), stages, rows)

@@ -120,13 +120,15 @@ UNCHECKED = ("", "未执行", "核验失败")
 NO_NAME, OVER_CAP, NOT_RUN = "缺少专家姓名", "超过本批独立核验数量上限", "未执行"
 
 
-def survival_queue(rows: DataFrame, row_id: str, name: str, status: str, check: str, cap: int) -> DataFrame:
-    """Adds ``queued`` and ``why_not``: unchecked rows, those said to be dead first, up to ``cap``; rows without a name take no place.
+def survival_queue(rows: DataFrame, row_id: str, name: str, status: str, check: str, cap: int | None) -> DataFrame:
+    """Adds ``queued`` and ``why_not``: unchecked rows, those said to be dead first, up to ``cap`` (all without one); rows without a name take no place.
 
     What comes before the last place is a limit, so the queue is never ordered as a whole.
     """
     open_ = F.trim(string(check)).isin(*UNCHECKED)
     named = F.trim(string(name)) != ""
+    if cap is None:
+        return rows.withColumn("queued", open_ & named).withColumn("why_not", F.when(open_ & ~named, NO_NAME))
     later = F.when(string(status).rlike(DEAD), 0).otherwise(1)
     first = rows.where(open_ & named).select(row_id, later.alias("_later")).orderBy("_later", row_id).limit(cap).select(row_id, F.lit(True).alias("_q"))
     joined = rows.join(first.hint("merge"), row_id, "left")

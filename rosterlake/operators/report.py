@@ -44,8 +44,8 @@ DELIVERED = (
 )
 
 
-def delivery(experts: DataFrame, query_domain: str, query_subdomain: str) -> DataFrame:
-    """The 35 delivered columns, of rows that name a person; columns that a table lacks read as blank."""
+def delivery(experts: DataFrame, query_domain: str, query_subdomain: str, patterns: tuple[str, ...] = rules.BASIS_PATTERNS) -> DataFrame:
+    """The 35 delivered columns, of rows that name a person; columns that a table lacks read as blank. patterns: what counts as a hit in post, achievements and career."""
     have = set(experts.columns)
     col = lambda c: F.col(c) if c in have else F.lit(None).cast("string")
     subdomains = subdomain_list(clean_text(F.array_join("subdomains", "；") if "subdomains" in have else F.lit(None), query_subdomain))
@@ -60,7 +60,7 @@ def delivery(experts: DataFrame, query_domain: str, query_subdomain: str) -> Dat
         "领域关联依据": clean_text(col("relevance"), clean_text(col("interests"))),
         "国内合作学者": clean_text(col("scholars"), rendered(sides["scholars"])),
         "国内合作单位": clean_text(col("units"), rendered(sides["units"])),
-        "入选依据": selection_basis(col("basis"), titles, texts, number_in(col("h_raw")), number_in(col("citations_raw")), relevance),
+        "入选依据": selection_basis(col("basis"), titles, texts, number_in(col("h_raw")), number_in(col("citations_raw")), relevance, patterns),
         "信息来源": rendered(sources, fallback="暂无可追溯网页来源"),
     }
     people = experts.where(is_person("name")) if "name" in have else experts

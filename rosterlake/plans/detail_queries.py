@@ -119,14 +119,26 @@ def collaboration_snippet(t: Tables) -> DataFrame:
     return extract.collaboration(items(t), "k", "pos", "title", "content", "url")
 
 
-PERSON = r"\bthat(?:\s+[a-z][a-z.-]*){0,3}\s+thin\b"
-DEATH_SQL = "|".join([PERSON + r".{0,80}\b(?:passed away|died|is deceased|was deceased)\b", r"\b(?:death of|obituary for)\b.{0,40}" + PERSON, r"\bthe late\b.{0,30}" + PERSON])
+#: What is said at the end of a text, by its number, and the sentences of it that say a death of the person (none: no death).
+SAID = (
+    (" That Kay Thin passed away in 2019.", "That Kay Thin passed away in 2019."), (" An obituary for Prof That Thin!", "An obituary for Prof That Thin!"),
+    (" He met the late That B. Thin.", None), (" They read of the late That Beth Thin; later.", "They read of the late That Beth Thin;"),
+    (" That Thin works. Others died.", None), ("", None), ("。王小明教授于2019年逝世。", "王小明教授于2019年逝世。"), ("。沉痛悼念 王小明 先生", "沉痛悼念 王小明 先生"), ("。王小明很好。某人去世", None),
+)
+HAN_FROM = 6
 
 
-@query(f"""WITH {ITEMS_SQL}, n AS (SELECT *, replace(content, ' led ', ' That le Thin ') AS c FROM it), s AS (SELECT k, pos, url, list_filter(string_split(regexp_replace(c, '([。！？.!?;；])\\s*', '\\1' || chr(1), 'g'), chr(1)), lambda s: regexp_matches(lower(s), '{DEATH_SQL}')) AS l, title FROM n)
-SELECT pos, left(trim(regexp_replace(l[1], '\\s+', ' ', 'g')), 320) AS snippet, regexp_matches(lower(title || ' ' || url), '{"|".join(rules.STRONG_SOURCE_HINTS)}') AS strong FROM s WHERE len(l) > 0""")
+@query(f"""WITH d AS (SELECT doc_id, doc_id % {len(SAID)} AS kind, doc_id % 5 = 0 AS page, doc_id % 4 = 0 AS titled, doc_id % 7 = 0 AS lone FROM documents),
+s AS (SELECT *, CASE kind {" ".join(f"WHEN {k} THEN '{found}'" for k, (_, found) in enumerate(SAID) if found)} END AS body, CASE WHEN titled AND kind < {HAN_FROM} THEN 'In memoriam: That Thin' END AS head FROM d)
+SELECT doc_id AS pos, coalesce(head, body) AS snippet, titled OR page AS strong FROM s WHERE coalesce(head, body) IS NOT NULL""")
 def survival_items(t: Tables) -> DataFrame:
-    rows = items(t).withColumn("content", F.replace("content", F.lit(" led "), F.lit(" That le Thin "))).withColumn("name", F.lit(NAME))
+    """Sentences that say a death: words behind and before the name, the late one, titles, Han names; some pages are strong by their address."""
+    n = F.col("doc_id")
+    said = F.element_at(F.array(*[F.lit(x) for x, _ in SAID]), (n % len(SAID) + 1).cast("int"))
+    title = F.when(n % 4 == 0, "In memoriam: That Thin").otherwise("a page")
+    name = F.when(n % len(SAID) >= HAN_FROM, "王小明").otherwise(NAME)
+    url = F.concat(F.lit("https://x.com/"), F.when(n % 5 == 0, "obituary/").otherwise(""), n.cast("string"))
+    rows = t.documents.select(F.col("source").alias("k"), n.alias("pos"), title.alias("title"), F.concat("text", F.lit(" ."), said).alias("content"), url.alias("url"), name.alias("name"))
     return extract.survival_items(rows, "k", "pos", "title", "content", "url", "name").select("pos", "snippet", "strong")
 
 

@@ -30,7 +30,7 @@ def preferred_batches(t: Tables) -> DataFrame:
     return tables.preferred_batches(t.spark, folder, schema).groupBy("batch_id", "kind").agg(F.count("*").alias("n"))
 
 
-@query(f"""WITH r AS (SELECT unnest({[r[2] for r in rules.SOURCE_RECORDS]}) AS url, unnest({[r[0] for r in rules.SOURCE_RECORDS]}) AS kind, unnest(range(1, {len(rules.SOURCE_RECORDS) + 1})) AS ord, unnest({[bool(r[4]) for r in rules.SOURCE_RECORDS]}) AS fetch),
+@query(f"""WITH r AS (SELECT unnest({[r[2] for r in rules.SOURCE_RECORDS]}) AS url, unnest({[r[0] for r in rules.SOURCE_RECORDS]}) AS kind, unnest(range(1, {len(rules.SOURCE_RECORDS) + 1})) AS ord, unnest({[bool(r[4]) for r in rules.SOURCE_RECORDS]}) AS fetched),
 q AS (SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN 'Crop science' ELSE 'physics' END AS q, 'https://a.org/' || c_custkey AS own FROM customer),
 u AS (SELECT c_custkey, ord, url, fetched FROM q, r WHERE kind = 'core' OR q = 'Crop science' UNION ALL SELECT c_custkey, 1000001, own, true FROM q UNION ALL SELECT c_custkey, 1000004, 'http://b.org', true FROM q)
 SELECT c_custkey, count(*) AS n, count(CASE WHEN fetched THEN 1 END) AS n_fetched, string_agg(url, ' ' ORDER BY ord) AS sources FROM u GROUP BY 1""")
