@@ -76,6 +76,12 @@ def best_url(candidates: DataFrame, key: str, url: str, score: Column, order: li
     return best.where("_rk = 1").select(key, url, "score")
 
 
+def identity_context(text: Column | str, *tokens: Column) -> Column:
+    """Whether a text holds a token of any of the arrays (of institutions, of queries)."""
+    low = F.lower(string(text))
+    return reduce(lambda a, t: a | F.exists(t, lambda w: F.contains(low, F.lower(w))), tokens, F.lit(False))
+
+
 def relevant_items(items: DataFrame, url: str, names_person: Column, context: Column, official: Column) -> DataFrame:
     """Items of trusted sources that name the person and share a token, or stand on an official page."""
     return items.withColumn("tier", source_tier(url)).where((F.col("tier") < 4) & names_person & (context | official))

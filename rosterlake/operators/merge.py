@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rosterlake.functions.text import missing_pending, number_in, string
+from rosterlake.functions.text import glossary, missing_pending, number_in, string
 
 
 def combined_texts(rows: DataFrame, key: str, place: str, columns: list[str], missing, separator: str, joiner: str) -> DataFrame:
@@ -69,3 +69,8 @@ def new_rows(rows: DataFrame, known: DataFrame, key: str, order: list[Column]) -
 def overlay(cells: DataFrame, changes: DataFrame, keys: list[str], column: str, value: str, accept: Column) -> DataFrame:
     """``column`` replaced by ``value`` of the matching change where ``accept`` holds."""
     return cells.join(changes, keys, "left").withColumn(column, F.when(accept, F.col(value)).otherwise(F.col(column))).drop(value)
+
+
+def translated(cells: DataFrame, changes: DataFrame, keys: list[str], column: str, value: str) -> DataFrame:
+    """``column`` replaced by translations that are not blank, put right by the glossary."""
+    return overlay(cells, changes.withColumn(value, glossary(value)), keys, column, value, F.trim(string(value)) != "")

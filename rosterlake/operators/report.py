@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -103,5 +105,7 @@ def residue_audit(rows: DataFrame, key: str, columns: list[str], most: int = 12)
     return found.unionByName(said)
 
 
-def histogram(rows: DataFrame, column: str) -> DataFrame:
-    return rows.groupBy(column).agg(F.count("*").alias("n"))
+def counters(tables: dict[str, DataFrame], field: str) -> DataFrame:
+    """(counter, field, n): the rows of each table by a column."""
+    each = [t.groupBy(F.lit(name).alias("counter"), F.col(field).alias("field")).agg(F.count("*").alias("n")) for name, t in tables.items()]
+    return reduce(DataFrame.unionByName, each)

@@ -37,9 +37,15 @@ def balanced_quota(rows: DataFrame, row_key: str, groups: Column, wanted: DataFr
     return few.withColumn("pick", F.row_number().over(place)).where(F.col("pick") <= n).drop("_in")
 
 
-def within_budget(rows: DataFrame, keys: list[str], order: list[Column], text: str, budget: int, extra: int = 0) -> DataFrame:
-    """Texts in order as long as a running character budget of each group lasts; the last one is cut; empty texts go."""
+def within_budget(rows: DataFrame, keys: list[str], order: list[Column], text: str, budget: int, extra: int = 0, each: int | None = None, mark: str = "") -> DataFrame:
+    """Texts in order as long as a running character budget of each group lasts; the last one is cut; empty texts go.
+
+    each: what a text may take at most, with a mark where it is cut.
+    """
     full = rows.where(F.length(text) > 0)
+    if each:
+        short = F.concat(F.rtrim(F.left(F.col(text), F.lit(each - len(mark)))), F.lit(mark))
+        full = full.withColumn(text, F.when(F.length(text) > each, short).otherwise(F.col(text)))
     left = running_budget(full, keys, order, F.length(text) + extra, budget, F.xxhash64(text))
     return left.withColumn(text, F.when(F.length(text) > F.col("_left"), F.rtrim(F.left(F.col(text), F.col("_left")))).otherwise(F.col(text))).drop("_left")
 

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rosterlake.functions import text
-from rosterlake.operators import complete, report, select
+from rosterlake.functions import names, text
+from rosterlake.operators import complete, evidence, report, score, select
 
 from .book import Tables, query
 
@@ -124,10 +124,26 @@ def improvement_counts(t: Tables) -> DataFrame:
     return report.counts_before_after(before, missing({"quality": F.col("quality").isNull(), "toxic": F.col("toxic").isNull()}), "field")
 
 
-@query(f"""WITH {CELLS_SQL} SELECT "column", count(*) AS n FROM given g WHERE EXISTS (SELECT 1 FROM blank b WHERE b.doc_id = g.doc_id AND b."column" = g."column") GROUP BY 1""")
+@query(f"""WITH {CELLS_SQL}, b AS (SELECT g.* FROM given g JOIN blank b ON b.doc_id = g.doc_id AND b."column" = g."column") SELECT 'accepted' AS counter, "column" AS field, count(*) AS n FROM b GROUP BY 2 UNION ALL SELECT 'proposed', "column", count(*) FROM given GROUP BY 2
+UNION ALL SELECT 'missing', "column", count(*) FROM blank GROUP BY 2 UNION ALL SELECT 'left', k."column", count(*) FROM blank k LEFT JOIN b ON b.doc_id = k.doc_id AND b."column" = k."column" WHERE b.doc_id IS NULL GROUP BY 2""")
 def accepted_counts(t: Tables) -> DataFrame:
-    blank = cells(t).where(text.cell_placeholder("value"))
-    return report.histogram(complete.valid_proposals(given(t), blank, "doc_id"), "column")
+    """Cells by column: missing, proposed, accepted, and still missing."""
+    blank, new = cells(t).where(text.cell_placeholder("value")), given(t)
+    valid = complete.valid_proposals(new, blank, "doc_id")
+    left = blank.join(valid.select("doc_id", "column").hint("merge"), ["doc_id", "column"], "left_anti")
+    return report.counters({"missing": blank, "proposed": new, "accepted": valid, "left": left}, "column")
+
+
+@query("""WITH b AS (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'https://a.org' ELSE 'a.org' END AS homepage, CASE WHEN doc_id % 3 = 0 THEN 'a@b.org' ELSE 'none at all' END AS contact, CASE WHEN doc_id % 5 = 0 THEN '待核验' ELSE lang END AS org, CASE WHEN quality = 1 THEN '约 85' ELSE '0' END AS h FROM documents LEFT JOIN labels USING (doc_id))
+SELECT doc_id, array_to_string(list_filter([CASE WHEN doc_id % 2 = 1 THEN 'homepage' END, CASE WHEN doc_id % 3 > 0 THEN 'contact' END, 'interests', CASE WHEN doc_id % 5 = 0 THEN 'org' END, 'position', 'career', 'education', 'achievements', 'collab', 'basis', CASE WHEN h = '0' THEN 'h_raw' END, 'i10_raw', 'citations_raw'], lambda x: x IS NOT NULL), ',') AS missing FROM b""")
+def profile_gaps(t: Tables) -> DataFrame:
+    """The missing fields of profiles by the check of each field."""
+    k = F.col("doc_id")
+    b = t.documents.join(t.labels, "doc_id", "left")
+    given_ = {"homepage": F.when(k % 2 == 0, "https://a.org").otherwise("a.org"), "contact": F.when(k % 3 == 0, "a@b.org").otherwise("none at all"), "org": F.when(k % 5 == 0, "待核验").otherwise(F.col("lang")), "h_raw": F.when(F.col("quality") == 1, "约 85").otherwise("0")}
+    checks = score.profile_checks()
+    rows = b.select("doc_id", *[given_.get(c, F.lit(None).cast("string")).alias(c) for c in checks])
+    return rows.select("doc_id", F.array_join(score.missing_fields(checks), ",").alias("missing"))
 
 
 @query("""SELECT d.doc_id, coalesce('lang=' || lang, '') || ';source=' || source || ';text=' || CASE WHEN length(x) > 30 THEN rtrim(left(x, 30)) || '...' ELSE x END AS fields FROM (SELECT *, trim(regexp_replace(text, '\\s+', ' ', 'g')) AS x FROM documents) d""")
@@ -143,10 +159,11 @@ def cited_support(t: Tables) -> DataFrame:
     return rows.select("doc_id", complete.stated_in_cited("items", "urls", F.lit("ther|ouest")).alias("stated"))
 
 
-@query("""SELECT doc_id, contains(lower(text), lang) OR contains(lower(text), 'anti') AS context FROM documents""")
+@query("""SELECT doc_id, contains(lower(text), 'anti') OR contains(lower(text), lang || 'er') AS context FROM documents""")
 def token_context(t: Tables) -> DataFrame:
-    tokens = F.array("lang", F.lit("anti"))
-    return t.documents.select("doc_id", F.exists(tokens, lambda w: F.contains(F.lower("text"), w)).alias("context"))
+    """Documents that hold a token of an institution's name, or of a query."""
+    institution = names.institution_tokens(F.lit("The University of Anti"))
+    return t.documents.select("doc_id", evidence.identity_context("text", institution, F.array(F.concat("lang", F.lit("er")))).alias("context"))
 
 
 @query("""WITH j AS (SELECT d.doc_id, n_chars, quality, toxic FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id), q AS (SELECT doc_id, row_number() OVER (ORDER BY n_chars DESC, doc_id) AS rn FROM j WHERE quality IS NULL),

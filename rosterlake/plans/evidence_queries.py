@@ -9,7 +9,7 @@ from rosterlake.functions import names, text, urls
 from rosterlake.operators import evidence, select
 from rosterlake.sources import tables
 
-from .book import Tables, query
+from .book import Tables, new_folder, query
 
 DOMAIN_SQL = "regexp_replace(regexp_replace(regexp_extract(lower(url), '^[a-z][a-z0-9+.-]*://([^/?#]*)', 1), ':\\d+$', ''), '^www\\.', '')"
 
@@ -91,11 +91,13 @@ def doc_caps(t: Tables) -> DataFrame:
     return capped.select("source", "doc_id", F.md5("text").alias("digest"), F.length("text").alias("n"))
 
 
-@query("""WITH r AS (SELECT source, doc_id, left(text, 400) AS text, coalesce(sum(length(left(text, 400))) OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM documents)
+@query("""WITH c AS (SELECT source, doc_id, n_chars, CASE WHEN length(text) > 400 THEN rtrim(left(text, 395), ' ') || '[cut]' ELSE text END AS text FROM documents WHERE text <> ''),
+r AS (SELECT *, coalesce(sum(length(text)) OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS b FROM c)
 SELECT source, doc_id, CASE WHEN length(text) > 3000 - b THEN rtrim(left(text, CAST(3000 - b AS BIGINT)), ' ') ELSE text END AS text FROM r WHERE b < 3000""")
 def pack_budget(t: Tables) -> DataFrame:
-    clipped = t.documents.select("source", "doc_id", "n_chars", F.left("text", F.lit(400)).alias("text"))
-    return select.within_budget(clipped, ["source"], [F.desc("n_chars"), F.asc("doc_id")], "text", 3000).select("source", "doc_id", "text")
+    """Evidence under a cap for each text, marked where it is cut, and a running budget for each source."""
+    packed = select.within_budget(t.documents, ["source"], [F.desc("n_chars"), F.asc("doc_id")], "text", 3000, each=400, mark="[cut]")
+    return packed.select("source", "doc_id", "text")
 
 
 WORDS = ("there", "ouest", "ander", "ción", "eaux")
@@ -160,39 +162,53 @@ def markdown_rows(t: Tables) -> DataFrame:
     return rows.select("o_custkey", "row", F.element_at("cells", 1).alias("name"), F.element_at("cells", 2).alias("org"))
 
 
-CELLS_SQL = """cells AS (SELECT 'f' || n_nationkey AS file, 's' AS sheet, 3 AS row, 1 AS col, 'Name' AS value FROM nation UNION ALL SELECT 'f' || n_nationkey, 's', 3, 2, 'Org Unit' FROM nation UNION ALL SELECT 'f' || n_nationkey, 's', 1, 1, 'title' FROM nation
-UNION ALL SELECT 'f' || c_nationkey, 's', 4 + c_custkey, 1, c_name FROM customer UNION ALL SELECT 'f' || c_nationkey, 's', 4 + c_custkey, 2, 'Unit ' || c_custkey FROM customer)"""
+CELLS_SQL = """cells AS (SELECT 'f' || n_nationkey AS file, 's' AS sheet, 3 AS row, 1 AS col, 'Name' AS value FROM nation UNION ALL SELECT 'f' || n_nationkey, 's', 3, 2, 'Org Unit' FROM nation UNION ALL SELECT 'f' || n_nationkey, 's', 3, 3, 'Org' FROM nation UNION ALL SELECT 'f' || n_nationkey, 's', 1, 1, 'title' FROM nation
+UNION ALL SELECT 'f' || c_nationkey, 's', 4 + c_custkey, 1, CASE c_custkey % 4 WHEN 0 THEN ' ' WHEN 1 THEN '王某; Ada Lovelace' ELSE c_name END FROM customer UNION ALL SELECT 'f' || c_nationkey, 's', 4 + c_custkey, 2, 'Unit ' || c_custkey FROM customer
+UNION ALL SELECT 'f' || c_nationkey, 's', 4 + c_custkey, 3, CASE WHEN c_custkey % 3 = 0 THEN 'Hall' ELSE '' END FROM customer)"""
 
 
 def sheet_cells(t: Tables) -> DataFrame:
-    """Customers as sheets: a file for each nation, two columns with a header in the third row."""
-    fixed = F.array(*[F.struct(F.lit(r).cast("bigint").alias("row"), F.lit(c).alias("col"), F.lit(v).alias("value")) for r, c, v in ((3, 1, "Name"), (3, 2, "Org Unit"), (1, 1, "title"))])
+    """Customers as sheets: a file for each nation, three columns with a header in the third row."""
+    fixed = F.array(*[F.struct(F.lit(r).cast("bigint").alias("row"), F.lit(c).alias("col"), F.lit(v).alias("value")) for r, c, v in ((3, 1, "Name"), (3, 2, "Org Unit"), (3, 3, "Org"), (1, 1, "title"))])
     head = t.nation.select(F.concat(F.lit("f"), F.col("n_nationkey").cast("string")).alias("file"), F.lit("s").alias("sheet"), F.inline(fixed))
-    row = (F.col("c_custkey") + 4).alias("row")
-    data = F.array(F.struct(row, F.lit(1).alias("col"), F.col("c_name").alias("value")), F.struct(row, F.lit(2).alias("col"), F.concat(F.lit("Unit "), F.col("c_custkey").cast("string")).alias("value")))
+    row, k = (F.col("c_custkey") + 4).alias("row"), F.col("c_custkey")
+    name = F.when(k % 4 == 0, " ").when(k % 4 == 1, "王某; Ada Lovelace").otherwise(F.col("c_name"))
+    listed = (name, F.concat(F.lit("Unit "), k.cast("string")), F.when(k % 3 == 0, "Hall").otherwise(""))
+    data = F.array(*[F.struct(row, F.lit(c).alias("col"), v.alias("value")) for c, v in enumerate(listed, 1)])
     return head.unionByName(t.customer.select(F.concat(F.lit("f"), F.col("c_nationkey").cast("string")).alias("file"), F.lit("s").alias("sheet"), F.inline(data)))
 
 
 def layout(cells: DataFrame) -> DataFrame:
-    return tables.detect_header(cells, ("name",), ("name", "orgunit"))
+    return tables.detect_header(cells, ("name",), ("name", "orgunit", "org"))
 
 
-@query(f"WITH {CELLS_SQL}, s AS (SELECT file, sheet, row, max(CASE WHEN value = 'Name' THEN 100 ELSE 0 END) + 8 * count(CASE WHEN value IN ('Name', 'Org Unit') THEN 1 END) + least(count(*), 20) AS score FROM cells WHERE row <= 30 GROUP BY 1, 2, 3) SELECT * FROM s WHERE score >= 100")
+@query(f"WITH {CELLS_SQL}, s AS (SELECT file, sheet, row, max(CASE WHEN value = 'Name' THEN 100 ELSE 0 END) + 8 * count(CASE WHEN value IN ('Name', 'Org Unit', 'Org') THEN 1 END) + least(count(*), 20) AS score FROM cells WHERE row <= 30 AND trim(value) <> '' GROUP BY 1, 2, 3) SELECT * FROM s WHERE score >= 100")
 def header_detect(t: Tables) -> DataFrame:
     return layout(sheet_cells(t))
 
 
-@query(f"WITH {CELLS_SQL} SELECT file, row, CASE col WHEN 1 THEN 'name' ELSE 'org' END AS role, value FROM cells WHERE row > 3")
+@query("""WITH c AS (SELECT 'f' || c_nationkey AS file, 4 + c_custkey AS row, c_custkey AS k, CASE c_custkey % 4 WHEN 1 THEN '王某; Ada Lovelace' ELSE c_name END AS raw FROM customer WHERE c_custkey % 4 <> 0)
+SELECT file, row, 'raw_name' AS role, raw AS value FROM c UNION ALL SELECT file, row, 'name', CASE WHEN k % 4 = 1 THEN 'Ada Lovelace' ELSE raw END FROM c UNION ALL SELECT file, row, 'org', CASE WHEN k % 3 = 0 THEN 'Hall' ELSE '' END FROM c
+UNION ALL SELECT file, row, 'institution', 'Unit ' || k || CASE WHEN k % 3 = 0 THEN ' Hall' ELSE '' END FROM c""")
 def canonical_rows(t: Tables) -> DataFrame:
+    """Names as they are best searched for, rows without one gone, two workplace columns joined."""
     cells = sheet_cells(t)
-    roles = t.spark.createDataFrame([("name", "name"), ("orgunit", "org")], "alias string, role string")
+    roles = t.spark.createDataFrame([("name", "name"), ("orgunit", "org"), ("org", "org")], "alias string, role string")
     return tables.canonical_rows(cells, layout(cells), roles)
 
 
-@query("""SELECT CAST(c_custkey AS BIGINT) AS n, c_name FROM customer WHERE c_custkey % 4 <> 0""")
+@query("""WITH s AS (SELECT c_custkey AS n, c_name AS name FROM customer WHERE c_custkey % 4 <> 0), l AS (SELECT doc_id, quality FROM labels WHERE doc_id % 3 <> 0)
+SELECT n, name, CASE WHEN d.doc_id IS NOT NULL THEN CASE WHEN d.doc_id % 5 = 0 THEN 'later' ELSE lang END END AS evidence, CASE WHEN l.doc_id IS NOT NULL THEN quality END AS verdict FROM s LEFT JOIN documents d ON d.doc_id = n LEFT JOIN l ON l.doc_id = n""")
 def row_align(t: Tables) -> DataFrame:
-    texts = t.customer.select(F.when(F.col("c_custkey") % 4 == 0, F.concat(F.lit("row "), F.col("c_custkey").cast("string"))).otherwise(F.concat(F.lit(" "), F.col("c_custkey").cast("string"))).alias("n"), "c_name")
-    return tables.row_numbers(texts, "n")
+    """Source, evidence and validation rows of one number; numbers come as text, some are none, some twice."""
+    text_of = lambda c: F.concat(F.lit(" "), F.col(c).cast("string"))
+    k = F.col("c_custkey")
+    source = t.customer.select(F.when(k % 4 == 0, F.concat(F.lit("row "), k.cast("string"))).otherwise(text_of("c_custkey")).alias("n"), F.lit(0).alias("at"), F.col("c_name").alias("name"))
+    first = t.documents.select(text_of("doc_id").alias("n"), F.lit(0).alias("at"), F.col("lang").alias("found"))
+    again = t.documents.where("doc_id % 5 = 0").select(text_of("doc_id").alias("n"), F.lit(1).alias("at"), F.lit("later").alias("found"))
+    checked = t.labels.select(F.when(F.col("doc_id") % 3 == 0, "x").otherwise(text_of("doc_id")).alias("n"), F.lit(0).alias("at"), "quality")
+    got = tables.aligned(source, {"e": first.unionByName(again), "v": checked}, "n", "at")
+    return got.select("n", "name", F.col("e.found").alias("evidence"), F.col("v.quality").alias("verdict"))
 
 
 @query("""SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events""")
@@ -219,6 +235,19 @@ def evidence_bundle(t: Tables) -> DataFrame:
     return keyed.withColumn("pos", F.row_number().over(by.orderBy("doc_id"))).withColumn("items", F.count("*").over(by))
 
 
+@query("""WITH a AS (SELECT p_partkey AS id, p_name || ' ' || p_type AS name, p_size AS cited FROM part), f AS (SELECT 'ring economy' AS asked, * FROM a WHERE contains(lower(name), 'ring economy') UNION ALL SELECT 'economy ring', * FROM a WHERE contains(lower(name), 'economy') AND contains(lower(name), 'ring') UNION ALL SELECT 'nothing', * FROM a WHERE false),
+r AS (SELECT asked, id, name, cited, row_number() OVER (PARTITION BY asked ORDER BY cited DESC, id) AS place FROM f) SELECT * FROM r WHERE place <= 8""")
+def nested_search(t: Tables) -> DataFrame:
+    """Author documents written as JSON and read again with their schema; those that hold a phrase, or else all its words, the most cited first."""
+    folder = new_folder(t, "authors")
+    nested = t.part.select(F.col("p_partkey").alias("id"), F.concat_ws(" ", "p_name", "p_type").alias("display_name"), F.struct(F.col("p_size").alias("cited_by_count")).alias("summary_stats"))
+    nested.write.json(folder)
+    authors = t.spark.read.schema(nested.schema).json(folder)
+    found = [tables.search(authors, "display_name", asked, F.col("summary_stats.cited_by_count"), F.col("id"), 8).withColumn("asked", F.lit(asked)) for asked in ("ring economy", "economy ring", "nothing at all")]
+    every = found[0].unionByName(found[1]).unionByName(found[2])
+    return every.select("asked", "id", F.col("display_name").alias("name"), F.col("summary_stats.cited_by_count").alias("cited"), F.col("place").cast("long").alias("place"))
+
+
 @query("""WITH c AS (SELECT doc_id, n_chars, row_number() OVER (ORDER BY n_chars DESC, doc_id) AS rn FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)) SELECT d.doc_id, c.rn IS NOT NULL AND c.rn <= 25 AS queued FROM documents d LEFT JOIN c ON d.doc_id = c.doc_id""")
 def check_queue(t: Tables) -> DataFrame:
     rows = t.documents.join(t.labels.select("doc_id", F.lit(True).alias("known")), "doc_id", "left").withColumn("row_id", F.col("doc_id"))

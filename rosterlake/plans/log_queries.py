@@ -101,10 +101,13 @@ def job_upsert(t: Tables) -> DataFrame:
     return joblog.upserted(state, new.select("user_id", F.col("event_type").alias("status"), "value"), "user_id")
 
 
-@query("""SELECT event_id, event_type = 'error' AND value < 20 AS failed FROM events""")
+@query("""SELECT event_id, event_id % 3 = 0 AND event_id % 5 < 2 AS failed FROM events""")
 def conn_flag(t: Tables) -> DataFrame:
-    message = F.concat("event_type", F.when(F.col("value") < 20, F.lit(" Connection refused by model gateway")).otherwise(F.lit(" ok")))
-    return t.events.select("event_id", joblog.connection_failure(message, ("connection refused", "connection reset"), ("error",)).alias("failed"))
+    """Failed connections to the model service: words of both lists."""
+    k = F.col("event_id")
+    what = F.when(k % 3 == 0, "ReadTimeout: 连接超时").when(k % 3 == 1, "HTTP 404").otherwise("")
+    where = F.when(k % 5 == 0, " LLM/API").when(k % 5 == 1, " 验证节点").otherwise(" OpenAlex")
+    return t.events.select("event_id", joblog.connection_failure(F.concat(what, where)).alias("failed"))
 
 
 @query("""WITH o AS (SELECT *, sum(CASE WHEN event_type <> 'error' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS island FROM events),
@@ -218,10 +221,9 @@ def priority_merge(t: Tables) -> DataFrame:
     return merge.priority_merge(t.customer.select("c_custkey", "c_acctbal"), new, "c_custkey", ["c_acctbal"], replace=True)
 
 
-@query("""SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 AND trim(CASE WHEN c_custkey % 9 = 0 THEN ' ' ELSE lower(c_mktsegment) END) <> '' THEN lower(c_mktsegment) ELSE c_mktsegment END AS c_mktsegment FROM customer""")
+@query("""SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 AND c_custkey % 9 <> 0 THEN '教授；' || lower(c_mktsegment) ELSE c_mktsegment END AS c_mktsegment FROM customer""")
 def translation_overlay(t: Tables) -> DataFrame:
-    changes = t.customer.where("c_custkey % 3 = 0").select("c_custkey", F.when(F.col("c_custkey") % 9 == 0, " ").otherwise(F.lower("c_mktsegment")).alias("new"))
-    accept = F.trim(text.string("new")) != ""
-    return merge.overlay(t.customer.select("c_custkey", "c_mktsegment"), changes, ["c_custkey"], "c_mktsegment", "new", accept)
-
-
+    """Translated cells laid over the table, blank ones not, with the glossary's words put right again."""
+    said = F.concat(F.lit(" Professor ;  "), F.lower("c_mktsegment"))
+    changes = t.customer.where("c_custkey % 3 = 0").select("c_custkey", F.when(F.col("c_custkey") % 9 == 0, " ").otherwise(said).alias("new"))
+    return merge.translated(t.customer.select("c_custkey", "c_mktsegment"), changes, ["c_custkey"], "c_mktsegment", "new")

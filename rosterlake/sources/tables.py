@@ -4,14 +4,15 @@ from __future__ import annotations
 
 import time
 import uuid
+from functools import reduce
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rosterlake.functions import rules
-from rosterlake.functions.text import string
+from rosterlake.functions.text import preferred_name, string
 from rosterlake.functions.urls import normal_url
 from rosterlake.operators.filters import is_person
 from rosterlake.operators.joins import SMALL_ROWS
@@ -88,13 +89,37 @@ def detect_header(cells: DataFrame, name_words: tuple[str, ...], role_words: tup
     return scored.where("score >= 100").withColumn("_rn", F.row_number().over(best)).where("_rn = 1").drop("_rn")
 
 
-def canonical_rows(cells: DataFrame, layout: DataFrame, roles: DataFrame) -> DataFrame:
-    """Cells below the header with the role of their column: (file, row, role, value), later columns of a role win."""
+def canonical_rows(cells: DataFrame, layout: DataFrame, roles: DataFrame, name: str = "name", workplace: str = "org") -> DataFrame:
+    """Cells below the header by the role of their column: (file, row, role, value), later columns of a role win.
+
+    Rows without a name go. The name is the form that is best to search for; ``raw_name`` holds it as it was, and
+    ``institution`` all workplace cells in order of their columns.
+    """
     at = layout.select("file", "sheet", F.col("row").alias("header_row"))
     normal = F.lower(F.regexp_replace("value", r"\s+", ""))
     header = cells.join(at.hint("merge"), ["file", "sheet"]).where(F.col("row") == F.col("header_row")).select("file", "sheet", "col", normal.alias("alias")).join(roles.hint("merge"), "alias").select("file", "sheet", "col", "role")
     data = cells.join(at.hint("merge"), ["file", "sheet"]).where(F.col("row") > F.col("header_row"))
-    return data.join(header.hint("merge"), ["file", "sheet", "col"]).groupBy("file", "row", "role").agg(F.max_by("value", "col").alias("value"))
+    listed = F.array_sort(F.collect_list(F.when((F.col("role") == workplace) & (F.trim(string("value")) != ""), F.struct("col", F.trim("value").alias("v")))))  # a row's columns
+    one = data.join(header.hint("merge"), ["file", "sheet", "col"]).groupBy("file", "row", "role").agg(F.max_by("value", "col").alias("value"), F.array_join(F.transform(listed, lambda x: x["v"]), " ").alias("_all"))
+    is_name = F.col("role") == name
+    people = one.where(is_name & (preferred_name("value") != "")).select("file", "row")
+    kept = one.join(people.hint("merge"), ["file", "row"], "left_semi")
+    more = F.when(is_name, F.array(F.struct(F.lit(name).alias("role"), preferred_name("value").alias("value")), F.struct(F.lit("raw_name").alias("role"), F.col("value").alias("value"))))
+    more = more.when(F.col("role") == workplace, F.array(F.struct("role", "value"), F.struct(F.lit("institution").alias("role"), F.col("_all").alias("value")))).otherwise(F.array(F.struct("role", "value")))
+    return kept.select("file", "row", F.inline(more))
+
+
+def aligned(source: DataFrame, others: dict[str, DataFrame], number: str, at: str) -> DataFrame:
+    """Rows of a table with those of other tables that have the same row number, as structs; numbers that are none go, the last row of a number counts."""
+
+    def numbered(t: DataFrame) -> DataFrame:
+        rest = [c for c in t.columns if c not in (number, at)]
+        return row_numbers(t, number).groupBy(number).agg(F.max_by(F.struct(*rest), at).alias("_r"))
+
+    out = numbered(source).select(number, "_r.*")
+    for name, t in others.items():
+        out = out.join(numbered(t).withColumnRenamed("_r", name).hint("merge"), number, "left")
+    return out
 
 
 def row_numbers(rows: DataFrame, column: str) -> DataFrame:
@@ -127,6 +152,16 @@ def source_list(*tables: DataFrame) -> DataFrame:
     return out.withColumn("_rn", F.row_number().over(Window.partitionBy(key).orderBy("ord"))).where("_rn = 1").drop("_rn")
 
 
+def search(docs: DataFrame, text: str, phrase: str, by: Column, order: Column, n: int) -> DataFrame:
+    """The ``n`` documents that hold a phrase, or where none does all its words, with the greatest numbers first; adds ``place``."""
+    low, whole = F.lower(string(text)), phrase.lower().strip()
+    every = docs.where(reduce(lambda a, w: a & F.contains(low, F.lit(w)), whole.split(), F.lit(whole != ""))).withColumn("_whole", F.contains(low, F.lit(whole)))
+    any_ = every.agg(F.coalesce(F.bool_or("_whole"), F.lit(False)).alias("_any"))  # one row
+    fits = every.join(F.broadcast(any_)).where(F.col("_whole") | ~F.col("_any")).drop("_whole", "_any")
+    best = fits.orderBy(by.desc(), order).limit(n)
+    return best.withColumn("place", F.row_number().over(Window.orderBy(by.desc(), order)))
+
+
 def capped_texts(docs: DataFrame, source: str, key: str, text: str, per_file: int = 50_000, files: int = 10, total: int | None = None) -> DataFrame:
     """Cleaned texts of each source: so many characters a file, so many files, and a running total if given."""
     clean = F.trim(F.regexp_replace(F.regexp_replace(string(text), r"[ \t]+", " "), r"\n{3,}", "\n\n"))

@@ -126,15 +126,19 @@ def test_sources(spark):
     layout = tables.detect_header(cells, ("姓名（中英文）",), ("姓名（中英文）", "单位"))
     assert [(r.file, r.row) for r in layout.collect()] == [("f", 4)]
     roles = spark.createDataFrame([("姓名（中英文）", "name"), ("单位", "org")], "alias string, role string")
-    assert {(r.row, r.role, r.value) for r in tables.canonical_rows(cells, layout, roles).collect()} == {(5, "name", "Bin He"), (5, "org", "卡内基梅隆大学")}
+    assert {(r.row, r.role, r.value) for r in tables.canonical_rows(cells, layout, roles).collect()} == {(5, "name", "Bin He"), (5, "raw_name", "Bin He"), (5, "org", "卡内基梅隆大学"), (5, "institution", "卡内基梅隆大学")}
 
 
 def test_collaboration(spark):
     def entry(author, place, country):
-        return (author, place, [("x", country)])
-
-    works = spark.createDataFrame([(1, 10, [entry("a", "first", "US"), entry("b", "last", "CN")]), (2, 300, [entry("a", "middle", "US"), entry("b", "middle", "CN"), entry("c", "middle", "CN")]), (3, 100, [entry("a", "middle", "US"), entry("b", "middle", "CN")]), (4, 5, [entry("a", "middle", "US"), entry("b", "middle", "CN")])], "id int, cited_by_count int, authorships array<struct<author_id: string, position: string, institutions: array<struct<name: string, country: string>>>>")
-    got = {r.id: r.strength for r in match.collaborations(works).where("author_id = 'a'").collect()}
+        return (author, author.upper(), place, [("x", country)])
+
+    works = spark.createDataFrame([(1, 10, [entry("a", "first", "US"), entry("b", "last", "CN")]), (2, 300, [entry("a", "middle", "US"), entry("b", "middle", "CN"), entry("c", "middle", "CN")]), (3, 100, [entry("a", "middle", "US"), entry("b", "middle", "CN")]), (4, 5, [entry("a", "middle", "US"), entry("b", "middle", "CN")])], "id int, cited_by_count int, authorships array<struct<author_id: string, name: string, position: string, institutions: array<struct<name: string, country: string>>>>")
+    works = works.withColumn("title", F.when(F.col("id") == 1, F.lit("A study"))).withColumn("year", F.when(F.col("id") == 1, 2001))
+    found = match.collaborations(works).where("author_id = 'a'")
+    got = {r.id: r.strength for r in found.collect()}
+    assert match.collaboration_texts(found, 2).first().collab == "强合作：B（x(CN)）、C（x(CN)）；合作依据：《未知论文》（未知年份，OpenAlex，引用300次）；中合作：B（x(CN)）；合作依据：《未知论文》（未知年份，OpenAlex，引用100次）"
+    assert "《A study》（2001，OpenAlex，引用10次）" in {r.id: r.line for r in found.collect()}[1]
     assert got == {1: "强合作", 2: "强合作", 3: "中合作", 4: "弱合作"}
     assert [r.author_id for r in match.first_authors(works, [F.desc("cited_by_count")]).collect()] == ["a"]
 
