@@ -8,7 +8,8 @@ order's history is one row, and those of higher orders have at most as many n-gr
 
 Documents meet the probabilities by sharded count joins. Texts are stored in blocks of a few million
 characters. A block asks each shard of the table for the distinct n-grams that it holds, as one compressed
-list; the shard answers with their log-probabilities, and the block adds up its documents' occurrences.
+list; the shard answers with their log-probabilities, and the block adds up its documents' occurrences. Answers
+of some blocks lie in one file, of which a block reads its own part.
 A text that is longer than a block is several pieces whose sums meet by row. Neither n-grams nor texts
 pass through the driver, and nothing depends on how many shards there are.
 
@@ -34,12 +35,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_schema, file_system, keep, shared_dir
+from .common import arrow_schema, file_system, keep, kept_table, shared_dir
 from .suffix_dedup import _MIX, mix
 
 ORDER, QUANTILE = 5, 0.99
 #: Characters of a block, n-grams of a shard, and n-grams that one task answers.
 BLOCK, SHARD, ANSWERS = 8_000_000, 1_000_000, 20_000_000
+#: Blocks whose answers lie together, and groups of them at most; bytes of a part of a file that is read for a block.
+GROUPED, GROUPS, READ = 8, 20_000, 1 << 20
 #: Up to so many trusted ids (of at most a few dozen bytes) are sent to every task; more are joined by a shuffle.
 SENT_IDS = 1_000_000
 SENT_LANGUAGES = 100_000
@@ -57,7 +60,7 @@ class Grams:
         there = np.zeros(0x110000, bool)
         there[points] = True
         alphabet = np.flatnonzero(there).astype("<u4")
-        rank = np.zeros(0x110000, np.int64)
+        rank = np.zeros(0x110000, np.int32)
         rank[alphabet] = np.arange(len(alphabet))
         local = rank[points]
         lengths = np.array([len(t) for t in texts])
@@ -67,12 +70,13 @@ class Grams:
             windows[ends - k] = False
         self.starts = np.flatnonzero(windows)
         self.sizes = lengths - (order - 1)
-        code, top = local[self.starts], len(alphabet)
+        code, top = local[self.starts].astype(np.int64), len(alphabet)
         for k in range(1, order):
             if top * len(alphabet) >= 1 << 62:  # many characters: number what is there so far
                 names, code = np.unique(code, return_inverse=True)
                 top = len(names)
-            code = code * len(alphabet) + local[self.starts + k]
+            code *= len(alphabet)
+            code += local[self.starts + k]
             top *= len(alphabet)
         self.codes = code
         self.names = np.unique(code)
@@ -228,7 +232,7 @@ def log_probabilities(grams: DataFrame, order: int) -> DataFrame:
     # a lower order counts what stands in front; n-grams that no text to fit on holds go along with a count of 0
     levels = {order: grams.select("g", "n")}
     for k in range(order - 1, 0, -1):
-        levels[k] = keep(levels[k + 1].groupBy(tail(k).alias("g")).agg(F.count_if(F.col("n") > 0).alias("n")))
+        levels[k] = kept_table(levels[k + 1].groupBy(tail(k).alias("g")).agg(F.count_if(F.col("n") > 0).alias("n")))
     lower = None
     for k in range(1, order + 1):
         counts = {r["n"]: r["count"] for r in levels[k].where("n between 1 and 4").groupBy("n").count().collect()}  # four numbers
@@ -244,7 +248,7 @@ def log_probabilities(grams: DataFrame, order: int) -> DataFrame:
             out = levels[k].withColumn("h", F.substring("g", 1, k - 1)).withColumn("total", F.sum("n").over(same)).withColumn("mass", F.sum(discount).over(same))
             out = out.withColumn("t", tail(k - 1)).join(lower.select(F.col("g").alias("t"), "p").hint("merge"), "t")
         p = F.when(F.col("total") == 0, F.col("p")).otherwise((F.col("n") - discount) / F.col("total") + F.col("mass") / F.col("total") * F.col("p"))
-        lower = keep(out.select("g", p.alias("p")))
+        lower = kept_table(out.select("g", p.alias("p")))
     return lower.select("g", F.log("p").alias("logp"))
 
 
@@ -324,7 +328,8 @@ def added_up(stored: DataFrame, folder: str, order: int, shards: int) -> DataFra
             grams = Grams(texts_of(part, order), order)
             sums = np.zeros(len(grams.sizes))
             if len(grams.names):
-                answer = pq.read_table(f"{place}/block={part.column('block')[0].as_py()}", filesystem=system, partitioning=None)
+                number, group = part.column("block")[0].as_py(), part.column("grp")[0].as_py()
+                answer = pq.read_table(f"{place}/grp={group}", filesystem=system, partitioning=None, filters=[("block", "=", number)])
                 own = (gram_keys(grams.distinct, 1) % np.uint64(shards)).astype(np.int64)
                 logp = np.zeros(len(own))
                 for s, raw in zip(answer.column("shard").to_pylist(), answer.column("logp").to_pylist(), strict=True):
@@ -333,7 +338,7 @@ def added_up(stored: DataFrame, folder: str, order: int, shards: int) -> DataFra
                 sums = np.bincount(rows, logp[grams.occurring()], len(sums))
             yield pa.RecordBatch.from_arrays([*(flat(part, c) for c in LISTS), pa.array(sums)], names=schema.names)
 
-    return stored.select("block", "raw", *LISTS).mapInArrow(run, schema)
+    return stored.select("block", "grp", "raw", *LISTS).mapInArrow(run, schema)
 
 
 def classify(
@@ -358,7 +363,7 @@ def classify(
         F.col(f"`{id_col}`").alias("id"), F.coalesce(F.col(f"`{lang_col}`"), F.lit("")).alias("lang"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text")
     )
     stored = keep(stored_blocks(marked(texts, trusted, sent), order, block))
-    table = log_probabilities(keep(counted(stored, order)), order)
+    table = log_probabilities(kept_table(counted(stored, order)), order)
     size = table.count()
     chars = stored.agg(F.coalesce(F.sum(F.aggregate("n", F.lit(0).cast("long"), lambda a, x: a + x)), F.lit(0))).first()[0]
     shards = max(1, -(-size // shard))
@@ -366,8 +371,11 @@ def classify(
     rows = asked(stored, order, shards, parts).unionByName(dealt(table, order, shards, parts))
     rows = rows.repartition("shard", "part").sortWithinPartitions("shard", "part", F.col("block").asc_nulls_first())
     folder = f"{shared_dir(spark).rstrip('/')}/answers-{uuid.uuid4().hex}"
-    answered(rows, order).repartition("block").write.partitionBy("block").parquet(folder)
-    pieces = added_up(stored, folder, order, shards)
+    groups = max(1, min(GROUPS, stored.select("block").distinct().count() // GROUPED))
+    group = F.pmod(F.xxhash64("block"), F.lit(groups)).alias("grp")
+    told = answered(rows, order).select("block", "shard", "logp", group).repartition(groups, "grp").sortWithinPartitions("grp", "block")
+    told.write.option("parquet.block.size", READ).option("compression", "uncompressed").partitionBy("grp").parquet(folder)
+    pieces = added_up(stored.select("*", group), folder, order, shards)
     same = [F.first(c).alias(c) for c in ("id", "lang", "kind")]
     scored = keep(pieces.groupBy("row").agg(*same, F.sum("n").alias("n"), F.sum("logp").alias("logp")))
     scored = scored.withColumn("perplexity", F.when(F.col("n") > 0, F.exp(-F.col("logp") / F.col("n"))))
