@@ -117,7 +117,7 @@ def finalize_pipeline(t: Tables) -> DataFrame:
         F.col("c_custkey").alias("row_id"), F.concat_ws("|", "c_mktsegment", F.floor(F.col("c_custkey") / 4).cast("string")).alias("name"), digits("h").alias("h_raw"), digits("citations").alias("citations_raw"), digits("i10").alias("i10_raw"),
         F.col("c_mktsegment").alias("subdomains_raw"), F.when(F.col("c_custkey") % 10 == 3, "确认已故").alias("death_check"), F.lit("MIT").alias("org"),
     )
-    done = finalize(rows, key=F.col("name"))
+    done = finalize(rows, key=F.col("name"), folder=new_folder(t, "merged"))
     segments = t.customer.select(F.col("c_mktsegment").alias("grp")).distinct().withColumn("pos", F.row_number().over(Window.orderBy("grp")))
     picked = balanced_quota(done.select("name", "n_rows", "score", "subdomains"), "name", F.col("subdomains"), segments, 31, [("score", True), ("name", False)])
     return picked.select("name", "n_rows", "score", "pick")
