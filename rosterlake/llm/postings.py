@@ -14,7 +14,8 @@ up to ``replicate`` farther (of the ``NEAR`` nearest) whose centroids are not ne
 vectors stand in several lists.
 
 Search: a query goes along the graph over all centroids up to ``prune`` farther than the nearest, and asks
-those lists: few where the nearest centroid is close, many where all are alike. No number of lists is fixed.
+those lists: few where the nearest centroid is close, many where all are alike, but the ``ASKED`` nearest at least,
+so that a query amid a tight group finds enough. No greatest number of lists is fixed.
 Neighbouring lists are shards; vectors and queries of a shard meet in blocks of bounded size, however large it
 is. Products in double precision, computed alike in all blocks, give each query's best there, and those of
 all shards the result.
@@ -39,7 +40,7 @@ from pyspark.sql import types as T
 from .common import keep
 from .itq import usable
 
-SAMPLE, SIZE, REPLICATE, PRUNE, NEAR = 200_000, 128, 0.1, 0.25, 32
+SAMPLE, SIZE, REPLICATE, PRUNE, NEAR, ASKED = 200_000, 128, 0.1, 0.25, 32, 8
 #: Bytes of the centroids at most; links of a centroid; vectors of a shard; vectors and queries of a block.
 MODEL_BYTES, LINKS, SHARD, BLOCK_VECTORS, BLOCK_QUERIES = 64_000_000, 24, 8_192, 16_384, 4_096
 
@@ -106,14 +107,15 @@ class Graph:
         entries = np.random.default_rng(seed).choice(n, min(n, 8 + int(2 * n**0.5)), replace=False)
         return cls(centroids, out, entries)
 
-    def within(self, x: np.ndarray, more: float) -> np.ndarray:
-        """Distances from the rows of x to the centroids up to ``more`` farther than the nearest found (others: infinite)."""
+    def within(self, x: np.ndarray, more: float, least: int = 1) -> np.ndarray:
+        """Distances from the rows of x to the centroids up to ``more`` farther than the nearest found, or among the ``least`` nearest (others: infinite)."""
+        least = min(least, len(self.c))
         far = np.full((len(x), len(self.c)), np.inf, np.float32)
         norms = (x * x).sum(axis=1)
         far[:, self.entries] = np.sqrt(squares(x, self.c[self.entries]))
         seen = np.zeros(far.shape, bool)
         while True:
-            limit = far.min(axis=1, keepdims=True) * np.float32(1 + more)
+            limit = np.maximum(far.min(axis=1, keepdims=True) * np.float32(1 + more), np.partition(far, least - 1, axis=1)[:, least - 1 : least])
             rows, at = np.nonzero((far <= limit) & ~seen)
             if not len(rows):
                 break
@@ -183,7 +185,7 @@ class Index:
                         continue
                     batch = batch.take(pa.array(same))
                     x = widened(batch.column("v").flatten().to_numpy().reshape(-1, dim), longest, query)
-                    far = graph.within(x, more)
+                    far = graph.within(x, more, ASKED if query else 1)
                     lists = [np.flatnonzero(f).tolist() for f in np.isfinite(far)] if query else [sorted(h) for h in graph.holders(far)]
                     row, shard, entered = [], [], []
                     for r, listed in enumerate(lists):
