@@ -78,7 +78,14 @@ def text_chunks(t: Tables) -> DataFrame:
     return cut.groupBy("source", "doc_id").agg(F.count("*").alias("n"), F.sum(F.length("chunk")).alias("chars"), F.max(F.length("chunk")).alias("longest"))
 
 
-@query()
+@query("""WITH l AS (SELECT source, doc_id, unnest(list_transform(regexp_split_to_array(text, '\n+'), lambda x: trim(x))) AS line, generate_subscripts(regexp_split_to_array(text, '\n+'), 1) AS i FROM documents),
+p AS (SELECT source, doc_id, i, k, substr(line, 900 * k + 1, 900) AS chunk FROM (SELECT source, doc_id, i, line, unnest(range(0, (length(line) - 1) // 900 + 1)) AS k FROM l WHERE line <> '')),
+n AS (SELECT source, doc_id, CAST(row_number() OVER (PARTITION BY source, doc_id ORDER BY i, k) - 1 AS INT) AS chunk_no, chunk FROM p),
+o AS (SELECT source, chunk, min({'d': doc_id, 'n': chunk_no}) AS at_ FROM n GROUP BY 1, 2),
+s AS (SELECT source, at_.d AS doc_id, at_.n AS chunk_no, chunk, 4 * (CAST(contains(lower(chunk), 'and') AS INT) + CAST(contains(lower(chunk), 'the') AS INT) + CAST(contains(lower(chunk), 'que') AS INT)) + least(6, CAST(contains(lower(chunk), 'ing') AS INT) + CAST(contains(lower(chunk), 'tion') AS INT)) AS score FROM o),
+h AS (SELECT *, max(score) OVER (PARTITION BY source) AS top FROM s),
+r AS (SELECT *, 7000 - coalesce(sum(length(chunk) + 2) OVER (PARTITION BY source ORDER BY score DESC, doc_id, chunk_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS l FROM h WHERE score > 0 OR top = 0)
+SELECT source, doc_id, chunk_no, rtrim(left(chunk, CAST(l AS BIGINT)), ' ') AS chunk, score FROM r WHERE l > 0""")
 def chunk_budget(t: Tables) -> DataFrame:
     cut = evidence.chunks(t.documents, "source", "doc_id", "text")
     return evidence.chunks_within_budget(cut, ["source"], "source", "doc_id", ("and", "the", "que"), ("ing", "tion"), 7000).select("source", "doc_id", "chunk_no", "chunk", "score")
