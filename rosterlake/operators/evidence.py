@@ -8,8 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rosterlake.functions import rules
-from rosterlake.functions.names import mentions, simple_name
-from rosterlake.functions.text import HAN, any_contains, hits, pieces, segments, string
+from rosterlake.functions.text import any_contains, hits, pieces, segments, string
 from rosterlake.functions.urls import netloc, normal_url, source_tier
 from rosterlake.operators.joins import running_budget
 

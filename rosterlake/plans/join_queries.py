@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rosterlake.functions import rules, text
-from rosterlake.operators import evidence, filters, match, merge, report, score
+from rosterlake.operators import evidence, filters, match, report, score
 from rosterlake.sources import tables
 
-from .book import Tables, new_folder, query, scratch
+from .book import Tables, query, scratch
 from .profile_queries import METRICS_SQL, customer_metrics
 
 
