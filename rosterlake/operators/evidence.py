@@ -12,7 +12,7 @@ from rosterlake.functions.text import any_contains, hits, pieces, segments, stri
 from rosterlake.functions.urls import netloc, normal_url, source_tier
 from rosterlake.operators.joins import running_budget
 
-NAVIGATION = ("home", "menu", "login", "search", "contact", "privacy", "cookie", "sitemap")
+NAVIGATION = rules.NAVIGATION_TERMS
 
 
 def is_navigation(c: Column | str, words: tuple[str, ...] = NAVIGATION) -> Column:

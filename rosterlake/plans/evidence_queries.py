@@ -53,12 +53,17 @@ def email_first(t: Tables) -> DataFrame:
     return found.withColumnRenamed("value", "email")
 
 
-@query()
+HIT = r"(?i)[^.;\n]{0,80}[ ,](?:the|les|die|los)[ ,][^.;\n]{0,80}"
+
+
+@query(f"""WITH l AS (SELECT source, doc_id, string_split(regexp_replace(text, '([。；;.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)) AS l FROM documents), p AS (SELECT source, doc_id, unnest(l) AS part, generate_subscripts(l, 1) AS seg FROM l),
+h AS (SELECT *, trim(regexp_extract(part, '{HIT}', 0)) AS hit FROM p)
+SELECT source, arg_min(hit, (doc_id, seg)) AS hit FROM h WHERE length(hit) BETWEEN 8 AND 150 AND NOT regexp_matches(lower(hit), '{"|".join(evidence.NAVIGATION)}') AND length(hit) - length(replace(hit, '|', '')) < 2 GROUP BY 1""")
 def segment_hits(t: Tables) -> DataFrame:
-    return evidence.first_hit(t.documents, "source", "doc_id", "text", r"(?i)[^.;\n]{0,80}\b(?:the|les|die|los)\b[^.;\n]{0,80}")
+    return evidence.first_hit(t.documents, "source", "doc_id", "text", HIT)
 
 
-@query()
+@query("""WITH s AS (SELECT doc_id, trim(regexp_extract(text, '(?i)(?:the|les|die)\s*[:：]?\s*([^.\n]+?)(?:[.\n]|$)', 1)) AS span FROM documents) SELECT * FROM s WHERE span <> ''""")
 def label_span(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", evidence.label_span("text", "(?:the|les|die)", stops=".\n").alias("span")).where("span <> ''")
 
