@@ -63,7 +63,7 @@ def segment_hits(t: Tables) -> DataFrame:
     return evidence.first_hit(t.documents, "source", "doc_id", "text", HIT)
 
 
-@query("""WITH s AS (SELECT doc_id, trim(regexp_extract(text, '(?i)(?:the|les|die)\s*[:：]?\s*([^.\n]+?)(?:[.\n]|$)', 1)) AS span FROM documents) SELECT * FROM s WHERE span <> ''""")
+@query("""WITH s AS (SELECT doc_id, trim(regexp_extract(text, '(?i)(?:the|les|die)\\s*[:：]?\\s*([^.\\n]+?)(?:[.\\n]|$)', 1)) AS span FROM documents) SELECT * FROM s WHERE span <> ''""")
 def label_span(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", evidence.label_span("text", "(?:the|les|die)", stops=".\n").alias("span")).where("span <> ''")
 
