@@ -138,13 +138,22 @@ PHRASES = (
 )
 
 
+#: Word characters and white space of all scripts, by which words end and white space is folded; this SQL's own classes are ASCII.
+WORD_SQL, SPACE_SQL = r"\p{L}\p{M}\p{Nd}\p{Nl}\p{Pc}\x{24b6}-\x{24e9}\x{200c}\x{200d}", r"[\t-\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+
+
 def glossary_sql() -> str:
-    said = "text"
+    said = "coalesce(text, '')"
     for old, new in zip(SAID, PHRASES, strict=True):
         said = f"replace({said}, '{old}', ' {new} ')"
     out = f"trim({said})"
-    for pattern, new in (*rules.GLOSSARY, (r"\s+", " "), (r"\s*;\s*", "；"), (r"\s*:\s*", "：")):
-        out = f"regexp_replace({out}, '(?i){pattern}', '{new}', 'g')"
+    for pattern, new in rules.GLOSSARY:
+        # a match takes the character on either side along, so of words with one character between them the second pass finds every other
+        bare = pattern.removeprefix(r"\b").removesuffix(r"\b")
+        for _ in range(2):
+            out = f"regexp_replace({out}, '(?i)(^|[^{WORD_SQL}])(?:{bare})($|[^{WORD_SQL}])', '\\1{new}\\2', 'g')"
+    for pattern, new in ((f"{SPACE_SQL}+", " "), (f"{SPACE_SQL}*;{SPACE_SQL}*", "；"), (f"{SPACE_SQL}*:{SPACE_SQL}*", "：")):
+        out = f"regexp_replace({out}, '{pattern}', '{new}', 'g')"
     return f"SELECT doc_id, md5(trim({out})) AS digest, length(trim({out})) AS n FROM documents"
 
 
