@@ -126,19 +126,37 @@ SAID = (
     (" That Thin works. Others died.", None), ("", None), ("。王小明教授于2019年逝世。", "王小明教授于2019年逝世。"), ("。沉痛悼念 王小明 先生", "沉痛悼念 王小明 先生"), ("。王小明很好。某人去世", None),
 )
 HAN_FROM = 6
+#: Words of the items that become the person and a death, so that the texts themselves say some.
+DEATH_WORDS = ((" led ", " That le Thin "), (" joined ", " died "), (" prize ", " That le Thin "))
 
 
-@query(f"""WITH d AS (SELECT doc_id, doc_id % {len(SAID)} AS kind, doc_id % 5 = 0 AS page, doc_id % 4 = 0 AS titled, doc_id % 7 = 0 AS lone FROM documents),
-s AS (SELECT *, CASE kind {" ".join(f"WHEN {k} THEN '{found}'" for k, (_, found) in enumerate(SAID) if found)} END AS body, CASE WHEN titled AND kind < {HAN_FROM} THEN 'In memoriam: That Thin' END AS head FROM d)
-SELECT doc_id AS pos, coalesce(head, body) AS snippet, titled OR page AS strong FROM s WHERE coalesce(head, body) IS NOT NULL""")
+def death_items_sql(c: str) -> str:
+    for old, new in DEATH_WORDS:
+        c = f"replace({c}, '{old}', '{new}')"
+    return c
+
+
+PERSON = r"\bthat(?:\s+[a-z][a-z.-]*){0,3}\s+thin\b"
+DEATH_SQL = "|".join([PERSON + rf".{{0,80}}\b(?:{'|'.join(rules.DEATH_AFTER)})\b", rf"\b(?:{'|'.join(rules.DEATH_BEFORE)})\b.{{0,40}}" + PERSON, r"\bthe late\b.{0,30}" + PERSON])
+HAN_DEATH_SQL = f"王小明.{{0,40}}(?:{'|'.join(rules.DEATH_HAN_AFTER)})|(?:{'|'.join(rules.DEATH_HAN_BEFORE)}).{{0,40}}王小明"
+
+
+@query(f"""WITH {ITEMS_SQL}, d AS (SELECT pos, pos % {len(SAID)} >= {HAN_FROM} AS han, pos % 5 = 0 AS page, pos % 4 = 0 AS titled,
+{death_items_sql("content")} || ' .' || {[x for x, _ in SAID]}[1 + pos % {len(SAID)}] AS c FROM it),
+s AS (SELECT *, list_filter(string_split(regexp_replace(c, '([。！？.!?;；])\\s*', '\\1' || chr(1), 'g'), chr(1)), lambda s: CASE WHEN han THEN regexp_matches(regexp_replace(lower(s), '\\s+', '', 'g'), '{HAN_DEATH_SQL}') ELSE regexp_matches(lower(s), '{DEATH_SQL}') END) AS l FROM d),
+f AS (SELECT *, left(trim(regexp_replace(l[1], '\\s+', ' ', 'g')), 320) AS body, CASE WHEN titled AND NOT han THEN 'In memoriam: That Thin' END AS head FROM s)
+SELECT pos, coalesce(head, body) AS snippet, titled OR page AS strong FROM f WHERE coalesce(head, body) IS NOT NULL""")
 def survival_items(t: Tables) -> DataFrame:
-    """Sentences that say a death: words behind and before the name, the late one, titles, Han names; some pages are strong by their address."""
-    n = F.col("doc_id")
+    """Sentences of whole texts that say a death: words behind and before the name, the late one, titles, Han names; some pages are strong by their address."""
+    n = F.col("pos")
     said = F.element_at(F.array(*[F.lit(x) for x, _ in SAID]), (n % len(SAID) + 1).cast("int"))
     title = F.when(n % 4 == 0, "In memoriam: That Thin").otherwise("a page")
     name = F.when(n % len(SAID) >= HAN_FROM, "王小明").otherwise(NAME)
     url = F.concat(F.lit("https://x.com/"), F.when(n % 5 == 0, "obituary/").otherwise(""), n.cast("string"))
-    rows = t.documents.select(F.col("source").alias("k"), n.alias("pos"), title.alias("title"), F.concat("text", F.lit(" ."), said).alias("content"), url.alias("url"), name.alias("name"))
+    content = F.col("content")
+    for old, new in DEATH_WORDS:
+        content = F.replace(content, F.lit(old), F.lit(new))
+    rows = items(t).withColumns({"title": title, "content": F.concat(content, F.lit(" ."), said), "url": url, "name": name})
     return extract.survival_items(rows, "k", "pos", "title", "content", "url", "name").select("pos", "snippet", "strong")
 
 
