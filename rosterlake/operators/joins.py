@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SMALL_ROWS, PARTS = 10_000, 64
+#: Rows of a few numbers that one task may sort.
+TASK_ROWS = 1_000_000
 
 
 def small(table: DataFrame, most: int = SMALL_ROWS) -> DataFrame:
@@ -13,6 +15,16 @@ def small(table: DataFrame, most: int = SMALL_ROWS) -> DataFrame:
     return F.broadcast(table) if table.limit(most + 1).count() <= most else table.hint("merge")
 
 
+def spread(rows: DataFrame, *keys: str, of: DataFrame | None = None, most: int = TASK_ROWS) -> DataFrame:
+    """Rows dealt by keys, in more partitions than are usual where these would hold more than ``most`` rows each, so that a task's memory does not grow with the table.
+
+    of: a table of about as many rows that is quicker to count.
+    """
+    parts = -(-(rows if of is None else of).count() // most)
+    usual = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(parts, *keys) if parts > usual else rows.repartition(*keys)
+
+
 def running_budget(rows: DataFrame, keys: list[str], order: list[Column], size: Column, budget: int, salt: Column, left: str = "_left", parts: int = PARTS) -> DataFrame:
     """Rows that start within a running budget of their group, with what is ``left`` for them.
 

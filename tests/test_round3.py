@@ -3,8 +3,10 @@
 import duckdb
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__
+from rosterlake.operators import joins, match
 from test_queries import plain
 
 QUERIES, SQL = __spark_entry__.queries(), __spark_entry__.oracle_sql()
@@ -43,3 +45,21 @@ def test_candidate_top1_of_hot_values(spark, tmp_path):
     suppliers = pd.DataFrame({"s_suppkey": range(1, 4_001), "s_nationkey": [2 if k % 50 == 0 else 3 if k % 51 == 0 else 1 for k in range(4_000)], "s_acctbal": [values[k % 8] for k in range(4_000)]})
     got, expected = both(spark, tmp_path, "candidate_top1", customer=customers, supplier=suppliers)
     assert len(got) and plain(got) == plain(expected)
+
+
+def test_works_of_odd_authors(spark):
+    def entry(author, country="CN", place="middle"):
+        return (author, author, place, [("x", country)])
+
+    works = spark.createDataFrame([(1, "t", 2020, 9, [entry(None), entry("a", "3"), entry("a"), entry("b", "US", "last")]), (2, "t", 2020, None, [entry("b", "US"), entry("a")]), (3, "t", 2020, 5, None), (4, "t", 2020, 5, [entry("c", None), entry("d", "3")])],
+        "id int, title string, year int, cited_by_count int, authorships array<struct<author_id: string, name: string, position: string, institutions: array<struct<name: string, country: string>>>>")
+    got = match.first_authors(works, [F.desc("cited_by_count"), F.asc("id")], 16, ("3", "7")).collect()
+    assert [(r.author_id, r.id, r.pos) for r in got] == [("a", 1, 2), ("b", 1, 3), ("c", 4, 0)]
+    got = match.collaborations(works, top=1).orderBy("author_id").collect()
+    assert [(r.author_id, r.place, r.id, r.partners) for r in got] == [("a", 1, 1, 1), ("b", 1, 1, 2)]
+
+
+def test_spread_by_rows(spark):
+    rows = spark.range(1000)
+    assert joins.spread(rows, "id", most=10).rdd.getNumPartitions() == 100
+    assert joins.spread(rows, "id", most=10).distinct().count() == 1000
