@@ -40,9 +40,9 @@ def source_records(t: Tables) -> DataFrame:
     own = F.concat(F.lit("https://a.org/"), F.col("c_custkey").cast("string"))
     asked = t.customer.select("c_custkey", F.when(F.col("c_custkey") % 2 == 0, "Crop science").otherwise("physics").alias("q"))
     given = t.customer.select("c_custkey", F.posexplode(F.array(own, F.concat(F.lit(" "), F.upper(F.lit("https")), F.substring(own, 6, 100), F.lit("/")), F.lit("no address"), F.lit("http://b.org"))).alias("at", "url"))
-    got = tables.source_records(asked, "c_custkey", "q", records, given.withColumn("at", F.col("at") + 1))
-    listed = F.transform(F.array_sort(F.collect_list(F.struct("ord", "url"))), lambda x: x["url"])
-    return got.groupBy("c_custkey").agg(F.count("*").alias("n"), F.count_if("fetch").alias("n_fetched"), F.array_join(listed, " ").alias("sources"))
+    got = tables.source_lists(asked, "c_custkey", "q", records, given.withColumn("at", F.col("at") + 1))
+    fetched, listed = F.size(F.filter("sources", lambda x: x["fetch"])), F.transform("sources", lambda x: x["url"])
+    return got.select("c_custkey", F.size("sources").cast("bigint").alias("n"), fetched.cast("bigint").alias("n_fetched"), F.array_join(listed, " ").alias("sources"))
 
 
 CLEAN_SQL = "html"

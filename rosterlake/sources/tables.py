@@ -133,14 +133,36 @@ def source_records(queries: DataFrame, key: str, query: str, records: DataFrame,
     records: (ord, kind, name, url, purpose, fetch), few rows, of kind ``core``, or ``domain`` for queries that fit the
     pattern; given: (key, at, url). The first of URLs that differ in case and end slashes counts.
     """
+    return source_lists(queries, key, query, records, given, pattern).select(key, F.inline("sources"))
+
+
+def source_lists(queries: DataFrame, key: str, query: str, records: DataFrame, given: DataFrame, pattern: str = rules.AGRICULTURE_QUERY) -> DataFrame:
+    """(key, sources): the same as one array for each query, in order.
+
+    Fixed sources are two lists, one for each answer to whether a query is of the domain; only what users give moves,
+    and the URLs of a query are compared in its row.
+    """
+    fields = ("ord", "name", "url", "purpose", "fetch")
+    fixed = records.limit(SMALL_ROWS).withColumn("ord", F.col("ord").cast("long")).withColumn("_u", normal_url("url"))
+    one = F.struct(*fields, "_u")
+    of = lambda c: F.array_sort(F.collect_list(F.when(c, one)))
+    lists = fixed.agg(of(F.col("kind") == "core").alias("_core"), of(F.lit(True)).alias("_all"))  # one row
     asked = queries.select(key, F.col(query).rlike(f"(?i){pattern}").alias("_domain"))
-    fixed = asked.join(F.broadcast(records.limit(SMALL_ROWS)), (F.col("kind") == "core") | F.col("_domain"))
-    own = given.withColumn("url", F.trim(string("url"))).where(F.col("url").rlike("^https?://")).select(
-        key, (F.col("at") + GIVEN_FROM).alias("ord"), F.concat(F.lit("用户补充数据源 "), F.col("at").cast("string")).alias("name"), "url", F.lit("用户指定的候选专家与公开信息补充来源").alias("purpose"), F.lit(True).alias("fetch")
-    )
-    both = fixed.select(key, F.col("ord").cast("long").alias("ord"), "name", "url", "purpose", "fetch").unionByName(own.withColumn("ord", F.col("ord").cast("long")))
-    first = Window.partitionBy(key, normal_url("url")).orderBy("ord")
-    return both.withColumn("_rn", F.row_number().over(first)).where("_rn = 1").drop("_rn")
+    own = given.withColumn("url", F.trim(string("url"))).where(F.col("url").rlike("^https?://")).select(key, F.col("at").cast("long").alias("at"), "url")
+    said = own.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("at", "url", normal_url("url").alias("_u")))).alias("_own"))  # of one user
+
+    def told(x: Column) -> Column:
+        name = F.concat(F.lit("用户补充数据源 "), x["at"].cast("string"))
+        return F.struct((x["at"] + GIVEN_FROM).alias("ord"), name.alias("name"), x["url"].alias("url"), F.lit("用户指定的候选专家与公开信息补充来源").alias("purpose"), F.lit(True).alias("fetch"), x["_u"].alias("_u"))
+
+    # queries that share a key share their sources
+    every = asked.groupBy(key).agg(F.coalesce(F.bool_or("_domain"), F.lit(False)).alias("_domain"))
+    joined = every.join(said.hint("merge"), key, "full_outer").join(F.broadcast(lists))
+    least = F.when(F.col("_domain").isNull(), F.slice("_core", 1, 0)).when(F.col("_domain"), F.col("_all")).otherwise(F.col("_core"))
+    both = joined.select(key, F.concat(least, F.coalesce(F.transform("_own", told), F.slice("_core", 1, 0))).alias("_both"))
+    urls = both.withColumn("_urls", F.transform("_both", lambda x: x["_u"]))
+    first = F.filter("_both", lambda x, k: F.array_position("_urls", x["_u"]) == k + 1)
+    return urls.select(key, F.transform(first, lambda x: F.struct(*[x[c].alias(c) for c in fields])).alias("sources"))
 
 
 def source_list(*tables: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__
 from rosterlake.operators import joins, match
+from rosterlake.sources import tables
 from test_queries import plain
 
 QUERIES, SQL = __spark_entry__.queries(), __spark_entry__.oracle_sql()
@@ -63,3 +64,12 @@ def test_spread_by_rows(spark):
     rows = spark.range(1000)
     assert joins.spread(rows, "id", most=10).rdd.getNumPartitions() == 100
     assert joins.spread(rows, "id", most=10).distinct().count() == 1000
+
+
+def test_source_lists_of_odd_queries(spark):
+    records = spark.createDataFrame([(1, "core", "A", "http://a.org/", "p", True), (2, "domain", "B", "http://b.org", "p", False), (3, "core", "A2", "HTTP://A.ORG", "p", True)], "ord int, kind string, name string, url string, purpose string, fetch boolean")
+    queries = spark.createDataFrame([(1, "crop science"), (2, "physics"), (3, None)], "id int, q string")
+    given = spark.createDataFrame([(1, 2, " http://B.org/ "), (2, 1, "http://B.org/"), (2, 2, "http://b.org"), (2, 3, None), (3, 1, "none"), (9, 1, "http://c.org")], "id int, at int, url string")
+    got = sorted((r.id, r.ord, r.url) for r in tables.source_records(queries, "id", "q", records, given).collect())
+    assert got == [(1, 1, "http://a.org/"), (1, 2, "http://b.org"), (2, 1, "http://a.org/"), (2, 1000001, "http://B.org/"), (3, 1, "http://a.org/"), (9, 1000001, "http://c.org")]
+    assert {r.id: len(r.sources) for r in tables.source_lists(queries, "id", "q", records, given).collect()} == {1: 2, 2: 2, 3: 1, 9: 1}
