@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from rosterlake.functions import rules
 from rosterlake.functions.names import mentions, simple_name
-from rosterlake.functions.text import HAN, any_contains, one_of, segments, string
+from rosterlake.functions.text import HAN, any_contains, around, one_of, segments, string
 from rosterlake.functions.urls import netloc
 from rosterlake.operators.evidence import is_navigation
 
@@ -32,27 +32,6 @@ def labelled(text: Column, label: str) -> Column:
     return F.when(found != "", F.array(stripped(found))).otherwise(F.array().cast("array<string>"))
 
 
-#: Longest word that a part of a sentence is known by.
-WORD_SIZE = 40
-
-
-def around(sentence: Column, part: tuple[int, str, int], stops: str = "。；;\n") -> Column:
-    """The first part of a sentence that holds one of the words, between stops: so many characters before and behind; else empty.
-
-    The same as a search for ``[^stops]{0,before}(?:words)[^stops]{0,behind}``, but that tries every place and every
-    number of characters before it. Here the first word is found by one alternation, which gives the place where
-    such a part begins, and the whole pattern is tried there only, on a few hundred characters.
-    """
-    before, words, behind = part
-    # a mark in front tells a word at the beginning from none
-    front = F.regexp_extract(F.concat(F.lit("\x01"), sentence), f"(?is)^(.*?)(?:{words})", 1)
-    bare = F.substring_index(F.translate(front, f"\x01{stops}", "\x01" * (len(stops) + 1)), "\x01", -1)
-    begin = F.length(front) - F.least(F.length(bare), F.lit(before))
-    window = F.substring(sentence, begin, F.lit(before + WORD_SIZE + behind))
-    found = F.regexp_extract(window, f"(?i)^[^{stops}]{{0,{before}}}(?:{words})[^{stops}]{{0,{behind}}}", 0)
-    return F.when(front != "", found).otherwise("")
-
-
 def parts(text: Column, part: tuple[int, str, int], least: int, most: int, n: int) -> Column:
     """The first match in each sentence, without navigation and what is too short or long; sentences behind ``n`` finds are not looked at."""
 

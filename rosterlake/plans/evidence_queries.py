@@ -53,6 +53,7 @@ def email_first(t: Tables) -> DataFrame:
     return found.withColumnRenamed("value", "email")
 
 
+HIT_PART = (80, "[ ,](?:the|les|die|los)[ ,]", 80)
 HIT = r"(?i)[^.;\n]{0,80}[ ,](?:the|les|die|los)[ ,][^.;\n]{0,80}"
 
 
@@ -60,7 +61,7 @@ HIT = r"(?i)[^.;\n]{0,80}[ ,](?:the|les|die|los)[ ,][^.;\n]{0,80}"
 h AS (SELECT *, trim(regexp_extract(part, '{HIT}', 0)) AS hit FROM p)
 SELECT source, arg_min(hit, (doc_id, seg)) AS hit FROM h WHERE length(hit) BETWEEN 8 AND 150 AND NOT regexp_matches(lower(hit), '{"|".join(evidence.NAVIGATION)}') AND length(hit) - length(replace(hit, '|', '')) < 2 GROUP BY 1""")
 def segment_hits(t: Tables) -> DataFrame:
-    return evidence.first_hit(t.documents, "source", "doc_id", "text", HIT)
+    return evidence.first_hit(t.documents, "source", "doc_id", "text", HIT_PART)
 
 
 @query("""WITH s AS (SELECT doc_id, trim(regexp_extract(text, '(?i)(?:the|les|die)\\s*[:：]?\\s*([^.\\n]+?)(?:[.\\n]|$)', 1)) AS span FROM documents) SELECT * FROM s WHERE span <> ''""")

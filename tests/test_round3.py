@@ -73,3 +73,10 @@ def test_source_lists_of_odd_queries(spark):
     got = sorted((r.id, r.ord, r.url) for r in tables.source_records(queries, "id", "q", records, given).collect())
     assert got == [(1, 1, "http://a.org/"), (1, 2, "http://b.org"), (2, 1, "http://a.org/"), (2, 1000001, "http://B.org/"), (3, 1, "http://a.org/"), (9, 1000001, "http://c.org")]
     assert {r.id: len(r.sources) for r in tables.source_lists(queries, "id", "q", records, given).collect()} == {1: 2, 2: 2, 3: 1, 9: 1}
+
+
+def test_first_hit_by_words(spark, tmp_path):
+    texts = ["a. b;" * 50 + " see menu the login. Then los one is, the other is here and more", "x" * 200 + " the end\nof it | the | x. Nobody les autres. Not the last one", "No word. None", None, "short the x", " the hit at once in this one"]
+    docs = pd.DataFrame({"doc_id": [3, 2, 1, 4, 5, 6], "text": texts, "source": ["a", "b", "b", "a", "c", "c"]})
+    got, expected = both(spark, tmp_path, "segment_hits", documents=docs)
+    assert len(got) == 3 and plain(got) == plain(expected)
