@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from rosterlake.functions import rules
 from rosterlake.functions.text import any_contains, around, hits, pieces, segments, string
 from rosterlake.functions.urls import netloc, normal_url, source_tier
-from rosterlake.operators.joins import running_budget
+from rosterlake.operators.joins import running_budget, small
 
 NAVIGATION = rules.NAVIGATION_TERMS
 
@@ -124,18 +124,23 @@ def chunks_within_budget(chunked: DataFrame, query: list[str], source: str, key:
     low = F.lower("chunk")
     count = lambda words: reduce(lambda a, w: a + F.contains(low, F.lit(w)).cast("int"), words, F.lit(0))
     names = list(dict.fromkeys([*query, source]))
-    once = chunked.groupBy(*names, "chunk").agg(F.min(F.struct(key, "chunk_no")).alias("_p")).select(*names, "chunk", f"_p.{key}", "_p.chunk_no")
-    scored = once.withColumn("score", 4 * count(terms) + F.least(F.lit(6), count(markers)))
+    same = lambda columns: reduce(lambda a, b: a & b, [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in columns])
+    # ranked by numbers alone; equal chunks are told by their digests, and texts are read again for what fits
+    seen = chunked.select(*names, key, "chunk_no", F.md5("chunk").alias("_h"), F.length("chunk").alias("_length"), (4 * count(terms) + F.least(F.lit(6), count(markers))).alias("score"))
+    once = seen.groupBy(*names, "_h", "_length", "score").agg(F.min(F.struct(key, "chunk_no")).alias("_p"))
+    scored = once.select(*names, f"_p.{key}", "_p.chunk_no", "_h", "_length", "score").localCheckpoint()
     hit = scored.where(F.col("score") > 0)
-    some = hit.unionByName(scored.where(F.col("score") <= 0).join(hit.select(*query).distinct().hint("merge"), query, "left_anti"))
+    some = hit.unionByName(scored.where(F.col("score") <= 0).alias("l").join(small(hit.select(*query).distinct()).alias("r"), same(query), "left_anti"))
     place = F.struct((-F.col("score")).alias("less"), F.col(key).alias("_key"), F.col("chunk_no").alias("_no"))
     rest = [c for c in some.columns if c not in (*query, source)]
     best = some.groupBy(*names).agg(F.min_by(F.struct(*rest), place).alias("_b")).select(*names, *[f"_b.{c}" for c in rest])
     order = [F.desc("score"), F.asc(source), F.asc(key), F.asc("chunk_no")]
-    size = F.length("chunk") + 2
     # what comes behind the best chunks of all sources is cut to the budget first, part by part
-    others = running_budget(some, query, order, size, budget, F.xxhash64("chunk")).drop("_left")
-    ids = [*names, key, "chunk_no"]
-    both = best.withColumn("_rank", F.lit(0)).unionByName(others.join(best.select(*ids).hint("merge"), ids, "left_anti").withColumn("_rank", F.lit(1)))
-    left = running_budget(both, query, [F.asc("_rank"), *order], size, budget, F.xxhash64("chunk"))
-    return left.withColumn("chunk", F.expr("rtrim(left(chunk, _left))")).drop("_left", "_rank")
+    others = running_budget(some, query, order, F.col("_length") + 2, budget, F.xxhash64("_h")).drop("_left")
+    ids = [*names, key, "chunk_no", "_h"]
+    both = best.withColumn("_rank", F.lit(0)).unionByName(others.alias("l").join(small(best.select(*ids)).alias("r"), same(ids), "left_anti").withColumn("_rank", F.lit(1)))
+    left = running_budget(both, query, [F.asc("_rank"), *order], F.col("_length") + 2, budget, F.xxhash64("_h"))
+    kept = left.select(*ids, "score", "_left").localCheckpoint()
+    met = chunked.withColumn("_h", F.md5("chunk")).alias("l").join(small(kept).alias("r"), same(ids))
+    chunk = F.expr("rtrim(left(l.chunk, r._left))").alias("chunk")
+    return met.select(*[f"l.{c}" for c in names], chunk, f"l.{key}", "l.chunk_no", "r.score").distinct()  # of equal rows one

@@ -80,3 +80,12 @@ def test_first_hit_by_words(spark, tmp_path):
     docs = pd.DataFrame({"doc_id": [3, 2, 1, 4, 5, 6], "text": texts, "source": ["a", "b", "b", "a", "c", "c"]})
     got, expected = both(spark, tmp_path, "segment_hits", documents=docs)
     assert len(got) == 3 and plain(got) == plain(expected)
+
+
+def test_chunk_budget_of_repeated_and_unnamed_rows(spark, tmp_path):
+    rows = [(1, "the and que " * 200, "a"), (1, "the and que " * 200, "a"), (2, "the line\nthe line\nand more", "a"), (2, "quiet\n\nthe third", "a"), (3, "xxx\nyyy", "b"), (4, "the unnamed\nthe other and", None), (5, "zzz", None), (6, "thing ing tion " * 900, "c"), (7, None, "c")]
+    docs = pd.DataFrame(rows, columns=["doc_id", "text", "source"])
+    got = QUERIES["chunk_budget"](spark, str(tmp_path)) if docs.to_parquet(f"{tmp_path}/documents.parquet") is None else None
+    got = sorted((str(r.source), r.doc_id, r.chunk_no, r.score) for r in got.collect())
+    assert got.count(("a", 1, 0, 12)) == 1 and ("None", 4, 1, 8) in got and got.count(("None", 4, 0, 4)) == 1 and not any(r[1] == 5 for r in got)
+    assert ("b", 3, 0, 0) in got and ("b", 3, 1, 0) in got and len(got) == len(set(got))
