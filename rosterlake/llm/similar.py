@@ -1,15 +1,19 @@
-"""Near-duplicates by the Jaccard similarity of word shingles.
-
-Texts with equal 64-bit SimHashes are one class, so copies are never expanded. A similarity of 0.8 is
-about ten of 64 SimHash bits, which no tables of such short codes find without comparing most pairs, so
-candidates come from MinHash: ``BANDS`` tables over ``ROWS`` minima each hold a pair of similarity 0.8
-together in at least one with probability 0.9996. The low bytes of all minima go along as a sketch.
-Pairs whose sketches agree in less than ``CHANCE`` places are left (at 0.8 or more that happens to about one
-in 100,000), and all others are confirmed by the Jaccard similarity of the whole shingle sets of the classes'
-representatives.
-
-A table entry does not give pairs, but as many links as connect what may be similar there. What these links
-connect is compared as a whole: every pair whose sketches agree in enough places, as long as it is still apart.
+"""Near-duplicates by SimHash: candidates from SimHash tables, confirmed by the Jaccard similarity of word shingles.
+
+The SimHash of a text's shingle set has ``TABLES`` times ``BITS`` bits. Texts with equal ones are one class, so copies are
+never expanded. A similarity of 0.8 is a cosine of 0.889 at least, so a bit differs with probability 0.151. That is
+about ten of 64 bits, which no tables of such short codes find without comparing most pairs; the wide SimHash is cut
+into ``TABLES`` segments of ``BITS`` bits, and a pair of similarity 0.8 has at least one segment in common with
+probability 0.9997. Rows of a table entry are near when ``NEAR`` of the first 256 bits differ at most (at 0.8 or more
+that fails for one in 150,000; texts without a common shingle differ in 128). What the tables find is confirmed by the
+Jaccard similarity of the whole shingle sets of the classes' representatives.
+
+Sets of four to seven shingles may differ in more bits, up to 0.188 of them, so they enter a second family of segments as well, with
+limits of their own. Smaller sets reach 0.8 with none but equal ones.
+
+A table entry does not give all pairs of a group, but a link from its lowest class to each of what is near there, and
+the links of a class are replaced by those of its lowest neighbour, so a group has few more than classes. What these
+links connect is compared as a whole: every pair whose SimHashes differ in few enough bits, as long as it is still apart.
 So each class's shingle set moves once. Groups of more than ``LARGE`` classes are dealt in blocks, and each
 pair of blocks is compared in a task of its own.
 
@@ -24,120 +28,173 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import components, first_rows, keep, pressed, release_all, text_hash, text_rows
-from .simhash import shingle_hashes, simhash_of
+from .simhash import shingle_hashes
 from .suffix_dedup import _MIX, mix
 
-BANDS, ROWS, CHANCE, LARGE = 20, 5, 62, 2000
+TABLES, BITS, LARGE = 64, 13, 2000
 SIMILARITY = 0.8
-_RANDOM = np.random.default_rng(0).integers(1, 1 << 63, (2, BANDS * ROWS), dtype=np.uint64)
-_SHIFT, _FACTOR = _RANDOM[0][:, None], _RANDOM[1][:, None] * np.uint64(2) + np.uint64(1)
+LEAST, SHORT = 4, 8  # sets of fewer shingles: are similar to none but equal ones; differ in more bits
+FIRST, NEAR, NEAR_SHORT = 24, 66, 78  # of 64 and of 256 bits, in table entries
+FAR, FAR_SHORT = 178, 208  # of all bits, before shingle sets are compared
+DENSE = 8
+_WORDS = TABLES * BITS // 64
+_STEPS = np.arange(_WORDS, dtype=np.uint64) * _MIX
+_NUMBERS = ["key", "fp", "w0", "w1", "w2", "w3"]
 
 
-def minima(hashes: np.ndarray) -> np.ndarray:
-    """MinHash signature of a set of shingle hashes."""
-    out = np.full(BANDS * ROWS, (1 << 32) - 1, np.uint32)
-    for at in range(0, len(hashes), 1024):
-        values = ((hashes[None, at : at + 1024] ^ _SHIFT) * _FACTOR) >> np.uint64(32)
-        out = np.minimum(out, values.min(axis=1).astype(np.uint32))
-    return out
+def wide_simhash(hashes: np.ndarray) -> np.ndarray:
+    """SimHash, as 64-bit words, of a set of shingle hashes."""
+    ones = np.zeros(TABLES * BITS, np.int64)
+    for at in range(0, len(hashes), 255):
+        words = mix(hashes[at : at + 255, None] + _STEPS)
+        ones += np.unpackbits(words.view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.uint8)
+    return np.packbits(ones * 2 > len(hashes), bitorder="little").view(np.uint64)
 
 
-def band_keys(signatures: np.ndarray) -> np.ndarray:
-    """One table key for each band of each signature."""
-    bands = signatures.reshape(-1, BANDS, ROWS).astype(np.uint64)
-    keys = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64), bands.shape[:2])
-    for r in range(ROWS):
-        keys = mix(keys * _MIX + bands[:, :, r])
-    return keys.view(np.int64)
+def table_keys(wide: np.ndarray, family: int = 0) -> np.ndarray:
+    """One key for each segment of each SimHash; the second family's segments lie across the first one's."""
+    bits = np.roll(np.unpackbits(wide.view(np.uint8), axis=1, bitorder="little"), family * (BITS // 2), axis=1)
+    values = bits.reshape(-1, TABLES, BITS).astype(np.float32) @ (1 << np.arange(BITS)).astype(np.float32)
+    return values.astype(np.int64) + (np.arange(TABLES) + family * TABLES << BITS)
 
 
 def signed(docs: DataFrame, shingle: int, id_col: str, text_col: str) -> DataFrame:
-    """``(id, h, fp, sketch, keys)``, h being the text's hash; a text without words has no keys."""
-    schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), T.StructField("h", T.LongType()), T.StructField("fp", T.LongType()), T.StructField("sketch", T.BinaryType()), T.StructField("keys", T.ArrayType(T.LongType()))])
+    """``(id, h, fp, wide, size)``: the text's hash, the number of its class, its SimHash and how many shingles it has."""
+    schema = T.StructType([T.StructField("id", docs.schema[id_col].dataType), T.StructField("h", T.LongType()), T.StructField("fp", T.LongType()), T.StructField("wide", T.BinaryType()), T.StructField("size", T.IntegerType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         release_all()
         for whole in batches:
             for at in range(0, whole.num_rows, 256):
                 batch = whole.slice(at, 256)
-                listed = [shingle_hashes(t, shingle) for t in batch.column(1).to_pylist()]
-                signatures = np.stack([minima(np.unique(h)) for h in listed])
-                keys = band_keys(signatures)
-                sketches = [s.tobytes() for s in (signatures & np.uint32(255)).astype(np.uint8)]
-                columns = [pa.array([simhash_of(h) for h in listed], pa.int64()), pa.array(sketches, pa.binary()), pa.array([k if len(h) else [] for k, h in zip(keys, listed, strict=True)], pa.list_(pa.int64()))]
+                sets = [np.unique(shingle_hashes(t, shingle)) for t in batch.column(1).to_pylist()]
+                wide = [wide_simhash(x).tobytes() for x in sets]
+                fp = np.array([xxhash.xxh64_intdigest(w) for w in wide], np.uint64).view(np.int64)
+                columns = [pa.array(fp), pa.array(wide, pa.binary()), pa.array([len(x) for x in sets], pa.int32())]
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *columns], names=schema.names)
 
     return text_rows(docs, id_col, text_col).withColumn("h", text_hash("text")).mapInArrow(run, schema)
 
 
-def _spanning(sketches: np.ndarray) -> list[tuple[int, int]]:
-    """Links that connect the rows of one table entry that may be similar.
+def _words(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(-1, _WORDS)
+
+
+def entries(classes: DataFrame) -> DataFrame:
+    """``(key, fp, w0 to w3)``: each class (fp, wide, size) once in every table, with the first 256 bits of its SimHash."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 512):
+                batch = whole.slice(at, 512)
+                fp, size, wide = batch.column("fp").to_numpy(), batch.column("size").to_numpy(), _words(batch.column("wide"))
+                for family, enters in enumerate((size >= LEAST, (size >= LEAST) & (size < SHORT))):
+                    if enters.any():
+                        one = [fp[enters], *wide[enters, :4].view(np.int64).T]
+                        columns = [table_keys(wide[enters], family).ravel(), *(np.repeat(c, TABLES) for c in one)]
+                        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=_NUMBERS)
+
+    return classes.select("fp", "wide", "size").mapInArrow(run, ", ".join(f"{n} long" for n in _NUMBERS))
+
+
+def _nearest_lowest(words: np.ndarray, limit: int) -> np.ndarray:
+    """The lowest row that near ones connect each row of one table entry with.
 
     Rows of the largest component need not be looked at: a link between two components has an end outside it.
     """
-    label, done, links = np.arange(len(sketches)), np.zeros(len(sketches), bool), []
+    label, done = np.arange(words.shape[1]), np.zeros(words.shape[1], bool)
     while True:
         names, sizes = np.unique(label, return_counts=True)
         rest = np.flatnonzero(~done & (label != names[sizes.argmax()]))
         if not len(rest):
-            return links
+            return label
         i = int(rest[0])
-        near = np.flatnonzero(((sketches == sketches[i]).sum(axis=1) >= CHANCE) & (label != label[i]))
-        roots, first = np.unique(label[near], return_index=True)
-        links += [(i, j) for j in near[first].tolist()]
-        label[np.isin(label, roots)] = label[i]
+        near = np.bitwise_count(words ^ words[:, i : i + 1]).sum(axis=0) <= limit
+        roots = np.unique(label[near])
+        label[np.isin(label, roots)] = roots[0]
         done[i] = True
 
 
+def near_rows(key: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links from the lowest row to each of what near rows connect in whole table entries. key: sorted; words: by column.
+
+    Each row is compared with the next one, the next but one and so on of its entry, for all entries together.
+    Entries with more than ``DENSE`` times as many near pairs as rows are gone through component by component.
+    """
+    starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+    sizes = np.diff(np.r_[starts, len(key)])
+    entry = np.repeat(np.arange(len(starts)), sizes)
+    after = (starts + sizes)[entry] - np.arange(len(key)) - 1
+    limit = np.where(key >> BITS < TABLES, NEAR, NEAR_SHORT)
+    found, dense = np.zeros(len(starts), np.int64), np.zeros(len(starts), bool)
+    a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    at, step = np.arange(len(key)), 1
+    while True:
+        if step & (step - 1) == 0:  # entries that are through are left out now and then
+            at = at[((sizes > step) & ~dense)[entry[at]]]
+            head, rest = words[0, at], after[at]
+        if step >= len(at):
+            break
+        near = np.flatnonzero((np.bitwise_count(head[:-step] ^ head[step:]) <= FIRST) & (rest[:-step] >= step))
+        i, j = at[near], at[near + step]
+        fits = np.bitwise_count(words[:, i] ^ words[:, j]).sum(axis=0) <= limit[i]
+        if fits.any():
+            a.append(i[fits])
+            b.append(j[fits])
+            found += np.bincount(entry[i[fits]], minlength=len(starts))
+            dense |= found > DENSE * sizes
+        step += 1
+    left, right = np.concatenate(a), np.concatenate(b)
+    few = ~dense[entry[left]]
+    left, right, label = left[few], right[few], np.arange(len(key))
+    while (label[left] != label[right]).any():
+        least = np.minimum(label[left], label[right])
+        np.minimum.at(label, label[left], least)
+        np.minimum.at(label, label[right], least)
+        label = label[label]
+    for k in np.flatnonzero(dense).tolist():
+        part = slice(starts[k], starts[k] + sizes[k])
+        label[part] = starts[k] + _nearest_lowest(words[:, part], int(limit[starts[k]]))
+    rows = np.flatnonzero(label != np.arange(len(key)))
+    return label[rows], rows
+
+
 def candidates(classes: DataFrame) -> DataFrame:
-    """Links ``(a, b)`` of fingerprints, of classes (fp, sketch, keys), that connect what may be similar."""
-    spread = classes.select("fp", "sketch", F.explode("keys").alias("key"))
-
-    def links(key: np.ndarray, fp: np.ndarray, sketches: np.ndarray) -> pa.RecordBatch:
-        starts = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-        sizes = np.diff(np.r_[starts, len(key)])
-        a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-        two = starts[sizes == 2]
-        near = two[(sketches[two] == sketches[two + 1]).sum(axis=1) >= CHANCE]
-        a.append(fp[near])
-        b.append(fp[near + 1])
-        for start, size in zip(starts[sizes > 2].tolist(), sizes[sizes > 2].tolist(), strict=True):
-            found = np.array(_spanning(sketches[start : start + size]), np.int64).reshape(-1, 2)
-            a.append(fp[start + found[:, 0]])
-            b.append(fp[start + found[:, 1]])
-        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
+    """Links ``(a, b)`` of class numbers, of classes (fp, wide, size), that connect what may be similar."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        numbers, sketches = np.empty((2, 0), np.int64), np.empty((0, BANDS * ROWS), np.uint8)
-        held: list[tuple[np.ndarray, np.ndarray]] = []
-        size = 0
+        rows, held, size = np.empty((len(_NUMBERS), 0), np.int64), [], 0
 
         def settle(last: bool) -> Iterator[pa.RecordBatch]:
-            nonlocal numbers, sketches, held, size
-            numbers = np.concatenate([numbers, *(n for n, _ in held)], axis=1)
-            sketches = np.concatenate([sketches, *(s for _, s in held)])
+            nonlocal rows, held, size
+            rows = np.concatenate([rows, *held], axis=1)
             held, size = [], 0
-            cut = len(sketches) if last else int(np.searchsorted(numbers[0], numbers[0, -1]))
+            cut = rows.shape[1] if last else int(np.searchsorted(rows[0], rows[0, -1]))
             if cut:
-                yield links(*numbers[:, :cut], sketches[:cut])
-                numbers, sketches = numbers[:, cut:], sketches[cut:]
+                a, b = near_rows(rows[0, :cut], rows[2:, :cut].view(np.uint64))
+                yield pa.RecordBatch.from_arrays([pa.array(rows[1, a]), pa.array(rows[1, b])], names=["a", "b"])
+                rows = rows[:, cut:]
 
         for batch in batches:
-            more = np.frombuffer(b"".join(batch.column("sketch").to_pylist()), np.uint8).reshape(-1, BANDS * ROWS)
-            held.append((np.stack([batch.column(c).to_numpy() for c in ("key", "fp")]), more))
-            size += len(more)
+            held.append(np.stack([batch.column(c).to_numpy() for c in _NUMBERS]))
+            size += batch.num_rows
             if size >= 50_000:
                 yield from settle(False)
-        if held or numbers.shape[1]:
+        if held or rows.shape[1]:
             yield from settle(True)
 
-    return spread.repartition("key").sortWithinPartitions("key", "fp").select("key", "fp", "sketch").mapInArrow(run, "a long, b long").distinct()
+    links = entries(classes).repartition("key").sortWithinPartitions("key", "fp").mapInArrow(run, "a long, b long")
+    stars = links.groupBy("b").agg(F.collect_set("a").alias("to"))  # one of each table at most
+    least = F.array_min("to")
+    joined = F.transform("to", lambda a: F.struct(least.alias("a"), F.when(a == least, F.col("b")).otherwise(a).alias("b")))
+    return stars.select(F.explode(joined).alias("link")).select("link.*").distinct()
 
 
 def held_sets(docs: DataFrame, needed: DataFrame, shingle: int, id_col: str, text_col: str) -> DataFrame:
@@ -156,14 +213,14 @@ def held_sets(docs: DataFrame, needed: DataFrame, shingle: int, id_col: str, tex
     return moved.mapInArrow(sets, "fp long, held binary")
 
 
-def similar_links(sets: list[np.ndarray], sketches: np.ndarray, left: np.ndarray, right: np.ndarray, similarity: float) -> list[tuple[int, int]]:
-    """Links between rows of left and of right that connect what is similar; most alike sketches are tried first."""
+def similar_links(sets: list[np.ndarray], wide: np.ndarray, left: np.ndarray, right: np.ndarray, similarity: float) -> list[tuple[int, int]]:
+    """Links between rows of left and of right that connect what is similar; nearest SimHashes are tried first."""
     label, links = np.arange(len(sets)), []
     sizes = np.array([len(x) for x in sets])
     for i in left.tolist():
-        agree = (sketches[right] == sketches[i]).sum(axis=1)
-        fits = (agree >= CHANCE) & (np.minimum(sizes[right], sizes[i]) >= similarity * np.maximum(sizes[right], sizes[i]))
-        for j in right[fits][np.argsort(-agree[fits], kind="stable")].tolist():
+        apart, least = np.bitwise_count(wide[right] ^ wide[i]).sum(axis=1), np.minimum(sizes[right], sizes[i])
+        fits = (apart <= np.where(least < SHORT, FAR_SHORT, FAR)) & (least >= similarity * np.maximum(sizes[right], sizes[i]))
+        for j in right[fits][np.argsort(apart[fits], kind="stable")].tolist():
             if label[j] == label[i]:
                 continue
             common = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
@@ -175,19 +232,18 @@ def similar_links(sets: list[np.ndarray], sketches: np.ndarray, left: np.ndarray
 
 
 def confirmed(members: DataFrame, similarity: float) -> DataFrame:
-    """Links ``(a, b)`` of what is similar. members: (component, n, fp, sketch, held)."""
+    """Links ``(a, b)`` of what is similar. members: (component, n, fp, wide, held)."""
     blocks = F.ceil(F.col("n") / LARGE).cast("int")
     own = F.pmod(F.xxhash64("fp"), blocks).cast("int")
     every = F.transform(F.sequence(F.lit(0), blocks - 1), lambda k: F.struct(F.least(k, own).alias("i"), F.greatest(k, own).alias("j")))
-    dealt = members.select("component", own.alias("own"), F.explode(every).alias("at"), "fp", "sketch", "held")
-    dealt = dealt.select("component", F.col("at.i").alias("i"), F.col("at.j").alias("j"), "own", "fp", "sketch", "held")
+    dealt = members.select("component", own.alias("own"), F.explode(every).alias("at"), "fp", "wide", "held")
+    dealt = dealt.select("component", F.col("at.i").alias("i"), F.col("at.j").alias("j"), "own", "fp", "wide", "held")
 
     def compare(t: pa.Table) -> pa.RecordBatch:
         fp, own = t.column("fp").to_numpy(), t.column("own").to_numpy()
-        sketches = np.frombuffer(b"".join(t.column("sketch").to_pylist()), np.uint8).reshape(-1, BANDS * ROWS)
         sets = [np.frombuffer(x, np.uint64) for x in t.column("held").to_pylist()]
         i, j = t.column("i")[0].as_py(), t.column("j")[0].as_py()
-        links = similar_links(sets, sketches, np.flatnonzero(own == i), np.flatnonzero(own == j), similarity)
+        links = similar_links(sets, _words(t.column("wide")), np.flatnonzero(own == i), np.flatnonzero(own == j), similarity)
         found = np.array(links, np.int64).reshape(-1, 2)
         return pa.RecordBatch.from_arrays([pa.array(fp[found[:, 0]]), pa.array(fp[found[:, 1]])], names=["a", "b"])
 
@@ -213,15 +269,16 @@ def confirmed(members: DataFrame, similarity: float) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(id, h, group, component_id)`` of every row with an id: its text's hash, the number of its group and the smallest id there."""
+    if similarity < SIMILARITY:
+        raise ValueError(f"the tables find similarities of {SIMILARITY} and more")
     marked = keep(signed(docs.where(F.col(f"`{id_col}`").isNotNull()), shingle, id_col, text_col))
-    one = F.min_by(F.struct("id", "h", "sketch", "keys"), F.struct("id", "h")).alias("s")
-    classes = marked.groupBy("fp").agg(one).select("fp", "s.id", "s.h", "s.sketch", "s.keys")
-    first = keep(classes.select("fp", "id", "h", "sketch"))
-    groups = keep(components(candidates(classes.select("fp", "sketch", "keys"))).withColumnRenamed("id", "fp"))
+    one = F.min_by(F.struct("id", "h", "wide", "size"), F.struct("id", "h")).alias("s")
+    first = keep(marked.groupBy("fp").agg(one).select("fp", "s.id", "s.h", "s.wide", "s.size"))
+    groups = keep(components(candidates(first)).withColumnRenamed("id", "fp"))
     sizes = groups.groupBy("component").agg(F.count("*").alias("n"))
     members = first.join(groups.hint("merge"), "fp")
     held = held_sets(docs, members.select("fp", "id", "h"), shingle, id_col, text_col)
-    full = members.select("fp", "sketch", "component").join(sizes.hint("merge"), "component").join(held.hint("merge"), "fp")
+    full = members.select("fp", "wide", "component").join(sizes.hint("merge"), "component").join(held.hint("merge"), "fp")
     found = components(confirmed(full, similarity)).withColumnRenamed("id", "fp")
     joined = first.select("fp", "id").join(found.hint("merge"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     least = joined.groupBy("component").agg(F.min("id").alias("component_id"))

@@ -747,3 +747,35 @@ def test_odd_tables_through_every_query(spark, tmp_path):
     kinds = Counter((r.page_id, r.record_type, r.refers_to) for r in got["op8_warc"])
     assert kinds == {(1, "response", None): 2, (2, "revisit", 1): 1, (None, "response", None): 2, (3, "response", None): 1}
     assert {r.held_out for r in got["op5_toxicity"]} <= {True, False}
+
+
+def test_similar_candidates_come_from_simhash_tables(spark):
+    from rosterlake.llm import similar
+    from rosterlake.llm.common import components
+
+    rng = np.random.default_rng(14)
+    new = lambda n: rng.integers(0, 1 << 63, n, dtype=np.uint64)
+    sets = []
+    for common, more, less in [(356, 44, 44), (80, 20, 0), (16, 2, 2), (8, 1, 1), (5, 1, 0), (4, 1, 0)]:  # similarities of 0.8 to 0.83
+        for _ in range(40):
+            base = new(common)
+            sets += [np.r_[base, new(more)], np.r_[base, new(less)]]
+    pairs, base = len(sets) // 2, new(200)
+    sets += [np.r_[base, new(10)] for _ in range(150)] + [new(n) for n in (1, 2, 3, 50, 0)]
+    wide = [similar.wide_simhash(x) for x in sets]
+    rows = [(k, bytearray(w.tobytes()), len(x)) for k, (w, x) in enumerate(zip(wide, sets, strict=True))]
+    links = similar.candidates(spark.createDataFrame(rows, "fp long, wide binary, size int"))
+    assert links.where("a >= 2 * 240").count() < 3 * 150  # a dense group has few links
+    got = {r.id: r.component for r in components(links).collect()}
+    assert got == {k: k - k % 2 for k in range(2 * pairs)} | {k: 2 * pairs for k in range(2 * pairs, 2 * pairs + 150)}
+
+
+def test_texts_of_one_frequent_shingle_are_not_one_class(spark):
+    from rosterlake.llm.similar import one_of_similar
+
+    rng = random.Random(15)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(6))
+    texts = ["spam " * 600 + " ".join(word() for _ in range(200)) for _ in range(4)]  # most shingles are equal, as repeats
+    texts += [texts[0] + " " + word(), "one two three four five six seven eight", "one two three four five six seven eight nine"]
+    docs = spark.createDataFrame([(k, t, "en", "s", 1, None, None) for k, t in enumerate(texts)], DOCS)
+    assert sorted(r.doc_id for r in one_of_similar(docs).collect()) == [0, 1, 2, 3, 5]
